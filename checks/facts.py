@@ -11,6 +11,7 @@ from vacatlas.functions import dates, labels, money, text as T
 from vacatlas.functions.terms import canonical
 from vacatlas.operators import enrich as E
 from vacatlas.operators import gates, score as M
+from vacatlas.plans.scale import spread
 from vacatlas.profile import DEFAULT as P
 
 from .base import AS_OF_SQL, O, as_of, query, sql, table, view
@@ -321,7 +322,7 @@ SELECT *, greatest(0, least(100, round_even({' + '.join(f'score_{n} * {w}::DOUBL
 
 # -- Spark side -------------------------------------------------------------
 def postings(spark, sf):
-    return view(spark, sf, "posting_view")
+    return spread(view(spark, sf, "posting_view"))
 
 
 def scored(spark, sf, profile=P):

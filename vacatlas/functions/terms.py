@@ -85,37 +85,53 @@ class TermIndex:
     def hits(self, lowered: Column) -> Column:
         """Distinct terms present in a lower-cased text, in no particular order."""
         if not self.terms:
-            return F.array().cast("array<string>")
+            return constant_array([])
         found = F.regexp_extract_all(lowered, F.lit(self.pattern), F.lit(1))
         if self.flexible:
             found = F.transform(found, lambda h: F.trim(F.regexp_replace(h, SEPARATOR, " ")))
         found = F.array_distinct(found)
-        pairs = [c for k, ts in self._implied().items() if ts != [k]
-                 for c in (F.lit(k), F.array(*map(F.lit, ts)))]
-        if not pairs:
+        more = {k: ts for k, ts in self._implied().items() if ts != [k]}
+        if not more:
             return found
-        implied = F.create_map(*pairs)
+        implied = constant_map(more)
         return F.array_distinct(F.flatten(F.transform(
             found, lambda h: F.coalesce(F.try_element_at(implied, h), F.array(h)))))
 
 
+def _literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(map(_literal, v)) + ")"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return repr(v)
+
+
+def constant_array(values) -> Column:
+    """A constant array of strings, parsed in one call instead of one call per element."""
+    values = list(values)
+    return F.expr(_literal(values)) if values else F.expr("CAST(array() AS ARRAY<STRING>)")
+
+
+def constant_map(mapping: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in mapping.items()) + ")")
+
+
 def ordered(hits: Column, terms) -> Column:
     """The given terms that were hit, in declaration order."""
-    terms = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.array_intersect(F.array(*map(F.lit, terms)), hits)
+    return F.array_intersect(
+        constant_array(dict.fromkeys(t.strip().lower() for t in terms if t.strip())), hits)
 
 
 def first_hit(hits: Column, terms) -> Column:
     """First of the given terms that was hit, NULL if none."""
-    return F.try_element_at(ordered(hits, terms), F.lit(1))
+    return F.get(ordered(hits, terms), 0)
 
 
 def lookup(key: Column, mapping: dict, default=None) -> Column:
     """A constant map as an expression."""
     if not mapping:
         return F.lit(default)
-    flat = [F.lit(x) for kv in mapping.items() for x in kv]
-    found = F.try_element_at(F.create_map(*flat), key)
+    found = F.try_element_at(constant_map(mapping), key)
     return found if default is None else F.coalesce(found, F.lit(default))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import fixed_values as V
+from .terms import constant_map
 
 
 @lru_cache(maxsize=1)
@@ -129,7 +130,7 @@ def _entities() -> dict[str, str]:
 
 
 def _decode_entity(e: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for kv in _entities().items() for x in kv])
+    named = constant_map(_entities())
     digits = F.regexp_extract(e, r"^&#([0-9]+)", 1)
     hexa = F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+)", 1)
     code = F.when(digits != "", F.hex(digits.cast("long"))).when(hexa != "", hexa)

@@ -8,6 +8,7 @@ costly patterns sit behind a cheap ``contains`` test of the same text.
 from __future__ import annotations
 
 import unicodedata
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from ..functions.terms import TermIndex, any_of, canonical, first_hit, lookup, o
 from ..profile import DEFAULT, Profile
 from ..schemas import STRUCTURED
 
-UNICODE = "(?iU)"
+UNICODE = "(?iU)"  # original spelling
+LOWER = "(?U)"     # text that is lower case already
 
 
 def with_optional(df: DataFrame) -> DataFrame:
@@ -31,6 +33,28 @@ def with_optional(df: DataFrame) -> DataFrame:
     return df.withColumns(extra) if extra else df
 
 
+LOWERED = {"_low_title": "title", "_low_text": "description"}
+
+
+def lowered(step):
+    """Give a step the lower-cased title and text; computed once when steps are chained."""
+    @wraps(step)
+    def run(df: DataFrame, *args) -> DataFrame:
+        if "_low_text" in df.columns:
+            return step(df, *args)
+        return step(add_lowered(df), *args).drop(*LOWERED)
+    return run
+
+
+def add_lowered(df: DataFrame) -> DataFrame:
+    return df.withColumns({k: F.lower(F.coalesce(F.col(c), F.lit(""))) for k, c in LOWERED.items()})
+
+
+def _low() -> Column:
+    """Lower-cased title and text as one string."""
+    return F.concat_ws("\n", "_low_title", "_low_text")
+
+
 def _text(*names: str) -> Column:
     return F.concat_ws("\n", *[F.coalesce(F.col(n), F.lit("")) for n in names])
 
@@ -42,9 +66,9 @@ def _has_any(lowered: Column, words) -> Column:
     return out
 
 
-def _first_rule(text: Column, rules) -> Column:
+def _first_rule(text: Column, rules, flags: str = LOWER) -> Column:
     """Name of the first rule whose pattern matches, NULL if none."""
-    return F.coalesce(*[F.when(F.rlike(text, F.lit(UNICODE + p)), F.lit(name))
+    return F.coalesce(*[F.when(F.rlike(text, F.lit(flags + p)), F.lit(name))
                         for name, p in rules])
 
 
@@ -53,30 +77,29 @@ def _extract(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 # -- E01 --------------------------------------------------------------------
-def _occurrences(padded: Column, markers) -> Column:
-    """Non-overlapping occurrences of every marker, summed."""
-    total = F.lit(0)
-    for m in markers:
-        total = total + (
-            (F.length(padded) - F.length(F.replace(padded, F.lit(m), F.lit("")))) / len(m)
-        ).cast("int")
-    return total
-
+def _marker_pattern(markers) -> str:
+    """One pattern for all markers.
 
-def language_of(text: Column) -> Column:
-    """'de', 'en' or 'unknown' by short-word counts; too short a text is unknown."""
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    de, en = _occurrences(padded, V.GERMAN_MARKERS), _occurrences(padded, V.ENGLISH_MARKERS)
-    counted = F.struct(de.alias("de"), en.alias("en"))
-    return F.transform(F.array(counted), lambda n: F.when((n["de"] == 0) & (n["en"] == 0), "unknown")
-                       .when(n["de"] >= n["en"] * 1.5, "de")
-                       .when(n["en"] >= n["de"] * 1.5, "en").otherwise("unknown"))[0]
+    A closing blank is looked at but not consumed, so it can open the next word;
+    a word repeated at once counts like two occurrences that share a blank do.
+    """
+    whole = "|".join(m.strip() for m in markers if m.endswith(" "))
+    starts = "|".join(m.strip() for m in markers if not m.endswith(" "))
+    return f" ({whole})(?= )(?: \\1(?= ))?| (?:{starts})"
 
 
+@lowered
 def posting_language(df: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("description"), F.lit(""))
-    return df.withColumn("posting_language", F.when(
-        F.length(text) < 120, F.lit("unknown")).otherwise(language_of(text)))
+    """'de', 'en' or 'unknown' by short-word counts; too short a text is unknown."""
+    padded = F.when(F.length("_low_text") >= 120, F.concat(
+        F.lit(" "), F.col("_low_text"), F.lit(" ")))
+    df = df.withColumns({
+        "_de": F.regexp_count(padded, F.lit(_marker_pattern(V.GERMAN_MARKERS))),
+        "_en": F.regexp_count(padded, F.lit(_marker_pattern(V.ENGLISH_MARKERS)))})
+    de, en = F.col("_de"), F.col("_en")
+    return df.withColumn("posting_language", F.when((de == 0) & (en == 0), "unknown")
+                         .when(de >= en * 1.5, "de").when(en >= de * 1.5, "en")
+                         .otherwise("unknown")).drop("_de", "_en")
 
 
 # -- E02, E03 ---------------------------------------------------------------
@@ -103,13 +126,17 @@ def structured_language(structured: Column) -> Column:
             .when(best("en").isNotNull(), "english_preferred"))
 
 
+@lowered
 def language_requirement(df: DataFrame) -> DataFrame:
     """Strictest statement in the text; the structured list only where the text is silent."""
     df = with_optional(df)
     text = _text("title", "description")
-    mentions = _has_any(F.lower(text), ["german", "deutsch", "englis", "muttersprach"])
-    level = F.when(mentions, _first_rule(text, [
-        (name, "(?:" + "|".join(ps) + ")") for name, ps in V.LANGUAGE_RULES]))
+    rules = [(name, "(?:" + "|".join(ps) + ")") for name, ps in V.LANGUAGE_RULES]
+    german = [r for r in rules if r[0].startswith("german")]
+    english = [r for r in rules if r[0].startswith("english")]
+    level = F.coalesce(
+        F.when(_has_any(_low(), ["german", "deutsch"]), _first_rule(_low(), german)),
+        F.when(_has_any(_low(), ["englis"]), _first_rule(_low(), english)))
     df = df.withColumns({"_said": level, "_listed": structured_language(F.col("structured"))})
     df = df.withColumn("language_phrase", _language_phrase(text, F.col("_said")))
     listed = F.concat(F.lit("Listed by the source: "), F.array_join(F.array_sort(F.transform(
@@ -127,13 +154,14 @@ def language_requirement(df: DataFrame) -> DataFrame:
 
 # -- E04, E05 ---------------------------------------------------------------
 def _ints(text: Column, pattern: str, group: int) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(group)),
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
                        lambda s: s.try_cast("int"))
 
 
+@lowered
 def years_required(df: DataFrame) -> DataFrame:
     """Smallest number of years asked for; the upper end only when it belongs to it."""
-    text = F.coalesce(F.col("description"), F.lit(""))
+    text = F.col("_low_text")
     ranges = F.filter(
         F.zip_with(_ints(text, V.YEARS_RANGE, 1), _ints(text, V.YEARS_RANGE, 2),
                    lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))),
@@ -141,7 +169,8 @@ def years_required(df: DataFrame) -> DataFrame:
     singles = F.filter(F.concat(
         F.zip_with(_ints(text, V.YEARS_MINIMUM, 1), _ints(text, V.YEARS_MINIMUM, 2), lambda a, b: F.coalesce(a, b)),
         _ints(text, V.YEARS_PLAIN, 1)), lambda n: n <= V.MAX_YEARS)
-    guard = _has_any(F.lower(text), ["year", "yr", "jahr"])
+    guard = _has_any(text, ["year", "yr", "jahr"]) & F.rlike(text, F.lit(
+        r"\d\s*\+?\s*(?:years?|yrs?|jahre?n?)"))
     df = df.withColumns({"_ranges": F.when(guard, ranges), "_least": F.when(guard, F.array_min(singles))})
     lowest = F.array_min(F.transform("_ranges", lambda r: r["lo"]))
     df = df.withColumn("_first", F.get(F.filter("_ranges", lambda r: r["lo"] == lowest), 0))
@@ -151,6 +180,7 @@ def years_required(df: DataFrame) -> DataFrame:
     }).drop("_ranges", "_least", "_first")
 
 
+@lowered
 def seniority(df: DataFrame) -> DataFrame:
     """The title decides when it says something, otherwise the years do."""
     df = years_required(df)
@@ -159,7 +189,7 @@ def seniority(df: DataFrame) -> DataFrame:
                   .when(n <= 6, "mid").when(n.isNotNull(), "senior"))
     signal = F.coalesce(*[_extract(title, p) for _, p in V.SENIORITY_RULES])
     return df.withColumns({
-        "seniority": F.coalesce(_first_rule(title, V.SENIORITY_RULES), from_years, F.lit("unknown")),
+        "seniority": F.coalesce(_first_rule(F.col("_low_title"), V.SENIORITY_RULES), from_years, F.lit("unknown")),
         "title_signal": F.trim(F.coalesce(signal, F.lit(""))),
     })
 
@@ -167,7 +197,7 @@ def seniority(df: DataFrame) -> DataFrame:
 # -- E06 --------------------------------------------------------------------
 def _windows(text: Column) -> Column:
     """The neighbourhood of every pay-related phrase, in text order."""
-    pattern = UNICODE + V.PAY_CONTEXT
+    pattern = LOWER + V.PAY_CONTEXT
     marks = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(marks)), marks, lambda g, m: F.struct(
@@ -190,7 +220,7 @@ def _offers(window: Column) -> Column:
     def currency(*tokens: Column) -> Column:
         return F.coalesce(*[lookup(F.lower(F.trim(t)), V.CURRENCY_TOKENS) for t in tokens])
 
-    period = F.coalesce(_first_rule(window, V.PERIOD_RULES), F.lit("year"))
+    period = F.coalesce(_first_rule(window, V.PERIOD_RULES, UNICODE), F.lit("year"))
     ranges = F.transform(
         F.arrays_zip(*[group(V.PAY_RANGE, i) for i in range(6)]),
         lambda m: F.struct(m["0"].alias("phrase"), currency(m["1"], m["3"], m["5"]).alias("currency"),
@@ -205,10 +235,16 @@ def _offers(window: Column) -> Column:
     return F.concat(ranges, single)
 
 
+# every pay phrase contains one of these, so texts without them are never searched
+PAY_WORDS = ["salar", "compensation", "remuneration", "pay", "package", "gehalt", "vergütung",
+             "vergutung", "lohn", "brutto", "gross", "annual"]
+
+
+@lowered
 def salary(df: DataFrame) -> DataFrame:
     """Pay that the posting prints, with its yearly euro figure; nothing is ever estimated."""
     text = _text("title", "description")
-    priced = F.transform(F.flatten(F.transform(_windows(text), _offers)), lambda o: F.struct(
+    priced = F.transform(F.flatten(F.transform(_windows(_low()), _offers)), lambda o: F.struct(
         o["phrase"].alias("phrase"), o["currency"].alias("currency"), o["period"].alias("period"),
         o["lo"].alias("lo"), o["hi"].alias("hi"),
         money.annual_eur(o["lo"], o["period"], o["currency"]).alias("eur_lo"),
@@ -217,8 +253,8 @@ def salary(df: DataFrame) -> DataFrame:
     good = F.filter(priced, lambda o: o["currency"].isNotNull()
                     & o["eur_lo"].between(least, most) & o["eur_hi"].between(least, most)
                     & (o["eur_lo"] <= o["eur_hi"]))
-    df = df.withColumn("_pay", F.when(F.rlike(text, F.lit("(?i)" + V.PAY_CONTEXT)),
-                                      F.try_element_at(good, F.lit(1))))
+    df = df.withColumn("_pay", F.when(
+        _has_any(_low(), PAY_WORDS) & F.rlike(_low(), F.lit(r"\d")), F.get(good, 0)))
     p = F.col("_pay")
     return df.withColumns({
         "salary_basis": F.when(p.isNotNull(), "explicit").otherwise("unknown"),
@@ -232,11 +268,12 @@ def salary(df: DataFrame) -> DataFrame:
 
 
 # -- E07 --------------------------------------------------------------------
+@lowered
 def relevance(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """How surely a posting is in the field: 0 no, 1 possible, 2 likely, 3 certain."""
     df = with_optional(df)
-    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    body = F.lower(_text("tags", "description"))
+    title = F.col("_low_title")
+    body = F.concat_ws("\n", F.lower(F.coalesce(F.col("tags"), F.lit(""))), "_low_text")
 
     def title_hit(terms) -> Column:
         return F.nullif(F.regexp_extract(title, any_of(terms), 0), F.lit(""))
@@ -255,7 +292,7 @@ def relevance(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         "_support": F.when(undecided, F.size(distinct_hits(V.SUPPORTING_BODY)))})
     strong = F.least(F.size("_strong"), F.lit(V.TERM_COUNT_CAP))
     support = F.least(F.col("_support"), F.lit(V.TERM_COUNT_CAP))
-    named = F.try_element_at("_strong", F.lit(1))
+    named = F.get("_strong", 0)
     cases = [  # condition, level, confidence, reason
         (F.col("_out").isNotNull(), 0, 0.0, F.lit("the title names another profession")),
         (F.col("_certain").isNotNull(), 3, 1.0, F.lit("the title names the field")),
@@ -333,18 +370,20 @@ def excluded_region(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         F.coalesce(hit, F.lit("")))).drop("_places")
 
 
+@lowered
 def remote_policy(df: DataFrame) -> DataFrame:
     """Four ordered rules over title, then place, then text."""
     words = ["remote", "hybrid", "office", "mobiles", "on-site", "on site", "vor ort",
              "präsenz", "prasenz", "anywhere", "model", "vor ort", "vor", "on site"]
-    fields = [F.coalesce(F.col(n), F.lit("")) for n in ("title", "location", "description")]
-    verdicts, phrases = [], []
-    for f in fields:
-        guard = _has_any(F.lower(f), words)
-        verdicts.append(F.when(guard, _first_rule(f, V.REMOTE_RULES)))
-        phrases.append(F.when(guard, F.coalesce(*[_extract(f, p) for _, p in V.REMOTE_RULES])))
-    return df.withColumns({"remote_policy": F.coalesce(*verdicts, F.lit("unknown")),
-                           "remote_phrase": F.trim(F.coalesce(*phrases, F.lit("")))})
+    fields = [F.col("_low_title"), F.lower(F.coalesce(F.col("location"), F.lit(""))), F.col("_low_text")]
+    found = F.coalesce(*[F.when(_has_any(f, words), F.coalesce(*[
+        F.when(F.rlike(f, F.lit(LOWER + p)), F.struct(
+            F.lit(name).alias("policy"), F.regexp_extract(f, LOWER + p, 0).alias("phrase")))
+        for name, p in V.REMOTE_RULES])) for f in fields])
+    df = df.withColumn("_remote", found)
+    return df.withColumns({
+        "remote_policy": F.coalesce("_remote.policy", F.lit("unknown")),
+        "remote_phrase": F.trim(F.coalesce("_remote.phrase", F.lit("")))}).drop("_remote")
 
 
 def looks_like_place(raw: Column) -> Column:
@@ -386,14 +425,15 @@ def transfer_table(profile: Profile) -> dict[str, tuple[str, float, str]]:
     return out
 
 
+@lowered
 def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Skills by group, domains, category, unclaimed requirements and their transfers."""
     df = with_optional(df)
     index = TermIndex(_vocabulary(profile))
     titles = TermIndex([t for ts in profile.role_categories.values() for t in ts])
-    df = df.withColumn("_named", index.hits(F.lower(_text("title", "description"))))
+    df = df.withColumn("_named", index.hits(_low()))
     df = df.withColumn("_hits", F.when(F.coalesce(F.col("tags"), F.lit("")) == "", F.col("_named"))
-                       .otherwise(index.hits(F.lower(_text("title", "tags", "description")))))
+                       .otherwise(index.hits(F.concat_ws("\n", "_low_title", F.lower("tags"), "_low_text"))))
     hits = F.col("_hits")
     df = df.withColumns({
         "skills": ordered(hits, profile.skill_terms()),
@@ -402,7 +442,7 @@ def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
             for g, ts in profile.skills.items()]), lambda g: F.size(g["terms"]) > 0),
         "domains": ordered(hits, profile.domains),
         "role_category": F.coalesce(
-            _category(titles.hits(F.lower(F.coalesce(F.col("title"), F.lit("")))), profile),
+            _category(titles.hits(F.col("_low_title")), profile),
             _category(hits, profile), F.lit("")),
     })
     watch = sorted({t.lower() for t in V.COMMON_REQUIREMENTS}
@@ -428,23 +468,24 @@ def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 
 # -- E14, E15, E16 ----------------------------------------------------------
+@lowered
 def employment(df: DataFrame) -> DataFrame:
-    text = _text("title", "description")
     return df.withColumn("employment_type", F.when(
-        F.rlike(text, F.lit(UNICODE + V.FULL_TIME_HINT)), "full_time").otherwise("unknown"))
+        F.rlike(_low(), F.lit(LOWER + V.FULL_TIME_HINT)), "full_time").otherwise("unknown"))
 
 
+@lowered
 def degree(df: DataFrame) -> DataFrame:
     """Highest degree named: 3 doctorate, 2 master, 1 bachelor, 0 none."""
-    text = _text("title", "description")
     return df.withColumn("degree_rank", F.coalesce(*[
-        F.when(F.rlike(text, F.lit(UNICODE + p)), F.lit(rank)) for rank, p in V.DEGREE_RULES],
+        F.when(F.rlike(_low(), F.lit(LOWER + p)), F.lit(rank)) for rank, p in V.DEGREE_RULES],
         F.lit(0)))
 
 
+@lowered
 def flags(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Warning rules: the first phrase of each rule that the text contains."""
-    text = F.lower(_text("title", "description"))
+    text = _low()
     if not profile.flags:
         empty = F.array().cast("array<struct<code:string,why:string,evidence:string,penalty:int>>")
         return df.withColumn("flags", empty)
@@ -458,10 +499,10 @@ def flags(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def enrich(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """All facts, for postings that passed the gates."""
-    df = with_optional(df)
+    df = add_lowered(with_optional(df))
     for step in (posting_language, language_requirement, seniority, remote_policy, employment,
                  degree, salary):
         df = step(df)
     for step in (location, skills, flags):
         df = step(df, profile)
-    return df
+    return df.drop(*LOWERED)
