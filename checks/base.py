@@ -52,10 +52,10 @@ def sql(text: str) -> str:
     """Prefix a statement with every view or step it uses, directly or not."""
     need: list[str] = []
 
-    def visit(t: str) -> None:
+    def visit(t: str, inside: tuple = ()) -> None:
         for n in _names(t):
-            if n not in need:
-                visit({**VIEWS, **O}[n])
+            if n not in need and n not in inside:  # a recursive step names itself
+                visit({**VIEWS, **O}[n], (*inside, n))
                 if n not in need:
                     need.append(n)
 

@@ -3,30 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 32
+SALTS = 16
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if named and not current.isDefined():
-        sc.setCheckpointDir(named)
-    elif not current.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vacatlas-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        named = tempfile.mkdtemp(prefix="vacatlas-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor does not replay a loop from its start."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result to the shared folder and go on from the written table.
+
+    A lost executor then re-reads files instead of replaying a loop from its
+    start, and the optimizer knows the true size of what follows.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,7 +42,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size if isinstance(size, int) else int(size.toString())
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
@@ -58,7 +62,8 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
         return big.join(small, on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns
                                                          if c in on or _hashable(big, c)]), salts))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
