@@ -1,7 +1,7 @@
 """The queries the driver checks, one module per part of the operator inventory."""
 
 from .base import ORACLES, QUERIES
-from . import facts, resolution  # noqa: F401
+from . import facts, reading, resolution  # noqa: F401
 
 
 def flagship(spark, sf):
