@@ -1,8 +1,5 @@
 """The queries the driver checks, one module per part of the operator inventory."""
 
 from .base import ORACLES, QUERIES
-from . import facts, reading, resolution  # noqa: F401
-
-
-def flagship(spark, sf):
-    return facts.scored(spark, sf)
+from . import facts, resolution, reading, intake  # noqa: F401
+from .intake import flagship

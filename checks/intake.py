@@ -1,0 +1,361 @@
+"""Checked queries: sources (S), snapshots (I, K), governance (Q), remaining set and rank operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vacatlas import fixed_values as V
+from vacatlas.functions import text as T
+from vacatlas.operators import dedup as D, drafts, health, quality as Q, signals as S, upsert as U
+from vacatlas.operators import enrich as E
+from vacatlas.profile import DEFAULT as P
+from vacatlas.sources import landing, providers as R
+
+from .base import AS_OF_SQL, NOW_SQL, O, VIEWS, as_of, now, query, sql, table, view
+from .facts import q, rx, scored
+from .reading import aliased, comps, jobs, paragraphs
+
+ISO = "CAST(posted AS STRING)"
+# one payload per 20 postings, so that payloads hold lists as they do in a real fetch
+_PAYLOAD = {
+    "smartrecruiters": ("to_json(named_struct('content', collect_list(named_struct('id', external_id, 'name', title, "
+                        f"'releasedDate', {ISO}, 'location', named_struct('city', location, 'region', '', 'country', 'de')))))"),
+    "greenhouse": ("to_json(named_struct('jobs', collect_list(named_struct('id', external_id, 'title', title, 'absolute_url', url, "
+                   f"'location', named_struct('name', location), 'first_published', {ISO}, 'updated_at', '2024-01-31'))))"),
+    "lever": ("to_json(collect_list(named_struct('id', external_id, 'text', title, 'hostedUrl', url, 'createdAt', "
+              "unix_date(posted) * 86400000L, 'descriptionPlain', description, 'categories', named_struct('location', location))))"),
+    "ashby": ("to_json(named_struct('jobs', collect_list(named_struct('id', external_id, 'title', title, 'applyUrl', url, "
+              f"'location', location, 'isRemote', seq % 2 = 0, 'publishedAt', {ISO}, 'descriptionPlain', title))))"),
+    "workable": ("to_json(named_struct('jobs', collect_list(named_struct('shortcode', external_id, 'title', title, 'url', url, "
+                 f"'city', location, 'country', 'DE', 'created_at', {ISO}, 'description', title))))"),
+    "arbeitnow": ("to_json(named_struct('data', collect_list(named_struct('slug', external_id, 'title', title, 'company_name', company, "
+                  f"'url', url, 'location', location, 'created_at', unix_date(posted) * 86400L, 'tags', array('a', tier), 'job_types', array('full')))))"),
+    "jobsch": ("to_json(named_struct('documents', collect_list(named_struct('job_id', external_id, 'title', title, 'company_name', company, "
+               f"'place', location, 'regions', array(named_struct('name', cast(null as string)), named_struct('name', 'Bern')), "
+               f"'publication_date', {ISO}, '_links', named_struct('detail_de', named_struct('href', '/de/' || seq)), "
+               "'language_skills', array(named_struct('language', 'de', 'level', 3))))))"),
+    "adzuna": ("to_json(named_struct('results', collect_list(named_struct('id', external_id, 'title', title, 'redirect_url', url, "
+               f"'created', {ISO}, 'company', named_struct('display_name', company), 'location', named_struct('display_name', location), "
+               "'salary_min', CAST(50000 + seq AS DOUBLE), 'salary_is_predicted', CAST(seq % 2 AS STRING)))))"),
+    "workday": ("to_json(named_struct('jobPostings', collect_list(named_struct('title', title, 'externalPath', '/job/Ulm-Nord/x_' || seq, "
+                "'postedOn', CASE WHEN posted IS NULL THEN '' ELSE 'Posted ' || datediff(DATE '2024-01-31', posted) || ' Days Ago' END, "
+                "'bulletFields', CASE WHEN seq % 2 = 0 THEN array(external_id, location) ELSE array(external_id) END))))"),
+    "successfactors": ("'<rss>' || array_join(collect_list('<item><title><![CDATA[' || title || ']]></title><link>' || url || '</link>"
+                       "<location>' || location || '</location><pubDate>' || coalesce(date_format(posted, 'EEE, dd MMM yyyy'), '') || ' 10:00:00 +0000</pubDate>"
+                       "<description>&lt;p&gt;' || title || '&lt;/p&gt;</description></item>'), '') || '</rss>'"),
+    "personio": ("'<x>' || array_join(collect_list('<position><id>' || seq || '</id><name>' || title || '</name><office>' || location || "
+                 "'</office><value>' || title || '</value><value>' || tier || '</value></position>'), '') || '</x>'"),
+}
+
+
+def raw(spark, sf, provider):
+    """Landing rows built by Spark from the postings: bounded batches of 20 per payload."""
+    p = view(spark, sf, "posting_view")
+    return p.groupBy((F.floor(F.col("seq") / 20)).cast("long").alias("seq")).agg(
+        F.expr(_PAYLOAD[provider]).alias("payload")).select(
+        F.lit(provider).alias("provider"), F.lit("https://acme.example.com" if provider == "workday" else "acme").alias("target"),
+        F.lit("Acme").alias("company"), F.lit("high").alias("tier"), "seq", "payload")
+
+
+# expected columns, straight from the posting the payload was made of
+_EXPECT = {
+    "smartrecruiters": ("s02", "title, external_id, CASE WHEN location = '' THEN 'de' ELSE location || ', de' END AS location, posted, 'Acme' AS company"),
+    "successfactors": ("s03", "title, string_split(url, '/')[-1] AS external_id, location, posted, 'Acme' AS company"),
+    "greenhouse": ("s04", "title, external_id, location, coalesce(posted, DATE '2024-01-31') AS posted, 'Acme' AS company"),
+    "lever": ("s05", "title, external_id, location, posted, 'Acme' AS company"),
+    "ashby": ("s06", "title, external_id, location || CASE WHEN seq % 2 = 0 THEN ' remote' ELSE '' END AS location, posted, 'Acme' AS company"),
+    "personio": ("s07", "title, seq::VARCHAR AS external_id, location, NULL::DATE AS posted, 'Acme' AS company"),
+    "workable": ("s08", "title, external_id, CASE WHEN location = '' THEN 'DE' ELSE location || ', DE' END AS location, posted, 'Acme' AS company"),
+    "arbeitnow": ("s09", "title, external_id, location, posted, company"),
+    "jobsch": ("s10", "title, external_id, CASE WHEN location = '' THEN 'Bern' ELSE location || ', Bern' END AS location, posted, company"),
+    "adzuna": ("s11", "title, external_id, CASE WHEN location = '' THEN 'ACME' ELSE location END AS location, posted, company"),
+    "workday": ("s12", "title, external_id, CASE WHEN seq % 2 = 0 AND location <> '' THEN location ELSE 'Ulm Nord' END AS location, posted, 'Acme' AS company"),
+}
+
+
+def _source(provider, key, cols):
+    @query(f"{key}_{provider}", sql(f"SELECT {cols} FROM posting_view"))
+    def run(spark, sf):
+        return R.normalize(raw(spark, sf, provider), provider, as_of()).select(
+            "title", "external_id", "location", "posted", "company")
+
+
+for _p, (_k, _c) in _EXPECT.items():
+    _source(_p, _k, _c)
+
+
+@query("s01_landing_union", sql("SELECT provider, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT {q(p)} AS provider FROM posting_view" for p in ("greenhouse", "lever", "personio")) + ") GROUP BY 1"))
+def s01(spark, sf):
+    rows = raw(spark, sf, "greenhouse").union(raw(spark, sf, "lever")).union(raw(spark, sf, "personio"))
+    return R.normalize_all(rows, as_of(), ["greenhouse", "lever", "personio"]).groupBy("provider").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("s13_once_per_fetch", sql("SELECT external_id, min(seq) AS seq FROM posting_view GROUP BY external_id"))
+def s13(spark, sf):
+    p = view(spark, sf, "posting_view").withColumns({"target": F.lit("x"), "provider": F.lit("p")})
+    return landing.once_per_fetch(p).select("external_id", "seq")
+
+
+@query("s14_detail_text", sql("SELECT external_id, title || chr(10) || chr(10) || tier AS text FROM posting_view WHERE seq % 3 = 0"))
+def s14(spark, sf):
+    d = view(spark, sf, "posting_view").filter("seq % 3 = 0").select(
+        F.lit("smartrecruiters").alias("provider"), "external_id", F.expr(
+            "to_json(named_struct('jobAd', named_struct('sections', map('a', named_struct('text', '<p>' || title || '</p>'), "
+            "'b', named_struct('text', ''), 'c', named_struct('text', tier)))))").alias("payload"))
+    return R.detail_text(d).select("external_id", "text")
+
+
+@query("s15_enrich_candidates", sql("""
+SELECT seq FROM posting_view WHERE length(description) < 400
+ORDER BY CASE tier WHEN 'dream' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, seq LIMIT 120"""))
+def s15(spark, sf):
+    return landing.enrich_candidates(view(spark, sf, "posting_view"), P.max_enrich).select("seq")
+
+
+@query("s16_capabilities", sql(f"""
+SELECT provider, count(*) FILTER (WHERE NOT stale) AS postings, count(*) FILTER (WHERE stale) AS stale_dropped,
+  CASE provider WHEN 'adzuna' THEN 'server' ELSE 'client' END AS date_filter
+FROM (SELECT provider, coalesce(posted < {AS_OF_SQL} - 14, false) AS stale FROM posting_view) GROUP BY provider"""))
+def s16(spark, sf):
+    p = view(spark, sf, "posting_view").withColumn("target", F.lit("x"))
+    return landing.capabilities(p, as_of(), 14).drop("target")
+
+
+# -- set and rank operators -------------------------------------------------
+@query("u02_watch_list", sql("SELECT seq, len(missing)::INT AS n FROM o_skills"))
+def u02(spark, sf):
+    return E.skills(view(spark, sf, "posting_view")).select("seq", F.size("missing").alias("n"))
+
+
+@query("w01_primary_rank", sql("""
+SELECT title, seq FROM (SELECT title, seq, row_number() OVER (PARTITION BY title ORDER BY CASE provider WHEN 'arbeitnow' THEN 2
+  WHEN 'jobsch' THEN 2 WHEN 'adzuna' THEN 3 ELSE 0 END, length(description) DESC, seq) AS rn FROM posting_view) WHERE rn = 1"""))
+def w01(spark, sf):
+    return D.vacancies(view(spark, sf, "posting_view").withColumn("g", F.col("title")), "g").select("title", "seq")
+
+
+@query("w02_best_held_member", sql("SELECT seq, count(*) AS n FROM (SELECT seq, unnest(covered) AS x FROM o_skills) GROUP BY seq"))
+def w02(spark, sf):
+    t = E.skills(view(spark, sf, "posting_view")).select("seq", F.explode("transfers.via").alias("via"))
+    return t.filter(F.col("via").isin(P.skill_terms())).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w04_top_paragraphs", sql("SELECT seq, 3 AS n FROM posting_view"))
+def w04(spark, sf):
+    book = drafts.load_paragraphs(paragraphs(spark, sf))
+    return drafts.pick(E.skills(view(spark, sf, "posting_view")), book).select("seq", F.size("chosen").alias("n"))
+
+
+# -- snapshots --------------------------------------------------------------
+def old_snapshot(spark, sf):
+    j = jobs(spark, sf).filter("seq % 7 <> 0")
+    return j.withColumns({"last_seen_at": F.col("first_seen_at"), "times_seen": F.lit(3)})
+
+
+def this_run(spark, sf):
+    return jobs(spark, sf).filter("seq % 5 <> 0").select(
+        "id", "seq", "title", "company_name", "company_id", "url", "source", "posted_at", "city", "location_raw",
+        ((F.col("score") + 7) % 101).cast("int").alias("score"), "salary_basis", "salary_annual_eur_min", "has_flags", "search_blob")
+
+
+def merged(spark, sf):
+    up = spark.createDataFrame([("greenhouse",), ("workday",), ("arbeitnow",), ("jobsch",)], "source string")
+    return U.upsert(old_snapshot(spark, sf), this_run(spark, sf), now(), up)
+
+
+# three states of a job around a run: seen before, seen now, or both
+O["o_merge"] = f"""
+SELECT id, seq, source, title, CASE WHEN seq % 5 <> 0 THEN (score + 7) % 101 ELSE score END::INT AS score, score AS old_score,
+  seq % 7 <> 0 AS known, seq % 5 <> 0 AS seen,
+  CASE WHEN seq % 7 <> 0 THEN status ELSE 'new' END AS status, CASE WHEN seq % 7 <> 0 THEN starred ELSE false END AS starred,
+  CASE WHEN seq % 7 <> 0 THEN notes ELSE '' END AS notes, CASE WHEN seq % 7 <> 0 THEN hidden ELSE false END AS hidden,
+  CASE WHEN seq % 7 <> 0 THEN follow_up_at END AS follow_up_at,
+  is_open AS was_open, removed_at AS old_removed, first_seen_at,
+  CASE WHEN seq % 5 <> 0 THEN true WHEN source <> 'adzuna' THEN false ELSE is_open END AS now_open,
+  company_id, company_name, city, location_raw, salary_basis, salary_annual_eur_min
+FROM job_view WHERE seq % 7 <> 0 OR seq % 5 <> 0"""
+
+
+@query("i01_upsert", sql("SELECT id, title, score, status, starred, notes FROM o_merge"))
+def i01(spark, sf):
+    return merged(spark, sf).select("id", "title", "score", "status", "starred", "notes")
+
+
+@query("i02_bookkeeping", sql(f"""
+SELECT id, (CASE WHEN known THEN 3 ELSE 0 END + CASE WHEN seen THEN 1 ELSE 0 END)::INT AS times_seen,
+  CASE WHEN known THEN first_seen_at ELSE {NOW_SQL} END::DATE AS first_day, now_open AS is_open FROM o_merge"""))
+def i02(spark, sf):
+    return merged(spark, sf).select("id", "times_seen", F.to_date("first_seen_at").alias("first_day"), "is_open")
+
+
+@query("i03_close", sql("SELECT id FROM o_merge WHERE known AND NOT seen AND was_open AND source <> 'adzuna'"))
+def i03(spark, sf):
+    return merged(spark, sf).filter((F.col("removed_at") == now()) & ~F.col("is_open")).select("id")
+
+
+@query("i04_new_flag", sql("SELECT id, (seen AND NOT known) AS is_new FROM o_merge"))
+def i04(spark, sf):
+    return merged(spark, sf).select("id", "is_new")
+
+
+@query("i05_archive", sql("""
+SELECT id FROM job_view WHERE NOT is_open AND removed_at < TIMESTAMP '2024-01-01 12:00:00' AND status = 'new' AND NOT starred AND notes = ''"""))
+def i05(spark, sf):
+    return U.archive(jobs(spark, sf), now())[1].select("id")
+
+
+@query("i07_source_status", sql("""
+SELECT source_status, count(*) AS n FROM (SELECT CASE WHEN c.adapter IS NULL OR o.state IS NULL OR o.state = 'skipped' THEN c.source_status
+  WHEN o.state = 'healthy' AND o.postings > 0 THEN 'live' WHEN o.state = 'healthy' THEN 'idle' WHEN o.state = 'rate_limited' THEN 'rate_limited'
+  ELSE 'broken' END AS source_status FROM company_view c LEFT JOIN (SELECT provider, target, arg_max(state, seq) AS state,
+  arg_max(postings, seq) AS postings FROM outcome_view GROUP BY 1, 2) o ON o.provider = c.adapter AND o.target = c.adapter_arg) GROUP BY 1"""))
+def i07(spark, sf):
+    return health.source_status(comps(spark, sf), view(spark, sf, "outcome_view")).groupBy("source_status").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("i08_edits", sql(f"""
+WITH e AS (SELECT job_id, arg_max(to_status, ("at", to_status)) AS s FROM status_view GROUP BY job_id)
+SELECT j.id, coalesce(e.s, j.status) AS status,
+  CASE WHEN e.s = 'applied' AND j.status <> 'applied' AND j.applied_at IS NULL THEN {AS_OF_SQL} ELSE j.applied_at END AS applied_at,
+  CASE WHEN e.s = 'applied' AND j.status <> 'applied' AND j.applied_at IS NULL AND j.follow_up_at IS NULL THEN {AS_OF_SQL} + 7 ELSE j.follow_up_at END AS follow_up_at
+FROM job_view j LEFT JOIN e ON e.job_id = j.id""".replace("\nWITH e AS (", "\nSELECT * FROM (WITH e AS (") + ")"))
+def i08(spark, sf):
+    e = view(spark, sf, "status_view").select(F.col("job_id").alias("id"), F.lit("status").alias("field"),
+                                              F.col("to_status").alias("value"), "at")
+    return U.apply_edits(jobs(spark, sf), e, as_of())[0].select("id", "status", "applied_at", "follow_up_at")
+
+
+def _run_row(spark):
+    return spark.sql("SELECT 7 AS run_id, 2 AS errors_count, 9 AS providers_ok, 11 AS providers_checked, 0 AS jobs_new, 100 AS postings_seen")
+
+
+@query("i09_signals", sql("""
+SELECT kind, count(*) AS n FROM (SELECT 'run_failed' AS kind UNION ALL SELECT 'scan_summary'
+  UNION ALL SELECT 'high_match' FROM o_merge WHERE seen AND NOT known AND score >= 80
+  UNION ALL SELECT 'job_closed' FROM o_merge WHERE known AND NOT seen AND starred AND was_open AND source <> 'adzuna'
+  UNION ALL SELECT DISTINCT 'dream_company' || '' FROM o_merge WHERE false
+  UNION ALL SELECT 'dream_company' FROM (SELECT DISTINCT m.company_id FROM o_merge m JOIN company_view c ON c.id = m.company_id
+    WHERE seen AND NOT known AND c.tier IN ('dream', 'high'))) GROUP BY kind"""))
+def i09(spark, sf):
+    return S.run_signals(merged(spark, sf), comps(spark, sf), _run_row(spark), now()).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("i10_follow_ups", sql(f"SELECT 'followup:' || id || ':' || follow_up_at AS dedupe_key FROM job_view WHERE follow_up_at <= {AS_OF_SQL}"))
+def i10(spark, sf):
+    return S.follow_ups(jobs(spark, sf), as_of()).select("dedupe_key")
+
+
+@query("i11_prune", sql("SELECT event_id FROM events WHERE NOT (event_type = 'view' AND ts < TIMESTAMP '2024-01-21 12:00:00')"))
+def i11(spark, sf):
+    e = table(spark, sf, "events").withColumn("created_at", F.col("ts").cast("timestamp")).withColumn(
+        "read_at", F.when(F.col("event_type") == "view", F.col("ts")))
+    return S.prune(e, now(), 10).select("event_id")
+
+
+@query("i13_run_diff", sql("""
+SELECT id, CASE WHEN NOT known THEN 'new' WHEN was_open AND NOT now_open THEN 'closed' WHEN NOT was_open AND now_open THEN 'reopened'
+  WHEN score <> old_score THEN 'updated' ELSE 'same' END AS change, CASE WHEN known THEN score - old_score END AS score_change FROM o_merge"""))
+def i13(spark, sf):
+    return U.diff(old_snapshot(spark, sf), merged(spark, sf))
+
+
+@query("j11_unsent_signals", sql(f"SELECT 'followup:' || id || ':' || follow_up_at AS dedupe_key FROM job_view WHERE follow_up_at <= {AS_OF_SQL} AND seq % 2 = 1"))
+def j11(spark, sf):
+    j = jobs(spark, sf)
+    sent = S.follow_ups(j.filter("seq % 2 = 0"), as_of())
+    return S.only_unsent(S.follow_ups(j, as_of()), sent).select("dedupe_key")
+
+
+@query("k01_snapshot", sql("SELECT count(*) AS jobs, count(*) FILTER (WHERE now_open) AS open_jobs FROM o_merge"))
+def k01(spark, sf):
+    return merged(spark, sf).agg(F.count(F.lit(1)).alias("jobs"), F.count_if("is_open").alias("open_jobs"))
+
+
+@query("k02_provenance", sql(f"""
+SELECT 'job-' || seq AS job_id, CASE WHEN seq % 3 <> 0 THEN url || '?v=2' ELSE url END AS url, CASE WHEN seq % 4 <> 0 THEN DATE '2024-01-01' ELSE {AS_OF_SQL} END AS first_day
+FROM posting_view WHERE seq % 4 <> 0 OR seq % 3 <> 0"""))
+def k02(spark, sf):
+    p = view(spark, sf, "posting_view").select(
+        "seq", F.concat(F.lit("job-"), "seq").alias("job_id"), "provider", "external_id", "url", F.col("posted").alias("posted_at"),
+        F.lit(True).alias("is_primary"))
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    old = p.filter("seq % 4 <> 0").withColumns({"first_seen_at": stamp, "last_seen_at": stamp}).drop("seq")
+    new = p.filter("seq % 3 <> 0").withColumn("url", F.concat("url", F.lit("?v=2"))).drop("seq")
+    return U.sources_upsert(old, new, now()).select("job_id", "url", F.to_date("first_seen_at").alias("first_day"))
+
+
+@query("k03_run_fact", sql("""
+SELECT r.*, c.* FROM (SELECT count(*) AS providers_checked, count(*) FILTER (WHERE error <> '') AS errors_count FROM outcome_view) r,
+ (SELECT count(*) FILTER (WHERE NOT known) AS jobs_new, count(*) FILTER (WHERE known AND was_open AND NOT now_open) AS jobs_closed FROM o_merge) c"""))
+def k03(spark, sf):
+    out = view(spark, sf, "outcome_view").withColumn("run_id", F.lit(1))
+    return U.run_fact(old_snapshot(spark, sf), merged(spark, sf), out, now()).select(
+        "providers_checked", "errors_count", "jobs_new", "jobs_closed")
+
+
+@query("k04_drafts", sql("SELECT id AS job_id, 'For ' || title || ' at ' || company_name || ' on 31 January 2024' AS head FROM job_view WHERE is_new AND score >= 60"))
+def k04(spark, sf):
+    book = drafts.load_paragraphs(paragraphs(spark, sf))
+    j = jobs(spark, sf).withColumns({"skills": F.array(F.lit("pytorch")), "domains": F.array().cast("array<string>")})
+    frame = "For {{ROLE}} at {{COMPANY}} on {{DATE}}\n{{BULLETS}}\n{{SKILLS_LINE}}\n{{NAME}}"
+    return drafts.letters(j, book, frame, as_of()).select("job_id", F.substring_index("letter", "\n", 1).alias("head"))
+
+
+# -- governance -------------------------------------------------------------
+@query("q01_url_class", sql("""
+SELECT page_id, CASE WHEN NOT starts_with(url, 'https:') THEN 'scheme' ELSE 'ok' END AS class FROM pages"""))
+def q01(spark, sf):
+    return table(spark, sf, "pages").select("page_id", Q.url_class(F.col("url")).alias("class"))
+
+
+@query("q02_redact", sql(f"""
+SELECT doc_id, md5(regexp_replace(text || ' token=abc' || doc_id || '&x=1', {rx(V.CREDENTIAL_PARAMETER)}, '\\1[redacted]', 'g')) AS h FROM documents"""))
+def q02(spark, sf):
+    t = F.concat("text", F.lit(" token=abc"), F.col("doc_id").cast("string"), F.lit("&x=1"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(Q.redact(t)).alias("h"))
+
+
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
+
+
+@query("q03_secrets", sql(" UNION ALL ".join(
+    f"SELECT doc_id, line_no::INT AS line_no, {q(n)} AS kind FROM {_LINES} WHERE regexp_matches(line, {q(p)}) AND NOT regexp_matches(line, {q(V.SECRET_ALLOW)})"
+    for n, p in V.SECRET_RULES)))
+def q03(spark, sf):
+    return Q.secret_hits(table(spark, sf, "documents"))
+
+
+@query("q04_contacts", sql(" UNION ALL ".join(
+    f"SELECT doc_id, {q(k)} AS kind, unnest(regexp_extract_all(line, {q(p)})) AS value FROM {_LINES} WHERE NOT regexp_matches(line, {q(V.CONTACT_ALLOW)})"
+    for k, p in (("phone", V.PHONE), ("mail", V.EMAIL)))))
+def q04(spark, sf):
+    return Q.contact_hits(table(spark, sf, "documents"))
+
+
+@query("q05_registry", sql("""
+SELECT 'manual without link' AS rule, id AS subject FROM company_view WHERE adapter IS NULL AND NOT starts_with(careers_url, 'https://')
+UNION ALL SELECT 'source listed twice', adapter || ':' || adapter_arg FROM company_view WHERE adapter IS NOT NULL GROUP BY adapter, adapter_arg HAVING count(*) > 1
+UNION ALL SELECT 'unknown parent', id FROM company_view WHERE parent_id NOT IN (SELECT id FROM company_view)"""))
+def q05(spark, sf):
+    return Q.registry_violations(comps(spark, sf))
+
+
+@query("q06_invariants", sql("SELECT 0::BIGINT AS violations"))
+def q06(spark, sf):
+    return Q.snapshot_violations(old_snapshot(spark, sf), merged(spark, sf)).agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query("q07_markup_left", sql("SELECT page_id FROM pages WHERE false"))
+def q07(spark, sf):
+    return Q.markup_left(table(spark, sf, "pages"))
+
+
+@query("g01_worth_applying")
+def flagship(spark, sf):
+    """Distinct vacancies worth applying to, best first, with reasons."""
+    from vacatlas.plans.discovery import worth_applying
+    return worth_applying(view(spark, sf, "sighting_view"), aliased(spark, sf), as_of())

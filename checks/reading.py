@@ -241,7 +241,7 @@ def t08(spark, sf):
     return L.company_roles(jobs(spark, sf), "c5", 20).select("id")
 
 
-@query("t09_recent", sql("SELECT seq FROM outcome_view ORDER BY "at" DESC, seq LIMIT 30"))
+@query("t09_recent", sql('SELECT seq FROM outcome_view ORDER BY "at" DESC, seq LIMIT 30'))
 def t09(spark, sf):
     return L.recent(view(spark, sf, "outcome_view"), "at", 30, "seq").select("seq")
 
