@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.scale import running
@@ -35,19 +36,47 @@ def _state(profile: Profile) -> Column:
             .otherwise("degraded"))
 
 
-def fold(outcomes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """Current record of every source: state, streak, totals and end of its back-off."""
-    df = failure_streaks(outcomes)
-    last = df.groupBy(*KEY).agg(
+def _counted(outcomes: DataFrame) -> DataFrame:
+    """Per source: last outcome, streak at it, totals and last success of a log."""
+    last = failure_streaks(outcomes).groupBy(*KEY).agg(
         F.max_by(F.struct("state", "at", "consecutive_failures"), F.struct("at", "seq")).alias("l"),
         F.count(F.lit(1)).alias("total_runs"), F.count_if(F.col("state") != "healthy").alias("total_failures"),
         F.max(F.when(F.col("state") == "healthy", F.col("at"))).alias("last_ok_at"))
-    df = last.select(*KEY, "l.*", "total_runs", "total_failures", "last_ok_at").withColumn("state", _state(profile))
+    return last.select(*KEY, "l.*", "total_runs", "total_failures", "last_ok_at")
+
+
+def _judged(df: DataFrame, profile: Profile) -> DataFrame:
+    df = df.withColumn("state", _state(profile))
     minutes = (F.when(F.col("state") == "rate_limited", profile.rate_limited_minutes)
                .when(F.col("state") == "failed", profile.backoff_minutes))
     return df.withColumn("backoff_until", F.timestamp_add("MINUTE", minutes, F.col("at")))
 
 
+def fold(outcomes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Current record of every source: state, streak, totals and end of its back-off."""
+    return _judged(_counted(outcomes), profile)
+
+
+def fold_onto(record: DataFrame | None, outcomes: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """Continue a record with later outcomes; equals folding the whole log at once."""
+    new = _counted(outcomes)
+    if record is None:
+        return _judged(new, profile)
+    kept = ["state", "at", "consecutive_failures", "total_runs", "total_failures", "last_ok_at", "backoff_until"]
+    df = record.select(*KEY, *[F.col(c).alias(f"_{c}") for c in kept]).join(new, KEY, "full_outer")
+    # without a success in the new part the old streak goes on
+    streak = F.col("consecutive_failures") + F.when(
+        F.col("last_ok_at").isNull(), F.coalesce("_consecutive_failures", F.lit(0))).otherwise(0)
+    df = df.withColumn("fresh", F.col("at").isNotNull()).withColumns({
+        "consecutive_failures": F.coalesce(streak, "_consecutive_failures"),
+        "total_runs": F.coalesce("total_runs", F.lit(0)) + F.coalesce("_total_runs", F.lit(0)),
+        "total_failures": F.coalesce("total_failures", F.lit(0)) + F.coalesce("_total_failures", F.lit(0)),
+        "last_ok_at": F.coalesce("last_ok_at", "_last_ok_at"), "at": F.coalesce("at", "_at")})
+    df = _judged(df, profile)
+    return df.select(*KEY, *[(F.when(F.col("fresh"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+                              if c in ("state", "backoff_until") else F.col(c)) for c in kept])
+
+
 def backed_off(health: DataFrame, now: Column) -> DataFrame:
     return health.filter(F.col("backoff_until") > now)
 
@@ -72,7 +101,6 @@ def request_rates(requests: DataFrame, seconds: int = 60) -> DataFrame:
     Each request is also placed in the following time bucket, so a window
     never needs more than its own bucket and a busy host is spread over time.
     """
-    from pyspark.sql import Window as W
     df = requests.withColumn("_us", F.unix_micros("at"))
     own = F.floor(F.col("_us") / (seconds * 1_000_000))
     df = df.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))

@@ -40,12 +40,15 @@ def secret_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return lines.select(key, "line_no", F.explode(kinds).alias("kind"))
 
 
+def _finding(kind: str):
+    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
 def contact_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Phone numbers and mail addresses, one row per finding."""
     lines = docs.select(key, F.explode(F.split(text, "\n")).alias("line")).filter(
         ~F.rlike("line", F.lit(V.CONTACT_ALLOW)))
-    found = F.concat(*[F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), lambda v, k=k: F.struct(
-        F.lit(k).alias("kind"), v.alias("value"))) for k, p in (("phone", V.PHONE), ("mail", V.EMAIL))])
+    found = F.concat(*[F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), _finding(k)) for k, p in (("phone", V.PHONE), ("mail", V.EMAIL))])
     return lines.select(key, F.explode(found).alias("f")).select(key, "f.kind", "f.value")
 
 

@@ -75,12 +75,10 @@ def upsert(snapshot: DataFrame, run: DataFrame, now: Column,
         F.when(closing, now).when(seen, F.lit(None)).otherwise(F.col("removed_at")).alias("removed_at"))
 
 
-def empty_snapshot(spark, run: DataFrame) -> DataFrame:
+def empty_snapshot(run: DataFrame) -> DataFrame:
     """A snapshot with no rows and every column a first run needs."""
-    extra = ", ".join(f"{n} {t.simpleString()}" for n, t in {**HUMAN_COLUMNS, **BOOKKEEPING}.items())
-    base = run.limit(0)
     cols = {n: F.lit(None).cast(t) for n, t in {**HUMAN_COLUMNS, **BOOKKEEPING}.items()}
-    return base.withColumns(cols) if extra else base
+    return run.filter(F.lit(False)).withColumns(cols)
 
 
 def sources_upsert(old: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
@@ -153,16 +151,13 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return df.select("id", change.alias("change"), (F.col("_ns") - F.col("_s")).alias("score_change"))
 
 
-def write_snapshot(snapshot: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write a snapshot partitioned by a hash bucket of the employer, rows in board order.
+def write_snapshot(snapshot: DataFrame, path: str) -> None:
+    """Write a whole snapshot, rows in board order inside each file.
 
-    Overwrites only the buckets present (dynamic partition overwrite), so a
-    stream batch that touched a few employers rewrites a few buckets.
+    Date and score filters then skip row groups by their minimum and maximum.
     """
-    out = snapshot.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    (out.repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8)))
-     .sortWithinPartitions(F.desc("posted_at"), F.desc("score"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    (snapshot.sortWithinPartitions(F.desc_nulls_last("posted_at"), F.desc("score"))
+     .write.mode("overwrite").parquet(path))
 
 
 def latest_sources(member: DataFrame, primary: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
 def worth_applying(sightings: DataFrame, registry: DataFrame, as_of: Column,
                    profile: Profile = DEFAULT) -> DataFrame:
     """The answer a reader wants: what to apply to, best first, and why."""
-    out = scored_vacancies(sightings, registry, as_of, profile)
+    # written once: a global sort samples its input first and would run the plan twice
+    out = cut_lineage(scored_vacancies(sightings, registry, as_of, profile))
     return (out.filter(F.col("score") >= profile.recommend_min_score)
             .select("group_key", "company", "title", "city", "country", "score", "posted",
                     F.size("providers").alias("sources"), "duplicates", "match_reasons", "match_gaps", "url")

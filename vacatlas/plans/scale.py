@@ -120,9 +120,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     A node with very many neighbours is only ever aggregated to its minimum;
     the join back is skew-safe.  Lineage is cut each round.
     """
+    def mark(df: DataFrame):
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     e = cut_lineage(edges.filter("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    seen = mark(e)
+    for _ in range(rounds if seen[0] else 0):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (lookup_join(both, low, ["a"], "inner").filter("b > a")
@@ -132,14 +136,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).filter("a <> b")
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        nxt = cut_lineage(small)
-        changed = nxt.join(e, ["a", "b"], "left_anti").limit(1).count() + \
-            e.join(nxt, ["a", "b"], "left_anti").limit(1).count()
-        e = nxt
-        if not changed:
+        e = cut_lineage(small)
+        before, seen = seen, mark(e)
+        if seen == before:
             break
     else:
-        raise RuntimeError("components did not converge")
+        if seen[0]:
+            raise RuntimeError("components did not converge")
     labels = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return labels.union(roots)

@@ -67,19 +67,19 @@ def _tag(block: Column, name: str) -> Column:
         block, rf"(?s)<{name}>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1), r"^\s+|\s+$", "")
 
 
-def _blocks(name: str) -> Callable[[DataFrame, Column], DataFrame]:
-    def read(raw: DataFrame, payload: Column) -> DataFrame:
-        return raw.withColumn("p", F.explode(F.regexp_extract_all(
-            payload, F.lit(f"(?s)<{name}>(.*?)</{name}>"), F.lit(1))))
-    return read
+def _blocks(name: str) -> Callable[[Column], Column]:
+    """The texts between an opening and a closing tag, as an array."""
+    return lambda payload: F.regexp_extract_all(payload, F.lit(f"(?s)<{name}>(.*?)</{name}>"), F.lit(1))
 
 
-def _json(provider: str) -> Callable[[DataFrame, Column], DataFrame]:
-    def read(raw: DataFrame, payload: Column) -> DataFrame:
+def _json(provider: str) -> Callable[[Column], Column]:
+    """The list of postings in a JSON payload, as an array of structs."""
+    field = LIST_FIELD.get(provider)
+
+    def items(payload: Column) -> Column:
         parsed = F.from_json(payload, PAYLOADS[provider])
-        field = LIST_FIELD.get(provider)
-        return raw.withColumn("p", F.explode(parsed[field] if field else parsed))
-    return read
+        return parsed[field] if field else parsed
+    return items
 
 
 def _host_path(prefix: str, *parts: Column) -> Column:
@@ -167,7 +167,7 @@ def adzuna(p: Column, as_of: Column) -> dict[str, Column]:
 
 def workday(p: Column, as_of: Column) -> dict[str, Column]:
     path = F.coalesce(p["externalPath"], F.lit(""))
-    bullets = F.transform(F.filter(p["bulletFields"], lambda b: b.isNotNull() & (b != "")), F.trim)
+    bullets = F.transform(F.filter(p["bulletFields"], lambda b: b.isNotNull() & (b != "")), lambda b: F.trim(b))
     slug = F.when(F.startswith(path, F.lit("/job/")) & (F.size(F.split(path, "/")) > 2),
                   F.trim(F.replace(F.get(F.split(path, "/"), 2), F.lit("-"), F.lit(" "))))
     place = F.coalesce(_or(F.get(bullets, 1), p["locationsText"], slug), F.lit(""))
@@ -178,7 +178,7 @@ def workday(p: Column, as_of: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Source:
-    read: Callable[[DataFrame, Column], DataFrame]
+    items: Callable[[Column], Column]
     fields: Callable[[Column, Column], dict[str, Column]]
 
 
@@ -190,37 +190,49 @@ REGISTRY: dict[str, Source] = {
 }
 
 
-def normalize(raw: DataFrame, provider: str, as_of: Column) -> DataFrame:
-    """Sightings of one source.  Arrival order is the payload's, then the place in it."""
-    if provider not in REGISTRY:
-        raise ValueError(f"unknown source {provider!r}")
-    source = REGISTRY[provider]
-    rows = source.read(raw.filter(F.col("provider") == provider), F.col("payload"))
-    fields = source.fields(F.col("p"), as_of)
+EMPTY_TEXT = {"description", "tags", "salary_hint", "location", "title", "url", "external_id"}
+
+
+def _sighting(provider: str, p: Column, as_of: Column) -> Column:
+    """One posting of a payload as a sighting struct; missing text is '', missing facts NULL."""
+    fields = REGISTRY[provider].fields(p, as_of)
     if provider in BOARDS:  # a board names the employer itself and never carries a tier
         fields["tier"] = F.lit("normal")
-    base = {"target": F.col("target"), "company": F.col("company"), "tier": F.col("tier"),
-            "provider": F.col("provider"), "seq": F.col("seq")}
-    empty = {"description": "", "tags": "", "salary_hint": "", "location": "", "title": "", "url": "",
-             "external_id": ""}
     out = []
     for f in SIGHTING.fields:
-        col = fields.get(f.name, base.get(f.name))
+        col = fields.get(f.name)
         if col is None:
-            col = F.lit(empty.get(f.name))
-        elif f.name in empty:
-            col = F.coalesce(col, F.lit(empty[f.name]))
+            col = F.lit("") if f.name in EMPTY_TEXT else F.lit(None)
+            if f.name in ("target", "company", "tier", "provider", "seq"):
+                col = F.col(f.name)
+        elif f.name in EMPTY_TEXT:
+            col = F.coalesce(col, F.lit(""))
         out.append(col.cast(STRUCTURED if f.name == "structured" else f.dataType).alias(f.name))
-    return rows.select(*out)
+    return F.struct(*out)
 
 
 def normalize_all(raw: DataFrame, as_of: Column, providers=None) -> DataFrame:
-    """Union of all sources.  Partition the landing zone by provider and each branch reads its own."""
-    out = None
+    """Sightings of all sources in one pass over the payloads (batch or stream).
+
+    Each row takes the branch of its own source, so the landing table is read
+    once and not once per source.  Arrival order is the payload's ``seq``.
+    """
+    branches = None
     for name in providers or REGISTRY:
-        part = normalize(raw, name, as_of)
-        out = part if out is None else out.unionByName(part)
-    return out
+        if name not in REGISTRY:
+            raise ValueError(f"unknown source {name!r}")
+        here, rows = F.col("provider") == name, _rows(name, as_of)
+        branches = F.when(here, rows) if branches is None else branches.when(here, rows)
+    return raw.select(F.explode(branches).alias("s")).select("s.*")
+
+
+def _rows(name: str, as_of: Column) -> Column:
+    return F.transform(REGISTRY[name].items(F.col("payload")), lambda p: _sighting(name, p, as_of))
+
+
+def normalize(raw: DataFrame, provider: str, as_of: Column) -> DataFrame:
+    """Sightings of one source."""
+    return normalize_all(raw.filter(F.col("provider") == provider), as_of, [provider])
 
 
 def quarantine(raw: DataFrame) -> DataFrame:
