@@ -73,12 +73,16 @@ def _partners(x: int) -> range:
 
 
 def _subsets(tokens) -> list[str]:
-    """Every token subset that a similar title within the size limit would share."""
+    """``sizes|subset`` for every token subset a similar title would share.
+
+    The label names the sizes of both titles, so a subset only links titles
+    that are similar enough for exactly those sizes.
+    """
     x = len(tokens)
     if not 0 < x <= SUBSET_TOKENS:
         return []
-    sizes = {_overlap(x, y) for y in _partners(x) if y <= SUBSET_TOKENS}
-    return [" ".join(s) for o in sorted(sizes) if o <= x for s in combinations(tokens, o)]
+    return [f"{min(x, y)}-{max(x, y)}|{' '.join(s)}" for y in _partners(x)
+            if y <= SUBSET_TOKENS and _overlap(x, y) <= min(x, y) for s in combinations(tokens, _overlap(x, y))]
 
 
 def _prefix(tokens) -> list[str]:
@@ -98,11 +102,15 @@ def prefix_hubs(tokens: pd.Series) -> pd.Series:
     return tokens.map(_prefix)
 
 
-def _star(members: DataFrame, hub: list[str]) -> DataFrame:
+def _star(members: DataFrame, hub: list[str], both_sides=None) -> DataFrame:
     """Edges from every key of a hub to the smallest one: linear, never all pairs."""
-    low = members.groupBy(*hub).agg(F.min("key").alias("b"), F.max("key").alias("top")) \
-        .filter("b <> top").drop("top")
-    return lookup_join(members, low, hub, "inner").filter("key <> b").select(
+    low = members.groupBy(*hub).agg(
+        F.min("key").alias("b"), F.max("key").alias("top"),
+        *([F.min("size").alias("s1"), F.max("size").alias("s2")] if both_sides is not None else [])
+    ).filter("b <> top")
+    if both_sides is not None:
+        low = low.filter(both_sides)
+    return lookup_join(members, low.select(*hub, "b"), hub, "inner").filter("key <> b").select(
         F.col("key").alias("a"), "b")
 
 
@@ -112,9 +120,11 @@ def edges(df: DataFrame) -> DataFrame:
                    ["company_norm", "req"])
     titles = df.select("company_norm", "city_norm", "title_norm", "key").distinct().withColumn(
         "tokens", T.title_tokens(F.col("title_norm")))
-    near = titles.select("company_norm", "city_norm", "key",
+    near = titles.select("company_norm", "city_norm", "key", F.size("tokens").alias("size"),
                          F.explode(subset_hubs("tokens")).alias("hub"))
-    by_title = _star(near, ["company_norm", "city_norm", "hub"])
+    # titles of one size may link among themselves, titles of two sizes only across
+    equal = F.regexp_extract("hub", r"^(\d+)-", 1) == F.regexp_extract("hub", r"-(\d+)\|", 1)
+    by_title = _star(near, ["company_norm", "city_norm", "hub"], equal | (F.col("s1") < F.col("s2")))
     # titles of more than SUBSET_TOKENS words: candidates by shared leading token, then verified
     long = titles.filter(F.size("tokens") >= math.ceil(V.TITLE_SIMILARITY * SUBSET_TOKENS)).select(
         "company_norm", "city_norm", "key", "tokens", F.explode(prefix_hubs("tokens")).alias("hub"))

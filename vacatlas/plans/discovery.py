@@ -15,10 +15,11 @@ def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
     """Resolve, gate, enrich and score; rows below the store line are dropped.
 
     Gates run before enrichment: they decide most rows by title, place and
-    age, so the costly text facts are only taken from the survivors.
+    age, so the costly text facts are only taken from the survivors, which are
+    written once in between.
     """
     vac = dedup.dedupe(spread(sightings))
-    kept = gates.kept(gates.gate(vac, as_of, profile))
+    kept = spread(cut_lineage(gates.kept(gates.gate(vac, as_of, profile))))
     out = score.score(enrich.enrich(kept, profile), profile)
     return companies.resolve_names(out, registry).filter(F.col("score") >= profile.min_score)
 

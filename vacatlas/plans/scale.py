@@ -60,15 +60,22 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     limit = int(str(big.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).rstrip("bB"))
     if 0 <= estimated_bytes(small) <= limit:
         return big.join(small, on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns
-                                                         if c in on or _hashable(big, c)]), salts))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_spreading(big)), salts))
     repeated = small.withColumn("_salt", F.explode(F.sequence(
         F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def _hashable(df: DataFrame, c: str) -> bool:
-    return df.schema[c].dataType.typeName() not in ("map", "variant")
+def _spreading(df: DataFrame) -> list[Column]:
+    """Columns that tell rows apart cheaply: short types first, texts only if there is nothing else.
+
+    A hash of the row's own values, not a random number: a recomputed task
+    must send every row to the same place again.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    short = [n for n, k in kinds.items() if k in ("long", "integer", "double", "date", "timestamp", "boolean")]
+    text = [n for n, k in kinds.items() if k == "string"]
+    return [F.col(f"`{n}`") for n in (short if {"long", "double"} & {kinds[n] for n in short} else short + text)]
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -190,6 +190,7 @@ REGISTRY: dict[str, Source] = {
 }
 
 
+PLACE_BITS = 20  # a payload holds fewer than 2**20 postings
 EMPTY_TEXT = {"description", "tags", "salary_hint", "location", "title", "url", "external_id"}
 
 
@@ -215,7 +216,8 @@ def normalize_all(raw: DataFrame, as_of: Column, providers=None) -> DataFrame:
     """Sightings of all sources in one pass over the payloads (batch or stream).
 
     Each row takes the branch of its own source, so the landing table is read
-    once and not once per source.  Arrival order is the payload's ``seq``.
+    once and not once per source.  Arrival order is the payload's ``seq``, then
+    the place in the payload; both make up the sighting's unique ``seq``.
     """
     branches = None
     for name in providers or REGISTRY:
@@ -223,7 +225,8 @@ def normalize_all(raw: DataFrame, as_of: Column, providers=None) -> DataFrame:
             raise ValueError(f"unknown source {name!r}")
         here, rows = F.col("provider") == name, _rows(name, as_of)
         branches = F.when(here, rows) if branches is None else branches.when(here, rows)
-    return raw.select(F.explode(branches).alias("s")).select("s.*")
+    rows = raw.select(F.posexplode(branches).alias("pos", "s")).select("s.*", "pos")
+    return rows.withColumn("seq", F.shiftleft("seq", PLACE_BITS) + F.col("pos")).drop("pos")
 
 
 def _rows(name: str, as_of: Column) -> Column:
