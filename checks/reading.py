@@ -517,7 +517,8 @@ FROM (SELECT seq, list_distinct(list_concat(list_concat(skills, domains), CASE W
 def j08(spark, sf):
     book = drafts.load_paragraphs(paragraphs(spark, sf))
     picked = drafts.pick(E.skills(view(spark, sf, "posting_view")), book)
-    return picked.select("seq", F.posexplode("chosen").alias("p", "c")).select(
+    # the outer form: the plain one adds a filter on the list, which would compute it twice
+    return picked.select("seq", F.posexplode_outer("chosen").alias("p", "c")).select(
         "seq", "c.pid", (F.col("p") + 1).alias("position"))
 
 

@@ -45,8 +45,9 @@ def pick(jobs: DataFrame, book, how_many: int = 3) -> DataFrame:
     The book is small and constant, so it is part of the expression: no join,
     no pairs of jobs and paragraphs are ever written out.
     """
-    scored = paragraph_scores(wanted_terms(F.col("skills"), F.col("domains"), F.col("role_category")), book)
-    return jobs.withColumn("chosen", F.slice(scored, 1, how_many))
+    # a column of its own: every paragraph looks at it, and it must be computed once per job
+    df = jobs.withColumn("_wanted", wanted_terms(F.col("skills"), F.col("domains"), F.col("role_category")))
+    return df.withColumn("chosen", F.slice(paragraph_scores(F.col("_wanted"), book), 1, how_many)).drop("_wanted")
 
 
 def skills_line(skills: Column) -> Column:

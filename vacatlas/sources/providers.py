@@ -225,7 +225,9 @@ def normalize_all(raw: DataFrame, as_of: Column, providers=None) -> DataFrame:
             raise ValueError(f"unknown source {name!r}")
         here, rows = F.col("provider") == name, _rows(name, as_of)
         branches = F.when(here, rows) if branches is None else branches.when(here, rows)
-    rows = raw.select(F.posexplode(branches).alias("pos", "s")).select("s.*", "pos")
+    # outer plus a test of the place: a plain explode also filters on its array,
+    # which would take every payload apart twice
+    rows = raw.select(F.posexplode_outer(branches).alias("pos", "s")).filter("pos IS NOT NULL").select("s.*", "pos")
     return rows.withColumn("seq", F.shiftleft("seq", PLACE_BITS) + F.col("pos")).drop("pos")
 
 
