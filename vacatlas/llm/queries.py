@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import bpe, packing, quality_rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str):
     def add(fn):
         QUERIES[name] = fn
@@ -26,3 +30,23 @@ def op8_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = sharding.assign(docs, [1.0] * 40, grown=[1.0] * 41)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op4_best_fit")
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=0)
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.withColumn("_d", quality_rules.decide(F.col("text"), rules))
+    return out.select(
+        "doc_id", *[f"_d.m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "_d.base_failed", "_d.kept", "_d.rule")
