@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, sharding
-from .common import table
+from . import bpe, extraction, packing, quality_rules, sharding, toxicity
+from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", *[f"_d.m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "_d.base_failed", "_d.kept", "_d.rule")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, fitted).select(
+        "doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_consensus_paths")
+def op9_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
