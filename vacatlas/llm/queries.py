@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, packing, quality_rules, sharding, toxicity
+from . import bpe, extraction, lm_trie, packing, quality_rules, sharding, toxicity
 from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_consensus_paths")
 def op9_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_lm_trie")
+def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_fold(F.col("doc_id"), 10) == 0
+    model = lm_trie.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    return lm_trie.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score", "score")
