@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, lm_trie, near_dedup, packing, quality_rules, sharding, toxicity
+from . import bpe, extraction, lm_trie, near_dedup, nn_descent, packing, quality_rules, sharding, toxicity
 from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op10_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_order_minhash")
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
+
+
+@query("op6_nn_descent")
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
