@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, lm_trie, near_dedup, nn_descent, packing, quality_rules, sharding, toxicity
+from . import bpe, extraction, license_scan, lm_trie, near_dedup, nn_descent, packing, quality_rules, sharding, toxicity
 from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nn_descent")
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "start", "end", "gain", F.array_join("missing", " ").alias("missing"),
+                        F.array_join("extra", " ").alias("extra"))
