@@ -1,6 +1,6 @@
 """Licence notices by conditional compression.
 
-Blocks around licence cues are compressed alone and with each template as a raw zstandard dictionary.
+Stretches around licence cues are compressed alone and with each template as a raw zstandard dictionary.
 The templates are ranked by how much smaller they make a block; the best are laid against the block
 word by word, and the one with fewest differences wins if they are few enough.
 """
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .bpe import _Memo
 from .license_templates import CUES, TEMPLATES
 
-LEVEL = 9
-REACH = 300  # characters around a cue that belong to its block
+LEVEL = 19
+REACH = 1200  # characters around a cue that a notice may take
+CORE = 70  # characters around a cue that are compressed
 LEAST_GAIN = 0.1  # bytes saved, as a share of the template
 ALLOWED = 0.1  # differing words per template word
 
@@ -38,20 +39,26 @@ class Found:
     extra: list[str]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Character ranges around cues, widened to word borders, joined where they touch."""
+def cues(text: str) -> list[int]:
+    """Where the cues stand in a text."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at = sorted({m.start() for cue in CUES if cue in low for m in re.finditer(re.escape(cue), low)})
-    out: list[tuple[int, int]] = []
-    for p in at:
-        a, b = max(0, p - REACH), min(len(text), p + REACH)
+    return sorted({m.start() for cue in CUES if cue in low for m in re.finditer(re.escape(cue), low)})
+
+
+def blocks(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, cores): the surroundings of cues, joined where they touch; the core of each cue, relative to the start.
+    Both are widened to word borders."""
+    out: list[tuple[int, int, list[tuple[int, int]]]] = []
+    around = lambda p, n: (_border(text, max(0, p - n), -1), _border(text, min(len(text), p + n), 1))
+    for p in cues(text):
+        (a, b), core = around(p, REACH), around(p, CORE)
         if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], b
+            out[-1] = out[-1][0], b, [*out[-1][2], core]
         else:
-            out.append((a, b))
-    return [(_border(text, a, -1), _border(text, b, 1)) for a, b in out]
+            out.append((a, b, [core]))
+    return [(a, b, [(x - a, y - a) for x, y in cores]) for a, b, cores in out]
 
 
 def _border(text: str, at: int, step: int) -> int:
@@ -75,12 +82,12 @@ class Scanner:
         self.names = [n for n, _ in templates]
         self.words = [[w.lower() for w in _WORD.findall(t)] for _, t in templates]
         self.given = [zstandard.ZstdCompressor(compression_params=options, dict_data=zstandard.ZstdCompressionDict(
-            " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
+            (" ".join(w) + " ").encode() * 3, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
         self.of_block = _Memo(self._scan, 50_000)
 
-    def gains(self, block: str) -> list[tuple[float, int]]:
+    def gains(self, core: str) -> list[tuple[float, int]]:
         """(bytes saved as a share of the template, its number), best first, for every template."""
-        plain = " ".join(w.lower() for w in _WORD.findall(block)).encode()
+        plain = " ".join(w.lower() for w in _WORD.findall(core)).encode()
         size = len(self.alone.compress(plain))
         out = []
         for k, c in enumerate(self.given):
@@ -88,10 +95,15 @@ class Scanner:
             out.append(((size - len(c.compress(plain))) / own, k))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
-    def _scan(self, block: str) -> list[Found]:
+    def _scan(self, block: tuple[str, tuple[tuple[int, int], ...]]) -> list[Found]:
+        block, cores = block
         tokens = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
         found: list[Found] = []
-        for gain, k in self.gains(block):
+        best: dict[int, float] = {}
+        for a, b in cores:
+            for gain, k in self.gains(block[a:b]):
+                best[k] = max(gain, best.get(k, gain))
+        for k, gain in sorted(best.items(), key=lambda x: (-x[1], x[0])):
             if gain < LEAST_GAIN:
                 break
             for lo, hi, missing, extra in placements([t[0] for t in tokens], self.words[k]):
@@ -108,7 +120,7 @@ class Scanner:
         if not text:
             return []
         return [Found(f.license, f.start + a, f.end + a, f.gain, f.missing, f.extra)
-                for a, b in blocks(text) for f in self.of_block[text[a:b]]]
+                for a, b, cores in blocks(text) for f in self.of_block[text[a:b], tuple(cores)]]
 
 
 def placements(block: list[str], template: list[str]) -> list[tuple[int, int, list[str], list[str]]]:

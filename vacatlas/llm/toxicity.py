@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,8 +250,6 @@ def score(docs: DataFrame, fitted: tuple[list[float], dict[str, float], float],
 
 def score_column(fitted: tuple[list[float], dict[str, float], float], text: Column) -> Column:
     """The score as a column, for filters that keep whole rows."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*fitted)
