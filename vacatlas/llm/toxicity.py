@@ -175,9 +175,10 @@ class Scorer:
         return max(self.floor, max(map(of.__getitem__, self.raw(text)), default=0.0))
 
 
-def _near_key(words: set[str]) -> int:
-    """Copies and near copies of a text mostly share it: the smallest hash of its words."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+def _near_key(text: str) -> int:
+    """Copies and near copies of a text mostly share it, others do not: the smallest hash of its five-word windows."""
+    words = text.lower().split()
+    return min(zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, prior: float = 5.0, least: int = 3,
@@ -185,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, prior: fl
     """(character model, word lexicon, score without evidence).
 
     The character model counts all texts.  The lexicon is learned from at most ``sample_rows``
-    labelled rows outside fold 1 of 3, those of smallest key hash; of rows with the same smallest
-    word hash (copies) one counts.  Without such rows the lexicon is empty.
+    labelled rows outside fold 1 of 3, those of smallest key hash; of copies and near copies (same
+    smallest window hash) one counts.  Without such rows the lexicon is empty.
     """
     model = language_model(trigram_counts(docs, text))
     chosen = hash_sample(labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & (crc_fold(F.col(key), 3) != 1))
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, prior: fl
         scorer = Scorer(model, {}, 0.0)
         for b in it:
             rows = [sorted(set(scorer.words(t.as_py() or ""))) for t in b.column(0)]
-            keys = [_near_key(set(r)) for r in rows]
+            keys = [_near_key(t.as_py() or "") for t in b.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.string())), pa.array(keys, pa.int64()), b.column(1)], ["words", "near", "toxic"])
 
