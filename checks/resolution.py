@@ -54,18 +54,36 @@ UNION SELECT r.a, e.b FROM o_reach r JOIN o_edges e ON e.a = r.b
 O["o_comp"] = "SELECT a AS key, min(b) AS component FROM o_reach GROUP BY a"
 
 
+O["o_slot"] = """
+SELECT n.*, c.component, coalesce(r.slot, 1) AS slot FROM o_norm n JOIN o_comp c ON c.key = n.key
+LEFT JOIN (SELECT component, provider, unit, row_number() OVER (PARTITION BY component, provider ORDER BY s) AS slot
+  FROM (SELECT component, provider, unit, min(seq) AS s FROM o_norm n JOIN o_comp c ON c.key = n.key
+    WHERE unit <> '' GROUP BY ALL)) r
+  ON r.component = c.component AND r.provider = n.provider AND r.unit = n.unit
+"""
+O["o_first"] = "SELECT *, min(seq) OVER (PARTITION BY component, slot) AS vac FROM o_slot"
+O["o_same"] = """
+SELECT DISTINCT a.vac AS a, b.vac AS b FROM o_first a JOIN o_first b ON a.company_norm = b.company_norm AND a.req = b.req
+WHERE a.req <> ''
+"""
+O["o_united"] = "SELECT vac AS a, vac AS b FROM o_first UNION SELECT u.a, s.b FROM o_united u JOIN o_same s ON s.a = u.b"
+O["o_vacancy"] = """
+SELECT f.*, u.vacancy FROM o_first f JOIN (SELECT a, min(b) AS vacancy FROM o_united GROUP BY a) u ON u.a = f.vac
+"""
+O["o_group"] = """
+SELECT v.*, n.group_key FROM o_vacancy v JOIN (SELECT vacancy, CASE WHEN vacancy = min(vacancy) OVER (PARTITION BY key)
+  THEN key ELSE key || '#' || provider || '/' || external_id END AS group_key FROM o_vacancy WHERE seq = vacancy) n
+  ON n.vacancy = v.vacancy
+"""
+
+
 def sightings(spark, sf):
     return view(spark, sf, "sighting_view")
 
 
 @query("u01_union_sources", sql("SELECT provider, count(*) AS n FROM sighting_view GROUP BY provider"))
 def u01(spark, sf):
-    parts = [sightings(spark, sf).filter(F.col("provider") == p)
-             for p in ("greenhouse", "workday", "arbeitnow", "jobsch", "adzuna", "lever")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+    return sightings(spark, sf).groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("u03_token_sets", sql("""
@@ -79,19 +97,21 @@ def u03(spark, sf):
         F.size(F.array_union(tk, other)).alias("joined"))
 
 
-@query("d01_resolve")
+@query("d01_resolve", sql("SELECT seq, group_key FROM o_group"))
 def d01(spark, sf):
     return D.assign(sightings(spark, sf))
 
 
-@query("d02_merge_guard", sql("SELECT 0::BIGINT AS violations"))
+@query("d02_merge_guard", sql("""
+SELECT group_key, provider, count(DISTINCT external_id) AS ids, count(DISTINCT nullif(req, '')) AS requisitions
+FROM o_group WHERE external_id <> '' GROUP BY ALL HAVING count(DISTINCT external_id) > 1"""))
 def d02(spark, sf):
-    """Groups in which one source has two ids although no requisition ties them together."""
+    """Sources with several ids in one group, and how many requisitions tie them together."""
     s = sightings(spark, sf)
     m = D.assign(s).join(D.normalized(s).select("seq", "provider", "external_id", "req"), "seq")
-    bad = m.groupBy("group_key", "provider").agg(
-        F.min("external_id").alias("a"), F.max("external_id").alias("b"), F.max("req").alias("r"))
-    return bad.filter("a <> b AND r = ''").agg(F.count(F.lit(1)).alias("violations"))
+    return m.filter("external_id <> ''").groupBy("group_key", "provider").agg(
+        F.countDistinct("external_id").alias("ids"),
+        F.countDistinct(F.nullif("req", F.lit(""))).alias("requisitions")).filter("ids > 1")
 
 
 @query("d03_drop_repeats", sql("SELECT seq FROM o_norm"))
@@ -141,23 +161,23 @@ def d08(spark, sf):
     return D.with_component(D.drop_repeats(D.normalized(sightings(spark, sf)))).select("seq", "component")
 
 
-@query("d08_slots", sql("""
-SELECT n.seq, c.component, coalesce(r.slot, 1) AS slot FROM o_norm n JOIN o_comp c ON c.key = n.key
-LEFT JOIN (SELECT component, provider, unit, row_number() OVER (PARTITION BY component, provider ORDER BY s) AS slot
-  FROM (SELECT component, provider, unit, min(seq) AS s FROM o_norm n JOIN o_comp c ON c.key = n.key
-    WHERE unit <> '' GROUP BY ALL)) r
-  ON r.component = c.component AND r.provider = n.provider AND r.unit = n.unit"""))
+@query("d08_slots", sql("SELECT seq, component, slot FROM o_slot"))
 def d08_slots(spark, sf):
     df = D.with_component(D.drop_repeats(D.normalized(sightings(spark, sf))))
     return D.slots(df, "component").select("seq", "component", "slot")
 
 
-@query("d08_set_groups")
+@query("d08_set_groups", sql("SELECT seq, vacancy FROM o_vacancy"))
 def d08_set(spark, sf):
     df = D.with_component(D.drop_repeats(D.normalized(sightings(spark, sf))))
     return D.set_groups(df).select("seq", "vacancy")
 
 
-@query("j06_dedupe")
+@query("j06_dedupe", sql("""
+SELECT g.group_key, arg_min(s.seq, (CASE WHEN s.provider IN ('arbeitnow', 'jobsch') THEN 2 WHEN s.provider = 'adzuna' THEN 3 ELSE 0 END,
+    -length(s.description), s.seq)) AS seq,
+  array_to_string(list_sort(list(DISTINCT s.provider)), ',') AS providers, count(*) - 1 AS duplicates, min(s.posted) AS posted
+FROM o_group g JOIN sighting_view s ON s.seq = g.seq GROUP BY g.group_key"""))
 def j06(spark, sf):
-    return D.dedupe(sightings(spark, sf)).select("group_key", "seq", "providers", "duplicates", "posted")
+    return D.dedupe(sightings(spark, sf)).select(
+        "group_key", "seq", F.array_join("providers", ",").alias("providers"), "duplicates", "posted")

@@ -20,43 +20,51 @@ def sighting(seq, provider="workday", company="BMW Group", title="ML Engineer",
     return (seq, provider, company, title, url or f"https://x.example.com/{seq}", location, f"e{seq}" if ext is None else ext, posted, text, "normal")
 
 
-def groups(spark, rows, limit=5000):
+def groups(spark, rows):
     df = spark.createDataFrame(rows, COLS)
     out: dict = {}
-    for r in D.assign(df, limit).collect():
+    for r in D.assign(df).collect():
         out.setdefault(r.group_key, set()).add(r.seq)
     return sorted(map(sorted, out.values()))
 
 
 def brute(rows):
-    """The arrival-order rules over everything at once, as plain text-book code."""
+    """The set rule over everything at once, as plain text-book code."""
     import re
-    out = []
-    noise = re.compile(r"\b(group|gmbh|ag)\b")
-    for seq, provider, company, title, url, location, ext, _, text, _ in sorted(rows):
+    noise, kept = re.compile(r"\b(group|gmbh|ag)\b"), {}
+    for seq, provider, company, title, _, location, ext, *_ in sorted(rows):
         c, t = noise.sub("", company.lower()).strip(), title.lower()
-        k, req = (c, t, location.lower()), ext if ext.startswith("REQ-") else ""
-
-        def ok(g):
-            return not ext or all(m[1] != provider or m[2] in ("", ext) for m in g)
-
-        def best(g):
-            return min(g, key=lambda m: (D.V.PROVIDER_RANK.get(m[1], 1), -m[5], m[0]))
-
-        def close(g):
-            b = best(g)
-            x, y = set(b[3][1].split()), set(t.split())
-            return b[3][0] == c and b[3][2] == k[2] and len(x & y) / len(x | y) >= 0.72
-
-        hit = next((g for g in out if req and any(m[4] == req and m[3][0] == c for m in g)), None)
-        hit = hit or next((g for g in out if g[0][3] == k and g[0][6] and ok(g)), None)
-        hit = hit or next((g for g in out if ok(g) and close(g)), None)
-        if hit is None:
-            first = not any(g[0][3] == k for g in out)
-            out.append([(seq, provider, ext, k, req, len(text), first)])
-        elif not any(m[1] == provider and m[2] == ext for m in hit):
-            hit.append((seq, provider, ext, k, req, len(text), False))
-    return sorted(sorted(m[0] for m in g) for g in out)
+        req = ext if ext.startswith("REQ-") else ""
+        kept.setdefault((c, provider, ext, t, location.lower(), req), seq)
+    rows = [(seq, *k) for k, seq in kept.items()]
+
+    def join(items, together):
+        root = {i: i for i in items}
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for a in items:
+            for b in items:
+                if together(a, b):
+                    x, y = sorted((top(a), top(b)))
+                    root[y] = x
+        return {i: top(i) for i in items}
+
+    def alike(a, b):
+        x, y = set(a[4].split()), set(b[4].split())
+        same = a[1] == b[1] and a[5] == b[5] and len(x & y) >= 0.72 * len(x | y)
+        return same or a[1] == b[1] and a[6] != "" and a[6] == b[6]
+    component, slot = join(rows, alike), {}
+    for r in rows:
+        own = sorted({x[3]: x[0] for x in sorted(rows, reverse=True) if x[3] and component[x] == component[r] and x[2] == r[2]}.items(), key=lambda x: x[1])
+        slot[r] = component[r], [i for i, _ in own].index(r[3]) + 1 if r[3] else 1
+    united = join(rows, lambda a, b: slot[a] == slot[b] or a[1] == b[1] and a[6] != "" and a[6] == b[6])
+    out = {}
+    for r in rows:
+        out.setdefault(united[r], []).append(r[0])
+    return sorted(map(sorted, out.values()))
 
 
 def test_merges_and_guards(spark):
@@ -69,31 +77,43 @@ def test_merges_and_guards(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_same_result_as_one_by_one_rules(spark, seed):
+def test_same_result_as_the_rule_in_plain_code(spark, seed):
     rnd = random.Random(seed)
     titles = ["data engineer", "data platform engineer", "data platform engineer berlin", "ml engineer", "senior ml engineer cloud"]
     rows = [sighting(i, rnd.choice(["workday", "lever", "arbeitnow", "adzuna"]), rnd.choice(["BMW Group", "Audi AG"]),
                      rnd.choice(titles), rnd.choice(["Munich", "Berlin"]),
                      rnd.choice(["", f"e{i % 23}", f"x{i}", f"REQ-{10000 + i % 9}"]), "t" * rnd.randint(0, 9)) for i in range(60)]
-    unique, seen = [], set()   # repeats of one posting under one key are dropped first, as documented
-    for r in rows:
-        k = (r[1], r[2], r[3], r[5], r[6])
-        if k not in seen:
-            seen.add(k)
-            unique.append(r)
-    assert groups(spark, unique) == brute(unique)
+    assert groups(spark, rows) == brute(rows)
 
 
-def test_closed_form_of_a_hot_key(spark):
+def test_a_hot_key(spark):
     rows = [sighting(i, ["workday", "lever", "arbeitnow"][i % 3], ext=f"id{i}") for i in range(300)]
-    assert groups(spark, rows, limit=10) == brute(rows)
+    assert groups(spark, rows) == brute(rows)
 
 
-def test_oversized_component_keeps_every_row(spark):
+def test_one_rule_for_a_mixed_component(spark):
     rows = [sighting(i, ["workday", "lever"][i % 2], title=["data platform engineer", "data platform engineer berlin"][i % 2], ext=f"id{i}")
             for i in range(40)]
-    out = groups(spark, rows, limit=5)
-    assert sorted(s for g in out for s in g) == list(range(40)) and len(out) == 20
+    out = groups(spark, rows)
+    assert sorted(s for g in out for s in g) == list(range(40)) and len(out) == 20 and out == brute(rows)
+
+
+def test_an_employer_with_a_third_of_all_rows_and_long_titles(spark):
+    rnd, words = random.Random(11), [f"w{i}" for i in range(60)]
+    bases = [rnd.sample(words, 15) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        title = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 3)):
+            title[rnd.randrange(15)] = rnd.choice(words)
+        company = "BMW Group" if i % 3 == 0 else f"Employer {i % 20}"
+        rows.append(sighting(i, rnd.choice(["workday", "lever", "arbeitnow"]), company, " ".join(dict.fromkeys(title)), "Munich", rnd.choice(["", f"e{i % 31}"])))
+    assert groups(spark, rows) == brute(rows)
+
+
+def test_long_keys_keep_their_city(spark):
+    title = " ".join(f"word{i}" for i in range(40))
+    assert groups(spark, [sighting(1, title=title), sighting(2, "lever", title=title, location="Berlin")]) == [[1], [2]]
 
 
 def test_group_facts(spark):
@@ -103,20 +123,17 @@ def test_group_facts(spark):
         "workday", "a longer text", dt.date(2024, 1, 14), ["arbeitnow", "workday"], 1)
 
 
-def test_similar_titles_are_never_missed():
+def test_similar_titles_are_never_missed(spark):
     rnd, words = random.Random(5), [f"w{i}" for i in range(30)]
-    for _ in range(3000):
-        a = sorted(rnd.sample(words, rnd.randint(1, 12)))
-        b = sorted(set(a[rnd.randint(0, 2):]) | set(rnd.sample(words, rnd.randint(0, 2))))
-        near = len(set(a) & set(b)) / len(set(a) | set(b)) >= D.V.TITLE_SIMILARITY
-        shared = [h for h in set(D._subsets(a)) & set(D._subsets(b))
-                  if h.startswith(f"{min(len(a), len(b))}-{max(len(a), len(b))}|")]
-        assert bool(shared) == near
-    for _ in range(500):   # long titles meet over a shared leading token
-        a = sorted(f"w{i:03}" for i in rnd.sample(range(99), rnd.randint(17, 24)))
-        b = sorted(set(a[rnd.randint(0, 3):]) | {f"w{rnd.randint(0, 99):03}"})
-        if len(set(a) & set(b)) / len(set(a) | set(b)) >= D.V.TITLE_SIMILARITY:
-            assert set(D._prefix(a)) & set(D._prefix(b))
+    titles = set()
+    for _ in range(150):
+        a = rnd.sample(words, rnd.randint(1, 20))
+        titles |= {" ".join(a), " ".join(a[rnd.randint(0, 2):] + rnd.sample(words, rnd.randint(0, 2)))}
+    titles = sorted(t for t in titles if t)
+    df = spark.createDataFrame([("c", "m", t, t) for t in titles], "company_norm string, city_norm string, title_norm string, key string")
+    got = {(r.a, r.b) for r in D.by_title(df).collect()}
+    share = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    assert got == {(a, b) for a in titles for b in titles if a > b and share(a, b) >= D.V.TITLE_SIMILARITY}
 
 
 def test_components(spark):
@@ -136,17 +153,10 @@ def test_running_equals_one_window(spark):
         assert r.m == max((x[1] for x in earlier if x[2] == 3), default=None)
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_salted_lookup_equals_plain_join(spark, how):
-    big = spark.createDataFrame([(i % 5, i) for i in range(100)], "k int, v long")
-    small = spark.createDataFrame([(i, f"n{i}") for i in range(3)], "k int, n string")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        a, b = scale.lookup_join(big, small, ["k"], how).collect(), big.join(small, ["k"], how).collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)
+def test_ranges_follow_the_rows(spark):
+    df = spark.createDataFrame([(i << 20,) for i in range(1000)], "t long")
+    n = [r["count"] for r in df.groupBy(scale.ranges(df, F.col("t"), rows=100).alias("b")).count().collect()]
+    assert len(n) == 10 and max(n) < 150 and df.select(scale.ranges(df, F.col("t"))).distinct().count() == 1
 
 
 JOB = "id string, source string, title string, score int, posted_at date, salary_basis string, salary_annual_eur_min double"

@@ -102,7 +102,6 @@ PROVIDER_RANK = {
 }
 DEFAULT_PROVIDER_RANK = 1
 TITLE_SIMILARITY = 0.72
-KEY_LENGTH = 120
 
 # --- fixed values: posting language ----------------------------------------
 GERMAN_MARKERS = [

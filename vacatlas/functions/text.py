@@ -7,10 +7,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .. import fixed_values as V
 from .terms import constant_map
@@ -40,13 +38,6 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, src, dst)
 
 
-@F.pandas_udf(StringType())
-def strip_accents_full(s: pd.Series) -> pd.Series:
-    """Full NFKD for any script; use only where the table above is not enough."""
-    return s.map(lambda t: None if t is None else "".join(
-        ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)))
-
-
 def _plain(c: Column) -> Column:
     return strip_accents(F.lower(F.coalesce(c, F.lit(""))))
 
@@ -84,8 +75,7 @@ def normalize_city(c: Column) -> Column:
 
 def canonical_key(company: Column, title: Column, location: Column) -> Column:
     """Identity of a vacancy: company|title|city.  Never the URL, which changes on every edit."""
-    return F.substring(F.concat_ws("|", normalize_company(company), normalize_title(title),
-                                   normalize_city(location)), 1, V.KEY_LENGTH)
+    return F.concat_ws("|", normalize_company(company), normalize_title(title), normalize_city(location))
 
 
 def requisition_id(external_id: Column, url: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import labels
-from ..plans.scale import lookup_join, running
+from ..plans.scale import running
 from ..profile import DEFAULT, Profile
 
 
@@ -21,7 +21,7 @@ def headline(jobs: DataFrame, companies: DataFrame, as_of: Column,
     top = profile.location_tiers[max(profile.location_tiers)][:12] if profile.location_tiers else []
     dream = companies.filter(F.col("tier") == "dream").select(
         F.col("id").alias("company_id"), F.lit(True).alias("_dream"))
-    df = lookup_join(jobs, dream, ["company_id"], "left")
+    df = jobs.join(dream, ["company_id"], "left")
     base = F.col("is_open") & ~F.col("hidden")
     worth = base & (F.col("score") >= profile.recommend_min_score)
     in_city = F.lit(False)

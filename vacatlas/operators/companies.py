@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.terms import lookup
-from ..plans.scale import first_per, lookup_join
+from ..plans.scale import first_per
 
 TIER_ORDER = {"dream": 0, "high": 1, "normal": 2, "ignored": 3}
 
@@ -26,7 +26,7 @@ def name_index(companies: DataFrame) -> DataFrame:
 def resolve_names(postings: DataFrame, companies: DataFrame) -> DataFrame:
     """Adds ``company_id`` by employer name or alias, NULL when unknown."""
     keyed = postings.withColumn("match_key", T.match_key(F.col("company")))
-    return lookup_join(keyed, name_index(companies), ["match_key"], "left").drop("match_key")
+    return keyed.join(name_index(companies), ["match_key"], "left").drop("match_key")
 
 
 def discover(postings: DataFrame, companies: DataFrame) -> DataFrame:

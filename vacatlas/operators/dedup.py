@@ -1,44 +1,30 @@
 """Entity resolution: sightings of one vacancy become one group.
 
-A sighting joins an existing group, in arrival order, by (1) the employer's
-requisition id, (2) the canonical key, (3) a similar title at the same employer
-and city.  Two different ids from one source are two vacancies, unless (1) says
-otherwise.  A posting refused by its own key opens a further group of that key
-(key plus ``#source/id``), so no vacancy is lost.
-
-Run one after the other this would put a whole employer into one task.  So the
-work is cut where it provably does not interact:
-
-* sightings that share no requisition, key or similar title, directly or over
-  others, never meet: they form *components*, found with linear many edges;
-* in a component with one key and no shared requisition the outcome has a
-  closed form, whatever its size: a source's n-th own id lands in group n;
-* any other component runs the greedy rules in one task up to ``limit`` rows;
-* beyond that, the closed form is applied to the component as a whole and
-  groups sharing a requisition are united (:func:`set_groups`).  No row is
-  dropped or sampled.
+Two sightings belong together over (1) the employer's requisition id, (2) the canonical key, (3) a
+similar title at the same employer and city.  Two different ids from one source are two vacancies,
+unless (1) says otherwise.  The groups are defined as sets, alike at every size:
+
+* keys that share a requisition or have similar titles, directly or over others, form a component;
+* in a component, the n-th own id of a source (by first arrival) lands in group n, as does whatever
+  carries no id in group 1;
+* groups that share a requisition are one.
+
+Processing one arrival after the other gives the same groups where a source repeats no id under two
+keys; where it does, arrival order would let the first key win, and this rule numbers the ids of the
+whole component instead.  No row is dropped, sampled or treated by another rule.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from .. import fixed_values as V
 from ..functions import text as T
 from ..functions.terms import lookup
-from ..plans.scale import components, cut_lineage, first_per, lookup_join, running
+from ..plans.scale import components, cut_lineage, first_per, ranges, running
 from .gates import usable
 
-SUBSET_TOKENS = 16        # up to here title similarity is found by shared token subsets
-SEQ_BUCKET = 1_000_000    # arrival numbers per bucket of a ranked group
-
 
 def normalized(sightings: DataFrame) -> DataFrame:
     """The narrow table the resolution works on; texts stay behind."""
@@ -51,8 +37,7 @@ def normalized(sightings: DataFrame) -> DataFrame:
         T.requisition_id(c("external_id"), c("url")).alias("req"),
         lookup(c("provider"), V.PROVIDER_RANK, V.DEFAULT_PROVIDER_RANK).alias("rank"),
         F.length(F.coalesce("description", F.lit(""))).alias("n_chars"))
-    key = F.substring(F.concat_ws("|", "company_norm", "title_norm", "city_norm"), 1, V.KEY_LENGTH)
-    return df.withColumn("key", key)
+    return df.withColumn("key", F.concat_ws("|", "company_norm", "title_norm", "city_norm"))
 
 
 def drop_repeats(df: DataFrame) -> DataFrame:
@@ -61,99 +46,61 @@ def drop_repeats(df: DataFrame) -> DataFrame:
 
 
 # -- similar titles ---------------------------------------------------------
-def _overlap(x: int, y: int) -> int:
-    """Tokens that sets of sizes x and y must share to reach the similarity threshold."""
-    t = V.TITLE_SIMILARITY
-    return math.ceil(t * (x + y) / (1 + t) - 1e-9)
-
-
-def _partners(x: int) -> range:
-    t = V.TITLE_SIMILARITY
-    return range(math.ceil(t * x - 1e-9), math.floor(x / t + 1e-9) + 1)
+def by_requisition(df: DataFrame) -> DataFrame:
+    """Edges from every key of a requisition to the smallest one: linear, never all pairs."""
+    member = df.filter("req <> ''").select("company_norm", "req", "key").distinct()
+    low = member.groupBy("company_norm", "req").agg(F.min("key").alias("b"), F.max("key").alias("top")).filter("b <> top")
+    return member.join(low, ["company_norm", "req"]).filter("key <> b").select(F.col("key").alias("a"), "b")
 
 
-def _subsets(tokens) -> list[str]:
-    """``sizes|subset`` for every token subset a similar title would share.
+def by_title(df: DataFrame) -> DataFrame:
+    """Pairs of keys of one employer and city whose titles are similar.
 
-    The label names the sizes of both titles, so a subset only links titles
-    that are similar enough for exactly those sizes.
+    Two sets of tokens of that similarity share one of their rarest tokens: of x tokens the first
+    x - ceil(t x) + 1 in the order of rarity.  So only titles that share a rare token are compared,
+    and a common word brings nobody together.
     """
-    x = len(tokens)
-    if not 0 < x <= SUBSET_TOKENS:
-        return []
-    return [f"{min(x, y)}-{max(x, y)}|{' '.join(s)}" for y in _partners(x)
-            if y <= SUBSET_TOKENS and _overlap(x, y) <= min(x, y) for s in combinations(tokens, _overlap(x, y))]
-
-
-def _prefix(tokens) -> list[str]:
-    """Leading tokens, one of which a similar title must share, when a long title is involved."""
-    x = len(tokens)
-    partners = [y for y in _partners(x) if max(x, y) > SUBSET_TOKENS]
-    return list(tokens[:x - min(_overlap(x, y) for y in partners) + 1]) if x and partners else []
-
-
-@F.pandas_udf(Ty.ArrayType(Ty.StringType()))
-def subset_hubs(tokens: pd.Series) -> pd.Series:
-    return tokens.map(_subsets)
-
-
-@F.pandas_udf(Ty.ArrayType(Ty.StringType()))
-def prefix_hubs(tokens: pd.Series) -> pd.Series:
-    return tokens.map(_prefix)
-
-
-def _star(members: DataFrame, hub: list[str], both_sides=None) -> DataFrame:
-    """Edges from every key of a hub to the smallest one: linear, never all pairs."""
-    low = members.groupBy(*hub).agg(
-        F.min("key").alias("b"), F.max("key").alias("top"),
-        *([F.min("size").alias("s1"), F.max("size").alias("s2")] if both_sides is not None else [])
-    ).filter("b <> top")
-    if both_sides is not None:
-        low = low.filter(both_sides)
-    return lookup_join(members, low.select(*hub, "b"), hub, "inner").filter("key <> b").select(
-        F.col("key").alias("a"), "b")
+    place = ["company_norm", "city_norm"]
+    titles = df.select(*place, "title_norm", "key").distinct().withColumn("tokens", T.title_tokens(F.col("title_norm")))
+    words = titles.select(*place, "key", "tokens", F.explode("tokens").alias("token"))
+    rarity = words.groupBy(*place, "token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = words.join(rarity.filter("n > 1"), [*place, "token"]).groupBy(*place, "key").agg(
+        F.first("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by_rarity"))
+    x = F.size("tokens")
+    lead = x - F.ceil(V.TITLE_SIMILARITY * x - 1e-9).cast("int") + 1
+    # tokens that no other title has come first in the order and meet nobody
+    alone = x - F.size("by_rarity")
+    rare = cut_lineage(ordered.select(*place, "key", "tokens", F.explode(F.slice(
+        "by_rarity", F.lit(1), F.greatest(lead - alone, F.lit(0)))).alias("r")).select(*place, "key", "tokens", "r.token"))
+    other = rare.select(*place, "token", F.col("key").alias("b"), F.col("tokens").alias("other"))
+    return rare.join(other, [*place, "token"]).filter(
+        (F.col("key") > F.col("b")) & (T.title_similarity(F.col("tokens"), F.col("other")) >= V.TITLE_SIMILARITY)).select(
+        F.col("key").alias("a"), "b").distinct()
 
 
 def edges(df: DataFrame) -> DataFrame:
-    """Pairs of keys that share a requisition or have similar titles (as stars)."""
-    by_req = _star(df.filter("req <> ''").select("company_norm", "req", "key").distinct(),
-                   ["company_norm", "req"])
-    titles = df.select("company_norm", "city_norm", "title_norm", "key").distinct().withColumn(
-        "tokens", T.title_tokens(F.col("title_norm")))
-    near = titles.select("company_norm", "city_norm", "key", F.size("tokens").alias("size"),
-                         F.explode(subset_hubs("tokens")).alias("hub"))
-    # titles of one size may link among themselves, titles of two sizes only across
-    equal = F.regexp_extract("hub", r"^(\d+)-", 1) == F.regexp_extract("hub", r"-(\d+)\|", 1)
-    by_title = _star(near, ["company_norm", "city_norm", "hub"], equal | (F.col("s1") < F.col("s2")))
-    # titles of more than SUBSET_TOKENS words: candidates by shared leading token, then verified
-    long = titles.filter(F.size("tokens") >= math.ceil(V.TITLE_SIMILARITY * SUBSET_TOKENS)).select(
-        "company_norm", "city_norm", "key", "tokens", F.explode(prefix_hubs("tokens")).alias("hub"))
-    other = long.select("company_norm", "city_norm", "hub", F.col("key").alias("b"),
-                        F.col("tokens").alias("other"))
-    by_long = long.join(other, ["company_norm", "city_norm", "hub"]).filter("key > b").filter(
-        T.title_similarity(F.col("tokens"), F.col("other")) >= V.TITLE_SIMILARITY).select(
-        F.col("key").alias("a"), "b")
-    return by_req.union(by_title).union(by_long)
+    """Pairs of keys that share a requisition or have similar titles."""
+    return by_requisition(df).union(by_title(df))
 
 
 def with_component(df: DataFrame) -> DataFrame:
     df = cut_lineage(df)  # read by several branches below
     comp = components(edges(df)).select(F.col("node").alias("key"), "component")
-    return lookup_join(df, comp, ["key"], "left").withColumn(
+    return df.join(comp, ["key"], "left").withColumn(
         "component", F.coalesce("component", "key"))
 
 
-# -- closed form ------------------------------------------------------------
+# -- groups -----------------------------------------------------------------
 def slots(df: DataFrame, group: str) -> DataFrame:
     """Number of the group that each row lands in: the rank of its own id within its source."""
-    unit = F.when(F.col("req") != "", F.col("req")).otherwise(F.col("external_id"))
-    df = df.withColumn("unit", unit)
-    units = df.filter("unit <> ''").groupBy(group, "provider", "unit").agg(F.min("seq").alias("first_seq"))
-    ranked = running(units, [group, "provider"], F.floor(F.col("first_seq") / SEQ_BUCKET),
-                     [F.col("first_seq")], totals={"slot": F.lit(1)})
-    ranked = ranked.select(group, "provider", "unit", "slot")
-    return df.join(ranked, [group, "provider", "unit"], "left").withColumn(
-        "slot", F.coalesce("slot", F.lit(1)).cast("long")).drop("unit")
+    df = df.withColumn("unit", F.when(F.col("req") != "", F.col("req")).otherwise(F.col("external_id")))
+    named = F.col("unit") != ""
+    units = cut_lineage(df.filter(named).groupBy(group, "provider", "unit").agg(F.min("seq").alias("first_seq")))
+    ranked = running(units, [group, "provider"], ranges(units, F.col("first_seq")),
+                     [F.col("first_seq")], totals={"slot": F.lit(1)}).select(group, "provider", "unit", "slot")
+    # rows without an id of their own never meet the join
+    own = df.filter(named).join(ranked, [group, "provider", "unit"]).withColumn("slot", F.col("slot").cast("long"))
+    return own.unionByName(df.filter(~named).withColumn("slot", F.lit(1).cast("long"))).drop("unit")
 
 
 def set_groups(df: DataFrame, group: str = "component") -> DataFrame:
@@ -163,111 +110,30 @@ def set_groups(df: DataFrame, group: str = "component") -> DataFrame:
     """
     df = cut_lineage(slots(df, group))
     first = df.groupBy(group, "slot").agg(F.min("seq").alias("vacancy"))
-    df = lookup_join(df, first, [group, "slot"], "inner")
+    df = df.join(first, [group, "slot"])
     pairs = df.filter("req <> ''").groupBy("company_norm", "req").agg(
         F.min("vacancy").alias("low"), F.max("vacancy").alias("top")).filter("low <> top")
     member = df.filter("req <> ''").select("company_norm", "req", "vacancy").distinct()
-    same = lookup_join(member, pairs.drop("top"), ["company_norm", "req"], "inner").select(
+    same = member.join(pairs.drop("top"), ["company_norm", "req"]).select(
         F.col("vacancy").alias("a"), F.col("low").alias("b"))
     united = components(same).select(F.col("node").alias("vacancy"), F.col("component").alias("_to"))
-    return lookup_join(df, united, ["vacancy"], "left").withColumn(
+    return df.join(united, ["vacancy"], "left").withColumn(
         "vacancy", F.coalesce("_to", "vacancy")).drop("_to")
 
 
-# -- greedy rules for one bounded component ---------------------------------
-class _Group:
-    def __init__(self, key: str, row) -> None:
-        self.key, self.members, self.ids = key, 0, {}
-        self.best = None
-        self.add(row)
-
-    def add(self, row) -> None:
-        self.members += 1
-        if row.external_id:
-            self.ids.setdefault(row.provider, set()).add(row.external_id)
-        order = (row.rank, -row.n_chars, row.seq)
-        if self.best is None or order < self.best[0]:
-            self.best = (order, row.city_norm, frozenset(row.title_norm.split()))
-
-    def admits(self, row) -> bool:
-        return not row.external_id or not (self.ids.get(row.provider, set()) - {row.external_id})
-
-    def resembles(self, city: str, tokens: frozenset) -> bool:
-        _, own_city, own = self.best
-        return (own_city == city and bool(own) and bool(tokens)
-                and len(own & tokens) / len(own | tokens) >= V.TITLE_SIMILARITY)
-
-
-def resolve_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Arrival-order rules over one component; returns ``seq, group_key``."""
-    groups: list[_Group] = []
-    by_key: dict[str, _Group] = {}
-    by_req: dict[tuple, _Group] = {}
-    seen, out = set(), []
-    for row in pdf.sort_values("seq").itertuples(index=False):
-        tokens = frozenset(row.title_norm.split())
-        owned = (row.company_norm, row.req)
-        target = by_req.get(owned) if row.req else None
-        if target is None and row.key in by_key and by_key[row.key].admits(row):
-            target = by_key[row.key]
-        if target is None:
-            target = next((g for g in groups if g.admits(row) and g.resembles(row.city_norm, tokens)), None)
-        if target is None:
-            name = row.key if row.key not in by_key else f"{row.key}#{row.provider}/{row.external_id}"
-            target = _Group(name, row)
-            groups.append(target)
-            by_key.setdefault(row.key, target)
-        elif (id(target), row.provider, row.external_id) in seen:
-            continue
-        else:
-            target.add(row)
-        seen.add((id(target), row.provider, row.external_id))
-        if row.req:
-            by_req.setdefault(owned, target)
-        out.append((row.seq, target.key))
-    return pd.DataFrame(out, columns=["seq", "group_key"])
-
-
-def assign(sightings: DataFrame, limit: int = 5_000) -> DataFrame:
-    """``seq, group_key`` for every kept sighting."""
-    df = cut_lineage(with_component(drop_repeats(normalized(sightings))))
-    facts = df.groupBy("component").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("key").alias("k1"), F.max("key").alias("k2"))
-    shared = df.filter("req <> ''").groupBy("component", "company_norm", "req").agg(
-        F.count(F.lit(1)).alias("n")).filter("n > 1").select("component").distinct() \
-        .withColumn("shared", F.lit(True))
-    facts = facts.join(shared, "component", "left").select(
-        "component", F.when((F.col("k1") == F.col("k2")) & F.col("shared").isNull(), "closed")
-        .when(F.col("rows") <= limit, "greedy").otherwise("set").alias("how"))
-    df = cut_lineage(lookup_join(df, facts, ["component"], "inner"))
-    present = {r["how"] for r in df.select("how").distinct().collect()}  # at most three values
-
-    def named(part: DataFrame, group: list[str]) -> DataFrame:
-        creator = part.groupBy(*group).agg(F.min_by(
-            F.struct("key", "provider", "external_id"), "seq").alias("c"))
-        return lookup_join(part, creator, group, "inner")
-
-    suffix = F.concat(F.col("c.key"), F.lit("#"), F.col("c.provider"), F.lit("/"), F.col("c.external_id"))
-    def closed() -> DataFrame:
-        part = named(slots(df.filter("how = 'closed'"), "component"), ["component", "slot"])
-        return part.select("seq", F.when(F.col("slot") == 1, F.col("c.key")).otherwise(suffix)
-                           .alias("group_key"))
-
-    def whole() -> DataFrame:
-        return named(set_groups(df.filter("how = 'set'")), ["component", "vacancy"]).select(
-            "seq", suffix.alias("group_key"))
-
-    def greedy() -> DataFrame:
-        columns = ["seq", "company_norm", "title_norm", "city_norm", "key", "req", "provider",
-                   "external_id", "rank", "n_chars"]
-        return df.filter("how = 'greedy'").select("component", *columns).groupBy("component") \
-            .applyInPandas(lambda pdf: resolve_component(pdf), "seq long, group_key string")
-
-    parts = [make() for name, make in (("closed", closed), ("greedy", greedy), ("set", whole))
-             if name in present]
-    if not parts:
-        return df.select("seq", F.col("key").alias("group_key"))
-    return reduce(DataFrame.union, parts)
+def assign(sightings: DataFrame) -> DataFrame:
+    """``seq, group_key`` for every kept sighting.
+
+    A group is named by the key of its first sighting; further groups of the same key add that
+    sighting's source and id.
+    """
+    df = cut_lineage(set_groups(with_component(drop_repeats(normalized(sightings)))))
+    named = df.filter("seq = vacancy").select("vacancy", F.col("key").alias("c_key"), F.concat(
+        F.lit("#"), "provider", F.lit("/"), "external_id").alias("c_rest"))
+    first = named.groupBy("c_key").agg(F.min("vacancy").alias("c_first"))
+    named = named.join(first, "c_key").select("vacancy", F.concat("c_key", F.when(
+        F.col("vacancy") == F.col("c_first"), "").otherwise(F.col("c_rest"))).alias("group_key"))
+    return df.select("seq", "vacancy").join(named, "vacancy").select("seq", "group_key")
 
 
 # -- group facts ------------------------------------------------------------
@@ -301,5 +167,5 @@ def vacancies(member: DataFrame, group: str = "group_key") -> DataFrame:
                       "providers", "duplicates")
 
 
-def dedupe(sightings: DataFrame, limit: int = 5_000) -> DataFrame:
-    return vacancies(members(sightings, assign(sightings, limit)))
+def dedupe(sightings: DataFrame) -> DataFrame:
+    return vacancies(members(sightings, assign(sightings)))

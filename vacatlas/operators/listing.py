@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import labels
-from ..plans.scale import lookup_join
 from ..profile import DEFAULT, Profile
 
 ORDERS = ("newest", "score", "company", "discovered", "salary")
@@ -106,7 +105,7 @@ def find(jobs: DataFrame, companies: DataFrame, query: JobQuery, as_of: Column,
     out = jobs.filter(reduce(lambda a, b: a & b, tests)) if tests else jobs
     if query.tier:
         ids = companies.filter(F.col("tier") == query.tier.lower()).select(F.col("id").alias("company_id"))
-        out = lookup_join(out, ids, ["company_id"], "left_semi")
+        out = out.join(ids, ["company_id"], "left_semi")
     return out
 
 
@@ -138,7 +137,7 @@ def total(found: DataFrame) -> DataFrame:
 def with_tier(jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """Tier of the employer, 'normal' when it is not registered."""
     tiers = companies.select(F.col("id").alias("company_id"), F.col("tier").alias("company_tier"))
-    return lookup_join(jobs, tiers, ["company_id"], "left").withColumn(
+    return jobs.join(tiers, ["company_id"], "left").withColumn(
         "company_tier", F.coalesce("company_tier", F.lit("normal")))
 
 

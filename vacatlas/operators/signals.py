@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import lookup_join
 from ..profile import DEFAULT, Profile
 
 COLUMNS = ["kind", "title", "body", "severity", "dedupe_key", "job_id", "company_id"]
@@ -48,7 +47,7 @@ def run_signals(jobs: DataFrame, companies: DataFrame, run: DataFrame, now: Colu
     # the three best titles per employer as three "next best" aggregates would need
     # sorting; a bounded top-3 window is pruned before the shuffle instead
     from pyspark.sql import Window as W
-    mine = lookup_join(new.select("id", "company_id", "title", "score"), wanted, ["company_id"], "inner")
+    mine = new.select("id", "company_id", "title", "score").join(wanted, ["company_id"], "inner")
     best = W.partitionBy("company_id").orderBy(F.desc("score"), F.asc("id"))
     top = mine.withColumn("rn", F.row_number().over(best)).filter("rn <= 3").groupBy("company_id").agg(
         F.array_sort(F.collect_list(F.struct("rn", "title"))).alias("top"))

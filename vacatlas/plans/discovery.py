@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import companies, dedup, enrich, gates, score, upsert
 from ..profile import DEFAULT, Profile
-from .scale import cut_lineage, spread
+from .scale import cut_lineage
 
 
 def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
@@ -18,8 +18,8 @@ def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
     age, so the costly text facts are only taken from the survivors, which are
     written once in between.
     """
-    vac = dedup.dedupe(spread(sightings))
-    kept = spread(cut_lineage(gates.kept(gates.gate(vac, as_of, profile))))
+    vac = dedup.dedupe(sightings)
+    kept = cut_lineage(gates.kept(gates.gate(vac, as_of, profile)))
     out = score.score(enrich.enrich(kept, profile), profile)
     return companies.resolve_names(out, registry).filter(F.col("score") >= profile.min_score)
 

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names.  A session on one machine may do without and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="vacatlas-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -32,52 +32,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance only when a small input has fewer splits than there are cores.
-
-    Large inputs already have many splits and are left alone (no shuffle).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return size if isinstance(size, int) else int(size.toString())
-
-
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
-                salts: int = SALTS) -> DataFrame:
-    """Equi-join of a large table with a key table, safe when one key is hot.
-
-    If the optimizer's size estimate puts the key table under Spark's broadcast
-    threshold the plain join is left to Spark (no shuffle of the large side).
-    Otherwise the large side is salted and the key table repeated per salt, so
-    a hot key is spread over ``salts`` tasks.
-    """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"lookup_join does not support {how}")
-    limit = int(str(big.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")).rstrip("bB"))
-    if 0 <= estimated_bytes(small) <= limit:
-        return big.join(small, on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*_spreading(big)), salts))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def _spreading(df: DataFrame) -> list[Column]:
-    """Columns that tell rows apart cheaply: short types first, texts only if there is nothing else.
-
-    A hash of the row's own values, not a random number: a recomputed task
-    must send every row to the same place again.
-    """
-    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
-    short = [n for n, k in kinds.items() if k in ("long", "integer", "double", "date", "timestamp", "boolean")]
-    text = [n for n, k in kinds.items() if k == "string"]
-    return [F.col(f"`{n}`") for n in (short if {"long", "double"} & {kinds[n] for n in short} else short + text)]
-
-
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of every group as an aggregate: combined before the shuffle, no group is sorted."""
     rest = [c for c in df.columns if c not in keys]
@@ -85,6 +39,18 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col(f"_row.{c}") for c in rest])
 
 
+def ranges(df: DataFrame, order: Column, rows: int = 1_000_000) -> Column:
+    """Ordered buckets of about ``rows`` rows each: the split follows the rows, not the values.
+
+    The driver holds the bounds, one number per bucket.
+    """
+    n = -(-df.count() // rows)
+    if n < 2:
+        return F.lit(0)
+    bounds = df.agg(F.percentile_approx(order.cast("double"), [i / n for i in range(1, n)], 10_000)).first()[0]
+    return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < order))
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
             totals: dict[str, Column] | None = None, latest: dict[str, Column] | None = None,
             before: bool = False) -> DataFrame:
@@ -125,7 +91,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     which converge in a logarithmic number of rounds and never hold more edges
     than they started with.  Both steps are aggregates and joins on the node.
     A node with very many neighbours is only ever aggregated to its minimum;
-    the join back is skew-safe.  Lineage is cut each round.
+    the join back is plain, so Spark can split a skewed side.  Lineage is cut each round.
     """
     def mark(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -136,10 +102,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds if seen[0] else 0):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (lookup_join(both, low, ["a"], "inner").filter("b > a")
+        large = (both.join(low, "a").filter("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (lookup_join(large, low, ["a"], "inner")
+        small = (large.join(low, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).filter("a <> b")
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
