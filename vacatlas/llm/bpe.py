@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +79,13 @@ class Vocabulary:
 
 
 class Codec:
-    """Encodes and decodes whole texts; one per worker and vocabulary file."""
+    """Encodes and decodes whole texts; one per worker and vocabulary file.
 
-    def __init__(self, path: str):
+    With ``library`` the words are encoded by tiktoken under the same vocabulary instead of the
+    dynamic programme: the same ids, for operators that only need them.
+    """
+
+    def __init__(self, path: str, library: bool = False):
         self.vocabulary = v = Vocabulary(path)
         self.length = [len(t) for t in v.bytes_of]
         self.matches = ahocorasick.Automaton()
@@ -91,7 +96,15 @@ class Codec:
         self.added = re.compile("|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
         self.fits = _Memo(self._fits, 1_000_000)
         self.of_piece = _Memo(self._piece)
-        self.of_word = _Memo(self._word)
+        self.encoding = self._encoding() if library else None
+        self.of_word = _Memo(lambda w: self._word(" " + w))  # by the word behind a space
+
+    def _encoding(self) -> tiktoken.Encoding | None:
+        """The library's coder, if the order of the ids is that of the merges, as it takes for granted."""
+        v = self.vocabulary
+        if any(v.ids[v.bytes_of[a] + v.bytes_of[b]] != r + 256 for (a, b), r in v.rank.items()):
+            return None
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens={})
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at one end of ``token`` while it is being merged, each with the rank that ends it."""
@@ -139,13 +152,15 @@ class Codec:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def _word(self, word: str) -> bytes:
+        if self.encoding is not None:
+            return array.array("I", self.encoding.encode_ordinary(word)).tobytes()
         return b"".join([self.of_piece[p] for p in self.pieces.findall(word)])
 
     def _plain(self, text: str) -> bytes:
         if _AFTER_SPACE.search(text):  # a run of white space that a cut at spaces would split
             return self._word(text)
         first, *rest = text.split(" ")
-        return self.of_word[first] + b"".join([self.of_word[" " + w] for w in rest])
+        return self._word(first) + b"".join(map(self.of_word.__getitem__, rest))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; no ids for a null or empty text."""
@@ -166,13 +181,13 @@ class Codec:
         return b"".join([of[i] for i in array.array("I", ids)]).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def codec(path: str, library: bool = False) -> Codec:
+    if (path, library) not in _CODECS:
+        _CODECS[path, library] = Codec(path, library)
+    return _CODECS[path, library]
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int, key: str, text: s
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, end = codec(path), struct.pack("<I", end_id)
+        c, end = codec(path, library=True), struct.pack("<I", end_id)
         for b in it:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for r, t in enumerate(b.column(1)):
