@@ -142,10 +142,11 @@ def w02(spark, sf):
     return t.filter(F.col("via").isin(P.skill_terms())).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w04_top_paragraphs", sql("SELECT seq, 3 AS n FROM posting_view"))
+@query("w04_top_paragraphs", sql("""
+SELECT seq, array_to_string(list(pid ORDER BY rn), ',') AS pids FROM o_chosen GROUP BY seq"""))
 def w04(spark, sf):
-    book = drafts.load_paragraphs(paragraphs(spark, sf))
-    return drafts.pick(E.skills(view(spark, sf, "posting_view")), book).select("seq", F.size("chosen").alias("n"))
+    picked = drafts.pick(E.skills(view(spark, sf, "posting_view")), paragraphs(spark, sf), key="seq")
+    return picked.select("seq", F.array_join("chosen", ",").alias("pids"))
 
 
 # -- snapshots --------------------------------------------------------------
@@ -216,16 +217,40 @@ def i07(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("i08_edits", sql(f"""
-WITH e AS (SELECT job_id, arg_max(to_status, ("at", to_status)) AS s FROM status_view GROUP BY job_id)
+O["o_steps"] = """
+SELECT s.job_id, s."at", s.to_status, coalesce(lag(s.to_status) OVER (PARTITION BY s.job_id ORDER BY s."at", s.to_status), j.status) AS from_status
+FROM (SELECT DISTINCT job_id, "at", to_status FROM status_view) s JOIN job_view j ON j.id = s.job_id
+"""
+
+
+def status_edits(spark, sf):
+    return view(spark, sf, "status_view").select(F.col("job_id").alias("id"), F.lit("status").alias("field"), F.col("to_status").alias("value"), "at")
+
+
+def note_edits(spark, sf):
+    """Some notes are set, a third of them cleared again, and some follow-ups cleared."""
+    j = jobs(spark, sf).select("id", "seq")
+    note = j.filter("seq % 4 = 0").selectExpr("id", "'notes' AS field", "'call' AS value", "TIMESTAMP '2024-01-30 10:00:00' AS at")
+    clear = j.filter("seq % 12 = 0").selectExpr("id", "'notes' AS field", "CAST(NULL AS STRING) AS value", "TIMESTAMP '2024-01-30 11:00:00' AS at")
+    follow = j.filter("seq % 5 = 0").selectExpr("id", "'follow_up_at' AS field", "CAST(NULL AS STRING) AS value", "TIMESTAMP '2024-01-30 11:00:00' AS at")
+    return note.union(clear).union(follow)
+
+
+@query("i08_edits", sql("""
 SELECT j.id, coalesce(e.s, j.status) AS status,
-  CASE WHEN e.s = 'applied' AND j.status <> 'applied' AND j.applied_at IS NULL THEN {AS_OF_SQL} ELSE j.applied_at END AS applied_at,
-  CASE WHEN e.s = 'applied' AND j.status <> 'applied' AND j.applied_at IS NULL AND j.follow_up_at IS NULL THEN {AS_OF_SQL} + 7 ELSE j.follow_up_at END AS follow_up_at
-FROM job_view j LEFT JOIN e ON e.job_id = j.id""".replace("\nWITH e AS (", "\nSELECT * FROM (WITH e AS (") + ")"))
+  CASE WHEN j.seq % 12 = 0 THEN '' WHEN j.seq % 4 = 0 THEN 'call' ELSE j.notes END AS notes,
+  coalesce(j.applied_at, a.d) AS applied_at,
+  CASE WHEN j.seq % 5 = 0 THEN NULL WHEN j.follow_up_at IS NOT NULL THEN j.follow_up_at WHEN j.applied_at IS NULL THEN CAST(a.d + INTERVAL 7 DAY AS DATE) END AS follow_up_at
+FROM job_view j LEFT JOIN (SELECT job_id, arg_max(to_status, ("at", to_status)) AS s FROM status_view GROUP BY job_id) e ON e.job_id = j.id
+LEFT JOIN (SELECT job_id, CAST(min("at") AS DATE) AS d FROM o_steps WHERE to_status = 'applied' AND from_status <> 'applied' GROUP BY job_id) a ON a.job_id = j.id"""))
 def i08(spark, sf):
-    e = view(spark, sf, "status_view").select(F.col("job_id").alias("id"), F.lit("status").alias("field"),
-                                              F.col("to_status").alias("value"), "at")
-    return U.apply_edits(jobs(spark, sf), e, as_of())[0].select("id", "status", "applied_at", "follow_up_at")
+    edits = status_edits(spark, sf).union(note_edits(spark, sf))
+    return U.apply_edits(jobs(spark, sf), edits)[0].select("id", "status", "notes", "applied_at", "follow_up_at")
+
+
+@query("i08_events", sql('SELECT job_id, from_status, to_status, "at" FROM o_steps WHERE from_status <> to_status'))
+def i08_events(spark, sf):
+    return U.apply_edits(jobs(spark, sf), status_edits(spark, sf))[1]
 
 
 def _run_row(spark):
@@ -297,12 +322,16 @@ def k03(spark, sf):
         "providers_checked", "errors_count", "jobs_new", "jobs_closed")
 
 
-@query("k04_drafts", sql("SELECT id AS job_id, 'For ' || title || ' at ' || company_name || ' on 31 January 2024' AS head FROM job_view WHERE is_new AND score >= 60"))
+@query("k04_drafts", sql("""
+SELECT j.id AS job_id, 'For ' || j.title || ' at ' || j.company_name || ' on 31 January 2024' || chr(10) || b.bullets || chr(10)
+  || 'You ask for PyTorch; I use these at work.' || chr(10) || 'A. Reader' AS letter
+FROM job_view j, (SELECT array_to_string(list(text ORDER BY rn), chr(10) || chr(10)) AS bullets FROM (
+  SELECT text, row_number() OVER (ORDER BY CASE WHEN item_id % 5 = 0 THEN 0 ELSE 1 END, item_id) AS rn FROM benchmark) WHERE rn <= 3) b
+WHERE j.is_new AND j.score >= 60"""))
 def k04(spark, sf):
-    book = drafts.load_paragraphs(paragraphs(spark, sf))
-    j = jobs(spark, sf).withColumns({"skills": F.array(F.lit("pytorch")), "domains": F.array().cast("array<string>")})
+    j = jobs(spark, sf).withColumns({"skills": F.array(F.lit("pytorch")), "domains": F.array().cast("array<string>"), "role_category": F.lit("")})
     frame = "For {{ROLE}} at {{COMPANY}} on {{DATE}}\n{{BULLETS}}\n{{SKILLS_LINE}}\n{{NAME}}"
-    return drafts.letters(j, book, frame, as_of()).select("job_id", F.substring_index("letter", "\n", 1).alias("head"))
+    return drafts.letters(j, paragraphs(spark, sf), frame, as_of()).select("job_id", "letter")
 
 
 # -- governance -------------------------------------------------------------

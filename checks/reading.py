@@ -212,10 +212,10 @@ def t04(spark, sf):
 
 @query("t05_board", sql(f"""
 SELECT status, id, due, score, row_number() OVER (PARTITION BY status ORDER BY due DESC, score DESC, id)::INT AS position FROM (
-  SELECT *, coalesce(follow_up_at <= {AS_OF_SQL}, false) AS due, row_number() OVER (PARTITION BY status ORDER BY {_SQL_ORDER['newest']}) AS n
-  FROM job_view WHERE NOT hidden AND status IN ({', '.join(map(q, V.PIPELINE_STAGES))})) WHERE n <= 200"""))
+  SELECT *, coalesce(follow_up_at <= {AS_OF_SQL}, false) AS due
+  FROM job_view WHERE NOT hidden AND status IN ({', '.join(map(q, V.PIPELINE_STAGES))})) QUALIFY position <= 200"""))
 def t05(spark, sf):
-    return L.board(jobs(spark, sf), as_of())
+    return L.board(jobs(spark, sf), as_of(), per_stage=200)
 
 
 _TIER = sql_lookup("tier", C.TIER_ORDER, "9")
@@ -507,19 +507,20 @@ def paragraphs(spark, sf):
         F.col("item_id").cast("int").alias("ord"))
 
 
-@query("j08_letter_paragraphs", sql("""
-SELECT seq, pid, rn AS position FROM (SELECT seq, pid, row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN ex > 0 THEN ex ELSE lo END DESC, ord)::INT AS rn FROM (
-SELECT s.seq, p.pid, p.ord, len(list_intersect(p.tags, s.w))::DOUBLE AS ex,
+O["o_chosen"] = """
+SELECT seq, pid, text, rn FROM (SELECT seq, pid, text, row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN ex > 0 THEN ex ELSE lo END DESC, ord)::INT AS rn FROM (
+SELECT s.seq, p.pid, p.ord, p.text, len(list_intersect(p.tags, s.w))::DOUBLE AS ex,
   0.5 * list_sum(list_transform(p.tags, lambda t: len(list_filter(s.w, lambda w: contains(w, t) OR contains(t, w))))) AS lo
 FROM (SELECT seq, list_distinct(list_concat(list_concat(skills, domains), CASE WHEN role_category <> '' THEN [lower(role_category)] ELSE [] END)) AS w FROM o_skills) s,
- (SELECT 'p' || item_id::VARCHAR AS pid, item_id AS ord, CASE item_id % 5 WHEN 0 THEN ['pytorch', 'vision'] WHEN 1 THEN ['docker', 'mlops']
-   WHEN 2 THEN ['rag', 'llm'] WHEN 3 THEN ['robotics', 'automotive'] ELSE ['sql', 'python'] END AS tags FROM benchmark) p)) WHERE rn <= 3"""))
+ (SELECT 'p' || item_id::VARCHAR AS pid, item_id AS ord, text, CASE item_id % 5 WHEN 0 THEN ['pytorch', 'vision'] WHEN 1 THEN ['docker', 'mlops']
+   WHEN 2 THEN ['rag', 'llm'] WHEN 3 THEN ['robotics', 'automotive'] ELSE ['sql', 'python'] END AS tags FROM benchmark) p)) WHERE rn <= 3
+"""
+
+
+@query("j08_letter_paragraphs", sql("SELECT seq, pid, rn AS position FROM o_chosen"))
 def j08(spark, sf):
-    book = drafts.load_paragraphs(paragraphs(spark, sf))
-    picked = drafts.pick(E.skills(view(spark, sf, "posting_view")), book)
-    # the outer form: the plain one adds a filter on the list, which would compute it twice
-    return picked.select("seq", F.posexplode_outer("chosen").alias("p", "c")).select(
-        "seq", "c.pid", (F.col("p") + 1).alias("position"))
+    picked = drafts.pick(E.skills(view(spark, sf, "posting_view")), paragraphs(spark, sf), key="seq")
+    return picked.select("seq", F.posexplode("chosen").alias("p", "pid")).select("seq", "pid", (F.col("p") + 1).alias("position"))
 
 
 @query("j10_phrase_rules", sql("SELECT seq, 'NO-VISA' AS code FROM posting_view WHERE contains(lower(description), 'no sponsorship')"))

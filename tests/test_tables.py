@@ -167,13 +167,13 @@ def test_upsert_is_idempotent_and_keeps_human_columns(spark):
     first = U.upsert(U.empty_snapshot(run), run, NOW)
     edits = spark.createDataFrame([("a", "status", "applied", dt.datetime(2024, 1, 30)), ("a", "notes", "call", dt.datetime(2024, 1, 30)),
                                    ("a", "starred", "true", dt.datetime(2024, 1, 30))], "id string, field string, value string, at timestamp")
-    edited, events = U.apply_edits(first, edits, AS_OF)
+    edited, events = U.apply_edits(first, edits)
     assert [(e.from_status, e.to_status) for e in events.collect()] == [("new", "applied")]
     again = spark.createDataFrame([("a", "x", "t2", 88, None, "unknown", None)], JOB)
     up = spark.createDataFrame([("x",)], "source string")
     out = {r.id: r for r in U.upsert(edited, again, NOW, up).collect()}
     assert (out["a"].score, out["a"].status, out["a"].notes, out["a"].starred, out["a"].times_seen) == (88, "applied", "call", True, 2)
-    assert out["a"].applied_at == dt.date(2024, 1, 31) and out["a"].follow_up_at == dt.date(2024, 2, 7)
+    assert out["a"].applied_at == dt.date(2024, 1, 30) and out["a"].follow_up_at == dt.date(2024, 2, 6)
     assert out["b"].is_open and not out["a"].is_new            # a silent source closes nothing
     closed = {r.id: r for r in U.upsert(edited, again, NOW).collect()}
     assert not closed["b"].is_open and closed["b"].removed_at is not None
@@ -181,6 +181,25 @@ def test_upsert_is_idempotent_and_keeps_human_columns(spark):
     assert reopened["b"].is_open and reopened["b"].removed_at is None
 
 
+def test_edits_keep_the_whole_history_and_can_clear(spark):
+    run = spark.createDataFrame([("a", "x", "t", 80, None, "unknown", None)], JOB)
+    at = lambda d: dt.datetime(2024, 1, d)
+    edits = spark.createDataFrame([("a", "status", "applied", at(3)), ("a", "status", "interview", at(9)), ("a", "notes", "call", at(3)),
+                                   ("a", "notes", None, at(4)), ("a", "starred", "no boolean", at(4)), ("z", "status", "applied", at(3))],
+                                  "id string, field string, value string, at timestamp")
+    edited, events = U.apply_edits(U.upsert(U.empty_snapshot(run), run, NOW), edits)
+    assert sorted((e.from_status, e.to_status, e.at) for e in events.collect()) == [("applied", "interview", at(9)), ("new", "applied", at(3))]
+    r = edited.first()
+    assert (r.status, r.notes, r.starred, r.applied_at, r.follow_up_at) == ("interview", "", False, dt.date(2024, 1, 3), dt.date(2024, 1, 10))
+
+
+def test_board_keeps_what_is_overdue(spark):
+    rows = [(f"n{i}", "applied", False, 50, dt.date(2024, 1, 30), None) for i in range(20)] + [("old", "applied", False, 10, dt.date(2020, 1, 1), dt.date(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id string, status string, hidden boolean, score int, posted_at date, follow_up_at date")
+    got = L.board(df, AS_OF, per_stage=5).orderBy("position").collect()
+    assert len(got) == 5 and (got[0].id, got[0].due) == ("old", True)
+
+
 def test_health_continues_like_one_fold(spark):
     rnd = random.Random(3)
     rows = [(i, "lever", f"t{rnd.randint(0, 2)}", rnd.choice(["healthy", "failed", "failed", "rate_limited", "skipped"]),

@@ -3,34 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions.terms import constant_array, lookup
+from ..functions.terms import lookup
 from ..profile import DEFAULT, Profile
 
-MAX_PARAGRAPHS = 500
 
+def _substrings(c: Column) -> Column:
+    """Every part of a short term."""
+    n = F.length(c)
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(c, i, k)))))
 
-def load_paragraphs(paragraphs: DataFrame) -> list[tuple[str, list[str], str, int]]:
-    """The paragraph book of one letter; refused when it is no longer a small document."""
-    rows = paragraphs.select("pid", "tags", "text", "ord").orderBy("ord").limit(MAX_PARAGRAPHS + 1).collect()
-    if len(rows) > MAX_PARAGRAPHS:
-        raise ValueError(f"a letter holds at most {MAX_PARAGRAPHS} paragraphs")
-    return [(r.pid, list(r.tags), r.text, r.ord) for r in rows]
 
+def tag_scores(wanted: DataFrame, tags: DataFrame) -> DataFrame:
+    """(term, tag, exact): pairs of a wanted term and a tag that are equal or of which one contains the other.
 
-def paragraph_scores(wanted: Column, book) -> Column:
-    """Paragraphs by tag overlap, else half a point per tag that contains or is part of a wanted term."""
-    entries = []
-    for pid, tags, _, order in book:
-        tags_c = constant_array([t.lower() for t in tags])
-        exact = F.size(F.array_intersect(tags_c, wanted)).cast("double")
-        loose = F.aggregate(tags_c, F.lit(0.0), lambda a, t: a + F.size(F.filter(
-            wanted, lambda w: F.contains(w, t) | F.contains(t, w))) * 0.5)
-        entries.append(F.struct((-F.when(exact > 0, exact).otherwise(loose)).alias("minus"),
-                                F.lit(order).alias("ord"), F.lit(pid).alias("pid")))
-    return F.array_sort(F.array(*entries))
+    Found by equi-joins on the parts of the terms and of the tags, never by comparing all with all.
+    """
+    term = wanted.select("term").filter("term <> ''").distinct()
+    tag = tags.select("tag").filter("tag <> ''").distinct()
+    inside = term.select("term", _substrings(F.col("term")).alias("tag")).distinct().join(tag, "tag")
+    around = tag.select("tag", _substrings(F.col("tag")).alias("term")).distinct().join(term, "term")
+    both = inside.select("term", "tag").union(around.select("term", "tag")).distinct()
+    return both.select("term", "tag", (F.col("term") == F.col("tag")).alias("exact"))
 
 
 def wanted_terms(skills: Column, domains: Column, category: Column) -> Column:
@@ -39,15 +37,32 @@ def wanted_terms(skills: Column, domains: Column, category: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(skills, domains, named), F.lower))
 
 
-def pick(jobs: DataFrame, book, how_many: int = 3) -> DataFrame:
-    """Adds ``chosen``: the best paragraphs, always as many as asked for.
+def pick(jobs: DataFrame, paragraphs: DataFrame, how_many: int = 3, key: str = "id") -> DataFrame:
+    """Adds ``chosen``: the ids of the best paragraphs ``(pid, tags, text, ord)``, always as many as asked for.
 
-    The book is small and constant, so it is part of the expression: no join,
-    no pairs of jobs and paragraphs are ever written out.
+    A paragraph scores by the tags that are wanted terms, else half a point per tag and term of which
+    one contains the other; ties go by ``ord``.  Paragraphs with the same tags score alike, so only
+    the first ``how_many`` of them can be chosen, and jobs meet tag lists, not paragraphs.
     """
-    # a column of its own: every paragraph looks at it, and it must be computed once per job
-    df = jobs.withColumn("_wanted", wanted_terms(F.col("skills"), F.col("domains"), F.col("role_category")))
-    return df.withColumn("chosen", F.slice(paragraph_scores(F.col("_wanted"), book), 1, how_many)).drop("_wanted")
+    book = paragraphs.select("pid", "ord", F.transform("tags", F.lower).alias("tags"))
+    same = W.partitionBy("tags").orderBy("ord", "pid")
+    first = book.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= how_many).drop("_n")
+    lists = first.select("tags").distinct().withColumn("list", F.xxhash64("tags"))
+    tags = lists.select("list", F.explode("tags").alias("tag"))
+    wanted = jobs.select(F.col(key).alias("_key"), F.explode(wanted_terms(
+        F.col("skills"), F.col("domains"), F.col("role_category"))).alias("term"))
+    hits = (wanted.join(tag_scores(wanted, tags), "term").join(tags, "tag").groupBy("_key", "list").agg(
+        F.countDistinct(F.when(F.col("exact"), F.col("tag"))).alias("equal"), (0.5 * F.count(F.lit(1))).alias("loose")))
+    scored = hits.select("_key", "list", F.when(F.col("equal") > 0, F.col("equal").cast("double")).otherwise(F.col("loose")).alias("score"))
+    best = W.partitionBy("_key").orderBy(F.desc("score"), "ord", "pid")
+    named = (scored.join(first.withColumn("list", F.xxhash64("tags")), "list").withColumn("_n", F.row_number().over(best))
+             .filter(F.col("_n") <= how_many).groupBy("_key")
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "pid"))), lambda x: x["pid"]).alias("_named")))
+    rest = F.array(*[F.lit(r["pid"]) for r in paragraphs.orderBy("ord", "pid").limit(how_many).collect()]).cast("array<string>")
+    named_or_none = F.coalesce("_named", F.array().cast("array<string>"))
+    out = jobs.join(named, jobs[key] == named["_key"], "left").withColumn(
+        "chosen", F.slice(F.concat(named_or_none, F.array_except(rest, named_or_none)), 1, how_many))
+    return out.drop("_key", "_named")
 
 
 def skills_line(skills: Column) -> Column:
@@ -60,11 +75,14 @@ def skills_line(skills: Column) -> Column:
         F.lit("My daily tools are Python, SQL and Spark."))
 
 
-def letters(jobs: DataFrame, book, frame: str, as_of: Column, profile: Profile = DEFAULT) -> DataFrame:
+def letters(jobs: DataFrame, paragraphs: DataFrame, frame: str, as_of: Column, profile: Profile = DEFAULT) -> DataFrame:
     """Draft letter, job description and checklist for every new job above the draft line."""
-    text = {pid: body for pid, _, body, _ in book}
-    df = pick(jobs.filter(F.col("is_new") & (F.col("score") >= profile.draft_min_score)), book)
-    bullets = F.array_join(F.transform("chosen", lambda c: lookup(c["pid"], text, "")), "\n\n")
+    df = pick(jobs.filter(F.col("is_new") & (F.col("score") >= profile.draft_min_score)), paragraphs)
+    body = (df.select("id", F.posexplode("chosen").alias("_at", "pid")).join(paragraphs.select("pid", "text"), "pid")
+            .groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]),
+                                            "\n\n").alias("_bullets")))
+    df = df.join(body, "id", "left")
+    bullets = F.coalesce("_bullets", F.lit(""))
     place = F.coalesce(F.col("location_raw"), F.lit(""))
     values = {
         "{{DATE}}": F.date_format(as_of, "dd MMMM yyyy"), "{{ROLE}}": F.col("title"),
@@ -81,4 +99,4 @@ def letters(jobs: DataFrame, book, frame: str, as_of: Column, profile: Profile =
                           F.concat(F.lit("Source: "), "source"), F.lit(""), "url", F.lit(""),
                           F.coalesce(F.nullif("description", F.lit("")), F.lit("(not captured)")))
     return df.select(F.col("id").alias("job_id"), as_of.alias("drafted_on"), letter.alias("letter"),
-                     posting.alias("job_description"), F.transform("chosen", lambda c: c["pid"]).alias("paragraphs"))
+                     posting.alias("job_description"), F.col("chosen").alias("paragraphs"))

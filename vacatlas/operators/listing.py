@@ -205,16 +205,13 @@ def overview(jobs: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         second.join(first_ids, "id", "left_anti").select("id", "score", F.lit("worth").alias("list")))
 
 
-def board(jobs: DataFrame, as_of: Column, per_stage: int = 200) -> DataFrame:
-    """Pipeline columns: due follow-ups first, then the score; a top-k per stage."""
+def board(jobs: DataFrame, as_of: Column, per_stage: int) -> DataFrame:
+    """Pipeline columns: the first ``per_stage`` of each, due follow-ups first, then the score."""
     due = F.coalesce(F.col("follow_up_at") <= as_of, F.lit(False))
-    # the newest rows of a stage are fetched, then ordered within it
-    fetch = W.partitionBy("status").orderBy(*ordering("newest"))
     show = W.partitionBy("status").orderBy(F.desc("due"), F.desc("score"), F.asc("id"))
     return (jobs.filter(F.col("status").isin(V.PIPELINE_STAGES) & ~F.col("hidden"))
-            .withColumn("due", due).withColumn("_n", F.row_number().over(fetch))
-            .filter(F.col("_n") <= per_stage)
-            .withColumn("position", F.row_number().over(show))
+            .withColumn("due", due).withColumn("position", F.row_number().over(show))
+            .filter(F.col("position") <= per_stage)
             .select("status", "id", "due", "score", "position"))
 
 

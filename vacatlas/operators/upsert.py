@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.scale import first_per
+from ..plans.scale import first_per, ranges, running
 from ..profile import DEFAULT, Profile
 from ..schemas import BOOKKEEPING, HUMAN_COLUMNS, HUMAN_DEFAULTS
 
@@ -114,30 +114,45 @@ def archive(snapshot: DataFrame, now: Column, profile: Profile = DEFAULT) -> tup
     return snapshot.filter(~gone), snapshot.filter(gone)
 
 
-def apply_edits(snapshot: DataFrame, edits: DataFrame, as_of: Column,
-                profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def status_events(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
+    """Every change of status in a feed: job_id, from_status, to_status, at.
+
+    The status before an edit is the latest earlier one of the feed, else the snapshot's.  It is a
+    running value over ranges of rows, so a job with a large share of the feed is no single task.
+    """
+    feed = edits.filter((F.col("field") == "status") & F.col("value").isNotNull()).select("id", "at", "value").distinct()
+    feed = feed.join(snapshot.select("id", F.col("status").alias("_status")), "id")
+    step = running(feed, ["id"], ranges(feed, F.unix_micros("at")), [F.col("at"), F.col("value")],
+                   latest={"_before": F.struct("at", "value")}, before=True)
+    return step.select(F.col("id").alias("job_id"), F.coalesce("_before.value", "_status").alias("from_status"),
+                       F.col("value").alias("to_status"), "at").filter("from_status <> to_status")
+
+
+def apply_edits(snapshot: DataFrame, edits: DataFrame, profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Apply a feed of edits ``(id, field, value, at)``; returns (snapshot, status events).
 
-    The latest value per job and field wins, by an aggregate.  Moving to
-    'applied' fills the date and a follow-up unless they are set.
+    The latest edit per job and field wins; a null value clears the field (to its default), a value
+    that is none of the field's type changes nothing.  The first move to 'applied' sets the date it
+    happened and a follow-up, unless they are set.
     """
+    events = status_events(snapshot, edits)
+    own = {f: F.col("field") == f for f in HUMAN_COLUMNS}
     latest = edits.groupBy("id").agg(*[
-        F.max_by(F.when(F.col("field") == f, F.col("value")),
-                 F.when(F.col("field") == f, F.struct("at", "value"))).alias(f"_e_{f}")
-        for f in HUMAN_COLUMNS])
-    df = snapshot.join(latest, "id", "left")
-    value = {f: F.coalesce(F.col(f"_e_{f}").try_cast(t), F.col(f)) for f, t in HUMAN_COLUMNS.items()
-             if f in snapshot.columns}
-    first = (F.col("_e_status") == "applied") & (F.col("status") != "applied") & value["applied_at"].isNull()
-    first = F.coalesce(first, F.lit(False))
+        F.max_by(F.when(own[f], F.struct("value")), F.when(own[f], F.struct("at", "value"))).alias(f"_e_{f}") for f in HUMAN_COLUMNS])
+    moved = events.filter("to_status = 'applied'").groupBy(F.col("job_id").alias("id")).agg(F.to_date(F.min("at")).alias("_applied"))
+    df = snapshot.join(latest, "id", "left").join(moved, "id", "left")
+    value = {}
+    for f, t in HUMAN_COLUMNS.items():
+        if f in snapshot.columns:
+            given, default = F.col(f"_e_{f}.value"), F.lit(HUMAN_DEFAULTS.get(f)).cast(t)
+            value[f] = (F.when(F.col(f"_e_{f}").isNull(), F.col(f)).when(given.isNull(), default)
+                        .otherwise(F.coalesce(given.try_cast(t), F.col(f))))
+    first = F.col("_applied").isNotNull() & value["applied_at"].isNull() & F.col("_e_applied_at").isNull()
     days = profile.follow_up_after_days
-    follow = F.when(first & value["follow_up_at"].isNull() & F.lit(days > 0), F.date_add(as_of, days))
-    value["applied_at"] = F.when(first, as_of).otherwise(value["applied_at"])
+    follow = F.when(first & F.col("_e_follow_up_at").isNull() & F.lit(days > 0), F.date_add("_applied", days))
+    value["applied_at"] = F.when(first, F.col("_applied")).otherwise(value["applied_at"])
     value["follow_up_at"] = F.coalesce(value["follow_up_at"], follow)
-    out = df.select(*[value[c].alias(c) if c in value else F.col(c) for c in snapshot.columns])
-    events = df.filter(F.col("_e_status").isNotNull() & (F.col("_e_status") != F.col("status"))).select(
-        F.col("id").alias("job_id"), F.col("status").alias("from_status"), F.col("_e_status").alias("to_status"))
-    return out, events
+    return df.select(*[value[c].alias(c) if c in value else F.col(c) for c in snapshot.columns]), events
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
