@@ -196,6 +196,16 @@ def i03(spark, sf):
     return merged(spark, sf).filter((F.col("removed_at") == now()) & ~F.col("is_open")).select("id")
 
 
+@query("i03_close_target", sql("""
+SELECT id FROM o_merge WHERE known AND NOT seen AND was_open AND CAST(substr(id, 5) AS BIGINT) % 2 = 0 AND source IN ('greenhouse', 'workday')"""))
+def i03_target(spark, sf):
+    """Two boards per source, of which only one answered."""
+    board = F.when(F.substring("id", 5, 20).cast("long") % 2 == 0, "even").otherwise("odd")
+    up = spark.createDataFrame([("greenhouse", "even"), ("workday", "even")], "source string, target string")
+    out = U.upsert(old_snapshot(spark, sf).withColumn("target", board), this_run(spark, sf).withColumn("target", board), now(), up)
+    return out.filter((F.col("removed_at") == now()) & ~F.col("is_open")).select("id")
+
+
 @query("i04_new_flag", sql("SELECT id, (seen AND NOT known) AS is_new FROM o_merge"))
 def i04(spark, sf):
     return merged(spark, sf).select("id", "is_new")

@@ -249,29 +249,55 @@ def test_filter_documents():
         L.ordering("random")
 
 
-def test_stream_merges_batches(spark, tmp_path):
+def test_stream_merges_batches_and_closes_per_target(spark, tmp_path):
     from vacatlas.streaming import ingest
     land, root = tmp_path / "land", str(tmp_path / "jobs")
     land.mkdir()
 
-    def drop(n, titles):
+    def drop(n, target, titles, name=None):
         jobs = [{"id": t, "title": t, "absolute_url": f"https://x/{t}", "location": {"name": "Munich"}, "first_published": "2024-01-30"} for t in titles]
-        row = {"provider": "greenhouse", "target": "acme", "company": "Acme", "tier": "high", "fetched_at": f"2024-01-31T0{n}:00:00", "seq": n, "payload": json.dumps({"jobs": jobs})}
-        (land / f"{n}.json").write_text(json.dumps(row) + "\n")
-
-    registry = spark.createDataFrame([("acme", "Acme", None)], "id string, name string, aliases array<string>")
-
-    def go():
-        stream = ingest.sightings(landing.read_stream(spark, str(land), files_per_batch=1), AS_OF)
-        ingest.merge_batches(stream, registry, root, str(tmp_path / "ck"), AS_OF, NOW).awaitTermination()
-
-    drop(1, ["Machine Learning Engineer", "Data Scientist"])
-    go()
-    drop(2, ["Machine Learning Engineer"])
-    go()
-    out = {r.title: r for r in ingest.latest_snapshot(spark, root, 99).collect()}
+        row = {"provider": "greenhouse", "target": target, "company": target.title(), "tier": "high", "fetched_at": f"2024-01-31T0{n}:00:00", "seq": n, "payload": json.dumps({"jobs": jobs})}
+        (land / f"{name or n}.json").write_text(json.dumps(row) + "\n")
+
+    registry = spark.createDataFrame([(t, t.title(), None) for t in ("acme", "beta", "core")], "id string, name string, aliases array<string>")
+    ends = []
+
+    def finished(s):
+        return s.createDataFrame([("greenhouse", *e) for e in ends], "source string, target string, state string, first_seq long, last_seq long")
+
+    def go(files=10):
+        stream = ingest.sightings(landing.read_stream(spark, str(land), files_per_batch=files), AS_OF)
+        ingest.merge_batches(stream, registry, root, str(tmp_path / "ck"), AS_OF, NOW, outcomes=finished).awaitTermination()
+        return {r.title: r for r in ingest.latest_snapshot(spark, root, 99).collect()}
+
+    ends += [("acme", "healthy", 1, 1), ("beta", "healthy", 2, 2), ("core", "healthy", 3, 3)]
+    drop(1, "acme", ["Machine Learning Engineer", "Data Scientist"])
+    drop(2, "beta", ["Data Engineer"])
+    drop(3, "core", ["Research Scientist", "Perception Engineer", "Robotics Engineer"])
+    assert all(r.is_open for r in go().values())
+    # acme changed, beta's payload is the same as before, core's next fetch has two payloads in two batches
+    ends[:] = [("acme", "healthy", 4, 4), ("beta", "healthy", 5, 5), ("core", "healthy", 6, 7)]
+    drop(4, "acme", ["Machine Learning Engineer"])
+    drop(5, "beta", ["Data Engineer"])
+    drop(6, "core", ["Research Scientist"])
+    out = go()
     assert out["Machine Learning Engineer"].times_seen == 2 and out["Machine Learning Engineer"].is_open
     assert not out["Data Scientist"].is_open and out["Data Scientist"].company_id == "acme"
+    assert out["Data Engineer"].is_open and out["Data Engineer"].times_seen == 2
+    assert out["Robotics Engineer"].is_open and out["Perception Engineer"].is_open       # core is not read to its end
+    drop(7, "core", ["Perception Engineer"])
+    drop(7, "core", ["Perception Engineer"], name="again")                              # delivered twice
+    out = go()
+    assert out["Research Scientist"].is_open and out["Perception Engineer"].is_open and not out["Robotics Engineer"].is_open
+    assert out["Perception Engineer"].times_seen == 2 and out["Data Engineer"].is_open
+
+
+def test_only_complete_fetches_close(spark):
+    jobs = spark.createDataFrame([("a", "s", "x", True, 4), ("b", "s", "x", True, 9), ("c", "s", "y", True, 4), ("d", "t", "x", True, 4), ("e", "s", "x", False, 1)],
+                                 "id string, source string, target string, is_open boolean, seen_seq long").withColumn("removed_at", F.lit(None).cast("timestamp"))
+    ends = spark.createDataFrame([("s", "x", 3), ("s", "x", 7), ("u", "x", 9)], "source string, target string, first_seq long")
+    out = {r.id: (r.is_open, r.removed_at is not None) for r in U.close_missing(jobs, ends, NOW).collect()}
+    assert out == {"a": (False, True), "b": (True, False), "c": (True, False), "d": (True, False), "e": (False, False)}
 
 
 def test_plans_push_filters_and_never_sort_everything(spark, tmp_path):

@@ -154,7 +154,7 @@ def vacancies(member: DataFrame, group: str = "group_key") -> DataFrame:
     All of it is one aggregate that combines before the shuffle, so a group
     of any size costs no more than its share of the scan.
     """
-    own = [c for c in ("seq", "provider", "company", "title", "url", "location", "external_id",
+    own = [c for c in ("seq", "provider", "target", "company", "title", "url", "location", "external_id",
                        "tier", "tags", "structured") if c in member.columns]
     text = F.coalesce("description", F.lit(""))
     agg = member.groupBy(group).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.scale import first_per, ranges, running
 from ..profile import DEFAULT, Profile
+from ..sources.providers import PLACE_BITS
 from ..schemas import BOOKKEEPING, HUMAN_COLUMNS, HUMAN_DEFAULTS
 
 
@@ -26,7 +27,9 @@ def job_rows(scored: DataFrame, key: str = "group_key") -> DataFrame:
         cut("location", 300).alias("location_raw"), cut("city", 120).alias("city"), "country",
         "remote_policy", "employment_type", cut("description", 60_000).alias("description"),
         F.substring(T.summarise(c("description")), 1, 1200).alias("summary"),
-        c("posted").alias("posted_at"), c("provider").alias("source"), "seniority",
+        c("posted").alias("posted_at"), c("provider").alias("source"),
+        *([F.coalesce("target", F.lit("")).alias("target")] if "target" in scored.columns else []),
+        *([F.shiftright("seq", PLACE_BITS).alias("seen_seq")] if "seq" in scored.columns else []), "seniority",
         "experience_min_years", "experience_max_years", "language_requirement", "language_evidence",
         "salary_basis", "salary_min", "salary_max", "salary_currency", "salary_period",
         "salary_annual_eur_min", "salary_annual_eur_max", "salary_evidence",
@@ -44,9 +47,9 @@ def upsert(snapshot: DataFrame, run: DataFrame, now: Column,
 
     Run columns come from the run where it saw the job, human columns always
     from the snapshot, bookkeeping from both.  Unseen open jobs are closed;
-    with ``healthy_sources(source)`` only those whose source answered, so a
-    failed source closes nothing.  Ids are unique on both sides, so the join
-    has no hot key.
+    with ``healthy_sources(source[, target])`` only those whose source (and
+    target) answered, so a failed source closes nothing.  Ids are unique on
+    both sides, so the join has no hot key.
     """
     run_columns = [c for c in run.columns if c != "id"]
     human = [c for c in HUMAN_COLUMNS if c in snapshot.columns]
@@ -54,8 +57,8 @@ def upsert(snapshot: DataFrame, run: DataFrame, now: Column,
     old = snapshot.withColumn("_known", F.lit(True))
     df = old.join(new, "id", "full_outer")
     if healthy_sources is not None:
-        up = healthy_sources.select(F.col("source"), F.lit(True).alias("_up")).distinct()
-        df = df.join(up, "source", "left")
+        on = [c for c in ("source", "target") if c in healthy_sources.columns]
+        df = df.join(healthy_sources.select(*on, F.lit(True).alias("_up")).distinct(), on, "left")
         may_close = F.coalesce("_up", F.lit(False))
     else:
         may_close = F.lit(True)
@@ -75,6 +78,20 @@ def upsert(snapshot: DataFrame, run: DataFrame, now: Column,
         F.when(closing, now).when(seen, F.lit(None)).otherwise(F.col("removed_at")).alias("removed_at"))
 
 
+def close_missing(snapshot: DataFrame, complete: DataFrame, now: Column) -> DataFrame:
+    """Close open jobs that a complete fetch of their source did not hold.
+
+    ``complete(source, target, first_seq)`` has one row per source that was read to its end, with
+    the number of the fetch's first payload; a job last seen in an earlier payload is gone.  Sources
+    without a row close nothing, however many of their payloads have arrived.
+    """
+    ends = complete.groupBy("source", "target").agg(F.max("first_seq").alias("_first"))
+    df = snapshot.join(ends, ["source", "target"], "left")
+    gone = F.coalesce(F.col("is_open") & (F.col("seen_seq") < F.col("_first")), F.lit(False))
+    return df.withColumns({"is_open": F.col("is_open") & ~gone,
+                           "removed_at": F.when(gone, now).otherwise(F.col("removed_at"))}).select(snapshot.columns)
+
+
 def empty_snapshot(run: DataFrame) -> DataFrame:
     """A snapshot with no rows and every column a first run needs."""
     cols = {n: F.lit(None).cast(t) for n, t in {**HUMAN_COLUMNS, **BOOKKEEPING}.items()}

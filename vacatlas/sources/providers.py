@@ -228,7 +228,9 @@ def normalize_all(raw: DataFrame, as_of: Column, providers=None) -> DataFrame:
     # outer plus a test of the place: a plain explode also filters on its array,
     # which would take every payload apart twice
     rows = raw.select(F.posexplode_outer(branches).alias("pos", "s")).filter("pos IS NOT NULL").select("s.*", "pos")
-    return rows.withColumn("seq", F.shiftleft("seq", PLACE_BITS) + F.col("pos")).drop("pos")
+    place = F.when(F.col("pos") < 1 << PLACE_BITS, F.col("pos")).otherwise(
+        F.raise_error(F.lit("a payload holds too many postings for the numbering")).cast("int"))
+    return rows.withColumn("seq", F.shiftleft("seq", PLACE_BITS) + place).drop("pos")
 
 
 def _rows(name: str, as_of: Column) -> Column:

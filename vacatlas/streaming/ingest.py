@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import health
-from ..operators.upsert import empty_snapshot, job_rows, upsert, write_snapshot
+from ..operators.upsert import close_missing, empty_snapshot, job_rows, upsert, write_snapshot
 from ..plans.discovery import run, scored_vacancies
 from ..profile import DEFAULT, Profile
-from ..sources.providers import normalize_all
+from ..sources.providers import PLACE_BITS, normalize_all
 
 
 def sightings(raw: DataFrame, as_of: Column, lateness: str = "2 days") -> DataFrame:
-    """Sightings of a payload stream; the same content of the same posting passes once.
+    """Sightings of a payload stream; a payload that is delivered again passes once.
 
-    Duplicates are dropped on the payload, before it is taken apart: one small
-    key per payload is held as state, and only for the watermark's span.
-    Payloads later than that stay in the landing zone for a batch replay.
+    Payloads are told apart by source, target, number and content: a later fetch with the same
+    content is a new sighting, because its postings are still there.  One small key per payload is
+    held as state, and only for the watermark's span; payloads later than that stay in the landing
+    zone for a batch replay.
     """
     once = (raw.withWatermark("fetched_at", lateness)
             .withColumn("content", F.xxhash64("payload"))
-            .dropDuplicatesWithinWatermark(["provider", "target", "content"]))
+            .dropDuplicatesWithinWatermark(["provider", "target", "seq", "content"]))
     return normalize_all(once, as_of)
 
 
@@ -43,21 +46,29 @@ def latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame |
 
 
 def merge_batches(stream: DataFrame, registry: DataFrame, root: str, checkpoint: str, as_of: Column,
-                  now: Column, profile: Profile = DEFAULT, **trigger):
+                  now: Column, profile: Profile = DEFAULT,
+                  outcomes: Callable[[SparkSession], DataFrame] | None = None, **trigger):
     """Start the stream that turns each micro-batch into one discovery run.
 
-    Jobs close only where their source is part of the batch, so a silent
-    source never closes anything.
+    A batch alone closes nothing.  ``outcomes(spark)`` gives the finished fetches, ``(source, target,
+    state, first_seq, last_seq)`` with the numbers of their first and last payload; when a batch
+    brings the last payload of a healthy one, the jobs of that source and target which its payloads
+    did not hold are closed.  A fetch may be split over any number of batches.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = latest_snapshot(spark, root, batch_id)
-        answered = batch.select(F.col("provider").alias("source")).distinct()
+        nobody = spark.createDataFrame([], "source string, target string")
         if before is None:
             rows = job_rows(scored_vacancies(batch, registry, as_of, profile))
             after = upsert(empty_snapshot(rows), rows, now)
         else:
-            after = run(before, batch, registry, as_of, now, answered, profile)
+            after = run(before, batch, registry, as_of, now, nobody, profile)
+        if outcomes is not None:
+            read = batch.groupBy(F.col("provider").alias("source"), "target").agg(
+                F.max(F.shiftright("seq", PLACE_BITS)).alias("_read"))
+            ended = outcomes(spark).filter("state = 'healthy'").join(read, ["source", "target"]).filter("_read >= last_seq")
+            after = close_missing(after, ended, now)
         write_snapshot(after, f"{root}/run={batch_id}")
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
