@@ -408,3 +408,12 @@ SPELLING = {
     "retrieval-augmented": "retrieval-augmented generation",
     "physics-informed": "physics-informed models",
 }
+
+# What decides scores.
+SCORE_WEIGHTS = {"technical": 0.26, "location": 0.20, "freshness": 0.16, "experience": 0.15, "language": 0.13, "domain": 0.06,
+                 "education": 0.04}
+TIER_BONUS = {"dream": 10, "high": 5, "normal": 0}
+SENIORITY_PENALTY = {"senior": 30, "lead": 45, "executive": 60}
+LOCATION_PENALTY = {"unmatched": 26, "unmatched_remote": 10}
+LANGUAGE_PENALTY = {"german_b2": 8, "german_c1_plus": 22, "german_native": 30}
+FRESHNESS_CURVE = [(1, 100), (3, 92), (7, 75), (14, 45), (30, 15)]  # days, points
