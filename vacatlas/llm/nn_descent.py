@@ -114,17 +114,57 @@ def _both(graph: DataFrame) -> DataFrame:
         F.transform("near", lambda e: e["id"]), F.coalesce("back", F.array().cast("array<long>"))).alias("ids"))
 
 
-def _best_per(key: np.ndarray, sims: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, list offsets, and the ``most`` best (similarity, id) of each key, an id once."""
+def _best_per(key: np.ndarray, sims: np.ndarray, ids: np.ndarray, most: int, own: np.ndarray | None = None):
+    """Per key the ``most`` best (similarity, id), an id once and never the key itself: distinct keys, list offsets,
+    similarities, ids, and which of them are ``own`` entries."""
+    own = np.zeros(len(key), bool) if own is None else own
+    order = np.lexsort((~own, ids, key))  # the same pair may have been computed twice, with another rounding
+    key, sims, ids, own = key[order], sims[order], ids[order], own[order]
+    fresh = ids != key
+    fresh[1:] &= (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, sims, ids, own = key[fresh], sims[fresh], ids[fresh], own[fresh]
     order = np.lexsort((ids, -sims, key))
-    key, sims, ids = key[order], sims[order], ids[order]
-    if len(key):  # equal ids of a key have equal similarities, so they stand together
-        fresh = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-        key, sims, ids = key[fresh], sims[fresh], ids[fresh]
+    key, sims, ids, own = key[order], sims[order], ids[order], own[order]
     start = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     keep = np.arange(len(key)) - np.repeat(start, size) < most
-    return key[start], np.concatenate([[0], np.cumsum(np.minimum(size, most))]), sims[keep], ids[keep]
+    return key[start], np.concatenate([[0], np.cumsum(np.minimum(size, most))]), sims[keep], ids[keep], own[keep]
+
+
+def _merged(graph: DataFrame, met: DataFrame) -> DataFrame:
+    """(no, near, _new): the best of a node's entries and its proposals, and how many of them are new.
+
+    The rows of a node stand together in a sorted partition and are merged a batch at a time; a task
+    of ``_meetings`` proposes a node a bounded number of times, however popular it is.
+    """
+    rows = (graph.select("no", "near", F.lit(True).alias("own")).union(met.select("no", "near", F.lit(False)))
+            .repartition("no").sortWithinPartitions("no"))
+
+    def merge(t: pa.Table) -> pa.RecordBatch:
+        near = t.column("near").combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        size = np.diff(near.offsets.to_numpy())
+        entries = near.flatten()
+        repeat = lambda c: np.repeat(t.column(c).to_numpy(zero_copy_only=False), size)
+        no, ends, sims, ids, own = _best_per(repeat("no"), entries.field("s").to_numpy(), entries.field("id").to_numpy(),
+                                             NEIGHBOURS, repeat("own").astype(bool))
+        new = np.add.reduceat(np.append(~own, False).astype(np.int64), ends[:-1]) if len(no) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(no), _entries(ends, sims, ids), pa.array(new)], ["no", "near", "_new"])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in it:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            no = t.column("no").to_numpy()
+            whole = int(np.searchsorted(no, no[-1])) if len(no) else 0  # the last node may go on in the next batch
+            if whole:
+                yield merge(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield merge(rest)
+
+    return rows.mapInArrow(batches, f"no long, near {ENTRY}, _new long")
 
 
 def _meetings(both: DataFrame, vectors: Rows, flush: int = 2048) -> DataFrame:
@@ -142,7 +182,7 @@ def _meetings(both: DataFrame, vectors: Rows, flush: int = 2048) -> DataFrame:
                 at = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 key.append(np.repeat(own, k)), ids.append(own[at].ravel())
                 sims.append(np.take_along_axis(s, at, 1).ravel())
-            no, ends, s, i = _best_per(*map(np.concatenate, (key, sims, ids)), PROPOSED)
+            no, ends, s, i, _ = _best_per(*map(np.concatenate, (key, sims, ids)), PROPOSED)
             return pa.RecordBatch.from_arrays([pa.array(no), _entries(ends, s, i)], ["no", "near"])
 
         lists: list[np.ndarray] = []
@@ -164,11 +204,7 @@ def build(nodes: DataFrame, vectors: Rows, rounds: int = ROUNDS, settled: float
     """(no, near): the neighbour graph, best first.  ``nodes`` has the numbers from 0 without gaps."""
     graph = written(_start(nodes, vectors))
     for _ in range(rounds if vectors.rows > NEIGHBOURS + 1 else 1):
-        met = _meetings(_both(graph), vectors).groupBy("no").agg(F.flatten(F.collect_list("near")).alias("met"))
-        merged = graph.join(met, "no", "left").select("no", "near", F.slice(F.sort_array(F.array_distinct(F.concat(
-            F.col("near"), F.coalesce("met", F.array().cast(ENTRY)))), asc=False), 1, NEIGHBOURS).alias("then"))
-        after = written(merged.select("no", F.filter("then", lambda e: e["id"] != F.col("no")).alias("near"),
-                                      F.size(F.array_except("then", "near")).alias("_new")))
+        after = written(_merged(graph, _meetings(_both(graph), vectors)))
         changed = after.agg(F.sum("_new")).first()[0] or 0
         graph = after.drop("_new")
         if changed <= settled * NEIGHBOURS * vectors.rows:
