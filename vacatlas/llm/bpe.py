@@ -88,15 +88,16 @@ class Codec:
     def __init__(self, path: str, library: bool = False):
         self.vocabulary = v = Vocabulary(path)
         self.length = [len(t) for t in v.bytes_of]
-        self.matches = ahocorasick.Automaton()
-        for t, i in v.ids.items():
-            self.matches.add_word(t.decode("latin-1"), i)
-        self.matches.make_automaton()
         self.pieces = regex.compile(PATTERN)
         self.added = re.compile("|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
         self.fits = _Memo(self._fits, 1_000_000)
         self.of_piece = _Memo(self._piece)
         self.encoding = self._encoding() if library else None
+        self.matches = ahocorasick.Automaton()
+        if self.encoding is None:
+            for t, i in v.ids.items():
+                self.matches.add_word(t.decode("latin-1"), i)
+            self.matches.make_automaton()
         self.of_word = _Memo(lambda w: self._word(" " + w))  # by the word behind a space
 
     def _encoding(self) -> tiktoken.Encoding | None:

@@ -136,7 +136,7 @@ class Scorer:
 
     def __init__(self, model: list[float], lexicon: dict[str, float], floor: float):
         self.restorer, self.lexicon, self.floor = Restorer(model), lexicon, floor
-        self.of_word = _Memo(self._of_word)
+        self.of_word = _Memo(self._of_word, 150_000)
 
     def restore_word(self, word: str) -> str:
         core = word.strip(_EDGES)
