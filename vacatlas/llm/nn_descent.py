@@ -167,8 +167,13 @@ def _merged(graph: DataFrame, met: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, f"no long, near {ENTRY}, _new long")
 
 
-def _meetings(both: DataFrame, vectors: Rows, flush: int = 2048) -> DataFrame:
-    """(no, near): for every node, the best of those it meets in the lists of its neighbours."""
+def _meetings(both: DataFrame, vectors: Rows, flush: int = 128) -> DataFrame:
+    """(no, near): for every node, the best of those it meets in the lists of its neighbours.
+
+    Proposals are put together over ``flush`` lists.  More would give fewer rows on small tables, where
+    a node stands in many of the lists, and a number of rows that first grows with the square of the
+    nodes; over few lists it follows the lists' length at every size.
+    """
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vectors.mapped()
 
