@@ -69,6 +69,41 @@ def test_classes_are_those_of_all_pairs(spark):
     assert sum(x.representative for x in got.values()) == len({x.class_id for x in got.values()})
 
 
+def test_copies_alike_only_to_their_base_are_one_class(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = [base]
+    for k in range(1000):
+        copy = list(base)
+        for i in r.sample(range(400), 8):
+            copy[i] = f"own{k}x{i}"
+        rows.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    own = [labelled_windows(" ".join(t)) for t in rows]
+    alike = [len(own[0] & x) >= 0.8 * len(own[0] | x) for x in own]
+    assert sum(alike) > 900
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    assert all(got[i] == 0 for i in range(len(rows)) if alike[i])
+
+
+def test_links_inside_buckets_of_unlike_texts_are_found(spark):
+    r = random.Random(11)
+    passage, rows = [f"p{i}" for i in range(120)], []
+    for k in range(120):  # half the words in common: many buckets, no link; every third text has a near copy
+        text = passage + [f"own{k}x{r.randint(0, 10 ** 6)}" for _ in range(100)]
+        rows.append(text)
+        if k % 3 == 0:
+            copy = list(text)
+            copy[r.randrange(len(copy))] = "changed"
+            copy[r.randrange(len(copy))] = "again"
+            rows.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    own = [labelled_windows(" ".join(t)) for t in rows]
+    first = {i: next(j for j in range(i + 1) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])) for i in range(len(rows))}
+    assert len(set(first.values())) == 120
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()} == first
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(100)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:] + words[:50]))], "doc_id long, text string")
