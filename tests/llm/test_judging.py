@@ -81,6 +81,17 @@ def test_disguises_are_undone():
         assert s.score(text) == 0.05, text
 
 
+def test_long_doubled_and_edge_disguises_are_undone():
+    model = model_of(*["idiot moron scum stupid loser trash clown the of and that this rated onion those other"] * 50)
+    s = toxicity.Scorer(model, {"=" + w: 0.9 for w in "idiot moron scum stupid loser trash clown".split()}, 0.05)
+    for text in ["iidiot", "sscum", "!diot", "(lown", "1d10t5m0r0n5", "that-other-rated-those-onion-" * 4 + "m0r0n",
+                 " ".join("that other rated those onion that other rated those onion scum".replace(" ", "")), "so (lown!"]:
+        assert s.score(text) == 0.9, (text, s.words(text))
+    assert "ass" in toxicity.Scorer(model_of(*["ass pass"] * 50), {}, 0.05).words("a$$")
+    for text in ["(other)", "onion!", "455", "$100 1005.50", "x" * 30_000 + "1" * 30_000]:
+        assert s.score(text) == 0.05, (text[:50], s.words(text)[:5])
+
+
 def all_paths(restorer, word):
     """(worth, text) of every path of the lattice, one by one."""
     paths = [("", 0.0)]

@@ -35,8 +35,7 @@ PREFIXES = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}\S(?!\S)){2,}")
-_DISGUISED = re.compile(r"[@$€£][^\W\d_]|[^\W_][0-9@$!|+€£(.\-_*~/\\¡]+[^\W_]|[0-9][^\W\d_]|[^\W\d_][0-9]|([^\W\d_])\1\1"
-                        r"|([^\W\d_])\2.*([^\W\d_])\3.*([^\W\d_])\4")
+_MANY = re.compile(r"([^\W\d_])\1|[0-9@$!|+€£(¡.\-_*'~/\\]")  # what has more than one path in a lattice
 _DIGIT = re.compile("[0-9]")
 _EDGES = ".,;:?!\"'()[]{}<>#%&*|"
 
@@ -107,11 +106,12 @@ class Restorer:
 
     def best(self, word: str) -> str:
         """The restored form of a lower-case word or spaced-out run."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a path is (path before, emitted), so a long word takes time in proportion to its length
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         model = self.model
         for options in [*lattice(word), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for emitted, cost in options:
                     x, y, s = a, b, score - cost
                     for c in emitted:
@@ -121,9 +121,13 @@ class Restorer:
                         s += model[(x * SIGNS + y) * SIGNS + z]
                         x, y = y, z
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = s, text + emitted
+                        after[x, y] = s, (path, emitted)
             states = after
-        return max(states.values())[1].strip()
+        path, parts = max(states.values(), key=lambda x: x[0])[1], []
+        while path:
+            path, emitted = path
+            parts.append(emitted)
+        return "".join(reversed(parts)).strip()
 
 
 def features(word: str) -> list[str]:
@@ -140,15 +144,29 @@ class Scorer:
 
     def restore_word(self, word: str) -> str:
         core = word.strip(_EDGES)
-        if word[:1] in "(!|" and core and _DISGUISED.search(word[:1] + core) and len(core) < 3:
-            core = word
-        if not 1 < len(core) <= 80 or not _DISGUISED.search(core) or len(core) >= 12 and len(_DIGIT.findall(core)) >= 4:
-            return core  # no disguise, or a number, key or address
-        return self.restorer.best(core) if any(c.isalpha() for c in core) else core
+        return self._restored(core) if core else ""
+
+    def _restored(self, core: str) -> str:
+        if not _MANY.search(core) or core.isalpha() and "=" + core in self.lexicon:
+            return core  # one path, or a word that is evidence as it stands
+        if not any(c.isalpha() for c in core) and (_DIGIT.search(core) or not any(c in LEET for c in core)):
+            return core  # a number
+        return self.restorer.best(core)
+
+    def readings(self, raw: str) -> list[str]:
+        """Restored words of a raw word; signs at its edges are read as punctuation and as letters."""
+        core = raw.strip(_EDGES)
+        forms = dict.fromkeys([core])
+        if core or any(c in LEET for c in raw):
+            left, right = raw[:len(raw) - len(raw.lstrip(_EDGES))], raw[len(raw.rstrip(_EDGES)):] if core else ""
+            left = left[len(left.rstrip("!(|")):]
+            right = right[:len(right) - len(right.lstrip("!(|"))]
+            forms.update(dict.fromkeys([left + core, core + right, left + core + right]))
+        return [w for f in forms if f for w in _WORD.findall(self._restored(f))]
 
     def words(self, text: str) -> list[str]:
         """Restored words of a text."""
-        return [w for raw in self.raw(text) for w in _WORD.findall(self.restore_word(raw))]
+        return [w for raw in self.raw(text) for w in self.readings(raw)]
 
     def raw(self, text: str) -> set[str]:
         """Distinct lower-case words of a text, spaced-out runs as one word more."""
@@ -157,13 +175,13 @@ class Scorer:
         text = text.lower()
         out = set(text.split())
         for m in _SPACED.finditer(text):
-            out.add(re.sub(r"[ .\-_*]+", "-", m[0])[:160])
+            out.add(re.sub(r"[ .\-_*]+", "-", m[0]))
         return out
 
     def _of_word(self, raw: str) -> float:
         known = self.lexicon
         best = 0.0
-        for w in _WORD.findall(self.restore_word(raw)):
+        for w in self.readings(raw):
             for f in features(w):
                 best = max(best, known.get(f, 0.0))
         return best
@@ -171,8 +189,8 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if not text:
             return self.floor
-        of = self.of_word
-        return max(self.floor, max(map(of.__getitem__, self.raw(text)), default=0.0))
+        of = self.of_word  # long words are not kept
+        return max(self.floor, max((of[w] if len(w) <= 200 else self._of_word(w) for w in self.raw(text)), default=0.0))
 
 
 def _near_key(text: str) -> int:
