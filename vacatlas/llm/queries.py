@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extraction, license_scan, lm_trie, near_dedup, nn_descent, packing, quality_rules, sharding, toxicity
+from . import (alignment, bpe, extraction, language_id, license_scan, lm_trie, near_dedup, nn_descent, packing, quality_rules,
+               resampling, sharding, toxicity)
 from .common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str):
@@ -91,3 +93,60 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "license", "start", "end", "gain", F.array_join("missing", " ").alias("missing"),
                         F.array_join("extra", " ").alias("extra"))
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op12_fragment_alignment")
+def op12_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, digest=True)
+
+
+@query("op13_resampling")
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 byte by byte over a table made from its polynomial; words and sums as in the contract.
+ORACLES["op13_resampling"] = """
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+words AS (
+  SELECT 0 AS target, d.row, unnest(regexp_extract_all(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT row_number() OVER () AS row, text FROM documents) d
+  UNION ALL
+  SELECT 1, 0, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+buckets AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2),
+                            lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w, hex(encode(w)) AS h FROM words), crc_table),
+counts AS (
+  SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                               / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+scored AS (
+  SELECT d.row, d.doc_id, coalesce(f.n, 0) AS n_features, coalesce(f.weight, 0) AS weight,
+         coalesce(f.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE
+                                                      / 4294967296)))::BIGINT AS score
+  FROM (SELECT row_number() OVER () AS row, doc_id FROM documents) d
+  LEFT JOIN (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket)
+             WHERE target = 0 GROUP BY row) f USING (row)),
+placed AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (row)
+"""
