@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacatlas import fixed_values as V
 from vacatlas.functions import text as T
 from vacatlas.operators import dedup as D, drafts, health, quality as Q, signals as S, upsert as U
 from vacatlas.operators import enrich as E
+from vacatlas.plans import incremental
+from vacatlas.plans.buckets import Buckets, distinct_buckets
+from vacatlas.plans.scale import cut_lineage, shared_dir
 from vacatlas.profile import DEFAULT as P
 from vacatlas.sources import landing, providers as R
 
@@ -305,9 +310,22 @@ def j11(spark, sf):
     return S.only_unsent(S.follow_ups(j, as_of()), sent).select("dedupe_key")
 
 
-@query("k01_snapshot", sql("SELECT count(*) AS jobs, count(*) FILTER (WHERE now_open) AS open_jobs FROM o_merge"))
+@query("k01_snapshot", sql(f"""
+SELECT id, title, score, status, starred, notes, now_open AS is_open, (seen AND NOT known) AS is_new,
+  (CASE WHEN known THEN 3 ELSE 0 END + CASE WHEN seen THEN 1 ELSE 0 END)::INT AS times_seen,
+  CASE WHEN known THEN first_seen_at ELSE {NOW_SQL} END::DATE AS first_day,
+  (known AND NOT seen AND was_open AND source <> 'adzuna') AS closed_now FROM o_merge"""))
 def k01(spark, sf):
-    return merged(spark, sf).agg(F.count(F.lit(1)).alias("jobs"), F.count_if("is_open").alias("open_jobs"))
+    """The stored snapshot after a run that rewrote the buckets of the jobs it saw or found gone."""
+    store = Buckets(f"{shared_dir(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}")
+    old, rows = old_snapshot(spark, sf), cut_lineage(this_run(spark, sf))
+    place = incremental.job_bucket(store)
+    store.write(old, 0, place, distinct_buckets(old.select(place)))
+    gone = old.filter("source <> 'adzuna'").select(F.col("id").alias("group_key"))
+    incremental.merge_jobs(store, rows, rows.select(F.col("id").alias("group_key")).union(gone).distinct(), 1, now())
+    return incremental.jobs(store, spark).select(
+        "id", "title", "score", "status", "starred", "notes", "is_open", "is_new", "times_seen", F.to_date("first_seen_at").alias("first_day"),
+        F.coalesce((F.col("removed_at") == now()) & ~F.col("is_open"), F.lit(False)).alias("closed_now"))
 
 
 @query("k02_provenance", sql(f"""

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacatlas.operators import dedup as D
+from vacatlas.plans import incremental
+from vacatlas.plans.buckets import Buckets
+from vacatlas.plans.scale import shared_dir
 
 from .base import O, VIEWS, query, sql, view
 from .facts import sql_city, sql_company, sql_title
@@ -102,6 +107,28 @@ def d01(spark, sf):
     return D.assign(sightings(spark, sf))
 
 
+def by_batches(spark, sf):
+    """The table of sightings after three batches that mix early and late arrivals."""
+    s, store = sightings(spark, sf), Buckets(f"{shared_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}")
+    for n in range(3):
+        incremental.take(store, s.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == n), n)
+    return store.read(spark)
+
+
+@query("d01_by_batches", sql("SELECT seq, group_key FROM o_group"))
+def d01_by_batches(spark, sf):
+    return by_batches(spark, sf).select("seq", "group_key")
+
+
+@query("j06_by_batches", sql("""
+SELECT g.group_key, count(*) AS sightings, array_to_string(list_sort(list(DISTINCT g.provider)), ',') AS providers, min(g.vacancy) AS vacancy
+FROM o_group g GROUP BY g.group_key"""))
+def j06_by_batches(spark, sf):
+    return by_batches(spark, sf).groupBy("group_key").agg(
+        F.count(F.lit(1)).alias("sightings"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"),
+        F.min("vacancy").alias("vacancy"))
+
+
 @query("d02_merge_guard", sql("""
 SELECT group_key, provider, count(DISTINCT external_id) AS ids, count(DISTINCT nullif(req, '')) AS requisitions
 FROM o_group WHERE external_id <> '' GROUP BY ALL HAVING count(DISTINCT external_id) > 1"""))

@@ -40,9 +40,14 @@ def normalized(sightings: DataFrame) -> DataFrame:
     return df.withColumn("key", F.concat_ws("|", "company_norm", "title_norm", "city_norm"))
 
 
+#: What makes two sightings the same posting of the same source.
+IDENTITY = ["company_norm", "provider", "external_id", "key", "req"]
+PLACE = ["company_norm", "city_norm"]
+
+
 def drop_repeats(df: DataFrame) -> DataFrame:
     """A source repeating the same posting adds nothing: the earliest stays."""
-    return first_per(df, ["company_norm", "provider", "external_id", "key", "req"], [F.col("seq")])
+    return first_per(df, IDENTITY, [F.col("seq")])
 
 
 # -- similar titles ---------------------------------------------------------
@@ -60,8 +65,14 @@ def by_title(df: DataFrame) -> DataFrame:
     x - ceil(t x) + 1 in the order of rarity.  So only titles that share a rare token are compared,
     and a common word brings nobody together.
     """
-    place = ["company_norm", "city_norm"]
-    titles = df.select(*place, "title_norm", "key").distinct().withColumn("tokens", T.title_tokens(F.col("title_norm")))
+    rare = rare_words(df.select(*PLACE, "title_norm", "key").distinct())
+    return alike(rare, rare).filter("a > b").distinct()
+
+
+def rare_words(titles: DataFrame) -> DataFrame:
+    """The leading tokens of every title, in the order of their rarity at its employer and place."""
+    place = PLACE
+    titles = titles.withColumn("tokens", T.title_tokens(F.col("title_norm")))
     words = titles.select(*place, "key", "tokens", F.explode("tokens").alias("token"))
     rarity = words.groupBy(*place, "token").agg(F.count(F.lit(1)).alias("n"))
     ordered = words.join(rarity.filter("n > 1"), [*place, "token"]).groupBy(*place, "key").agg(
@@ -70,12 +81,16 @@ def by_title(df: DataFrame) -> DataFrame:
     lead = x - F.ceil(V.TITLE_SIMILARITY * x - 1e-9).cast("int") + 1
     # tokens that no other title has come first in the order and meet nobody
     alone = x - F.size("by_rarity")
-    rare = cut_lineage(ordered.select(*place, "key", "tokens", F.explode(F.slice(
+    return cut_lineage(ordered.select(*place, "key", "tokens", F.explode(F.slice(
         "by_rarity", F.lit(1), F.greatest(lead - alone, F.lit(0)))).alias("r")).select(*place, "key", "tokens", "r.token"))
-    other = rare.select(*place, "token", F.col("key").alias("b"), F.col("tokens").alias("other"))
-    return rare.join(other, [*place, "token"]).filter(
-        (F.col("key") > F.col("b")) & (T.title_similarity(F.col("tokens"), F.col("other")) >= V.TITLE_SIMILARITY)).select(
-        F.col("key").alias("a"), "b").distinct()
+
+
+def alike(rare: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b) of similar titles, a of the first table and b of the second."""
+    other = others.select(*PLACE, "token", F.col("key").alias("b"), F.col("tokens").alias("other"))
+    return rare.join(other, [*PLACE, "token"]).filter(
+        (F.col("key") != F.col("b")) & (T.title_similarity(F.col("tokens"), F.col("other")) >= V.TITLE_SIMILARITY)).select(
+        F.col("key").alias("a"), "b")
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -127,13 +142,18 @@ def assign(sightings: DataFrame) -> DataFrame:
     A group is named by the key of its first sighting; further groups of the same key add that
     sighting's source and id.
     """
-    df = cut_lineage(set_groups(with_component(drop_repeats(normalized(sightings)))))
+    return named(set_groups(with_component(drop_repeats(normalized(sightings))))).select("seq", "group_key")
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Rows of whole components with the name of their group."""
+    df = cut_lineage(df)
     named = df.filter("seq = vacancy").select("vacancy", F.col("key").alias("c_key"), F.concat(
         F.lit("#"), "provider", F.lit("/"), "external_id").alias("c_rest"))
     first = named.groupBy("c_key").agg(F.min("vacancy").alias("c_first"))
     named = named.join(first, "c_key").select("vacancy", F.concat("c_key", F.when(
         F.col("vacancy") == F.col("c_first"), "").otherwise(F.col("c_rest"))).alias("group_key"))
-    return df.select("seq", "vacancy").join(named, "vacancy").select("seq", "group_key")
+    return df.join(named, "vacancy")
 
 
 # -- group facts ------------------------------------------------------------

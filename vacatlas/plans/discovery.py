@@ -18,8 +18,12 @@ def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
     age, so the costly text facts are only taken from the survivors, which are
     written once in between.
     """
-    vac = dedup.dedupe(sightings)
-    kept = cut_lineage(gates.kept(gates.gate(vac, as_of, profile)))
+    return scored(dedup.dedupe(sightings), registry, as_of, profile)
+
+
+def scored(vacancies: DataFrame, registry: DataFrame, as_of: Column, profile: Profile = DEFAULT) -> DataFrame:
+    """Vacancies that pass the gates and the store line, with their facts and scores."""
+    kept = cut_lineage(gates.kept(gates.gate(vacancies, as_of, profile)))
     out = score.score(enrich.enrich(kept, profile), profile)
     return companies.resolve_names(out, registry).filter(F.col("score") >= profile.min_score)
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import health
-from ..operators.upsert import close_missing, empty_snapshot, job_rows, upsert, write_snapshot
-from ..plans.discovery import run, scored_vacancies
+from ..operators import dedup, health
+from ..operators.upsert import job_rows
+from ..plans import incremental
+from ..plans.buckets import Buckets
+from ..plans.discovery import scored
+from ..plans.scale import cut_lineage
 from ..profile import DEFAULT, Profile
 from ..sources.providers import PLACE_BITS, normalize_all
 
@@ -28,48 +31,42 @@ def sightings(raw: DataFrame, as_of: Column, lateness: str = "2 days") -> DataFr
     return normalize_all(once, as_of)
 
 
-def latest_snapshot(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    """Snapshot of the newest run before the given one.
-
-    Runs are directories ``run=N``; only their names are read to find it.  A
-    batch that is replayed after a failure overwrites its own directory and
-    reads the same predecessor, so it has the same effect once or twice.
-    """
-    try:
-        runs = spark.read.parquet(root)
-    except Exception as error:  # nothing has been written yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    last = runs.filter(F.col("run") < before).agg(F.max("run")).first()[0]
-    return None if last is None else runs.filter(F.col("run") == last).drop("run")
+def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The jobs as of the newest finished run, or of the newest one before a given run."""
+    return incremental.jobs(Buckets(f"{root}/jobs"), spark, before)
 
 
 def merge_batches(stream: DataFrame, registry: DataFrame, root: str, checkpoint: str, as_of: Column,
                   now: Column, profile: Profile = DEFAULT,
-                  outcomes: Callable[[SparkSession], DataFrame] | None = None, **trigger):
+                  outcomes: Callable[[SparkSession], DataFrame] | None = None, keep: int = 3, **trigger):
     """Start the stream that turns each micro-batch into one discovery run.
 
+    A batch is resolved against all sightings seen before, so its split into batches does not show in
+    the groups; only groups that it touches are scored, and only their buckets are written.  Runs older
+    than the last ``keep`` are expired.  A batch that is replayed reads the same predecessor and
+    writes the same run again.
+
     A batch alone closes nothing.  ``outcomes(spark)`` gives the finished fetches, ``(source, target,
     state, first_seq, last_seq)`` with the numbers of their first and last payload; when a batch
-    brings the last payload of a healthy one, the jobs of that source and target which its payloads
-    did not hold are closed.  A fetch may be split over any number of batches.
+    brings the last payload of a healthy one, the sightings of that source and target which its payloads
+    did not hold are gone, and jobs without any other sighting are closed.  A fetch may be split over
+    any number of batches.
     """
+    seen, kept = Buckets(f"{root}/sightings"), Buckets(f"{root}/jobs")
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = latest_snapshot(spark, root, batch_id)
-        nobody = spark.createDataFrame([], "source string, target string")
-        if before is None:
-            rows = job_rows(scored_vacancies(batch, registry, as_of, profile))
-            after = upsert(empty_snapshot(rows), rows, now)
-        else:
-            after = run(before, batch, registry, as_of, now, nobody, profile)
+        batch = cut_lineage(batch)
+        ended = None
         if outcomes is not None:
             read = batch.groupBy(F.col("provider").alias("source"), "target").agg(
                 F.max(F.shiftright("seq", PLACE_BITS)).alias("_read"))
             ended = outcomes(spark).filter("state = 'healthy'").join(read, ["source", "target"]).filter("_read >= last_seq")
-            after = close_missing(after, ended, now)
-        write_snapshot(after, f"{root}/run={batch_id}")
+        member, groups = incremental.take(seen, batch, batch_id, ended)
+        rows = cut_lineage(job_rows(scored(dedup.vacancies(member), registry, as_of, profile)))
+        incremental.merge_jobs(kept, rows, groups, batch_id, now)
+        for store in (seen, kept):
+            store.expire(spark, keep)
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -79,12 +76,16 @@ def follow_health(outcomes: DataFrame, root: str, checkpoint: str, profile: Prof
     """Start the stream that keeps the health record of every source.
 
     The record is a small table with one row per source, written per batch
-    like the snapshots are.  A batch is folded with bucketed running values
+    like the snapshots are, in one bucket.  A batch is folded with bucketed running values
     before it meets the record, so a source that dominates the log is spread.
     """
+    store = Buckets(root, 1, 1)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = latest_snapshot(batch.sparkSession, root, batch_id)
-        health.fold_onto(before, batch, profile).write.mode("overwrite").parquet(f"{root}/run={batch_id}")
+        before = store.read(batch.sparkSession, batch_id)
+        after = health.fold_onto(None if before is None else before.drop("_fresh"), batch, profile)
+        store.write(after, batch_id, F.lit(0), {0})
+        store.expire(batch.sparkSession)
 
     return (outcomes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
