@@ -1,6 +1,8 @@
 """Golden values of text functions, facts, gates and scores."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +180,26 @@ def test_profile_is_validated():
     with pytest.raises(ValueError):
         Profile(min_score=70, recommend_min_score=60)
     assert set(V.LANGUAGE_SCORE) == set(V.LANGUAGE_LEVELS)
+
+
+def test_salary_takes_the_first_window_with_a_figure(spark):
+    def brute(text):
+        """Window by window, every pattern on its own."""
+        low = text.lower()
+        for m in re.finditer(V.PAY_CONTEXT, low):
+            window = low[max(0, m.start() - V.PAY_WINDOW_BEFORE):m.end() + V.PAY_WINDOW_AFTER]
+            found = [x for p in (V.PAY_RANGE, V.PAY_SINGLE)
+                     for x in re.finditer(re.sub(r"\\x\{(\w+)\}", lambda h: chr(int(h[1], 16)), p), window, re.I)]
+            for x in found:
+                figures = [float(n.replace(",", "")) for n in re.findall(r"[0-9][0-9,]*", x[0])]
+                if re.search("eur|€", x[0]) and all(12_000 <= n <= 500_000 for n in figures) and figures[0] <= figures[-1]:
+                    return figures[0], figures[-1]
+        return None, None
+
+    r = random.Random(12)
+    parts = ["salary", "gross pay", " package ", "lohn", "EUR 50,000", "70,000 EUR", "EUR 60,000 - 80,000", "3 people", "12 EUR", "x" * 90,
+             " and so on ", "2024", "EUR 99,000 - 10,000"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(120)]
+    texts += ["salary " * 10_000 + "of 64,000 EUR", "pay \x01 EUR \x02 salary 55,000 EUR", "salary " + "y" * 300 + " EUR 50,000"]
+    got = E.salary(frame(spark, [posting(title="", description=t) for t in texts])).select("description", "salary_min", "salary_max").collect()
+    assert {(x.description, x.salary_min, x.salary_max) for x in got} == {(t, *brute("\n" + t)) for t in texts}

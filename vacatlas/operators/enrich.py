@@ -195,44 +195,63 @@ def seniority(df: DataFrame) -> DataFrame:
 
 
 # -- E06 --------------------------------------------------------------------
-def _windows(text: Column) -> Column:
-    """The neighbourhood of every pay-related phrase, in text order."""
-    pattern = LOWER + V.PAY_CONTEXT
-    marks = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(marks)), marks, lambda g, m: F.struct(
-        F.length(g).alias("gap"), F.length(m).alias("mark")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    spans = F.aggregate(steps, zero, lambda acc, s: F.struct(
-        (acc["at"] + s["gap"] + s["mark"]).alias("at"),
-        F.array_append(acc["spans"], F.struct(
-            F.greatest(F.lit(0), acc["at"] + s["gap"] - V.PAY_WINDOW_BEFORE).alias("a"),
-            (acc["at"] + s["gap"] + s["mark"] + V.PAY_WINDOW_AFTER).alias("b"))).alias("spans")
-    ))["spans"]
-    return F.transform(spans, lambda s: F.substring(text, s["a"] + 1, s["b"] - s["a"]))
-
-
-def _offers(window: Column) -> Column:
-    """Ranges first, then single amounts, as printed in one window."""
-    def group(pattern: str, i: int) -> Column:
-        return F.regexp_extract_all(window, F.lit(UNICODE + pattern), F.lit(i))
+_SEP, _SUB = "\x01", "\x02"
 
+
+def _pieces(text: Column) -> Column:
+    """The text cut at its pay phrases by one scan: gap, phrase, gap, phrase, ..., gap."""
+    plain = F.translate(text, _SEP + _SUB, "  ")
+    return F.split(F.regexp_replace(plain, LOWER + V.PAY_CONTEXT, _SEP + "$0" + _SEP), _SEP, -1)
+
+
+def _window(k: Column) -> Column:
+    """The neighbourhood of the phrase at place ``k`` of the pieces.
+
+    Gaps are held by their beginnings and ends, so a window costs the same wherever it stands; a pay
+    phrase has four letters or more, which bounds the pieces that a window can reach.
+    """
+    back, on = 2 * -(-V.PAY_WINDOW_BEFORE // 4) + 1, 2 * -(-V.PAY_WINDOW_AFTER // 4) + 1
+    before = F.array_join(F.slice("_ends", F.greatest(F.lit(1), k - back + 1), F.least(k, F.lit(back))), "")
+    after = F.array_join(F.slice("_starts", k + 2, F.lit(on)), "")
+    return F.concat(F.right(before, F.lit(V.PAY_WINDOW_BEFORE)), F.get("_pieces", k), F.substring(after, 1, V.PAY_WINDOW_AFTER))
+
+
+def _matches(window: Column, pattern: str, groups: int) -> Column:
+    """Every match with all its groups, the whole match first, by one scan."""
+    shown = _SEP + _SUB.join(f"${i}" for i in range(groups)) + _SEP
+    parts = F.split(F.regexp_replace(window, UNICODE + pattern, shown), _SEP, -1)
+    return F.transform(F.filter(parts, lambda p, i: i % 2 == 1), lambda p: F.split(p, _SUB, -1))
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _offer(window: Column) -> Column:
+    """The first plausible figure in one window: ranges first, then single amounts, as printed."""
     def currency(*tokens: Column) -> Column:
         return F.coalesce(*[lookup(F.lower(F.trim(t)), V.CURRENCY_TOKENS) for t in tokens])
 
-    period = F.coalesce(_first_rule(window, V.PERIOD_RULES, UNICODE), F.lit("year"))
-    ranges = F.transform(
-        F.arrays_zip(*[group(V.PAY_RANGE, i) for i in range(6)]),
-        lambda m: F.struct(m["0"].alias("phrase"), currency(m["1"], m["3"], m["5"]).alias("currency"),
-                           period.alias("period"), money.parse_amount(m["2"]).alias("lo"),
-                           money.parse_amount(m["4"]).alias("hi")))
-    single = F.transform(
-        F.arrays_zip(*[group(V.PAY_SINGLE, i) for i in range(5)]),
-        lambda m: F.struct(m["0"].alias("phrase"), currency(m["1"], m["4"]).alias("currency"),
-                           period.alias("period"),
-                           money.parse_amount(F.concat(m["2"], m["3"])).alias("lo"),
-                           money.parse_amount(F.concat(m["2"], m["3"])).alias("hi")))
-    return F.concat(ranges, single)
+    def priced(phrase: Column, unit: Column, lo: Column, hi: Column) -> Column:
+        period = F.coalesce(_first_rule(window, V.PERIOD_RULES, UNICODE), F.lit("year"))
+        read = F.struct(phrase.alias("phrase"), unit.alias("currency"), period.alias("period"), lo.alias("lo"), hi.alias("hi"))
+        return _with(read, lambda o: F.struct(
+            *[o[n].alias(n) for n in ("phrase", "currency", "period", "lo", "hi")],
+            money.annual_eur(o["lo"], o["period"], o["currency"]).alias("eur_lo"),
+            money.annual_eur(o["hi"], o["period"], o["currency"]).alias("eur_hi")))
+
+    def first(offers: Column) -> Column:
+        least, most = V.PAY_PLAUSIBLE
+        return F.get(F.filter(offers, lambda o: o["currency"].isNotNull()
+                              & o["eur_lo"].between(least, most) & o["eur_hi"].between(least, most)
+                              & (o["eur_lo"] <= o["eur_hi"])), 0)
+
+    ranges = F.transform(_matches(window, V.PAY_RANGE, 6), lambda m: priced(
+        m[0], currency(m[1], m[3], m[5]), money.parse_amount(m[2]), money.parse_amount(m[4])))
+    single = F.transform(_matches(window, V.PAY_SINGLE, 5), lambda m: _with(
+        money.parse_amount(F.concat(m[2], m[3])), lambda n: priced(m[0], currency(m[1], m[4]), n, n)))
+    return F.coalesce(first(ranges), first(single))
 
 
 # every pay phrase contains one of these, so texts without them are never searched
@@ -244,17 +263,16 @@ PAY_WORDS = ["salar", "compensation", "remuneration", "pay", "package", "gehalt"
 def salary(df: DataFrame) -> DataFrame:
     """Pay that the posting prints, with its yearly euro figure; nothing is ever estimated."""
     text = _text("title", "description")
-    priced = F.transform(F.flatten(F.transform(_windows(_low()), _offers)), lambda o: F.struct(
-        o["phrase"].alias("phrase"), o["currency"].alias("currency"), o["period"].alias("period"),
-        o["lo"].alias("lo"), o["hi"].alias("hi"),
-        money.annual_eur(o["lo"], o["period"], o["currency"]).alias("eur_lo"),
-        money.annual_eur(o["hi"], o["period"], o["currency"]).alias("eur_hi")))
-    least, most = V.PAY_PLAUSIBLE
-    good = F.filter(priced, lambda o: o["currency"].isNotNull()
-                    & o["eur_lo"].between(least, most) & o["eur_hi"].between(least, most)
-                    & (o["eur_lo"] <= o["eur_hi"]))
-    df = df.withColumn("_pay", F.when(
-        _has_any(_low(), PAY_WORDS) & F.rlike(_low(), F.lit(r"\d")), F.get(good, 0)))
+    df = df.withColumn("_pieces", F.when(_has_any(_low(), PAY_WORDS) & F.rlike(_low(), F.lit(r"\d")), _pieces(_low())))
+    even = lambda cut: lambda p, i: F.when(i % 2 == 0, cut(p)).otherwise(p)
+    df = df.withColumns({
+        "_starts": F.transform("_pieces", even(lambda p: F.substring(p, 1, V.PAY_WINDOW_AFTER))),
+        "_ends": F.transform("_pieces", even(lambda p: F.right(p, F.lit(V.PAY_WINDOW_BEFORE))))})
+    nothing = F.lit(None).cast("struct<phrase:string,currency:string,period:string,lo:double,hi:double,eur_lo:double,eur_hi:double>")
+    # windows are looked at in text order, and no more once a figure is found
+    df = df.withColumn("_pay", F.when(F.size("_pieces") > 2, F.aggregate(
+        F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2)), nothing, lambda found, k: F.coalesce(
+            found, _with(_window(k), lambda w: F.when(F.rlike(w, F.lit(r"\d")), _offer(w)))))))
     p = F.col("_pay")
     return df.withColumns({
         "salary_basis": F.when(p.isNotNull(), "explicit").otherwise("unknown"),
@@ -264,7 +282,7 @@ def salary(df: DataFrame) -> DataFrame:
         "salary_annual_eur_min": p["eur_lo"], "salary_annual_eur_max": p["eur_hi"],
         "salary_evidence": F.substring(F.when(p.isNotNull(), T.find_evidence(text, p["phrase"]))
                                        .otherwise(F.lit("No salary stated")), 1, 400),
-    }).drop("_pay")
+    }).drop("_pay", "_pieces", "_starts", "_ends")
 
 
 # -- E07 --------------------------------------------------------------------
