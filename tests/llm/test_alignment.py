@@ -77,6 +77,16 @@ def test_ranges_give_the_whole_text_and_composing_is_associative():
         assert alignment.whole(C, left).shown[:-1] == brute([text])[0][-1], text
 
 
+def test_words_give_the_whole_text(monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(alignment, "MEMO", 40)
+    c = alignment.Coders(A, B)
+    for _ in range(40):
+        texts = ["".join(r.choice([*PARTS, "▁"] if i % 9 == 0 else PARTS) for _ in range(r.randint(1, 30))) for i in range(30)]
+        for text, got, want in zip(texts, c.aligned(texts), brute(texts)):
+            assert (got[2][:-1] if got else "") == want[-1], text
+
+
 def test_tables_against_brute_force(spark, odd_docs, no_docs):
     r = random.Random(4)
     texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 80))) for _ in range(60)] + ["has ▁ inside", None, "", "x" * 500, "x" * 500]

@@ -12,7 +12,8 @@ the words that reach into it and no more: neither coder joins anything across a
 other characters.  A stretch without such a space that is longer than a range stays with one task.
 
 How often two ids are linked in the whole corpus is counted per task, summed by Spark and written as
-sorted raw files to the shared folder, which tasks map into memory to look counts up.
+sorted raw files to the shared folder, which tasks map into memory to look counts up.  The ids of short
+texts are written in between, so that every text is encoded once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,11 @@ from .common import shared_dir, written
 
 #: Characters of a range, fragments composed at a time, and links held before a task adds them up.
 RANGE, FAN, HELD = 1 << 16, 16, 1 << 21
-#: Bytes of short texts whose answers are made together.
+#: Bytes of short texts, or of their ids, that are worked on together.
 PART = 1 << 21
+#: Words whose fragments a worker remembers, up to so many characters each.
+MEMO, MEMO_LENGTH = 300_000, 40
+_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -60,8 +65,10 @@ class Coders:
         self.length_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
         # an id and what follows it in the written groups: the next id of the group, or the group's other part
-        self.shown_a = [f"{i}{s}" for s in ",|" for i in range(len(self.bytes_a))]
-        self.shown_b = [f"{i}{s}" for s in ",;" for i in range(len(own))]
+        self.shown = [f"{i}{s}" for ends, n in ((",|", len(v.bytes_of)), (",;", len(own))) for s in ends for i in range(n)]
+        self.space = self.b.piece_to_id("▁")
+        self.known: dict[str, tuple[bytes, bytes, str] | None] = {}
+        self.kinds = [np.dtype("<u2" if n <= 1 << 16 else "<u4") for n in (len(v.bytes_of), len(own))]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a space and the text by both coders, or None where either loses bytes."""
@@ -72,6 +79,51 @@ class Coders:
         return np.array(a, np.int64), np.array(b, np.int64)
 
 
+    def aligned(self, texts: list[str]) -> list[tuple[bytes, bytes, str] | None]:
+        """Packed ids of both kinds and the written groups of every text; None where a coder loses bytes.
+
+        A word with the space before it is a fragment without open ends, so fragments of words are
+        remembered and a text's are their concatenation.
+        """
+        words = [[t] if t.startswith(" ") or _RUN.search(t) else t.split(" ") for t in texts]
+        known = self.known
+        new = list(dict.fromkeys(w for own in words for w in own if w not in known))
+        found = dict(zip(new, self._fragments(new)))
+        out = []
+        for own in words:
+            parts = [known[w] if w in known else found[w] for w in own]
+            good = None not in parts
+            out.append((b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), "".join([p[2] for p in parts])) if good else None)
+        if len(known) < MEMO:
+            known.update((w, f) for w, f in found.items() if len(w) <= MEMO_LENGTH)
+        return out
+
+    def _fragments(self, words: list[str]) -> list[tuple[bytes, bytes, str] | None]:
+        """Of every word with a space before it, all in one pass."""
+        if not words:
+            return []
+        both = [[self.a.encode_ordinary(" " + w) for w in words], [ids or [self.space] for ids in self.b.encode(words)]]
+        raw = [(" " + w).encode() for w in words]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64) for x in both]
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in both]
+        ends = [np.cumsum(n[x]) for n, x in zip((self.length_a, self.length_b), ids)]
+        wanted = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        same = all(np.array_equal(e[np.cumsum(n) - 1], wanted) and b"".join(map(of.__getitem__, x.tolist())) == b"".join(raw)
+                   for e, n, of, x in zip(ends, sizes, (self.bytes_a, self.bytes_b), ids))
+        if not same:  # some word is at fault
+            good = [i for i, r in enumerate(raw) if all(b"".join([of[t] for t in x[i]]) == r for of, x in zip((self.bytes_a, self.bytes_b), both))]
+            out: list = [None] * len(words)
+            for i, f in zip(good, self._fragments([words[i] for i in good])):
+                out[i] = f
+            return out
+        shown = list(map(self.shown.__getitem__, written_order(self, ids[0], ends[0], ids[1], ends[1])[0].tolist()))
+        at = np.cumsum(sizes[0] + sizes[1]).tolist()
+        packed = [x.astype(k).tobytes() for x, k in zip(ids, self.kinds)]
+        to = [(np.cumsum(n) * k.itemsize).tolist() for n, k in zip(sizes, self.kinds)]
+        return [(packed[0][a:a1], packed[1][b:b1], "".join(shown[s:s1]))
+                for a, a1, b, b1, s, s1 in zip([0, *to[0]], to[0], [0, *to[1]], to[1], [0, *at], at)]
+
+
 _CODERS: dict[tuple[str, str], Coders] = {}
 
 
@@ -114,20 +166,46 @@ class Fragment:
     tail_b: np.ndarray = field(default_factory=lambda: _NO)
 
 
+def _marks(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where tokens end, in order, and which kinds end there: 1, 2 or both."""
+    mark = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+    mark[ends_a] = 1
+    mark[ends_b] |= 2
+    ends = np.flatnonzero(mark)
+    return ends, mark[ends]
+
+
+def _links(ids_a: np.ndarray, ids_b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """A id << 32 | B id of every link.
+
+    Between two neighbouring ends lies one stretch, which one token of each kind covers: a link.
+    """
+    in_a, in_b = kind & 1 > 0, kind & 2 > 0
+    return ids_a[np.cumsum(in_a) - in_a] << 32 | ids_b[np.cumsum(in_b) - in_b]
+
+
+def written_order(c: Coders, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that begin and end together as places in ``c.shown``, in the order they are written, and the kinds of their ends.
+
+    Ends count from where the tokens begin.
+    """
+    _, kind = _marks(ends_a, ends_b)
+    last_a, last_b = kind[kind & 1 > 0] == 3, kind[kind & 2 > 0] == 3
+    # groups stand one after the other, of each its A part and then its B part
+    close_a, close_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    order = np.empty(len(ids_a) + len(ids_b), np.int64)
+    order[np.arange(len(ids_a)) + np.append(0, close_b)[group_a]] = ids_a + last_a * len(c.bytes_a)
+    order[np.arange(len(ids_b)) + close_a[group_b]] = 2 * len(c.bytes_a) + ids_b + last_b * len(c.bytes_b)
+    return order, kind
+
+
 def close(c: Coders, a: np.ndarray, b: np.ndarray) -> Closed:
     """The closed groups of tokens that begin and end together."""
     if not len(a):
         return Closed()
-    both = np.intersect1d(a[:, 2], b[:, 2], assume_unique=True)
-    last_a, last_b = np.isin(a[:, 2], both, assume_unique=True), np.isin(b[:, 2], both, assume_unique=True)
-    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    texts = [*map(c.shown_a.__getitem__, (a[:, 0] + last_a * len(c.bytes_a)).tolist()),
-             *map(c.shown_b.__getitem__, (b[:, 0] + last_b * len(c.bytes_b)).tolist())]
-    # between two neighbouring ends lies one stretch, which one token of each kind covers: a link
-    ends = np.union1d(a[:, 2], b[:, 2])
-    links = a[np.searchsorted(a[:, 2], ends), 0] << 32 | b[np.searchsorted(b[:, 2], ends), 0]
-    return Closed("".join(map(texts.__getitem__, order.tolist())), len(a), len(b), len(both), [links])
+    order, kind = written_order(c, a[:, 0], a[:, 2] - a[0, 1], b[:, 0], b[:, 2] - a[0, 1])
+    return Closed("".join(map(c.shown.__getitem__, order.tolist())), len(a), len(b), int((kind == 3).sum()), [_links(a[:, 0], b[:, 0], kind)])
 
 
 def scan(c: Coders, a: np.ndarray, b: np.ndarray) -> Fragment:
@@ -317,7 +395,7 @@ class Counts:
         self.files = [np.load(p, mmap_mode="r") for _, p in files]
 
     def find(self, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of sorted links, and whether each is the highest of its B id."""
+        """Counts of links, and whether each is the highest of its B id."""
         n, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
         file = np.searchsorted(self.first, links, "right") - 1
         for i in np.unique(file):
@@ -327,16 +405,8 @@ class Counts:
         return n, best
 
 
-def _texts(b: pa.RecordBatch, c: Coders) -> Iterator[Closed | None]:
-    """The groups of every short text of a batch; None where it has no tokens."""
-    for t in b.column(1):
-        text = t.as_py()
-        x = of_range(c, text, 0, 0, 4 * len(text) + 2) if text else None
-        yield None if x is None else whole(c, x)
-
-
 def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch, about PART bytes of text at a time."""
+    """Rows of a batch, about PART bytes of its second column at a time."""
     ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in b.column(1)]) // PART
     first = 0
     for i in range(1, b.num_rows + 1):
@@ -359,30 +429,53 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     is_long = F.coalesce(F.length("text") > size, F.lit(False))
-    short, long = rows.filter(~is_long), _long(rows.filter(is_long), paths, size)
+    name = "groups_sha256" if digest else "groups"
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    schema = f"key {kind}, {', '.join(n + ' long' for n in numbers)}, {name} string"
+
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coders(*paths)
+        for b in it:
+            for part in _parts(b):
+                texts = part.column(1).to_pylist()
+                found = iter(c.aligned([t for t in texts if t]))
+                out = []
+                for t in texts:
+                    a, b_ids, groups = (next(found) if t else None) or (b"", b"", "")
+                    n_a, n_b, n = len(a) // c.kinds[0].itemsize, len(b_ids) // c.kinds[1].itemsize, groups.count(";")
+                    # every end of a token closes a link, and an end of both kinds closes one
+                    out.append((n_a, n_b, n, n_a + n_b - n, shown(groups), a, b_ids))
+                kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))],
+                                                 ["key", *numbers[:4], name, "a", "b"])
+
+    def shown(groups: str) -> str:
+        return hashlib.sha256(groups[:-1].encode()).hexdigest() if digest and groups else groups[:-1]
+
+    def links(row_a: bytes, row_b: bytes) -> np.ndarray:
+        c = coders(*paths)
+        a, b = (np.frombuffer(x, k).astype(np.int64) for x, k in zip((row_a, row_b), c.kinds))
+        return _links(a, b, _marks(np.cumsum(c.length_a[a]), np.cumsum(c.length_b[b]))[1]) if len(a) else _NONE
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, held, n, links, counts = coders(*paths), [], 0, [], []
+        held, n, sums = [], 0, []
 
         def out() -> pa.RecordBatch:
-            keys, number = _summed(links, counts)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(number)], ["link", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*zip(*sums))], ["link", "n"])
 
         for b in it:
-            for done in _texts(b, c):
-                if done:
-                    held += done.links
-                    n += sum(map(len, done.links))
+            for a_ids, b_ids in zip(*b.columns):
+                held.append(links(a_ids.as_py(), b_ids.as_py()))
+                n += len(held[-1])
                 if n > HELD:
-                    for x, y in zip((links, counts), _summed(held)):
-                        x.append(y)
-                    links, counts = ([x] for x in _summed(links, counts))
+                    sums.append(_summed(held))
                     held, n = [], 0
-                    if len(links[0]) > HELD:
-                        yield out()
-                        links, counts = [], []
-        for x, y in zip((links, counts), _summed(held)):
-            x.append(y)
+                    if sum(len(k) for k, _ in sums) > HELD:
+                        sums = [_summed(*zip(*sums))]
+                        if len(sums[0][0]) > HELD:
+                            yield out()
+                            sums = []
+        sums.append(_summed(held))
         yield out()
 
     def counted_long(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,51 +488,41 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
                     links, n = _summed([links, head], [n, m])
                 yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(n)], ["link", "n"])
 
+    # ids are kept, so texts are encoded once and the counts can be looked up in them
+    encoded = written(rows.filter(~is_long).mapInArrow(
+        encode, f"key {kind}, {', '.join(n + ' long' for n in numbers[:4])}, {name} string, a binary, b binary"))
+    long = _long(rows.filter(is_long), paths, size)
     long_rows = long.select(*[p.split(" ")[0] for p in _FRAGMENT.split(", ")], "key")
     # the sums are written, so the highest counts are taken from the same rows
-    counts = written(short.mapInArrow(counted, "link long, n long").union(long_rows.mapInArrow(counted_long, "link long, n long"))
+    counts = written(encoded.select("a", "b").mapInArrow(counted, "link long, n long").union(long_rows.mapInArrow(counted_long, "link long, n long"))
                      .groupBy("link").agg(F.sum("n").alias("n")))
     of_b = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
     highest = counts.groupBy(of_b.alias("b")).agg(F.max("n").alias("most"))
     files = _saved_counts(counts.withColumn("b", of_b).join(highest, "b").select(
         "link", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
 
-    name = "groups_sha256" if digest else "groups"
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = f"key {kind}, {', '.join(n + ' long' for n in numbers)}, {name} string"
-
-    def answer(done: list[tuple[Closed, np.ndarray, np.ndarray] | None], found: Counts, keys: pa.Array) -> pa.RecordBatch:
-        every = np.unique(np.concatenate([_NONE, *(d[1] for d in done if d)]))
-        n, best = found.find(every)
-        out = []
-        for d in done:
-            if d is None:
-                out.append((0, 0, 0, 0, 0, 0, ""))
-                continue
-            x, links, times = d
-            at = np.searchsorted(every, links)
-            shown = x.shown[:-1]
-            out.append((x.n_a, x.n_b, x.n_groups, int(times.sum()), int((times * best[at]).sum()), int((times * n[at]).sum()),
-                        hashlib.sha256(shown.encode()).hexdigest() if digest and shown else shown))
-        return pa.RecordBatch.from_arrays([keys, *(pa.array(x, pa.int64()) for x in list(zip(*out))[:-1]),
-                                           pa.array([x[-1] for x in out], pa.string())], ["key", *numbers, name])
-
     def answers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, found = coders(*paths), Counts(files)
+        found = Counts(files)
         for b in it:
-            for part in _parts(b):
-                done = [x and (x, *_summed(x.links)) for x in _texts(part, c)]
-                yield answer(done, found, part.column(0))
+            for part in _parts(b.select(["a", "b", *b.schema.names])):
+                own = [links(x.as_py(), y.as_py()) for x, y in zip(part.column(0), part.column(1))]
+                sizes = np.array([len(x) for x in own])
+                sums = [np.append(0, np.cumsum(x))[np.append(0, np.cumsum(sizes))] for x in found.find(np.concatenate(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in ["key", *numbers[:4]]), *(pa.array(np.diff(x)) for x in reversed(sums)), part.column(name)],
+                    ["key", *numbers, name])
 
     def answers_long(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, found = coders(*paths), Counts(files)
         for b in it:
             for i, r in enumerate(b.to_pylist()):
-                x, links, n = _composed(c, [r])
-                done = None
+                x, keys, times = _composed(c, [r])
+                out = (0, 0, 0, 0, 0, 0, "")
                 if x is not None:
-                    head = close(c, x.head_a, x.head_b)
-                    done = (whole(c, x), *_summed([links, *head.links], [n, *([np.ones(len(h), np.int64) for h in head.links])]))
-                yield answer([done], found, b.column(b.num_columns - 1).slice(i, 1))
+                    done, head = whole(c, x), close(c, x.head_a, x.head_b)
+                    keys, times = _summed([keys, *head.links], [times, *(np.ones(len(h), np.int64) for h in head.links)])
+                    n, best = found.find(keys)
+                    out = (done.n_a, done.n_b, done.n_groups, int(times.sum()), int((times * best).sum()), int((times * n).sum()), shown(done.shown))
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(i, 1), *(pa.array([v]) for v in out)], ["key", *numbers, name])
 
-    return short.mapInArrow(answers, schema).union(long_rows.mapInArrow(answers_long, schema)).withColumnRenamed("key", key)
+    return encoded.mapInArrow(answers, schema).union(long_rows.mapInArrow(answers_long, schema)).withColumnRenamed("key", key)
