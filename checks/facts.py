@@ -11,6 +11,7 @@ from vacatlas.functions import dates, labels, money, text as T
 from vacatlas.functions.terms import canonical
 from vacatlas.operators import enrich as E
 from vacatlas.operators import gates, score as M
+from vacatlas.plans.scale import cut_lineage
 from vacatlas.profile import DEFAULT as P
 
 from .base import AS_OF_SQL, O, as_of, query, sql, table, view
@@ -327,7 +328,7 @@ def postings(spark, sf):
 def scored(spark, sf, profile=P):
     """Gates first, so the costly facts are only taken from the survivors."""
     kept = gates.kept(gates.gate(gates.usable(postings(spark, sf)), as_of(), profile))
-    return M.score(E.enrich(kept, profile), profile)
+    return M.score(cut_lineage(E.enrich(cut_lineage(kept), profile)), profile)
 
 
 @query("n01_strip_accents", sql(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import money, text as T
 from ..functions.terms import TermIndex, any_of, canonical, first_hit, lookup, ordered
+from ..plans.scale import once
 from ..profile import DEFAULT, Profile
 from ..schemas import STRUCTURED
 
@@ -93,7 +94,7 @@ def posting_language(df: DataFrame) -> DataFrame:
     """'de', 'en' or 'unknown' by short-word counts; too short a text is unknown."""
     padded = F.when(F.length("_low_text") >= 120, F.concat(
         F.lit(" "), F.col("_low_text"), F.lit(" ")))
-    df = df.withColumns({
+    df = once(df, {
         "_de": F.regexp_count(padded, F.lit(_marker_pattern(V.GERMAN_MARKERS))),
         "_en": F.regexp_count(padded, F.lit(_marker_pattern(V.ENGLISH_MARKERS)))})
     de, en = F.col("_de"), F.col("_en")
@@ -137,8 +138,8 @@ def language_requirement(df: DataFrame) -> DataFrame:
     level = F.coalesce(
         F.when(_has_any(_low(), ["german", "deutsch"]), _first_rule(_low(), german)),
         F.when(_has_any(_low(), ["englis"]), _first_rule(_low(), english)))
-    df = df.withColumns({"_said": level, "_listed": structured_language(F.col("structured"))})
-    df = df.withColumn("language_phrase", _language_phrase(text, F.col("_said")))
+    df = once(df, {"_said": level, "_listed": structured_language(F.col("structured"))})
+    df = once(df, {"language_phrase": _language_phrase(text, F.col("_said"))})
     listed = F.concat(F.lit("Listed by the source: "), F.array_join(F.array_sort(F.transform(
         F.col("structured.language_skills"),
         lambda s: F.concat(F.upper(F.substring(s["language"], 1, 2)), F.lit(" "), s["level"]))), ", "))
@@ -171,7 +172,7 @@ def years_required(df: DataFrame) -> DataFrame:
         _ints(text, V.YEARS_PLAIN, 1)), lambda n: n <= V.MAX_YEARS)
     guard = _has_any(text, ["year", "yr", "jahr"]) & F.rlike(text, F.lit(
         r"\d\s*\+?\s*(?:years?|yrs?|jahre?n?)"))
-    df = df.withColumns({"_ranges": F.when(guard, ranges), "_least": F.when(guard, F.array_min(singles))})
+    df = once(df, {"_ranges": F.when(guard, ranges), "_least": F.when(guard, F.array_min(singles))})
     lowest = F.array_min(F.transform("_ranges", lambda r: r["lo"]))
     df = df.withColumn("_first", F.get(F.filter("_ranges", lambda r: r["lo"] == lowest), 0))
     return df.withColumns({
@@ -263,16 +264,16 @@ PAY_WORDS = ["salar", "compensation", "remuneration", "pay", "package", "gehalt"
 def salary(df: DataFrame) -> DataFrame:
     """Pay that the posting prints, with its yearly euro figure; nothing is ever estimated."""
     text = _text("title", "description")
-    df = df.withColumn("_pieces", F.when(_has_any(_low(), PAY_WORDS) & F.rlike(_low(), F.lit(r"\d")), _pieces(_low())))
+    df = once(df, {"_pieces": F.when(_has_any(_low(), PAY_WORDS) & F.rlike(_low(), F.lit(r"\d")), _pieces(_low()))})
     even = lambda cut: lambda p, i: F.when(i % 2 == 0, cut(p)).otherwise(p)
-    df = df.withColumns({
+    df = once(df, {
         "_starts": F.transform("_pieces", even(lambda p: F.substring(p, 1, V.PAY_WINDOW_AFTER))),
         "_ends": F.transform("_pieces", even(lambda p: F.right(p, F.lit(V.PAY_WINDOW_BEFORE))))})
     nothing = F.lit(None).cast("struct<phrase:string,currency:string,period:string,lo:double,hi:double,eur_lo:double,eur_hi:double>")
     # windows are looked at in text order, and no more once a figure is found
-    df = df.withColumn("_pay", F.when(F.size("_pieces") > 2, F.aggregate(
+    df = once(df, {"_pay": F.when(F.size("_pieces") > 2, F.aggregate(
         F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2)), nothing, lambda found, k: F.coalesce(
-            found, _with(_window(k), lambda w: F.when(F.rlike(w, F.lit(r"\d")), _offer(w)))))))
+            found, _with(_window(k), lambda w: F.when(F.rlike(w, F.lit(r"\d")), _offer(w))))))})
     p = F.col("_pay")
     return df.withColumns({
         "salary_basis": F.when(p.isNotNull(), "explicit").otherwise("unknown"),
@@ -299,13 +300,13 @@ def relevance(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     def distinct_hits(terms) -> Column:
         return F.array_distinct(F.regexp_extract_all(body, F.lit(any_of(terms)), F.lit(0)))
 
-    df = df.withColumns({
+    df = once(df, {
         "_out": title_hit(V.OUT_OF_FIELD_TITLE),
         "_certain": title_hit(V.CERTAIN_TITLE + list(profile.role_include)),
         "_adjacent": title_hit(V.ADJACENT_TITLE), "_generic": title_hit(V.GENERIC_TITLE)})
     # the body is only read where the title leaves the question open
     undecided = F.col("_out").isNull() & F.col("_certain").isNull()
-    df = df.withColumns({
+    df = once(df, {
         "_strong": F.when(undecided, distinct_hits(V.STRONG_BODY)),
         "_support": F.when(undecided, F.size(distinct_hits(V.SUPPORTING_BODY)))})
     strong = F.least(F.size("_strong"), F.lit(V.TERM_COUNT_CAP))
@@ -332,7 +333,7 @@ def relevance(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     for cond, level, confidence, reason in reversed(cases):
         out = F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(confidence).alias("confidence"),
                                     reason.alias("reason"))).otherwise(out)
-    df = df.withColumn("_verdict", out)
+    df = once(df, {"_verdict": out})
     return df.withColumns({
         "relevance": F.col("_verdict.level"), "relevance_confidence": F.col("_verdict.confidence"),
         "relevance_reason": F.col("_verdict.reason"),
@@ -367,7 +368,7 @@ def location(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     for code, terms in profile.country_terms.items():
         for t in terms:
             codes.setdefault(_plain(t), code.upper())
-    df = df.withColumn("_places", place_hits(F.col("location"), profile))
+    df = once(df, {"_places": place_hits(F.col("location"), profile)})
     best = first_hit(F.col("_places"), [t for t, _ in tiers])
     city = F.trim(F.split(F.split(raw, ",").getItem(0), ";").getItem(0))
     is_code = F.lower(city).isin([c.lower() for c in profile.country_terms])
@@ -381,7 +382,7 @@ def location(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def excluded_region(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Name of the excluded region, '' when a wanted place is named too or nothing is."""
-    df = df.withColumn("_places", place_hits(F.col("location"), profile))
+    df = once(df, {"_places": place_hits(F.col("location"), profile)})
     hit = first_hit(F.col("_places"), [_plain(t) for t in profile.location_exclude])
     wanted = F.size(ordered(F.col("_places"), [t for t, _ in _tier_terms(profile)])) > 0
     return df.withColumn("excluded_region", F.when(wanted, F.lit("")).otherwise(
@@ -398,7 +399,7 @@ def remote_policy(df: DataFrame) -> DataFrame:
         F.when(F.rlike(f, F.lit(LOWER + p)), F.struct(
             F.lit(name).alias("policy"), F.regexp_extract(f, LOWER + p, 0).alias("phrase")))
         for name, p in V.REMOTE_RULES])) for f in fields])
-    df = df.withColumn("_remote", found)
+    df = once(df, {"_remote": found})
     return df.withColumns({
         "remote_policy": F.coalesce("_remote.policy", F.lit("unknown")),
         "remote_phrase": F.trim(F.coalesce("_remote.phrase", F.lit("")))}).drop("_remote")
@@ -449,11 +450,11 @@ def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     df = with_optional(df)
     index = TermIndex(_vocabulary(profile))
     titles = TermIndex([t for ts in profile.role_categories.values() for t in ts])
-    df = df.withColumn("_named", index.hits(_low()))
-    df = df.withColumn("_hits", F.when(F.coalesce(F.col("tags"), F.lit("")) == "", F.col("_named"))
-                       .otherwise(index.hits(F.concat_ws("\n", "_low_title", F.lower("tags"), "_low_text"))))
+    df = once(df, {"_named": index.hits(_low())})
+    df = once(df, {"_hits": F.when(F.coalesce(F.col("tags"), F.lit("")) == "", F.col("_named"))
+                       .otherwise(index.hits(F.concat_ws("\n", "_low_title", F.lower("tags"), "_low_text")))})
     hits = F.col("_hits")
-    df = df.withColumns({
+    df = once(df, {
         "skills": ordered(hits, profile.skill_terms()),
         "skill_groups": F.filter(F.array(*[
             F.struct(F.lit(g).alias("group"), ordered(hits, ts).alias("terms"))
@@ -465,8 +466,7 @@ def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     })
     watch = sorted({t.lower() for t in V.COMMON_REQUIREMENTS}
                    | {m.lower() for f in profile.families for m in f["members"]})
-    df = df.withColumn("missing", F.array_sort(F.array_except(
-        ordered(F.col("_named"), watch), F.col("skills"))))
+    df = once(df, {"missing": F.array_sort(F.array_except(ordered(F.col("_named"), watch), F.col("skills")))})
     table = transfer_table(profile)
     via = {k: v[0] for k, v in table.items()}
     credit = {k: v[1] for k, v in table.items()}

@@ -24,7 +24,7 @@ def scored_vacancies(sightings: DataFrame, registry: DataFrame, as_of: Column,
 def scored(vacancies: DataFrame, registry: DataFrame, as_of: Column, profile: Profile = DEFAULT) -> DataFrame:
     """Vacancies that pass the gates and the store line, with their facts and scores."""
     kept = cut_lineage(gates.kept(gates.gate(vacancies, as_of, profile)))
-    out = score.score(enrich.enrich(kept, profile), profile)
+    out = score.score(cut_lineage(enrich.enrich(kept, profile)), profile)
     return companies.resolve_names(out, registry).filter(F.col("score") >= profile.min_score)
 
 

@@ -32,6 +32,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used further up.
+
+    The optimizer merges neighbouring projections and moves filters below them, and copies the columns'
+    expressions to every use.  It does not look into a generator, so one that makes a single row holds the
+    values.  For columns that cost much, such as patterns over a whole text.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(row)))
+
+
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of every group as an aggregate: combined before the shuffle, no group is sorted."""
     rest = [c for c in df.columns if c not in keys]
