@@ -37,11 +37,11 @@ from .bpe import PATTERN, Vocabulary
 from .common import shared_dir, written
 
 #: Characters of a range, fragments composed at a time, and links held before a task adds them up.
-RANGE, FAN, HELD = 1 << 16, 16, 1 << 21
+RANGE, FAN, HELD = 1 << 16, 16, 1 << 20
 #: Bytes of short texts, or of their ids, that are worked on together.
-PART = 1 << 21
+PART = 1 << 20
 #: Words whose fragments a worker remembers, up to so many characters each.
-MEMO, MEMO_LENGTH = 300_000, 40
+MEMO, MEMO_LENGTH = 150_000, 40
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
