@@ -638,6 +638,28 @@ def e13(spark, sf):
         F.array_join("unmet", "|").alias("unmet"), F.round("transfer_credit", 6).alias("credit"))
 
 
+def by_table(spark, sf):
+    return E.skills_by_table(postings(spark, sf), E.skill_vocabulary(spark), "seq")
+
+
+@query("e10_skills_by_table", sql("""
+SELECT seq, array_to_string(skills, '|') AS skills, array_to_string(domains, '|') AS domains,
+  n_groups::INT AS n_groups, array_to_string(missing, '|') AS missing FROM o_skills"""))
+def e10_by_table(spark, sf):
+    return by_table(spark, sf).select(
+        "seq", F.array_join("skills", "|").alias("skills"), F.array_join("domains", "|").alias("domains"),
+        F.size("skill_groups").alias("n_groups"), F.array_join("missing", "|").alias("missing"))
+
+
+@query("j07_transfers_by_table", sql("""
+SELECT seq, array_to_string(covered, '|') AS covered, array_to_string(unmet, '|') AS unmet,
+  round(transfer_credit, 6) AS credit FROM o_skills"""))
+def j07_by_table(spark, sf):
+    return by_table(spark, sf).select(
+        "seq", F.array_join(F.transform("transfers", lambda t: t["requirement"]), "|").alias("covered"),
+        F.array_join("unmet", "|").alias("unmet"), F.round("transfer_credit", 6).alias("credit"))
+
+
 @query("e14_employment", sql(f"""
 SELECT seq, CASE WHEN regexp_matches({TEXT}, {rx(V.FULL_TIME_HINT)}) THEN 'full_time' ELSE 'unknown' END
   AS employment_type FROM posting_view"""))

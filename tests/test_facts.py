@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacatlas import fixed_values as V
-from vacatlas.functions import dates, money, text as T
+from vacatlas.functions import dates, money, term_table, text as T
 from vacatlas.functions.terms import TermIndex, ordered
 from vacatlas.operators import enrich as E, gates, score as M
 from vacatlas.profile import DEFAULT, Profile
@@ -203,3 +203,26 @@ def test_salary_takes_the_first_window_with_a_figure(spark):
     texts += ["salary " * 10_000 + "of 64,000 EUR", "pay \x01 EUR \x02 salary 55,000 EUR", "salary " + "y" * 300 + " EUR 50,000"]
     got = E.salary(frame(spark, [posting(title="", description=t) for t in texts])).select("description", "salary_min", "salary_max").collect()
     assert {(x.description, x.salary_min, x.salary_max) for x in got} == {(t, *brute("\n" + t)) for t in texts}
+
+
+def test_a_table_of_terms_finds_what_the_pattern_finds(spark):
+    r = random.Random(13)
+    words = ["graph", "neural", "network", "c", "c++", "c#", ".net", "ci/cd", "scikit-learn", "r", "node.js", "für", "é", "a_b", "+"]
+    terms = list(dict.fromkeys(words + [" ".join(r.sample(words, r.randint(2, 4))) for _ in range(60)] + ["Graph-Neural"]))
+    seps = [" ", "  ", "-", "/", "\n", ", ", ".", "", "(", "\u00a0", " - "]
+    texts = ["".join(r.choice(words + ["x", "the"]) + r.choice(seps) for _ in range(r.randint(0, 30))) for _ in range(200)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("t", F.lower("t"))
+    index = TermIndex(terms)
+    want = {(x.i, t) for x in df.select("i", index.hits(F.col("t")).alias("h")).collect() for t in x.h or []}
+    table = term_table.vocabulary(spark.createDataFrame([(t, n) for n, t in enumerate([*terms, "", " - ", None])], "term string, n int"))
+    got = [(x.i, x.term) for x in term_table.find(df, "i", F.col("t"), table).collect()]
+    assert set(got) == want and len(want) > 300
+    assert term_table.find(df, "i", F.col("t"), table.filter("n < 0")).count() == 0
+
+
+def test_skills_by_table_are_the_skills(spark):
+    texts = ["PyTorch, C++ and TensorFlow; ci/cd", "Docker, neural networks in robotics", "nothing", "MariaDB, Kafka"]
+    df = frame(spark, [posting(seq=i, description=t, tags="Python; Kafka" if i % 2 else "") for i, t in enumerate(texts)])
+    cols = ["seq", "skills", "skill_groups", "domains", "missing", "transfers", "unmet", "transfer_credit"]
+    a = E.skills(df).select(cols).orderBy("seq").collect()
+    assert a == E.skills_by_table(df, E.skill_vocabulary(spark), "seq").select(cols).orderBy("seq").collect() and a[0].transfers

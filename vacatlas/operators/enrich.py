@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from ..functions import money, text as T
+from ..functions import money, term_table, text as T
 from ..functions.terms import TermIndex, any_of, canonical, first_hit, lookup, ordered
 from ..plans.scale import once
 from ..profile import DEFAULT, Profile
@@ -485,6 +485,60 @@ def skills(df: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
         "transfers", F.lit(0.0), lambda a, t: a + t["credit"])).drop("_named", "_hits")
 
 
+def skill_vocabulary(spark, profile: Profile = DEFAULT) -> DataFrame:
+    """The profile's vocabulary as a table, one row per term and role, for ``skills_by_table``.
+
+    ``role`` is skill, domain or need; ``place`` the order of declaration, ``area`` a skill's group.  A need
+    carries the skill that covers it, the credit and the reason, where the reader holds one.
+    """
+    rows = [("skill", t, i, g, None, None, None) for i, (g, t) in enumerate((g, t) for g, ts in profile.skills.items() for t in ts)]
+    rows += [("domain", t, i, None, None, None, None) for i, t in enumerate(profile.domains)]
+    covered = transfer_table(profile)
+    watch = {t.lower() for t in V.COMMON_REQUIREMENTS} | {m.lower() for f in profile.families for m in f["members"]}
+    rows += [("need", t, i, None, *covered.get(t, (None, None, None))) for i, t in enumerate(sorted(watch))]
+    return spark.createDataFrame(rows, "role string, term string, place int, area string, via string, credit double, why string")
+
+
+@lowered
+def skills_by_table(df: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """What ``skills`` adds but the category, with a vocabulary table of any size; ``key`` tells postings apart.
+
+    The vocabulary has the columns of ``skill_vocabulary``.  Hits are narrow rows that combine before their
+    shuffle; a posting's lists hold no more than the terms it names.
+    """
+    df = with_optional(df)
+    table = term_table.vocabulary(vocabulary)
+    # needs only count where title or text name them, skills and domains in the tags, too
+    named = df.select(key, _low().alias("_t")).withColumn("_tagged", F.lit(False))
+    tagged = df.filter(F.coalesce("tags", F.lit("")) != "").select(
+        key, F.concat_ws("\n", "_low_title", F.lower("tags"), "_low_text").alias("_t")).withColumn("_tagged", F.lit(True))
+    hits = (term_table.find(named, key, F.col("_t"), table)
+            .unionByName(term_table.find(tagged, key, F.col("_t"), table.filter("role <> 'need'"))).distinct())
+    c = F.col
+
+    def listed(role: str, *columns: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(c("role") == role, F.struct("place", *columns))))
+
+    per = hits.groupBy(key).agg(listed("skill", "term", "area").alias("_s"), listed("domain", "term").alias("_d"),
+                                listed("need", "term", "via", "credit", "why").alias("_n"))
+    df = df.join(per, key, "left")
+    held = F.array_distinct(F.transform("_s", lambda s: s["term"]))
+    df = once(df, {"skills": F.coalesce(held, F.array().cast("array<string>")),
+                   "domains": F.coalesce(F.array_distinct(F.transform("_d", lambda d: d["term"])), F.array().cast("array<string>")),
+                   "_open": F.array_sort(F.filter("_n", lambda n: ~F.array_contains(F.coalesce(held, F.array().cast("array<string>")), n["term"])))})
+    areas = F.array_distinct(F.transform("_s", lambda s: s["area"]))
+    groups = F.transform(areas, lambda a: F.struct(a.alias("group"), F.array_distinct(F.transform(
+        F.filter("_s", lambda s: s["area"] == a), lambda s: s["term"])).alias("terms")))
+    none = "array<struct<requirement:string,via:string,credit:double,why:string>>"
+    return df.withColumns({
+        "skill_groups": F.coalesce(groups, F.array().cast("array<struct<group:string,terms:array<string>>>")),
+        "missing": F.coalesce(F.transform("_open", lambda n: n["term"]), F.array().cast("array<string>")),
+        "transfers": F.coalesce(F.transform(F.filter("_open", lambda n: n["via"].isNotNull()), lambda n: F.struct(
+            n["term"].alias("requirement"), n["via"].alias("via"), n["credit"].alias("credit"), n["why"].alias("why"))), F.array().cast(none)),
+        "unmet": F.coalesce(F.transform(F.filter("_open", lambda n: n["via"].isNull()), lambda n: n["term"]), F.array().cast("array<string>")),
+    }).withColumn("transfer_credit", F.aggregate("transfers", F.lit(0.0), lambda a, t: a + t["credit"])).drop("_s", "_d", "_n", "_open")
+
+
 # -- E14, E15, E16 ----------------------------------------------------------
 @lowered
 def employment(df: DataFrame) -> DataFrame:
