@@ -8,7 +8,7 @@ from vacatlas import fixed_values as V
 from vacatlas.functions import labels
 from vacatlas.operators import analytics as A
 from vacatlas.operators import companies as C
-from vacatlas.operators import drafts, health, listing as L
+from vacatlas.operators import drafts, health, listing as L, searches
 from vacatlas.operators import enrich as E
 from vacatlas.profile import DEFAULT as P
 
@@ -618,3 +618,38 @@ SELECT search, id, rank, matches FROM (SELECT search, id, row_number() OVER (PAR
   UNION ALL SELECT 'fresh', * FROM job_view WHERE is_open AND posted_at >= {AS_OF_SQL} - 3)) WHERE rank <= 20"""))
 def i12(spark, sf):
     return L.saved_searches(jobs(spark, sf), comps(spark, sf), _SEARCHES, as_of(), 20)
+
+
+VIEWS["search_view"] = """
+SELECT 'search-' || CAST(c_custkey AS VARCHAR(20)) AS search,
+  CASE c_custkey % 11 WHEN 0 THEN ' Engineer' WHEN 1 THEN 'perception' WHEN 2 THEN 'ai' WHEN 3 THEN 'supplier#00000000' || CAST(c_custkey % 10 AS VARCHAR(2)) ELSE NULL END AS q,
+  CASE WHEN c_custkey % 13 = 4 THEN 'Data' ELSE NULL END AS domain, CASE WHEN c_custkey % 17 = 3 THEN 'GmbH' ELSE NULL END AS company,
+  CASE c_custkey % 19 WHEN 1 THEN 'MÜN' WHEN 2 THEN 'berlin' ELSE NULL END AS city, CASE c_custkey % 23 WHEN 1 THEN 'de' WHEN 2 THEN 'xx' ELSE NULL END AS country,
+  CASE c_custkey % 7 WHEN 0 THEN 'dream' WHEN 1 THEN 'HIGH' ELSE NULL END AS tier, CASE WHEN c_custkey % 29 = 0 THEN 'applied' ELSE NULL END AS status,
+  CASE c_custkey % 6 WHEN 0 THEN 'unclear' WHEN 1 THEN 'english_only' ELSE NULL END AS language, CASE WHEN c_custkey % 9 = 4 THEN 'adzuna' ELSE NULL END AS source,
+  CASE WHEN c_custkey % 10 = 4 THEN 'senior' ELSE NULL END AS seniority, CASE WHEN c_custkey % 14 = 6 THEN 'remote' ELSE NULL END AS remote,
+  CASE WHEN c_custkey % 15 = 8 THEN 'Machine Learning' ELSE NULL END AS category, CASE WHEN c_custkey % 4 = 2 THEN CAST(c_custkey % 120 AS INT) ELSE NULL END AS min_score,
+  CASE WHEN c_custkey % 5 = 3 THEN CAST(c_custkey % 50 AS INT) ELSE NULL END AS max_age_days, CASE WHEN c_custkey % 8 = 5 THEN CAST(30000 + c_custkey % 9 * 10000 AS INT) ELSE NULL END AS salary_min,
+  c_custkey % 31 = 1 AS only_new, c_custkey % 37 = 1 AS only_starred, c_custkey % 3 = 0 AS only_clean, c_custkey % 41 < 3 AS include_hidden, c_custkey % 43 < 5 AS include_closed
+FROM customer
+"""
+
+
+@query("i12_reverse_search", sql(f"""
+SELECT search, id, rank, matches FROM (SELECT s.search, j.id, row_number() OVER (PARTITION BY s.search ORDER BY {_SQL_ORDER['newest']})::INT AS rank,
+  count(*) OVER (PARTITION BY s.search) AS matches
+  FROM search_view s JOIN job_view j ON (s.include_closed OR j.is_open) AND (s.include_hidden OR NOT j.hidden) AND (NOT s.only_new OR j.is_new)
+    AND (NOT s.only_starred OR j.starred) AND (NOT s.only_clean OR NOT j.has_flags) AND (s.status IS NULL OR s.status = j.status)
+    AND (s.language IS NULL OR s.language = j.language_requirement) AND (s.source IS NULL OR s.source = j.source)
+    AND (s.seniority IS NULL OR s.seniority = j.seniority) AND (s.remote IS NULL OR s.remote = j.remote_policy)
+    AND (s.category IS NULL OR s.category = j.role_category) AND (s.q IS NULL OR contains(j.search_blob, trim(lower(s.q))))
+    AND (s.domain IS NULL OR contains(lower(j.search_blob), lower(s.domain))) AND (s.company IS NULL OR contains(lower(j.company_name), lower(s.company)))
+    AND (s.city IS NULL OR contains(lower(j.city), lower(s.city)) OR contains(lower(j.location_raw), lower(s.city)))
+    AND (s.min_score IS NULL OR j.score >= s.min_score) AND (s.salary_min IS NULL OR j.salary_annual_eur_min >= s.salary_min)
+    AND (s.max_age_days IS NULL OR j.posted_at >= {AS_OF_SQL} - s.max_age_days)
+    AND (s.country IS DISTINCT FROM 'de' OR j.country = 'DE' OR {' OR '.join(f"contains(j.search_blob, {q(t)})" for t in P.country_terms['de'])})
+  LEFT JOIN (SELECT id AS cid, tier AS ctier FROM company_view) v ON v.cid = j.company_id
+  WHERE s.tier IS NULL OR v.ctier = lower(s.tier)) WHERE rank <= 20"""))
+def i12_reverse(spark, sf):
+    """As many stored searches as there are customers, looked up through their narrowest keys."""
+    return searches.results(jobs(spark, sf), comps(spark, sf), view(spark, sf, "search_view"), as_of(), 20)

@@ -49,7 +49,7 @@ class JobQuery:
         return cls(**doc)
 
     def as_dict(self) -> dict:
-        return {k: v for k, v in asdict(self).items() if v not in (None, False)}
+        return {k: v for k, v in asdict(self).items() if v is not None and v is not False}
 
 
 def _holds(column: str, text: str) -> Column:
@@ -180,7 +180,8 @@ def saved_searches(jobs: DataFrame, companies: DataFrame, searches: dict[str, di
     are then kept with a ranked filter that Spark also applies before the
     shuffle, so a search that matches a third of all jobs stays cheap.
     """
-    jobs = with_tier(jobs, companies)
+    # the tier of a registered employer; the others have none, as in find()
+    jobs = jobs.join(companies.select(F.col("id").alias("company_id"), F.col("tier").alias("company_tier")), "company_id", "left")
     tests = []
     for name, doc in searches.items():
         query = JobQuery.from_dict(doc)
