@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacatlas import fixed_values as V
 from vacatlas.functions import labels
 from vacatlas.operators import analytics as A
 from vacatlas.operators import companies as C
-from vacatlas.operators import drafts, health, listing as L, searches
+from vacatlas.operators import drafts, health, listing as L, searches, text_index
 from vacatlas.operators import enrich as E
+from vacatlas.plans.scale import shared_dir
 from vacatlas.profile import DEFAULT as P
 
 from .base import AS_OF_SQL, O, VIEWS, as_of, now, query, sql, table, view
@@ -653,3 +656,30 @@ SELECT search, id, rank, matches FROM (SELECT s.search, j.id, row_number() OVER
 def i12_reverse(spark, sf):
     """As many stored searches as there are customers, looked up through their narrowest keys."""
     return searches.results(jobs(spark, sf), comps(spark, sf), view(spark, sf, "search_view"), as_of(), 20)
+
+
+# whole postings: short fields and the text behind them
+_WHOLE = "lower(company_name || chr(10) || title || chr(10) || location_raw || chr(10) || description)"
+VIEWS["term_view"] = """
+SELECT DISTINCT lower(substr(p_name, 1, CAST(2 + p_partkey % 6 AS INT))) AS term FROM part
+UNION SELECT DISTINCT CASE doc_id % 5 WHEN 0 THEN lower(substr(text, 1 + CAST(floor(length(text) / 2) AS INT), 5)) ELSE 'kubernetes' END FROM documents
+"""
+
+
+@query("f06_text_index", sql(f"SELECT t.term, j.id FROM term_view t JOIN job_view j ON contains({_WHOLE}, t.term) WHERE t.term <> ''"))
+def f06_index(spark, sf):
+    """Many terms, wherever they stand in whole postings."""
+    index = text_index.TextIndex(f"{shared_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}")
+    text = text_index.searchable("company_name", "title", "location_raw", "description")
+    index.add(jobs(spark, sf), text, 0)
+    return index.find(jobs(spark, sf), text, view(spark, sf, "term_view"))
+
+
+@query("f09_indexed_document", sql(f"""
+SELECT id FROM o_vis WHERE contains({_WHOLE}, 'machine learning') AND contains({_WHOLE}, 'munich') AND score >= 10"""))
+def f09_indexed(spark, sf):
+    index = text_index.TextIndex(f"{shared_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}")
+    j = jobs(spark, sf).withColumn("search_blob", text_index.searchable("company_name", "title", "location_raw", "description"))
+    index.add(j, F.col("search_blob"), 0)
+    doc = L.JobQuery.from_dict({"q": "machine learning", "domain": "Munich", "min_score": 10})
+    return L.find(j, comps(spark, sf), doc, as_of(), index=index).select("id")

@@ -187,4 +187,4 @@ def search_blob(company, title, location, city, country, category, skills, domai
     """Lower-case text the free-text filters look into."""
     parts = [F.coalesce(c, F.lit("")) for c in (company, title, location, city, country, category)]
     lists = [F.when(F.size(a) > 0, F.array_join(a, " ")) for a in (skills, domains)]
-    return F.substring(F.lower(F.concat_ws(" ", *parts, *lists)), 1, 2000)
+    return F.lower(F.concat_ws(" ", *parts, *lists))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import labels
 from ..profile import DEFAULT, Profile
+from .text_index import TextIndex
 
 ORDERS = ("newest", "score", "company", "discovered", "salary")
 
@@ -99,8 +100,16 @@ def conditions(query: JobQuery, as_of: Column, profile: Profile = DEFAULT) -> li
 
 
 def find(jobs: DataFrame, companies: DataFrame, query: JobQuery, as_of: Column,
-         profile: Profile = DEFAULT) -> DataFrame:
-    """All jobs that a filter document selects."""
+         profile: Profile = DEFAULT, index: TextIndex | None = None) -> DataFrame:
+    """All jobs that a filter document selects.
+
+    With an ``index`` over ``search_blob`` only the jobs that may hold the text terms are read on.
+    """
+    terms = [t.lower() for t in ((query.q or "").strip(), query.domain or "") if t]
+    if index is not None and terms:
+        asked = jobs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        both = index.candidates(asked).groupBy("id").agg(F.countDistinct("term").alias("_terms")).filter(F.col("_terms") == len(set(terms)))
+        jobs = jobs.join(both.select("id"), "id", "left_semi")
     tests = conditions(query, as_of, profile)
     out = jobs.filter(reduce(lambda a, b: a & b, tests)) if tests else jobs
     if query.tier:

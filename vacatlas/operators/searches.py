@@ -23,6 +23,7 @@ from ..functions.terms import constant_map
 from ..plans.scale import cut_lineage
 from ..profile import DEFAULT, Profile
 from .listing import JobQuery, ordering
+from .text_index import runs
 
 EQUAL = {"tier": "company_tier", "status": "status", "language": "language_requirement", "source": "source",
          "seniority": "seniority", "remote": "remote_policy", "category": "role_category"}
@@ -42,12 +43,6 @@ def stored(spark: SparkSession, documents: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows], SCHEMA)
 
 
-def _runs(text: Column) -> Column:
-    """Every run of three characters of a text, once."""
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))))
-
-
 def _key(field: str, value: Column) -> Column:
     return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
 
@@ -92,10 +87,10 @@ def _ways(s: DataFrame) -> DataFrame:
         ("closed hidden", c("include_closed") & c("include_hidden")))]), lambda k: k.isNotNull())
     simple.append(F.struct(F.lit("scope").alias("way"), scope.alias("keys")))
     # every run of three characters of a term is a way by itself
-    runs = [F.transform(F.coalesce(_runs(c(n)), F.array().cast("array<string>")), lambda r: F.struct(
+    found = [F.transform(F.coalesce(runs(c(n)), F.array().cast("array<string>")), lambda r: F.struct(
         F.concat(F.lit(n + " "), r).alias("way"), F.array(_key(f, r)).alias("keys")))
         for n, f in (("q", "text"), ("domain", "text"), ("company", "employer"), ("city", "place"))]
-    ways = F.concat(F.array_compact(F.array(*simple)), *runs)
+    ways = F.concat(F.array_compact(F.array(*simple)), *found)
     return (s.select("search", F.inline(ways)).select("search", "way", F.inline(F.coalesce("keys", none))).distinct())
 
 
@@ -109,9 +104,9 @@ def _listed(jobs: DataFrame, as_of: Column) -> DataFrame:
         ("score", c("score"), SCORES), ("age", F.datediff(as_of, c("posted_at")), AGES), ("pay", c("salary_annual_eur_min"), PAYS))]
     keys.append(_key("scope", scope))
     text = lambda *names: F.lower(F.concat_ws("\n", *[F.coalesce(c(n), F.lit("")) for n in names]))
-    runs = [F.transform(F.coalesce(_runs(t), F.array().cast("array<string>")), lambda r: _key(f, r)) for f, t in (
+    found = [F.transform(F.coalesce(runs(t), F.array().cast("array<string>")), lambda r: _key(f, r)) for f, t in (
         ("text", text("search_blob")), ("employer", text("company_name")), ("place", text("city", "location_raw")))]
-    return jobs.select("id", F.inline(F.concat(F.array_compact(F.array(*keys)), *runs)))
+    return jobs.select("id", F.inline(F.concat(F.array_compact(F.array(*keys)), *found)))
 
 
 def _holding(as_of: Column) -> Column:
