@@ -103,15 +103,33 @@ def s13(spark, sf):
     return landing.once_per_fetch(p).select("external_id", "seq")
 
 
-@query("s14_detail_text", sql("SELECT external_id, title || chr(10) || chr(10) || tier AS text FROM posting_view WHERE seq % 3 = 0"))
+@query("s14_detail_text", sql("SELECT external_id, title || chr(10) || chr(10) || tier AS text FROM posting_view"))
 def s14(spark, sf):
-    d = view(spark, sf, "posting_view").filter("seq % 3 = 0").select(
+    d = view(spark, sf, "posting_view").select(
         F.lit("smartrecruiters").alias("provider"), "external_id", F.expr(
             "to_json(named_struct('jobAd', named_struct('sections', map('a', named_struct('text', '<p>' || title || '</p>'), "
             "'b', named_struct('text', ''), 'c', named_struct('text', tier)))))").alias("payload"))
     return R.detail_text(d).select("external_id", "text")
 
 
+VIEWS["detail_view"] = """
+SELECT 'd' || CAST(seq AS VARCHAR(20)) AS external_id, seq, provider, company, title, location, url, posted, tier, description,
+  CASE seq % 3 WHEN 0 THEN description || ' The full text says more.' WHEN 1 THEN 'Short.' ELSE NULL END AS text FROM posting_view
+"""
+
+
+@query("s14_joined_back", sql("""
+SELECT seq, md5(CASE WHEN length(coalesce(text, '')) > length(description) THEN text ELSE description END) AS h FROM detail_view"""))
+def s14_joined(spark, sf):
+    """Details of even postings come with them, those of odd ones a batch late, and every fifth listing is read again."""
+    s, store = view(spark, sf, "detail_view"), Buckets(f"{shared_dir(spark).rstrip('/')}/details-{uuid.uuid4().hex}")
+    rows, told = s.drop("text"), s.select("provider", "external_id", "text", "seq")
+    incremental.take(store, rows, 0, details=told.filter("seq % 2 = 0").drop("seq"))
+    incremental.take(store, rows.filter("seq % 5 = 0").withColumn("seq", F.col("seq") + 1_000_000_000_000), 1, details=told.filter("seq % 2 = 1").drop("seq"))
+    kept = store.read(spark)
+    return kept.select("seq", F.md5(incremental._longer("description", "detail")).alias("h"))
+
+
 @query("s15_enrich_candidates", sql("""
 SELECT seq FROM posting_view WHERE length(description) < 400
 ORDER BY CASE tier WHEN 'dream' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, seq LIMIT 120"""))

@@ -125,3 +125,13 @@ def test_old_runs_are_expired_and_a_broken_one_is_not_seen(spark, tmp_path):
     assert {r.v for r in store.read(spark).collect()} == {7, 0} and {r.v for r in store.read(spark, 6).collect()} == {5, 0}
     assert store.read(spark, buckets={homes[b]}).first().v == 0 and store.read(spark, buckets=set()).count() == 0
     assert Buckets(str(tmp_path / "none")).read(spark) is None
+
+
+def test_late_details_reach_the_group_and_stay(spark, tmp_path):
+    store, say = Buckets(str(tmp_path / "s"), 4, 2), lambda *r: spark.createDataFrame(list(r), "provider string, external_id string, text string")
+    one = [sighting(1, ext="a", text="short"), sighting(2, "lever", title="Data Engineer", ext="b", text="a long listing")]
+    I.take(store, spark.createDataFrame(one, COLS), 0, details=say(("lever", "b", "brief"), ("lever", "nobody", "x")))
+    member, groups = I.take(store, spark.createDataFrame([], COLS), 1, details=say(("workday", "a", "a longer text"), ("workday", "a", "no"), ("lever", "b", None)))
+    assert [(r.seq, r.description) for r in member.collect()] == [(1, "a longer text")] and groups.count() == 1
+    member, _ = I.take(store, spark.createDataFrame([sighting(3, ext="a", text="tiny", url="https://x.example.com/1")], COLS), 2)
+    assert [(r.seq, r.last_seq, r.description) for r in member.collect()] == [(1, 3, "a longer text")]

@@ -9,6 +9,9 @@ the employers that it names, because all three signals hold inside one employer.
 
 A sighting that its source no longer lists is marked as gone.  It still ties its group together, so
 a group does not fall apart when one of its sources drops it, but it adds nothing to the group's facts.
+
+Detail texts are kept beside the text of the listing, so they may come with a posting, later, or before
+the listing is read again.  The longer of the two counts.
 """
 
 from __future__ import annotations
@@ -62,15 +65,28 @@ def _table(batch: DataFrame) -> DataFrame:
     return content.join(of_last, content["seq"] == of_last["last_seq"]).withColumn("seq", F.col("_first")).drop("_first")
 
 
-def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _longer(a: str, b: str) -> Column:
+    """The longer text, the first of equally long ones."""
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
+    return F.when(size(b) > size(a), F.col(b)).otherwise(F.col(a))
+
+
+def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = None,
+         details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolve a batch against the stored sightings and store the outcome as run ``run``.
 
     ``ended(source, target, first_seq)`` are the fetches that this batch completed: their sightings last
-    listed before are gone.  Returns the sightings still listed of every group that the run touched, and
+    listed before are gone.  ``details(provider, external_id, text)`` are full texts that arrived since the
+    last run, for postings of this or of any earlier batch.  Returns the sightings still listed of every group that the run touched, and
     the names of all touched groups, those that have no sighting any more or a new name included.
     """
     spark = batch.sparkSession
-    new = cut_lineage(_table(batch).withColumn("gone", F.lit(False)))
+    new = _table(batch).withColumns({"gone": F.lit(False), "detail": F.lit(None).cast("string")})
+    if details is not None:
+        longest = F.max_by("text", F.struct(F.length("text"), "text"))
+        told = cut_lineage(details.filter(F.coalesce("text", F.lit("")) != "").groupBy("provider", "external_id").agg(longest.alias("_told")))
+        new = new.join(told, ["provider", "external_id"], "left").withColumn("detail", F.col("_told")).drop("_told")
+    new = cut_lineage(new)
     everything = store.read(spark, run)
     owner, at = F.col("company_norm"), store.of(F.col("company_norm"), F.col("key"))
     reach = new.select(F.explode(store.of_owner(owner)))
@@ -78,13 +94,16 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
         found = D.named(D.set_groups(D.with_component(new.select(*NARROW))))
         after = cut_lineage(new.join(found.select(*D.IDENTITY, *GROUP), D.IDENTITY))
         store.write(after, run, at, distinct_buckets(after.select(at)))
-        return after.filter("not gone"), after.select("group_key").distinct()
+        return _current(after), after.select("group_key").distinct()
 
     if ended is not None:
         ends = ended.groupBy(F.col("source").alias("provider"), "target").agg(F.max("first_seq").alias("_starts"))
         late = F.shiftright("last_seq", PLACE_BITS) < F.col("_starts")
         old = everything.filter("not gone").join(ends, ["provider", "target"]).filter(late)
         reach = reach.union(old.select(F.explode(store.of_owner(owner))))
+    if details is not None:
+        late_text = everything.join(told, ["provider", "external_id"]).filter(F.length("_told") > F.coalesce(F.length("detail"), F.lit(0)))
+        reach = reach.union(late_text.select(F.explode(store.of_owner(owner))))
     reach = distinct_buckets(reach)
     known = store.read(spark, run, reach).drop("_fresh")
     employers = new.select("company_norm").distinct()
@@ -96,7 +115,7 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
     found = cut_lineage(extend(same, first).select(*D.IDENTITY, *[F.col(c).alias(f"_{c}") for c in GROUP]))
 
     # what the batch holds replaces the stored content; who came first and the group do not depend on it
-    stored = [c for c in known.columns if c not in (*D.IDENTITY, *GROUP, "seq", "last_seq", "gone")]
+    stored = [c for c in known.columns if c not in (*D.IDENTITY, *GROUP, "seq", "last_seq", "gone", "detail")]
     mine = new.select(*D.IDENTITY, F.col("seq").alias("_n_seq"), F.col("last_seq").alias("_n_last"),
                       *[(F.col(c) if c in new.columns else F.lit(None)).alias(f"_n_{c}") for c in stored])
     both = known.join(mine, D.IDENTITY, "full_outer").join(found, D.IDENTITY, "left")
@@ -106,19 +125,27 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
         *[F.when(newer, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in stored],
         *[F.coalesce(f"_{c}", c).alias(c) for c in GROUP], F.coalesce(F.col("gone") & ~newer, F.lit(False)).alias("gone"),
         F.col("group_key").alias("_was"), F.col("_n_last").isNotNull().alias("_listed"), F.col("gone").alias("_gone"),
-        F.col("component").alias("_in"))
+        F.col("component").alias("_in"), F.col("detail"))
+    after = after.withColumn("_had", F.coalesce(F.length("detail"), F.lit(0)))
+    if details is not None:
+        after = after.join(told, ["provider", "external_id"], "left").withColumn("detail", _longer("detail", "_told")).drop("_told")
     if ended is not None:
         after = after.join(ends, ["provider", "target"], "left").withColumn("gone", F.col("gone") | F.coalesce(late, F.lit(False))).drop("_starts")
     after = cut_lineage(after)
     renamed = ~F.col("_was").eqNullSafe(F.col("group_key"))
     changed = after.filter(renamed | F.col("_listed") | ~F.col("_gone").eqNullSafe(F.col("gone"))
-                           | ~F.col("_in").eqNullSafe(F.col("component")))
-    rows = after.drop("_was", "_listed", "_gone", "_in")
+                           | ~F.col("_in").eqNullSafe(F.col("component")) | (F.coalesce(F.length("detail"), F.lit(0)) > F.col("_had")))
+    rows = after.drop("_was", "_listed", "_gone", "_in", "_had")
     touched = distinct_buckets(changed.select(at))
     # a bucket is rewritten whole; `rows` holds every bucket of every employer concerned
     store.write(rows.filter(at.isin(*sorted(touched)) if touched else F.lit(False)), run, at, touched)
     groups = changed.select(F.explode(F.array("_was", "group_key")).alias("group_key")).filter("group_key is not null").distinct()
-    return rows.filter("not gone").join(groups, "group_key", "left_semi"), groups
+    return _current(rows).join(groups, "group_key", "left_semi"), groups
+
+
+def _current(rows: DataFrame) -> DataFrame:
+    """Sightings that are still listed, with the longer of their texts."""
+    return rows.filter("not gone").withColumn("description", _longer("description", "detail")).drop("detail")
 
 
 def job_bucket(store: Buckets) -> Column:

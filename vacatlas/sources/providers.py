@@ -251,7 +251,7 @@ def quarantine(raw: DataFrame) -> DataFrame:
 
 
 def detail_text(details: DataFrame) -> DataFrame:
-    """``provider, external_id, text`` from detail payloads, at most 40 000 characters."""
+    """``provider, external_id, text`` from detail payloads."""
     body = F.col("payload")
     sections = F.from_json(body, "STRUCT<jobAd: STRUCT<sections: MAP<STRING, STRUCT<text: STRING>>>>")
     parts = F.filter(F.transform(F.map_values(sections["jobAd"]["sections"]),
@@ -260,4 +260,4 @@ def detail_text(details: DataFrame) -> DataFrame:
             .when(F.col("provider") == "greenhouse", clean_html(F.get_json_object(body, "$.content")))
             .when(F.col("provider") == "workday",
                   clean_html(F.get_json_object(body, "$.jobPostingInfo.jobDescription"))))
-    return details.select("provider", "external_id", F.substring(F.coalesce(text, F.lit("")), 1, 40_000).alias("text"))
+    return details.select("provider", "external_id", F.coalesce(text, F.lit("")).alias("text"))

@@ -14,7 +14,7 @@ from ..plans.buckets import Buckets
 from ..plans.discovery import scored
 from ..plans.scale import cut_lineage
 from ..profile import DEFAULT, Profile
-from ..sources.providers import PLACE_BITS, normalize_all
+from ..sources.providers import PLACE_BITS, detail_text, normalize_all
 
 
 def sightings(raw: DataFrame, as_of: Column, lateness: str = "2 days") -> DataFrame:
@@ -38,7 +38,8 @@ def latest_snapshot(spark: SparkSession, root: str, before: int | None = None) -
 
 def merge_batches(stream: DataFrame, registry: DataFrame, root: str, checkpoint: str, as_of: Column,
                   now: Column, profile: Profile = DEFAULT,
-                  outcomes: Callable[[SparkSession], DataFrame] | None = None, keep: int = 3, **trigger):
+                  outcomes: Callable[[SparkSession], DataFrame] | None = None,
+                  details: Callable[[SparkSession], DataFrame] | None = None, keep: int = 3, **trigger):
     """Start the stream that turns each micro-batch into one discovery run.
 
     A batch is resolved against all sightings seen before, so its split into batches does not show in
@@ -50,7 +51,8 @@ def merge_batches(stream: DataFrame, registry: DataFrame, root: str, checkpoint:
     state, first_seq, last_seq)`` with the numbers of their first and last payload; when a batch
     brings the last payload of a healthy one, the sightings of that source and target which its payloads
     did not hold are gone, and jobs without any other sighting are closed.  A fetch may be split over
-    any number of batches.
+    any number of batches.  ``details(spark)`` gives detail payloads ``(provider, external_id, payload)`` that may
+    belong to postings of any batch; those that say more than what is known are applied.
     """
     seen, kept = Buckets(f"{root}/sightings"), Buckets(f"{root}/jobs")
 
@@ -62,7 +64,8 @@ def merge_batches(stream: DataFrame, registry: DataFrame, root: str, checkpoint:
             read = batch.groupBy(F.col("provider").alias("source"), "target").agg(
                 F.max(F.shiftright("seq", PLACE_BITS)).alias("_read"))
             ended = outcomes(spark).filter("state = 'healthy'").join(read, ["source", "target"]).filter("_read >= last_seq")
-        member, groups = incremental.take(seen, batch, batch_id, ended)
+        told = detail_text(details(spark)) if details is not None else None
+        member, groups = incremental.take(seen, batch, batch_id, ended, told)
         rows = cut_lineage(job_rows(scored(dedup.vacancies(member), registry, as_of, profile)))
         incremental.merge_jobs(kept, rows, groups, batch_id, now)
         for store in (seen, kept):
