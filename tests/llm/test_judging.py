@@ -92,6 +92,35 @@ def test_long_doubled_and_edge_disguises_are_undone():
         assert s.score(text) == 0.05, (text[:50], s.words(text)[:5])
 
 
+def test_signs_and_digits_alone_and_wide_spacing_are_undone():
+    # a word of signs may also stand for nothing; which path is best depends on the model
+    s = toxicity.Scorer(model_of(*["ass boob scum ass scum boob ass"] * 300), {"=ass": 0.9, "=boob": 0.9, "=scum": 0.9}, 0.05)
+    for text in ["4$$", "455", "8008", "a  s   s", "s\nc\nu\nm", "s - c - u - m"]:
+        assert s.score(text) == 0.9, (text, s.words(text))
+    assert s.score("2024 10 7.5") == 0.05
+
+
+def test_the_sieve_loses_nothing():
+    r, words = random.Random(8), "idiot moron scum stupid loser trash ass boob".split()
+    model = model_of(*["idiot moron scum stupid loser trash ass boob the of and that onion pass toil"] * 20)
+    lexicon = {"=" + w: 0.9 for w in words} | {"stup": 0.7, "idio": 0.8, "moro": 0.6}
+    s = toxicity.Scorer(model, lexicon, 0.05)
+    plain = toxicity.Scorer(model, lexicon, 0.05)
+    plain.sieve.passes = lambda word: True
+    back = {c: sign for sign, letters in toxicity.LEET.items() for c in letters}
+    hit = 0
+    for _ in range(3000):
+        w = list(r.choice(words)) if r.random() < 0.6 else [r.choice("abeilmorstu") for _ in range(r.randint(1, 9))]
+        for i in range(len(w)):
+            x = r.random()
+            w[i] = back.get(w[i], w[i]) if x < .25 else w[i] * r.randint(2, 3) if x < .4 else w[i] + r.choice("-.*_!| ,") if x < .5 else w[i]
+        w = "".join(w).replace(" ", "")
+        best = max((lexicon.get(f, 0.0) for x in plain.readings(w) for f in toxicity.features(x)), default=0.0)
+        assert s._of_word(w) == best, w
+        hit += best > 0
+    assert hit > 300
+
+
 def all_paths(restorer, word):
     """(worth, text) of every path of the lattice, one by one."""
     paths = [("", 0.0)]

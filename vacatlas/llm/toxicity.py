@@ -34,9 +34,9 @@ SIGNS = 28  # border, a to z, any other letter
 PREFIXES = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]{1,2}\S(?!\S)){2,}")
+_SPACED = re.compile(r"(?<!\S)\S(?:[\s.\-_*]+\S(?!\S)){2,}")
 _MANY = re.compile(r"([^\W\d_])\1|[0-9@$!|+€£(¡.\-_*'~/\\]")  # what has more than one path in a lattice
-_DIGIT = re.compile("[0-9]")
+_SHARP = re.compile(r"[!(|]")  # punctuation that may stand for letters
 _EDGES = ".,;:?!\"'()[]{}<>#%&*|"
 
 
@@ -130,6 +130,52 @@ class Restorer:
         return "".join(reversed(parts)).strip()
 
 
+class Sieve:
+    """Whether any path of a word's lattice, likely or not, holds something of the lexicon.
+
+    Paths differ from one another in repeated letters, so letters are compared with repeats taken out.  A word
+    that fails has the same score whatever its best path is; only the others are decoded.
+    """
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.found, self.begun = set(), {""}
+        for f in lexicon:
+            whole, short = f[:1] == "=", "".join(c for c, _ in groupby(f.lstrip("=")))
+            self.found.add("=" + short if whole else short)
+            self.begun.update(short[:n] for n in range(1, len(short) + 1))
+
+    def passes(self, word: str) -> bool:
+        states: set[str | None] = {""}  # letters since the last border, or None where no entry begins like that
+        plain = word.isalpha()
+        for c, _ in groupby(word):
+            if c.isalpha():
+                options: tuple[str, ...] = (c,)
+            elif c in LEET:
+                options = (*LEET[c], "", " ")
+            elif c in SEPARATORS:
+                options = ("", " ", *("aeiou" if c == "*" else ""))
+            else:
+                options = ("", " ")
+            after = set()
+            for s in states:
+                for o in options:
+                    if o == " ":
+                        if s and "=" + s in self.found:
+                            return True
+                        after.add("")
+                    elif o == "" or s is None:
+                        after.add(s)
+                    else:
+                        t = s if s.endswith(o) else s + o
+                        if t in self.found:
+                            return True
+                        after.add(t if t in self.begun else None)
+            states = after
+            if plain and states == {None}:
+                return False
+        return any(s and "=" + s in self.found for s in states)
+
+
 def features(word: str) -> list[str]:
     """A word and its beginnings."""
     return ["=" + word, *[word[:n] for n in PREFIXES if len(word) > n]]
@@ -139,7 +185,7 @@ class Scorer:
     """Restores and scores texts; built in the worker from the model that the driver sends."""
 
     def __init__(self, model: list[float], lexicon: dict[str, float], floor: float):
-        self.restorer, self.lexicon, self.floor = Restorer(model), lexicon, floor
+        self.restorer, self.sieve, self.lexicon, self.floor = Restorer(model), Sieve(lexicon), lexicon, floor
         self.of_word = _Memo(self._of_word, 150_000)
 
     def restore_word(self, word: str) -> str:
@@ -149,12 +195,13 @@ class Scorer:
     def _restored(self, core: str) -> str:
         if not _MANY.search(core) or core.isalpha() and "=" + core in self.lexicon:
             return core  # one path, or a word that is evidence as it stands
-        if not any(c.isalpha() for c in core) and (_DIGIT.search(core) or not any(c in LEET for c in core)):
-            return core  # a number
         return self.restorer.best(core)
 
-    def readings(self, raw: str) -> list[str]:
-        """Restored words of a raw word; signs at its edges are read as punctuation and as letters."""
+    def readings(self, raw: str, sieve: Sieve | None = None) -> list[str]:
+        """Restored words of a raw word; signs at its edges are read as punctuation and as letters.
+
+        With a ``sieve`` only forms that can hold an entry of the lexicon.
+        """
         core = raw.strip(_EDGES)
         forms = dict.fromkeys([core])
         if core or any(c in LEET for c in raw):
@@ -162,7 +209,8 @@ class Scorer:
             left = left[len(left.rstrip("!(|")):]
             right = right[:len(right) - len(right.lstrip("!(|"))]
             forms.update(dict.fromkeys([left + core, core + right, left + core + right]))
-        return [w for f in forms if f for w in _WORD.findall(self._restored(f))]
+        return [w for f in forms if f and (sieve is None or not _MANY.search(f) or sieve.passes(f))
+                for w in _WORD.findall(self._restored(f))]
 
     def words(self, text: str) -> list[str]:
         """Restored words of a text."""
@@ -175,13 +223,20 @@ class Scorer:
         text = text.lower()
         out = set(text.split())
         for m in _SPACED.finditer(text):
-            out.add(re.sub(r"[ .\-_*]+", "-", m[0]))
+            out.add(re.sub(r"[\s.\-_*]+", "-", m[0]))
         return out
 
     def _of_word(self, raw: str) -> float:
         known = self.lexicon
         best = 0.0
-        for w in self.readings(raw):
+        core = raw.strip(_EDGES)
+        if core.isalpha() and not _MANY.search(core) and not _SHARP.search(raw):  # one path, itself
+            if core[:4] not in self.sieve.begun:
+                return 0.0
+            words = [core]
+        else:
+            words = self.readings(raw, self.sieve)
+        for w in words:
             for f in features(w):
                 best = max(best, known.get(f, 0.0))
         return best
