@@ -423,9 +423,21 @@ def q05(spark, sf):
     return Q.registry_violations(comps(spark, sf))
 
 
-@query("q06_invariants", sql("SELECT 0::BIGINT AS violations"))
+@query("q06_invariants", sql("""
+SELECT 'human column changed' AS rule, id AS subject FROM o_merge WHERE known AND seq % 11 = 1
+UNION ALL SELECT 'score out of range', id FROM o_merge WHERE seq % 12 = 2
+UNION ALL SELECT 'salary without a statement', id FROM o_merge WHERE seq % 13 = 3 AND salary_basis <> 'explicit'
+UNION ALL SELECT 'unknown status', id FROM o_merge WHERE seq % 14 = 4
+UNION ALL SELECT 'human column changed', id FROM o_merge WHERE known AND seq % 14 = 4 AND seq % 11 <> 1"""))
 def q06(spark, sf):
-    return Q.snapshot_violations(old_snapshot(spark, sf), merged(spark, sf)).agg(F.count(F.lit(1)).alias("violations"))
+    """A merged snapshot in which every invariant is broken in some rows."""
+    seq = F.substring("id", 5, 20).cast("long")
+    broken = merged(spark, sf).withColumns({
+        "notes": F.when(seq % 11 == 1, F.concat("notes", F.lit("!"))).otherwise(F.col("notes")),
+        "score": F.when(seq % 12 == 2, F.lit(101)).otherwise(F.col("score")),
+        "salary_annual_eur_min": F.when(seq % 13 == 3, F.lit(1.0)).otherwise(F.col("salary_annual_eur_min")),
+        "status": F.when(seq % 14 == 4, F.lit("lost")).otherwise(F.col("status"))})
+    return Q.snapshot_violations(old_snapshot(spark, sf), broken).select("rule", "subject")
 
 
 @query("q07_markup_left", sql("SELECT page_id FROM pages WHERE false"))

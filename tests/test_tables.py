@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vacatlas.operators import dedup as D, health, listing as L, upsert as U
+from vacatlas.operators import analytics as A, dedup as D, health, listing as L, upsert as U
 from vacatlas.plans import scale
 from vacatlas.sources import landing, providers as R
 
@@ -216,6 +216,25 @@ def test_health_continues_like_one_fold(spark):
     assert {r.target: r.consecutive_failures for r in whole.collect()} == streaks
 
 
+def test_streaks_over_ranges_with_a_source_that_has_all_rows_of_a_day(spark):
+    rnd = random.Random(9)
+    rows = [(i, "lever", "busy" if i < 300 else f"t{i % 3}", rnd.choice(["healthy", "failed", "failed", "rate_limited", "skipped"]),
+             dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 200) if i < 300 else i * 4000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq long, provider string, target string, state string, at timestamp")
+    want, streak, runs, failures = {}, {}, {}, {}
+    for seq, _, target, state, at in sorted(rows, key=lambda r: (r[4], r[0])):
+        if state != "skipped":
+            streak[target] = 0 if state == "healthy" else streak.get(target, 0) + 1
+            runs[target], failures[target] = runs.get(target, 0) + 1, failures.get(target, 0) + (state != "healthy")
+            want[seq] = (streak[target], runs[target], failures[target])
+    for size in (1_000_000, 30):
+        got = {r.seq: (r.consecutive_failures, r.runs, r.failures) for r in health.failure_streaks(df, size).collect()}
+        assert got == want
+    events = df.select(F.col("target").alias("job_id"), F.col("seq").alias("event_id"), "at", F.col("state").alias("to_status"))
+    key = lambda r: (r.job_id, r.event_id, r.from_status, r.micros_in_stage)
+    assert sorted(map(key, A.status_timeline(events, 30).collect()), key=repr) == sorted(map(key, A.status_timeline(events).collect()), key=repr)
+
+
 def raw(spark, provider, payload, target="acme"):
     text = payload if isinstance(payload, str) else json.dumps(payload)
     return spark.createDataFrame([(provider, target, "Acme", "dream", 1, text)], "provider string, target string, company string, tier string, seq long, payload string")

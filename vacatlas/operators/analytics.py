@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import labels
-from ..plans.scale import running
+from ..plans.scale import ranges, running
 from ..profile import DEFAULT, Profile
 
 
@@ -18,7 +18,7 @@ def visible(jobs: DataFrame) -> DataFrame:
 def headline(jobs: DataFrame, companies: DataFrame, as_of: Column,
              profile: Profile = DEFAULT) -> DataFrame:
     """All headline counters in one pass; the base filter is one definition for every number."""
-    top = profile.location_tiers[max(profile.location_tiers)][:12] if profile.location_tiers else []
+    top = profile.location_tiers[max(profile.location_tiers)] if profile.location_tiers else []
     dream = companies.filter(F.col("tier") == "dream").select(
         F.col("id").alias("company_id"), F.lit(True).alias("_dream"))
     df = jobs.join(dream, ["company_id"], "left")
@@ -195,10 +195,9 @@ def probe_summary(probes: DataFrame) -> DataFrame:
         "usable", F.col("status").isin("live", "empty"))
 
 
-def status_timeline(events: DataFrame, days_per_bucket: int = 1) -> DataFrame:
-    """Previous status and hours in it at every change of a job, safe for very long histories."""
-    bucket = F.floor(F.unix_seconds("at") / (86_400 * days_per_bucket))
-    out = running(events, ["job_id"], bucket, [F.col("at"), F.col("event_id")],
+def status_timeline(events: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Previous status and hours in it at every change of a job, safe for very long histories and very busy days."""
+    out = running(events, ["job_id"], ranges(events, F.unix_micros("at"), rows_per_range), [F.col("at"), F.col("event_id")],
                   latest={"_prev": F.struct("at", "event_id", "to_status")}, before=True)
     return out.select("job_id", "event_id", "at", F.col("_prev.to_status").alias("from_status"), "to_status",
                       (F.unix_micros("at") - F.unix_micros("_prev.at")).alias("micros_in_stage"))

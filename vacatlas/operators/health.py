@@ -6,28 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.scale import running
+from ..plans.scale import ranges
 from ..profile import DEFAULT, Profile
 
 KEY = ["provider", "target"]
 
 
-def failure_streaks(outcomes: DataFrame, days_per_bucket: int = 1) -> DataFrame:
+def failure_streaks(outcomes: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
     """Failures since the last success, at every outcome of a source.
 
-    Failures so far minus failures so far at the last success: a running sum
-    and a running maximum, both split into time buckets, so a source with a
-    third of the log is still spread over many tasks.
+    Failures so far minus failures so far at the last success, both counted inside ranges of rows and
+    carried over them by a small summary: one sort, and a source with a third of the log, or one whose
+    log falls on a single day, is still spread over many tasks.
     """
     df = outcomes.filter("state <> 'skipped'")
-    failed = F.when(F.col("state") != "healthy", 1).otherwise(0)
-    bucket = F.floor(F.unix_seconds("at") / (86_400 * days_per_bucket))
-    order = [F.col("at"), F.col("seq")]
-    df = running(df, KEY, bucket, order, totals={"failures": failed, "runs": F.lit(1)})
-    df = running(df, KEY, bucket, order, latest={
-        "_at_success": F.when(F.col("state") == "healthy", F.col("failures"))})
-    return df.withColumn("consecutive_failures",
-                         F.col("failures") - F.coalesce("_at_success", F.lit(0))).drop("_at_success")
+    failed, success = F.when(F.col("state") != "healthy", 1).otherwise(0), F.col("state") == "healthy"
+    part = df.withColumn("_range", ranges(df, F.unix_micros("at"), rows_per_range))
+    inside = W.partitionBy(*KEY, "_range").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = part.withColumns({"_f": F.sum(failed).over(inside), "_r": F.count(F.lit(1)).over(inside)})
+    local = local.withColumn("_s", F.max(F.when(success, F.col("_f"))).over(inside))
+    earlier = W.partitionBy(*KEY).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    summary = local.groupBy(*KEY, "_range").agg(F.max("_f").alias("_all"), F.max("_r").alias("_runs"), F.max("_s").alias("_last"))
+    carried = summary.withColumns({
+        "_f0": F.coalesce(F.sum("_all").over(earlier), F.lit(0)), "_r0": F.coalesce(F.sum("_runs").over(earlier), F.lit(0))})
+    carried = carried.withColumn("_s0", F.max(F.col("_f0") + F.col("_last")).over(earlier)).select(*KEY, "_range", "_f0", "_r0", "_s0")
+    out = local.join(carried, [*KEY, "_range"])
+    at_success = F.coalesce(F.col("_f0") + F.col("_s"), F.col("_s0"), F.lit(0))
+    return out.withColumns({"failures": F.col("_f0") + F.col("_f"), "runs": F.col("_r0") + F.col("_r")}).withColumn(
+        "consecutive_failures", F.col("failures") - at_success).drop("_range", "_f", "_r", "_s", "_f0", "_r0", "_s0")
 
 
 def _state(profile: Profile) -> Column:

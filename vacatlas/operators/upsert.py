@@ -13,32 +13,32 @@ from ..schemas import BOOKKEEPING, HUMAN_COLUMNS, HUMAN_DEFAULTS
 
 
 def job_rows(scored: DataFrame, key: str = "group_key") -> DataFrame:
-    """Run-owned columns of the jobs table from scored vacancies, with its length limits."""
+    """Run-owned columns of the jobs table from scored vacancies, whole."""
     c = F.col
 
-    def cut(name: str, n: int) -> Column:
-        return F.substring(F.coalesce(c(name), F.lit("")), 1, n)
+    def text(name: str) -> Column:
+        return F.coalesce(c(name), F.lit("")).alias(name)
 
     return scored.select(
-        c(key).alias("id"), cut("company", 200).alias("company_name"),
+        c(key).alias("id"), text("company").alias("company_name"),
         (c("company_id") if "company_id" in scored.columns else F.lit(None).cast("string")).alias("company_id"),
-        cut("title", 400).alias("title"),
-        F.substring(T.normalize_title(c("title")), 1, 400).alias("title_normalized"), "url",
-        cut("location", 300).alias("location_raw"), cut("city", 120).alias("city"), "country",
-        "remote_policy", "employment_type", cut("description", 60_000).alias("description"),
-        F.substring(T.summarise(c("description")), 1, 1200).alias("summary"),
+        text("title"),
+        T.normalize_title(c("title")).alias("title_normalized"), "url",
+        text("location").alias("location_raw"), text("city"), "country",
+        "remote_policy", "employment_type", text("description"),
+        T.summarise(c("description")).alias("summary"),
         c("posted").alias("posted_at"), c("provider").alias("source"),
         *([F.coalesce("target", F.lit("")).alias("target")] if "target" in scored.columns else []),
         *([F.shiftright("seq", PLACE_BITS).alias("seen_seq")] if "seq" in scored.columns else []), "seniority",
         "experience_min_years", "experience_max_years", "language_requirement", "language_evidence",
         "salary_basis", "salary_min", "salary_max", "salary_currency", "salary_period",
         "salary_annual_eur_min", "salary_annual_eur_max", "salary_evidence",
-        F.slice("skills", 1, 20).alias("skills"), F.slice("domains", 1, 8).alias("domains"),
+        "skills", "domains",
         "role_category", "score", *[f"score_{n}" for n in (
             "technical", "experience", "language", "location", "education", "freshness", "domain")],
         "match_reasons", "match_gaps", "flags", (F.size("flags") > 0).alias("has_flags"),
         T.search_blob(c("company"), c("title"), c("location"), c("city"), c("country"),
-                      c("role_category"), F.slice("skills", 1, 20), F.slice("domains", 1, 8)).alias("search_blob"))
+                      c("role_category"), c("skills"), c("domains")).alias("search_blob"))
 
 
 def upsert(snapshot: DataFrame, run: DataFrame, now: Column,

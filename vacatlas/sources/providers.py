@@ -116,14 +116,14 @@ def ashby(p: Column, as_of: Column) -> dict[str, Column]:
             "location": F.concat(F.coalesce(p["location"], F.lit("")), remote),
             "posted": from_any(_or(p["publishedAt"], p["updatedAt"])),
             "description": clean_html(_or(p["descriptionHtml"], p["descriptionPlain"])),
-            "salary_hint": F.substring(p["compensation"], 1, 200)}
+            "salary_hint": p["compensation"]}
 
 
 def personio(p: Column, as_of: Column) -> dict[str, Column]:
     values = F.regexp_extract_all(p, F.lit(r"(?s)<value>(.*?)</value>"), F.lit(1))
     return {"title": clean_html(_tag(p, "name")), "external_id": _tag(p, "id"), "location": _tag(p, "office"),
             "url": _host_path("https://", F.col("target"), F.lit(".jobs.personio.de/job/"), _tag(p, "id")),
-            "description": F.substring(F.array_join(F.transform(values, clean_html), " "), 1, 40_000)}
+            "description": F.array_join(F.transform(values, clean_html), " ")}
 
 
 def workable(p: Column, as_of: Column) -> dict[str, Column]:
