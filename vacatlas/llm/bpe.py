@@ -48,7 +48,7 @@ class _Memo(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most and (not isinstance(key, str) or len(key) <= MEMO_LENGTH):
+        if len(self) < self.most and (isinstance(key, int) or len(key) <= MEMO_LENGTH):
             self[key] = value
         return value
 
@@ -98,6 +98,8 @@ class Codec:
             for t, i in v.ids.items():
                 self.matches.add_word(t.decode("latin-1"), i)
             self.matches.make_automaton()
+        else:  # the library has tables of its own
+            v.rank, v.made_of, self.length = {}, {}, []
         self.of_word = _Memo(lambda w: self._word(" " + w))  # by the word behind a space
 
     def _encoding(self) -> tiktoken.Encoding | None:
