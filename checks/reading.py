@@ -526,10 +526,11 @@ def j08(spark, sf):
     return picked.select("seq", F.posexplode("chosen").alias("p", "pid")).select("seq", "pid", (F.col("p") + 1).alias("position"))
 
 
-@query("j10_phrase_rules", sql("SELECT seq, 'NO-VISA' AS code FROM posting_view WHERE contains(lower(description), 'no sponsorship')"))
+@query("j10_phrase_rules", sql(" UNION ALL ".join(
+    f"SELECT seq, {q(r['code'])} AS code FROM posting_view WHERE "
+    + " OR ".join(f"contains(lower(title || chr(10) || description), {q(p)})" for p in r["phrases"]) for r in P.flags)))
 def j10(spark, sf):
-    return E.flags(view(spark, sf, "posting_view")).select("seq", F.explode("flags.code").alias("code")).filter(
-        "code = 'NO-VISA'")
+    return E.flags(view(spark, sf, "posting_view")).select("seq", F.explode("flags.code").alias("code"))
 
 
 @query("j12_missing_parents", sql(
