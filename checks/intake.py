@@ -381,10 +381,22 @@ def k04(spark, sf):
 
 
 # -- governance -------------------------------------------------------------
+_N = "CAST(page_id % 200 AS VARCHAR(20))"
+VIEWS["link_view"] = f"""
+SELECT page_id, url AS own, CASE page_id % 16 WHEN 0 THEN '' WHEN 1 THEN url || repeat('x', 2100) WHEN 2 THEN 'ftp://files.example.com/' || {_N}
+  WHEN 3 THEN 'https:///jobs/' || {_N} WHEN 4 THEN 'https://LocalHost:8443/' || {_N} WHEN 5 THEN 'https://10.' || {_N} || '.0.1/x'
+  WHEN 6 THEN 'https://2130706433/' || {_N} WHEN 7 THEN 'https://0x7f.0.0.' || {_N} || ':443/' WHEN 8 THEN 'https://[::1]:443/' || {_N}
+  WHEN 9 THEN 'https://[fd12::' || {_N} || ']/' WHEN 10 THEN 'https://a:b@0300.0250.' || {_N} || '/' WHEN 11 THEN 'https://[::ffff:169.254.169.' || {_N} || ']/'
+  WHEN 12 THEN 'https://8.8.4.' || {_N} || '/jobs' WHEN 13 THEN 'https://[2a00:1450::' || {_N} || ']/' ELSE url END AS url FROM pages
+"""
+
+
 @query("q01_url_class", sql("""
-SELECT page_id, CASE WHEN NOT starts_with(url, 'https:') THEN 'scheme' ELSE 'ok' END AS class FROM pages"""))
+SELECT page_id, CASE page_id % 16 WHEN 0 THEN 'empty' WHEN 1 THEN 'too long' WHEN 2 THEN 'scheme' WHEN 3 THEN 'no host' WHEN 4 THEN 'blocked host'
+  WHEN 12 THEN 'ok' WHEN 13 THEN 'ok' WHEN 14 THEN CASE WHEN starts_with(own, 'https:') THEN 'ok' ELSE 'scheme' END
+  WHEN 15 THEN CASE WHEN starts_with(own, 'https:') THEN 'ok' ELSE 'scheme' END ELSE 'private address' END AS class FROM link_view"""))
 def q01(spark, sf):
-    return table(spark, sf, "pages").select("page_id", Q.url_class(F.col("url")).alias("class"))
+    return view(spark, sf, "link_view").select("page_id", Q.url_class(F.col("url")).alias("class"))
 
 
 @query("q02_redact", sql(f"""

@@ -12,20 +12,80 @@ from ..functions import text as T
 from ..schemas import HUMAN_COLUMNS
 
 
+#: Address ranges that are not of the public internet (the registries of special purposes), first and last
+#: address as numbers; of IPv6 as the first four groups of four hexadecimal digits.
+SPECIAL = [(0, 8), (10 << 24, 8), ((100 << 24) + (64 << 16), 10), (127 << 24, 8), ((169 << 24) + (254 << 16), 16),
+           ((172 << 24) + (16 << 16), 12), (192 << 24, 24), ((192 << 24) + (2 << 8), 24), ((192 << 24) + (168 << 16), 16),
+           ((198 << 24) + (18 << 16), 15), ((198 << 24) + (51 << 16) + (100 << 8), 24), ((203 << 24) + (113 << 8), 24),
+           (224 << 24, 4), (240 << 24, 4)]
+SPECIAL_6 = [("0100000000000000", "0100000000000000"), ("20010db800000000", "20010db8ffffffff"), ("fc00000000000000", "fdffffffffffffff"),
+             ("fe80000000000000", "febfffffffffffff"), ("fec0000000000000", "feffffffffffffff"), ("ff00000000000000", "ffffffffffffffff")]
+
+
+def _part(s: Column) -> Column:
+    """A part of an address in decimal, octal (a leading 0) or hexadecimal (0x) digits."""
+    return (F.when(F.rlike(s, F.lit(r"^0x[0-9a-f]{1,8}$")), F.conv(F.substring(s, 3, 8), 16, 10))
+            .when(F.rlike(s, F.lit(r"^0[0-7]{1,11}$")), F.conv(s, 8, 10))
+            .when(F.rlike(s, F.lit(r"^[0-9]{1,10}$")), s)).try_cast("long")
+
+
+def address_number(host: Column) -> Column:
+    """A literal IPv4 host as a number, in every form that resolvers take; null for names and other hosts.
+
+    One to four parts; the last one fills what the others leave.
+    """
+    # a trailing dot belongs to names and addresses alike
+    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _part)
+    n = F.size(parts)
+    head = F.slice(parts, 1, n - 1)
+    last = F.element_at(parts, -1)
+    good = ((n <= 4) & ~F.exists(parts, lambda p: p.isNull()) & ~F.exists(head, lambda p: p > 255)
+            & (last < F.element_at(F.array(*[F.lit(1 << 32 - 8 * k) for k in range(4)]), F.least(n, F.lit(4)))))
+    high = F.aggregate(head, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
+    return F.when(good, high * F.element_at(F.array(*[F.lit(1 << 32 - 8 * k) for k in range(4)]), F.least(n, F.lit(4))) + last)
+
+
+def address_groups(host: Column) -> Column:
+    """A bracketed IPv6 host as 32 hexadecimal digits; null for anything else."""
+    body = F.regexp_replace(F.regexp_extract(host, r"^\[([0-9a-f:.]+)(?:%[^\]]*)?\]$", 1), r"^$", "x")
+    four = address_number(F.regexp_extract(body, r"([0-9]+(?:\.[0-9]+){3})$", 1))
+    low = F.lpad(F.lower(F.hex(four)), 8, "0")
+    body = F.when(four.isNotNull(), F.concat(F.regexp_replace(body, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.substring(low, 1, 4), F.lit(":"),
+                                             F.substring(low, 5, 4))).otherwise(body)
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    halves = F.split(body, "::")
+    left, right = groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>"))
+    known = F.size(left) + F.size(right)
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), right)
+    fits = F.when(F.size(halves) == 2, known <= 7).otherwise((F.size(halves) == 1) & (known == 8))
+    good = fits & ~F.exists(every, lambda g: ~F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+    return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def special_address(host: Column) -> Column:
+    """Whether a host is a literal address outside the public internet; literal addresses that make no sense are, too."""
+    def inside(number: Column) -> Column:
+        spans = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(a + (1 << 32 - bits) - 1).cast("long").alias("b")) for a, bits in SPECIAL])
+        return F.exists(spans, lambda s: number.between(s["a"], s["b"]))
+
+    six = address_groups(host)
+    top = F.substring(six, 1, 16)
+    # addresses that carry an IPv4 one: mapped, compatible (:: and ::1 among them), translated
+    carried = F.when(F.rlike(six, F.lit("^0{20}(?:0000|ffff)|^0064ff9b0{16}")), F.conv(F.substring(six, 25, 8), 16, 10).cast("long"))
+    six_bad = F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPECIAL_6]), lambda s: top.between(s["a"], s["b"]))
+    return F.coalesce(F.when(F.startswith(host, F.lit("[")), six.isNull() | six_bad | F.coalesce(inside(carried), F.lit(False)))
+                      .otherwise(inside(address_number(host))), F.lit(False))
+
+
 def url_class(url: Column) -> Column:
     """'ok' or the reason a link must not be followed, judged by its structure alone."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
-    four = F.rlike(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$"))
-    o = F.transform(F.split(host, r"\."), lambda s: s.try_cast("int"))
-    a, b = F.get(o, 0), F.get(o, 1)
-    private = four & ((a == 0) | (a == 10) | (a == 127) | (a >= 224) | ((a == 172) & b.between(16, 31))
-                      | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)))
     return (F.when(F.coalesce(url, F.lit("")) == "", "empty")
             .when(F.length(url) > V.MAX_URL_LENGTH, "too long").when(scheme != "https", "scheme")
             .when(host == "", "no host").when(host.isin(V.BLOCKED_HOSTS), "blocked host")
-            .when(private | F.rlike(host, F.lit(r"^\[(?:::1?|f[cde]|fe80)")), "private address").otherwise("ok"))
+            .when(special_address(host), "private address").otherwise("ok"))
 
 
 def redact(text: Column) -> Column:
