@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -89,12 +90,11 @@ for _p, (_k, _c) in _EXPECT.items():
     _source(_p, _k, _c)
 
 
-@query("s01_landing_union", sql("SELECT provider, count(*) AS n FROM (" + " UNION ALL ".join(
-    f"SELECT {q(p)} AS provider FROM posting_view" for p in ("greenhouse", "lever", "personio")) + ") GROUP BY 1"))
+@query("s01_landing_union", sql(" UNION ALL ".join(f"SELECT {q(p)} AS provider, {c} FROM posting_view" for p, (_, c) in _EXPECT.items())))
 def s01(spark, sf):
-    rows = raw(spark, sf, "greenhouse").union(raw(spark, sf, "lever")).union(raw(spark, sf, "personio"))
-    return R.normalize_all(rows, as_of(), ["greenhouse", "lever", "personio"]).groupBy("provider").agg(
-        F.count(F.lit(1)).alias("n"))
+    """All sources in one landing table, read in one pass."""
+    rows = [raw(spark, sf, p) for p in _EXPECT]
+    return R.normalize_all(reduce(lambda a, b: a.union(b), rows), as_of()).select("provider", "title", "external_id", "location", "posted", "company")
 
 
 @query("s13_once_per_fetch", sql("SELECT external_id, min(seq) AS seq FROM posting_view GROUP BY external_id"))
@@ -147,9 +147,9 @@ def s16(spark, sf):
 
 
 # -- set and rank operators -------------------------------------------------
-@query("u02_watch_list", sql("SELECT seq, len(missing)::INT AS n FROM o_skills"))
+@query("u02_watch_list", sql("SELECT seq, unnest(missing) AS requirement FROM o_skills"))
 def u02(spark, sf):
-    return E.skills(view(spark, sf, "posting_view")).select("seq", F.size("missing").alias("n"))
+    return E.skills(view(spark, sf, "posting_view")).select("seq", F.explode("missing").alias("requirement"))
 
 
 @query("w01_primary_rank", sql("""
@@ -159,10 +159,14 @@ def w01(spark, sf):
     return D.vacancies(view(spark, sf, "posting_view").withColumn("g", F.col("title")), "g").select("title", "seq")
 
 
-@query("w02_best_held_member", sql("SELECT seq, count(*) AS n FROM (SELECT seq, unnest(covered) AS x FROM o_skills) GROUP BY seq"))
+_HELD = " ".join(f"WHEN {q(need)} THEN {q(held[0])}" for need, held in E.transfer_table(P).items())
+
+
+@query("w02_best_held_member", sql(f"SELECT seq, x AS requirement, CASE x {_HELD} END AS via FROM (SELECT seq, unnest(covered) AS x FROM o_skills)"))
 def w02(spark, sf):
-    t = E.skills(view(spark, sf, "posting_view")).select("seq", F.explode("transfers.via").alias("via"))
-    return t.filter(F.col("via").isin(P.skill_terms())).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    """The held skill that covers a requirement: of its family the longest, then the first by name."""
+    t = E.skills(view(spark, sf, "posting_view")).select("seq", F.explode("transfers").alias("t"))
+    return t.select("seq", "t.requirement", "t.via")
 
 
 @query("w04_top_paragraphs", sql("""
@@ -291,15 +295,13 @@ def _run_row(spark):
 
 
 @query("i09_signals", sql("""
-SELECT kind, count(*) AS n FROM (SELECT 'run_failed' AS kind UNION ALL SELECT 'scan_summary'
-  UNION ALL SELECT 'high_match' FROM o_merge WHERE seen AND NOT known AND score >= 80
-  UNION ALL SELECT 'job_closed' FROM o_merge WHERE known AND NOT seen AND starred AND was_open AND source <> 'adzuna'
-  UNION ALL SELECT DISTINCT 'dream_company' || '' FROM o_merge WHERE false
-  UNION ALL SELECT 'dream_company' FROM (SELECT DISTINCT m.company_id FROM o_merge m JOIN company_view c ON c.id = m.company_id
-    WHERE seen AND NOT known AND c.tier IN ('dream', 'high'))) GROUP BY kind"""))
+SELECT 'run_failed' AS kind, 'run:7:errors' AS dedupe_key, NULL::VARCHAR AS job_id, NULL::VARCHAR AS company_id UNION ALL SELECT 'scan_summary', 'run:7:empty', NULL, NULL
+UNION ALL SELECT 'high_match', 'high:' || id, id, company_id FROM o_merge WHERE seen AND NOT known AND score >= 80
+UNION ALL SELECT 'job_closed', 'closed:' || id, id, NULL FROM o_merge WHERE known AND NOT seen AND starred AND was_open AND source <> 'adzuna'
+UNION ALL SELECT DISTINCT 'dream_company', 'dream:7:' || m.company_id, NULL, m.company_id FROM o_merge m JOIN company_view c ON c.id = m.company_id
+  WHERE seen AND NOT known AND c.tier IN ('dream', 'high')"""))
 def i09(spark, sf):
-    return S.run_signals(merged(spark, sf), comps(spark, sf), _run_row(spark), now()).groupBy("kind").agg(
-        F.count(F.lit(1)).alias("n"))
+    return S.run_signals(merged(spark, sf), comps(spark, sf), _run_row(spark), now()).select("kind", "dedupe_key", "job_id", "company_id")
 
 
 @query("i10_follow_ups", sql(f"SELECT 'followup:' || id || ':' || follow_up_at AS dedupe_key FROM job_view WHERE follow_up_at <= {AS_OF_SQL}"))

@@ -542,14 +542,20 @@ def j12(spark, sf):
 @query("s17_registry_reconcile", sql("""
 SELECT coalesce(c.id, o.id) AS id, CASE WHEN c.id IS NOT NULL THEN c.tier ELSE o.tier END AS tier,
   CASE WHEN c.id IS NULL THEN o.source_status WHEN c.adapter IS NULL THEN 'manual'
-    WHEN coalesce(o.source_status, 'manual') = 'manual' THEN 'idle' ELSE o.source_status END AS source_status
-FROM (SELECT replace(lower(name), '#', '-') AS id, 'high' AS tier, CASE WHEN num % 5 = 0 THEN NULL ELSE 'lever' END AS adapter FROM company_view WHERE num % 3 <> 1) c
-FULL JOIN (SELECT replace(lower(name), '#', '-') AS id, tier, source_status FROM company_view WHERE num % 4 <> 1) o ON o.id = c.id"""))
+    WHEN coalesce(o.source_status, 'manual') = 'manual' THEN 'idle' ELSE o.source_status END AS source_status,
+  CASE WHEN c.id IS NOT NULL THEN c.alias ELSE '' END AS aliases, CASE WHEN c.id IS NOT NULL THEN c.parent_id ELSE o.parent_id END AS parent_id,
+  CASE WHEN c.id IS NOT NULL THEN c.careers_url ELSE o.careers_url END AS careers_url, CASE WHEN c.id IS NOT NULL THEN c.enabled ELSE o.enabled END AS enabled
+FROM (SELECT replace(lower(name), '#', '-') AS id, 'high' AS tier, CASE WHEN num % 5 = 0 THEN NULL ELSE 'lever' END AS adapter, name || ' Labs' AS alias,
+  CASE WHEN num % 6 = 0 THEN replace(lower(name), '#', '-') || '-holding' END AS parent_id, careers_url, num % 9 <> 0 AS enabled FROM company_view WHERE num % 3 <> 1) c
+FULL JOIN (SELECT replace(lower(name), '#', '-') AS id, tier, source_status, parent_id, careers_url, enabled FROM company_view WHERE num % 4 <> 1) o ON o.id = c.id"""))
 def s17(spark, sf):
     c = comps(spark, sf)
-    cfg = c.filter("num % 3 <> 1").withColumns({"tier": F.lit("HIGH"), "adapter": F.when(F.col("num") % 5 != 0, "lever")})
+    cfg = c.filter("num % 3 <> 1").drop("parent_id").withColumns({
+        "tier": F.lit("HIGH"), "adapter": F.when(F.col("num") % 5 != 0, "lever"), "aliases": F.array(F.concat("name", F.lit(" Labs"))),
+        "parent": F.when(F.col("num") % 6 == 0, F.concat("name", F.lit(" Holding"))), "enabled": F.col("num") % 9 != 0})
     obs = c.filter("num % 4 <> 1").withColumns({"id": E.T.slugify(F.col("name")), "notes": F.lit("")})
-    return C.reconcile(cfg, obs).select("id", "tier", "source_status")
+    return C.reconcile(cfg, obs).select("id", "tier", "source_status", F.coalesce(F.array_join("aliases", "|"), F.lit("")).alias("aliases"),
+                                        "parent_id", "careers_url", "enabled")
 
 
 # -- rankings ---------------------------------------------------------------

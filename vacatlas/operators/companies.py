@@ -59,13 +59,24 @@ def reconcile(config: DataFrame, observed: DataFrame) -> DataFrame:
     """Configuration says what an employer *is*; what was observed and noted stays.
 
     Employers only found by boards are kept untouched.  A source is idle until
-    a run has fetched from it, and manual while it has no adapter.
+    a run has fetched from it, and manual while it has no adapter.  Of a configuration the columns
+    ``aliases``, ``parent`` (a name) or ``parent_id``, ``careers_url`` and ``enabled`` may be missing: then no
+    aliases, no parent, no link, enabled.
     """
+    def of(df: DataFrame, name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+    parent = F.nullif(T.slugify(F.nullif(F.trim(of(config, "parent", "string")), F.lit(""))), F.lit("unknown"))
     cfg = config.select(T.slugify(F.col("name")).alias("id"), "name", F.lower("tier").alias("tier"),
-                        "adapter", "adapter_arg", "industry", "country", F.lit(True).alias("configured"))
+                        "adapter", "adapter_arg", "industry", "country", F.lit(True).alias("configured"),
+                        F.coalesce(of(config, "aliases", "array<string>"), F.array().cast("array<string>")).alias("aliases"),
+                        F.coalesce(of(config, "parent_id", "string"), parent).alias("parent_id"),
+                        F.coalesce(of(config, "careers_url", "string"), F.lit("")).alias("careers_url"),
+                        F.coalesce(of(config, "enabled", "boolean"), F.lit(True)).alias("enabled"))
     obs = observed.select("id", *[F.col(c).alias(f"_{c}") for c in (
         "name", "tier", "adapter", "adapter_arg", "industry", "country", "source_status", "notes",
-        "discovered_from")])
+        "discovered_from")], *[of(observed, c, k).alias(f"_{c}") for c, k in (
+            ("aliases", "array<string>"), ("parent_id", "string"), ("careers_url", "string"), ("enabled", "boolean"))])
     df = cfg.join(obs, "id", "full_outer")
     stated = F.col("configured").isNotNull()
 
@@ -75,7 +86,8 @@ def reconcile(config: DataFrame, observed: DataFrame) -> DataFrame:
     before = F.coalesce("_source_status", F.lit("manual"))
     status = (F.when(~stated, F.col("_source_status")).when(F.col("adapter").isNull(), "manual")
               .when(before == "manual", "idle").otherwise(before))
-    return df.select("id", *[pick(c) for c in ("name", "tier", "adapter", "adapter_arg", "industry", "country")],
+    return df.select("id", *[pick(c) for c in ("name", "tier", "adapter", "adapter_arg", "industry", "country",
+                                               "aliases", "parent_id", "careers_url", "enabled")],
                      status.alias("source_status"), F.coalesce("_notes", F.lit("")).alias("notes"),
                      F.coalesce("_discovered_from", F.lit("")).alias("discovered_from"))
 
