@@ -35,6 +35,28 @@ def test_edit_distance():
         assert got == (row[-1] if row[-1] <= most else None)
 
 
+def test_both_alignments_agree():
+    r = random.Random(12)
+    for _ in range(300):
+        a = [r.randint(0, 4) for _ in range(r.randint(0, 14))]
+        b = [r.randint(0, 4) if r.random() < 0.3 else x for x in a][:r.randint(0, 14)] + [r.randint(0, 4) for _ in range(r.randint(0, 3))]
+        most = r.randint(0, 12)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        assert near_dedup.banded_distance(x, y, most) == near_dedup.edit_distance(x, y, most), (a, b, most)
+
+
+def test_alignment_decides():
+    r = random.Random(13)
+    a = np.array([r.randint(0, 9999) for _ in range(400)], np.uint64)
+    scattered = a.copy()
+    scattered[::20] = 77777                        # 20 changed words: window similarity 0.6, edit similarity 0.95
+    assert near_dedup.window_similarity(a, scattered) < 0.7 and near_dedup.similar(a, scattered)
+    many = a.copy()
+    many[::5] = 77777                              # 80 of 400
+    assert near_dedup.similar(a, many) and not near_dedup.similar(a, np.append(many[1:], [5, 6, 7, 8]).astype(np.uint64))
+    assert not near_dedup.similar(a, np.roll(a, 200))
+
+
 def test_classes_are_those_of_all_pairs(spark):
     r = random.Random(4)
     text = lambda n: [f"w{r.randint(0, 3000)}" for _ in range(n)]
@@ -53,19 +75,33 @@ def test_classes_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
     got = {x.doc_id: x for x in near_dedup.classes(docs).collect()}
     own = [labelled_windows(" ".join(t)) for t in rows]
-    root = list(range(len(rows)))
 
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def joined(together):
+        root = list(range(len(rows)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for i in range(len(rows)):
+            for j in range(i):
+                if together(i, j):
+                    a, b = sorted((top(i), top(j)))
+                    root[b] = a
+        return [top(i) for i in range(len(rows))]
+
+    def by_windows(i, j):
+        both = len(own[i] & own[j])
+        return both >= 0.8 * (len(own[i]) + len(own[j]) - both)
+
+    def by_words(i, j):
+        numbers = {w: n for n, w in enumerate(dict.fromkeys(rows[i] + rows[j]))}
+        return by_windows(i, j) or near_dedup.similar(*(np.array([numbers[w] for w in rows[k]], np.uint64) for k in (i, j)))
+    # no link of similar windows is missing, and nothing is joined that an alignment does not join
+    least, most = joined(by_windows), joined(by_words)
     for i in range(len(rows)):
-        for j in range(i):
-            both = len(own[i] & own[j])
-            if both >= 0.8 * (len(own[i]) + len(own[j]) - both):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    assert {i: x.class_id for i, x in got.items()} == {i: top(i) for i in range(len(rows))}
+        assert got[i].class_id == got[least[i]].class_id and most[i] == most[got[i].class_id], i
+    assert len({x.class_id for x in got.values()}) <= len(set(least))
     assert sum(x.representative for x in got.values()) == len({x.class_id for x in got.values()})
 
 
