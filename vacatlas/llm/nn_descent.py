@@ -7,7 +7,9 @@ and the finished graph lie in fixed-width files in the shared folder, which task
 they read the rows they need (a mounted, ``file:`` folder).
 
 Largest inner products are nearest points once every vector has one more component that gives all
-the same length (queries: 0); the graph is built on those.
+the same length (queries: 0); the graph is built on those, in double precision.  Few vectors far longer
+than the rest would press all others into one spot, so the LONGEST longest ones stand in the graph by
+their direction only, as long as the next one, and every query is compared with them.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ NEIGHBOURS = 32
 REVERSE = 32
 KEPT = 12  # of the neighbours of a node, how many are proposed to each other
 PROPOSED = 48  # best proposals for a node that a task passes on
-ROUNDS = 8
-BEAM = 200
+ROUNDS = 40  # far more than it takes to settle; ending there is an error
+BEAM = 200  # of up to BEAM_AT nodes, and half as many more for each doubling
+BEAM_AT = 2000
 WIDTH = 8  # nodes opened at a time
-PIVOTS = 64
+PIVOTS = 64  # starting nodes, and one more for each square root of the number of nodes
+LONGEST = 256  # vectors that every query is compared with
 
 
 def usable(vector: Column) -> Column:
@@ -80,12 +84,12 @@ def _hashed(node: np.ndarray, count: int, total: int) -> np.ndarray:
     return ((node.astype(np.uint64)[:, None] + np.uint64(1) + step) % np.uint64(total)).astype(np.int64)
 
 
-ENTRY = "array<struct<s:float,id:long>>"
-_STRUCT = pa.struct([("s", pa.float32()), ("id", pa.int64())])
+ENTRY = "array<struct<s:double,id:long>>"
+_STRUCT = pa.struct([("s", pa.float64()), ("id", pa.int64())])
 
 
 def _entries(offsets: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> pa.Array:
-    values = pa.StructArray.from_arrays([pa.array(sims.astype(np.float32)), pa.array(ids.astype(np.int64))], fields=list(_STRUCT))
+    values = pa.StructArray.from_arrays([pa.array(sims.astype(np.float64)), pa.array(ids.astype(np.int64))], fields=list(_STRUCT))
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
@@ -213,10 +217,17 @@ def build(nodes: DataFrame, vectors: Rows, rounds: int = ROUNDS, settled: float
         changed = after.agg(F.sum("_new")).first()[0] or 0
         graph = after.drop("_new")
         if changed <= settled * NEIGHBOURS * vectors.rows:
-            break
+            return graph
+    if vectors.rows > NEIGHBOURS + 1:
+        raise RuntimeError("the neighbour graph did not settle")
     return graph
 
 
+def beam_of(nodes: int) -> int:
+    """How many nodes a search holds: more in larger graphs."""
+    return int(BEAM * (1 + max(0.0, np.log2(max(1, nodes) / BEAM_AT)) / 2))
+
+
 def greedy(query: np.ndarray, starts: np.ndarray, vectors: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search: opens the nearest unopened nodes of the beam until it holds none."""
     seen = set(starts.tolist())
@@ -260,20 +271,27 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     distinct = own.groupBy("x").agg(F.min("key").alias("key"))
     nodes = written(numbered(written(distinct), [], ["key"], "no", lengths["n"]))
     total = nodes.count()
-    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    longest = float(nodes.agg(F.max(norm)).first()[0])
+    # lengths by the largest component, so that squares of very long or short vectors stay finite
+    largest = F.array_max(F.transform("x", F.abs))
+    length = largest * F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v / largest) * (v / largest)))
+    top = nodes.select("no", length.alias("l")).orderBy(F.desc("l"), "no").limit(LONGEST + 1).collect()
+    longest = float(top[-1]["l"]) if len(top) > LONGEST else float(top[0]["l"])
+    always = np.array(sorted(r["no"] for r in top[:LONGEST]), np.int64)
 
     folder = _folder(spark)
-    vectors = Rows(f"{folder}/vectors", total, dim + 1, "<f4").create()
+    vectors = Rows(f"{folder}/vectors", total, dim + 1, "<f8").create()
     exact = Rows(f"{folder}/exact", total, dim, "<f8").create()
 
     def store(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim)
             no = b.column(0).to_numpy()
-            rest = np.sqrt(np.maximum(0.0, longest - (x * x).sum(1)))
-            scale = 1 / np.sqrt(longest)
-            vectors.put(no, np.column_stack([x, rest]) * scale)
+            largest = np.abs(x).max(1, keepdims=True)
+            unit = x / largest
+            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+            # the share of the greatest length, through logarithms: neither may leave the range of doubles
+            share = np.exp(np.minimum(0.0, np.log(largest[:, 0]) + np.log(np.sqrt(((x / largest) ** 2).sum(1))) - np.log(longest)))
+            vectors.put(no, np.column_stack([unit * share[:, None], np.sqrt(np.maximum(0.0, 1 - share * share))]))
             exact.put(no, x)
             yield pa.RecordBatch.from_arrays([pa.array([len(no)], pa.int64())], ["n"])
 
@@ -297,12 +315,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, x, g = vectors.mapped(), exact.mapped(), lists.mapped()
-        pivots = np.unique(np.linspace(0, total - 1, min(total, PIVOTS)).astype(np.int64))
+        pivots = np.unique(np.linspace(0, total - 1, min(total, PIVOTS + int(total ** 0.5))).astype(np.int64))
+        beam = beam_of(total)
         for b in it:
             query, node, score = [], [], []
             for q, no in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, _ = greedy(np.append(x[no], 0.0).astype(np.float32), np.append(pivots, no), v, g)
-                s = x[ids] @ x[no]
+                # the direction is enough to search by, and stays finite
+                ids, _ = greedy(np.append(x[no] / np.abs(x[no]).max(), 0.0), np.append(pivots, no), v, g, beam)
+                ids = np.union1d(ids, always)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    s = x[ids] @ x[no]
                 at = np.argsort(-s, kind="stable")
                 cut = s[at[min(k, len(at) - 1)]]  # a query's own node may hold only the query: one more than k
                 at = at[s[at] >= cut]
