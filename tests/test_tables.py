@@ -193,6 +193,31 @@ def test_edits_keep_the_whole_history_and_can_clear(spark):
     assert (r.status, r.notes, r.starred, r.applied_at, r.follow_up_at) == ("interview", "", False, dt.date(2024, 1, 3), dt.date(2024, 1, 10))
 
 
+def test_a_long_feed_of_times_without_zone_gives_the_events_of_a_short_one(spark):
+    """Several ranges of rows, in a zone whose clocks change inside the feed."""
+    names = ["new", "applied", "interview", "offer"]
+    snapshot = spark.createDataFrame([("a", "new"), ("b", "offer")], "id string, status string")
+    start, rnd = dt.datetime(2024, 3, 31, 1, 0, 0, 5), random.Random(8)
+    feed = [(rnd.choice("ab"), "status", rnd.choice(names), start + dt.timedelta(minutes=7 * i)) for i in range(40)]
+    edits = spark.createDataFrame(feed, "id string, field string, value string, at timestamp_ntz")
+    key = lambda rows: sorted(tuple(r) for r in rows.collect())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = key(U.status_events(snapshot, edits, rows_per_range=3))
+        assert got == key(U.status_events(snapshot, edits))
+        us = [r[0] for r in edits.orderBy("at").select(scale.micros(edits, "at")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert us == [(start - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) + 7 * 60_000_000 * i for i in range(40)]
+    last, want = {"a": "new", "b": "offer"}, []
+    for i, _, value, at in feed:
+        if last[i] != value:
+            want.append((i, last[i], value, at))
+        last[i] = value
+    assert got == sorted(want)
+
+
 def test_board_keeps_what_is_overdue(spark):
     rows = [(f"n{i}", "applied", False, 50, dt.date(2024, 1, 30), None) for i in range(20)] + [("old", "applied", False, 10, dt.date(2020, 1, 1), dt.date(2024, 1, 2))]
     df = spark.createDataFrame(rows, "id string, status string, hidden boolean, score int, posted_at date, follow_up_at date")

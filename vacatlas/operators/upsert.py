@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.scale import first_per, ranges, running
+from ..plans.scale import first_per, micros, ranges, running
 from ..profile import DEFAULT, Profile
 from ..sources.providers import PLACE_BITS
 from ..schemas import BOOKKEEPING, HUMAN_COLUMNS, HUMAN_DEFAULTS
@@ -131,7 +131,7 @@ def archive(snapshot: DataFrame, now: Column, profile: Profile = DEFAULT) -> tup
     return snapshot.filter(~gone), snapshot.filter(gone)
 
 
-def status_events(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
+def status_events(snapshot: DataFrame, edits: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
     """Every change of status in a feed: job_id, from_status, to_status, at.
 
     The status before an edit is the latest earlier one of the feed, else the snapshot's.  It is a
@@ -139,7 +139,7 @@ def status_events(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
     """
     feed = edits.filter((F.col("field") == "status") & F.col("value").isNotNull()).select("id", "at", "value").distinct()
     feed = feed.join(snapshot.select("id", F.col("status").alias("_status")), "id")
-    step = running(feed, ["id"], ranges(feed, F.unix_micros("at")), [F.col("at"), F.col("value")],
+    step = running(feed, ["id"], ranges(feed, micros(feed, "at"), rows_per_range), [F.col("at"), F.col("value")],
                    latest={"_before": F.struct("at", "value")}, before=True)
     return step.select(F.col("id").alias("job_id"), F.coalesce("_before.value", "_status").alias("from_status"),
                        F.col("value").alias("to_status"), "at").filter("from_status <> to_status")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,16 @@ def ranges(df: DataFrame, order: Column, rows: int = 1_000_000) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < order))
 
 
+def micros(df: DataFrame, name: str) -> Column:
+    """A number that grows with a time column of either timestamp type, whatever the session's time zone."""
+    at = F.col(name)
+    if df.schema[name].dataType != T.TimestampNTZType():
+        return F.unix_micros(at)
+    # read as UTC from its parts: a cast goes through the session's zone, which is not monotone where clocks change
+    seconds = F.unix_date(F.to_date(at)).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60
+    return seconds * 1_000_000 + (F.expr(f"extract(SECOND FROM `{name}`)") * 1_000_000).cast("long")
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
             totals: dict[str, Column] | None = None, latest: dict[str, Column] | None = None,
             before: bool = False) -> DataFrame:
