@@ -37,3 +37,17 @@ def test_empty_tables(spark, tmp_path):
     index = X.TextIndex(str(tmp_path / "ix"))
     index.add(df, F.lower("t"), 0)
     assert index.find(df, F.lower("t"), spark.createDataFrame([("abc",), ("a",)], "term string")).count() == 0
+
+
+def test_a_row_meets_its_text_once_with_all_its_terms(spark, tmp_path, monkeypatch):
+    """Pairs of term and row stay in the task of their block; a row per indexed row goes on to the texts."""
+    monkeypatch.setattr(X, "BLOCK", 10)
+    df = spark.createDataFrame([(f"j{i:02}", f"alpha beta gamma {i}") for i in range(60)], "id string, t string")
+    index = X.TextIndex(str(tmp_path / "ix"))
+    index.add(df, F.col("t"), 0)
+    index.add(df.filter("id < 'j10'"), F.col("t"), 1)  # rows in two additions
+    asked = spark.createDataFrame([("alpha",), ("beta gamma",), ("a",), ("ga",), ("nowhere",)], "term string")
+    got = {r.id: sorted(r.terms) for r in index._terms(asked).collect()}
+    assert got == {f"j{i:02}": ["a", "alpha", "beta gamma", "ga"] for i in range(60)}
+    assert index._terms(asked).count() == 60
+    assert sorted(map(tuple, index.find(df, F.col("t"), asked).collect())) == sorted((t, i) for i, own in got.items() for t in own)
