@@ -68,3 +68,26 @@ def test_ranks_counts_and_empty_tables(spark, tables):
     assert S.results(jobs, companies, S.stored(spark, {}), AS_OF).count() == 0
     with pytest.raises(ValueError):
         S.stored(spark, {"x": {"colour": "red"}})
+
+
+def test_blocks_and_parts_give_what_the_pairs_give(spark, tables, monkeypatch):
+    """Counts and first rows from bits, over several blocks of jobs and parts of searches, against the pairs themselves."""
+    monkeypatch.setattr(S, "BLOCK", 40)
+    monkeypatch.setattr(S, "PART", 25)
+    jobs, companies = tables
+    odd = jobs.filter("is_open and not hidden").limit(3).withColumn("id", F.concat(F.lit("odd"), "id")).select(jobs.columns).cache()
+    jobs = jobs.union(odd).union(odd.withColumn("id", F.lit(None).cast("string")).select(jobs.columns)).cache()
+    stored = S.stored(spark, documents(random.Random(9), 80))
+    for order in L.ORDERS:
+        got = S.results(jobs, companies, stored, AS_OF, per_search=4, order=order).collect()
+        want: dict = {}
+        for x in S.matches(jobs, companies, stored, AS_OF).orderBy(*L.ordering(order)).collect():
+            want.setdefault(x.search, []).append(x.id)
+        assert sorted((x.search, x.rank, x.id, x.matches) for x in got) == sorted(
+            (n, i + 1, j, len(ids)) for n, ids in want.items() for i, j in enumerate(ids[:4])), order
+    paid = odd.withColumn("salary_annual_eur_min", F.lit(float("nan"))).select(jobs.columns)  # no number is above any, as in one filter document
+    dear = {"dear": {"salary_min": 2_000_000}}
+    want = L.saved_searches(paid, companies, dear, AS_OF, per_search=9).count()
+    assert want == S.results(paid, companies, S.stored(spark, dear), AS_OF).count() == 3
+    plan = S.results(jobs, companies, stored, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # no rows of (search, job)

@@ -6,14 +6,20 @@ that its text term holds, a band of scores, ages or pay, or being visible at all
 the keys that some search asks for, the counts tell which way in of a search is the narrowest, and only
 jobs under that key are tested against the search's remaining conditions.
 
+``matches`` gives the pairs; ``results`` needs only counts and first rows, so it never makes them.
+
 The plan is the same for five searches and for five thousand.  Pairs follow the narrowest keys, so they
 stay near the matches; a key with a large share of the jobs is a join key that Spark may split.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +40,8 @@ SCHEMA = T.StructType([
     *[T.StructField(n, T.BooleanType()) for n in ("only_new", "only_starred", "only_clean", "include_hidden", "include_closed")]])
 #: Width and number of the bands of scores, ages in days, and pay.
 SCORES, AGES, PAYS = (10, 10), (7, 60), (10_000, 50)
+#: Jobs of a block, one bit each, and searches of a part that one task answers for a block.
+BLOCK, PART = 1 << 16, 30_000
 _KEY = "struct<field:string,value:string>"
 
 
@@ -147,11 +155,102 @@ def matches(jobs: DataFrame, companies: DataFrame, searches: DataFrame, as_of: C
     return pairs.join(own, "id").join(full, "search").filter(_holding(as_of)).drop("s")
 
 
+def _conditions(s: DataFrame, as_of: Column) -> DataFrame:
+    """(search, conditions): what a search asks of a job, as (field, value) pairs in text form."""
+    c = F.col
+
+    def asked(field: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")))
+
+    some = [asked(n, F.lit(""), ~c(by)) for n, by in (("is_open", "include_closed"), ("shown", "include_hidden"))]
+    some += [asked(n, F.lit(""), c(by)) for n, by in (("is_new", "only_new"), ("starred", "only_starred"), ("clean", "only_clean"))]
+    some += [asked(n, c(n), c(n).isNotNull()) for n in (*EQUAL, "q", "domain", "company", "city", "min_score", "salary_min")]
+    since = F.unix_date(F.date_sub(as_of, c("max_age_days")))
+    some += [asked("since", since, since.isNotNull()),
+             asked("places", F.to_json(F.struct("country", "_places")), c("_places").isNotNull())]
+    return s.filter(c("search").isNotNull()).select("search", F.array_compact(F.array(*some)).alias("conditions"))
+
+
+def _answers(jobs: pa.Table, asked: pa.Table, first: int) -> pa.Table:
+    """(search, n, top): how many of the jobs each search finds, and the positions of the first of them.
+
+    Every different condition is tested once on all the jobs and kept as one bit per job; a search is the
+    intersection of its conditions' bits.
+    """
+    jobs = jobs.sort_by("pos").combine_chunks()
+    pos, n = jobs.column("pos").to_numpy(), jobs.num_rows
+
+    def holds(field: str, value: str) -> pa.ChunkedArray:
+        if field in EQUAL:
+            return pc.equal(jobs.column(EQUAL[field]), value)
+        if field == "q":
+            return pc.match_substring(jobs.column("search_blob"), value)
+        if field in ("domain", "company"):
+            return pc.match_substring(jobs.column("blob" if field == "domain" else "company"), value)
+        if field == "city":
+            return pc.or_(pc.match_substring(jobs.column("city"), value), pc.match_substring(jobs.column("place"), value))
+        if field == "min_score":
+            return pc.greater_equal(jobs.column("score"), int(value))
+        if field == "since":
+            return pc.greater_equal(jobs.column("posted"), int(value))
+        if field == "salary_min":  # a pay that is no number is above every other, as in Spark
+            pay = jobs.column("pay")
+            return pc.or_(pc.greater_equal(pay, float(value)), pc.is_nan(pay))
+        if field == "places":
+            place = json.loads(value)
+            found = [pc.match_substring(jobs.column("search_blob"), t) for t in place["_places"]]
+            return reduce(pc.or_kleene, found, pc.equal(jobs.column("country"), place.get("country")))
+        return jobs.column(field)
+
+    def bits(mask: np.ndarray) -> np.ndarray:
+        packed = np.packbits(mask, bitorder="little")
+        return np.append(packed, np.zeros(-len(packed) % 8, np.uint8)).view("<u8")
+
+    every, known = bits(np.ones(n, bool)), {}
+    names, counts, tops = [], [], []
+    for name, conditions in zip(asked.column("search").to_pylist(), asked.column("conditions").to_pylist(), strict=True):
+        left = every
+        for x in conditions:
+            key = (x["field"], x["value"])
+            if key not in known:
+                known[key] = bits(pc.fill_null(holds(*key), False).to_numpy().astype(bool))
+            left = left & known[key]
+        count = int(np.bitwise_count(left).sum())
+        if count:
+            at = np.flatnonzero(left)[:first]  # a word that is not 0 holds one job at least
+            inside = np.flatnonzero(np.unpackbits(left[at].view(np.uint8), bitorder="little"))[:first]
+            names.append(name)
+            counts.append(count)
+            tops.append(pos[at[inside >> 6] * 64 + (inside & 63)])
+    return pa.table({"search": pa.array(names, pa.string()), "n": pa.array(counts, pa.int64()), "top": pa.array(tops, pa.list_(pa.int64()))})
+
+
 def results(jobs: DataFrame, companies: DataFrame, searches: DataFrame, as_of: Column, per_search: int = 100,
             order: str = "newest", profile: Profile = DEFAULT) -> DataFrame:
-    """``search, id, rank, matches``: the first rows of every search and how many jobs it has in all."""
-    hits = cut_lineage(matches(jobs, companies, searches, as_of, profile))
-    best = W.partitionBy("search").orderBy(*ordering(order))
-    top = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_search)
-    counts = hits.groupBy("search").agg(F.count(F.lit(1)).alias("matches"))
-    return top.select("search", "id", "rank").join(counts, "search")
+    """``search, id, rank, matches``: the first rows of every search and how many jobs it has in all.
+
+    Jobs are dealt into blocks in the order asked for, searches into parts; every part meets every block in a task
+    of its own, where a job is a bit.  A block answers a search with a count and its first rows, so no pair of
+    search and job is ever a row, however many jobs a search finds.
+    """
+    c = F.col
+    jobs = jobs.filter("id IS NOT NULL").join(companies.select(c("id").alias("company_id"), c("tier").alias("company_tier")), "company_id", "left")
+    lower = lambda n: F.lower(F.coalesce(c(n), F.lit("")))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    blocks, parts = -(-jobs.count() // BLOCK) or 1, -(-searches.count() // PART) or 1
+    ordered = jobs.repartitionByRange(blocks, *ordering(order)).sortWithinPartitions(*ordering(order)).select(
+        F.monotonically_increasing_id().alias("pos"), "id", *EQUAL.values(), "country", "search_blob",
+        lower("search_blob").alias("blob"), lower("company_name").alias("company"), lower("city").alias("city"), lower("location_raw").alias("place"),
+        c("score").cast("long").alias("score"), c("salary_annual_eur_min").cast("double").alias("pay"),
+        F.unix_date("posted_at").cast("long").alias("posted"), sure(c("is_open")).alias("is_open"), sure(~c("hidden")).alias("shown"),
+        sure(c("is_new")).alias("is_new"), sure(c("starred")).alias("starred"), sure(~c("has_flags")).alias("clean"))
+    ordered = cut_lineage(ordered).withColumn("block", F.floor(c("pos") / BLOCK))  # as written: positions stay as they are
+    asked = cut_lineage(_conditions(_prepared(searches, profile), as_of).withColumn("part", F.pmod(F.xxhash64("search"), F.lit(parts))))
+    # names of their own: the other side of the cogroup has the block's column, too
+    every = asked.crossJoin(ordered.select("block").distinct()).select("search", "conditions", c("block").alias("_block"), c("part").alias("_part"))
+    whole = ordered.drop("id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = (whole.groupBy("block", "part").cogroup(every.groupBy("_block", "_part"))
+             .applyInArrow(lambda j, s: _answers(j, s, per_search), "search string, n long, top array<long>"))
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, per_search)
+    best = found.groupBy("search").agg(F.sum("n").alias("matches"), top.alias("top")).select("search", "matches", F.posexplode("top").alias("rank", "pos"))
+    return best.join(ordered.select("pos", "id"), "pos").select("search", "id", (c("rank") + 1).alias("rank"), "matches")
