@@ -140,6 +140,56 @@ def test_links_inside_buckets_of_unlike_texts_are_found(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()} == first
 
 
+def test_short_texts_are_compared_by_their_words(spark):
+    """Ten words and the first eight of them: an edit similarity of 0.8, though four windows stand against six."""
+    rows = []
+    for k in range(40):
+        text = [f"w{k}x{i}" for i in range(10)]
+        rows += [text, text[:8]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    codes = [np.array([near_dedup.xxhash.xxh3_64_intdigest(w) for w in t], np.uint64) for t in rows]
+    agree = [bool(set(zip(range(16), near_dedup.sketches(codes[i]))) & set(zip(range(16), near_dedup.sketches(codes[i + 1])))) for i in range(0, 80, 2)]
+    assert sum(agree) >= 38
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(40) if agree[k])
+
+
+def test_scattered_copies_inside_buckets_of_unlike_texts_are_found(spark):
+    """A passage in common keeps buckets open; the copies' windows are less alike than 0.8, their words more."""
+    passage, rows = [f"p{i}" for i in range(120)], []
+    for k in range(100):
+        text = passage + [f"own{k}x{i}" for i in range(100)]
+        rows.append(text)
+        if k % 2 == 0:
+            copy = list(text)
+            for i in range(122 + k % 5, 220, 10):
+                copy[i] = f"new{k}x{i}"
+            rows.append(copy)
+    own = [labelled_windows(" ".join(t)) for t in rows]
+    pairs = [i for i in range(1, len(rows)) if len([w for w in rows[i] if w in set(rows[i - 1])]) == 210]
+    assert len(pairs) == 50 and all(len(own[i] & own[i - 1]) < 0.75 * len(own[i] | own[i - 1]) for i in pairs)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    assert [got[i] for i in pairs] == [i - 1 for i in pairs] and len(set(got.values())) == 100
+
+
+def test_rare_runs_keep_every_similar_pair():
+    """Two texts that are similar lack LACKED runs per word of each other at most."""
+    r = random.Random(31)
+    for _ in range(400):
+        a = [r.randint(0, 30) for _ in range(r.randint(1, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 1 + len(a) // 5)):
+            i = r.randrange(len(b) + 1)
+            b[i:i + r.randint(0, 1)] = [r.randint(0, 30)] * r.randint(0, 1)
+            b = b or [1]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        if near_dedup.similar(x, y):
+            p, q = near_dedup.windows(x, near_dedup.RUN)[1], near_dedup.windows(y, near_dedup.RUN)[1]
+            both = len(np.intersect1d(p, q))
+            assert len(p) - both <= near_dedup.LACKED * len(a) + 1e-6 and len(q) - both <= near_dedup.LACKED * len(b) + 1e-6, (a, b)
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(100)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:] + words[:50]))], "doc_id long, text string")

@@ -8,14 +8,14 @@ decides: a pair is a link if its edit similarity is 0.8 or more.
 
 Texts with the same words are one node from the start.  Two open rounds compare a bucket's members
 with one hub, the member that shares most buckets, as far as they are in other classes; hubs then
-leave the bucket.  What is left in buckets of two classes is dealt by rare windows.  Windows are counted
-over the texts left; a text of whose windows more than a fifth stand in no other of them has no partner
-of window similarity 0.8 and leaves, which makes more windows rare, until none leaves.  The others are
-compared where they share one of their rarest windows, the prefix that a window similarity of 0.8
-needs, and where the shares of such windows of both allow it; rounds go on until no bucket holds members
-of two classes.  So of the pairs that agree on a sketch none with a window similarity of 0.8 is lost.
-With 16 sketches two texts of that similarity agree on none with a probability of (1 - 0.8 ** 2) ** 16,
-under one in ten million; texts that are similar only word by word are found where they meet a hub.
+leave the bucket.  What is left in buckets of two classes is dealt by rare triples: an edit takes three runs
+of three words from a text at most, so texts of n words that are a link lack 0.6 n of each other's triples at
+most.  Triples are counted in slots over the texts left; a text with more than 0.6 n triples that stand in no
+other of them has no partner and leaves, which makes more triples rare, until few leave.  The others are compared
+where they share one of their 0.6 n + 1 rarest triples, and where their lengths and the triples they have alone
+allow a link; rounds go on until no bucket holds members of two classes.  So of the pairs that agree on a sketch
+no link is lost.  With 16 sketches two texts of window similarity 0.8 agree on none with a probability of
+(1 - 0.8 ** 2) ** 16, under one in ten million; texts that are similar only word by word may agree on none.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ WINDOW = 5
 SKETCHES = 16
 ITEMS = 2
 SIMILARITY = 0.8
-OPEN_ROUNDS = 2  # with one hub a bucket, before what is left is dealt by rare windows
-SLOTS, CHUNKS = 1 << 22, 64  # of the window counts that let most nodes leave before windows are counted exactly
+OPEN_ROUNDS = 2  # with one hub a bucket, before what is left is dealt by rare runs
+RUN = 3  # words of the runs that decide which of the nodes left are compared
+LACKED = (1 - SIMILARITY) * RUN  # of its runs, times its words, that a node may lack in common with a similar one
+SLOTS, CHUNKS = 1 << 22, 64  # of the counts of runs
 CELLS = 4_000_000  # of a band, up to which an alignment follows its diagonals
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,9 +57,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(codes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of a word sequence, and the same with the occurrence number mixed in."""
-    k = min(WINDOW, len(codes))
+    k = min(size, len(codes))
     n = len(codes) - k + 1 if k else 0
     plain = np.zeros(n, np.uint64)
     for j in range(k):
@@ -202,7 +204,7 @@ def node_column(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, sketch, size: number of windows, _h: a hash of the text) of every row; rows with the same words share the node."""
+    """(key, node, sketch, size: number of words, _h: a hash of the text) of every row; rows with the same words share the node."""
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +215,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 tokens = words(t.as_py())
                 nodes.append(_node(tokens))
                 values.append(sketches(_codes(tokens, memo)))
-                sizes.append(len(tokens) - min(WINDOW, len(tokens)) + 1 if tokens else 0)
+                sizes.append(len(tokens))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(nodes, pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), b.column(2)],
                 [key, "node", "sketch", "size", "_h"])
@@ -244,39 +246,35 @@ def _wide(codes: pa.Scalar) -> np.ndarray:
     return _mixed(np.frombuffer(codes.as_py(), "<u4").astype(np.uint64) + np.uint64(1))
 
 
-def _listed(codes: DataFrame) -> DataFrame:
-    """(node, size, windows): the occurrence-labelled windows of every node."""
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for n, c in zip(b.column(0), b.column(1), strict=True):
-                own = windows(_wide(c))[1].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([n.as_py()]), pa.array([len(own)]), pa.array([own], pa.list_(pa.int64()))],
-                                                 ["node", "size", "windows"])
+def _runs(codes: pa.Scalar) -> np.ndarray:
+    """The occurrence-labelled runs of RUN words of a node."""
+    return windows(_wide(codes), RUN)[1]
 
-    return codes.select("node", "codes").mapInArrow(batches, "node string, size long, windows array<long>")
+
+def _slots(own: np.ndarray) -> np.ndarray:
+    return (own % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _slot_counts(codes: DataFrame) -> np.ndarray:
-    """How many windows fall into each of SLOTS slots, counted up to two: CHUNKS rows to the driver."""
+    """How many runs fall into each of SLOTS slots, counted up to 255: CHUNKS rows to the driver."""
     size = SLOTS // CHUNKS
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            own = [(windows(_wide(c))[1] % np.uint64(SLOTS)).astype(np.int64) for c in b.column(1)]
-            slot, n = np.unique(np.concatenate(own or [np.zeros(0, np.int64)]), return_counts=True)
+            slot, n = np.unique(np.concatenate([_slots(_runs(c)) for c in b.column(1)] or [np.zeros(0, np.int64)]), return_counts=True)
             first = np.searchsorted(slot, np.arange(CHUNKS + 1) * size)
             for c, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                 if y > x:
                     at = (slot[x:y] - c * size).astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at]), pa.array([np.minimum(n[x:y], 2).astype(np.uint8).tobytes()])],
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at]), pa.array([np.minimum(n[x:y], 255).astype(np.uint8).tobytes()])],
                                                      ["chunk", "at", "n"])
 
     def together(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint8)
+        total = np.zeros(size, np.uint16)
         for at, n in zip(rows.column("at"), rows.column("n")):
             to = np.frombuffer(at.as_py(), "<u4")
-            total[to] = np.minimum(total[to] + np.frombuffer(n.as_py(), np.uint8), 2)
-        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([total.tobytes()])})
+            total[to] = np.minimum(total[to] + np.frombuffer(n.as_py(), np.uint8), 255)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([total.astype(np.uint8).tobytes()])})
 
     out = np.zeros(SLOTS, np.uint8)
     for r in codes.select("node", "codes").mapInArrow(batches, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(
@@ -285,23 +283,19 @@ def _slot_counts(codes: DataFrame) -> np.ndarray:
     return out
 
 
-def _crowded(codes: DataFrame) -> DataFrame:
-    """Nodes that can have a partner of window similarity SIMILARITY among ``codes``, and maybe others.
+def _crowded(codes: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Nodes that can have a similar one among ``codes``, and maybe others; with the counts of runs by slot.
 
-    A window alone in its slot is in no other node; a node with too many of those leaves.  In large tables slots fill
-    up and fewer leave here; the exact count comes after.
+    A run alone in its slot is in no other node; a node with too many of those leaves.  Where slots fill up, fewer leave.
     """
     before = codes.count()
+    counts = np.zeros(SLOTS, np.uint8)
     while before:
         counts = _slot_counts(codes)
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                keep = []
-                for c in b.column(1):
-                    own = windows(_wide(c))[1]
-                    alone = int((counts[(own % np.uint64(SLOTS)).astype(np.int64)] == 1).sum())
-                    keep.append(alone <= (1 - SIMILARITY) * len(own) + 1e-6)
+                keep = [int((counts[_slots(_runs(c))] == 1).sum()) <= LACKED * (len(c.as_py()) // 4) + 1e-6 for c in b.column(1)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         codes = written(codes.select("node", "codes").mapInArrow(batches, "node string, codes binary"))
@@ -309,27 +303,33 @@ def _crowded(codes: DataFrame) -> DataFrame:
         if left >= 0.9 * before:
             break
         before = left
-    return codes
+    return codes, counts
 
 
-def _by_rare_windows(codes: DataFrame) -> DataFrame:
-    """(bucket, node, size, alone): the windows that begin a node's list, rare ones first, as many as one of has to be in
-    common with any similar node.  ``alone`` is how many windows no other node left has; a node with too many of them has
-    no similar node and leaves, and the windows of those that stay are counted again."""
-    every = written(_listed(codes).select("node", "size", F.explode("windows").alias("window")))
-    most = F.floor((1 - SIMILARITY) * F.col("size") + 1e-6)
-    while True:
-        often = every.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
-        counted = written(every.join(often, "window"))  # the count of each window of each node left
-        alone = written(counted.groupBy("node", "size").agg(F.count_if(F.col("n") == 1).alias("alone")))
-        stay = alone.filter(F.col("alone") <= most)
-        left, before = stay.count(), alone.count()
-        if left >= 0.98 * before:  # a few more that could leave do no harm
-            break
-        every = written(every.join(stay.select("node"), "node"))
-    place = F.row_number().over(W.partitionBy("node").orderBy("n", "window"))
-    first = counted.join(stay.drop("size"), "node").withColumn("place", place).filter((F.col("place") <= most + 1) & (F.col("n") > 1))
-    return first.select(F.col("window").alias("bucket"), "node", "size", "alone")
+def _by_rare_runs(codes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(bucket, node, size, alone): the runs that begin a node's list, rare ones first, as many as one of has to be in
+    common with any similar node.  Any order that is the same for all nodes does; ``counts`` bring rare ones first.
+    ``alone`` is how many runs no other node left has."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for n, c in zip(b.column(0), b.column(1), strict=True):
+                own, size = _runs(c), len(c.as_py()) // 4
+                often = counts[_slots(own)]
+                first = np.lexsort((own, often))[:int(LACKED * size + 1e-6) + 1]
+                first = first[often[first] > 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[first].view(np.int64)), pa.array([n.as_py()] * len(first), pa.string()),
+                     pa.array(np.full(len(first), size)), pa.array(np.full(len(first), int((often == 1).sum())))],
+                    ["bucket", "node", "size", "alone"])
+
+    return codes.select("node", "codes").mapInArrow(batches, "bucket long, node string, size long, alone long")
+
+
+def _can_link(size: Column, alone: Column, other: Column, other_alone: Column) -> Column:
+    """Whether texts of so many words, of whose runs so many stand in no other text, can be similar."""
+    longer = F.greatest(size, other)
+    both = F.least(size - alone, other - other_alone) - (RUN - 1)
+    return (F.least(size, other) >= SIMILARITY * longer - 1e-6) & (both >= (1 - LACKED) * longer - (RUN - 1) - 1e-6)
 
 
 def _shared(kept: DataFrame) -> DataFrame:
@@ -403,8 +403,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             break
         if r == OPEN_ROUNDS:
             some = own.select("node").distinct()
-            codes = _crowded(written(codes.join(some, "node")))
-            left = written(_shared(_by_rare_windows(codes)).drop("n").join(asked.select("node", "weight"), "node"))
+            codes, counts = _crowded(written(codes.join(some, "node")))
+            left = written(_shared(written(_by_rare_runs(codes, counts))).drop("n").join(asked.select("node", "weight"), "node"))
             r += 1
             continue
         slots = 1 if r < OPEN_ROUNDS else 16 ** (r - OPEN_ROUNDS)
@@ -414,9 +414,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                                        F.col("alone").alias("_o")),
                               F.struct("weight", of)).alias("h")).select("bucket", "h.*"))
         hubs = written(hubs)
-        # no more windows can be in common than both have besides those they have alone
-        both = F.least(F.col("size") - F.col("alone"), F.col("_s") - F.col("_o"))
-        near = both >= SIMILARITY * (F.col("size") + F.col("_s") - both) - 1e-6
+        near = _can_link(F.col("size"), F.col("alone"), F.col("_s"), F.col("_o"))
         pairs = (own.join(hubs, "bucket").filter((F.col("component") != F.col("_c")) & near)
                  .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
