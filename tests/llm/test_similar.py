@@ -264,6 +264,28 @@ def test_level_finds_what_it_holds(tmp_path):
             assert (level.find(np.sort(other)) == -1).all()
 
 
+def test_levels_are_coded_by_elias_and_fano(tmp_path):
+    """Unary high parts and packed low ones: near the bound of 2 + log2(range / keys) bits a key, in runs of any size."""
+    r = np.random.default_rng(5)
+    for n, span, most in ((50_000, 1 << 62, 2 + 62 - 15.6 + 2), (50_000, 1 << 20, 2 + 20 - 15.6 + 2), (3, 1 << 63, 9_000), (1, 5, 9_000)):
+        keys = np.unique(r.integers(0, span, n, dtype=np.uint64))
+        lm_trie.Level.save(str(tmp_path / "x"), keys, {})
+        assert (tmp_path / "x").stat().st_size * 8 / len(keys) <= most
+        assert (lm_trie.Level(str(tmp_path / "x")).find(keys) == np.arange(len(keys))).all()
+    # pairs: runs of a context, some of them empty, one of them very long
+    first = np.concatenate([np.full(20_000, 700), r.integers(0, 1 << 16, 20_000)]).astype(np.uint64)
+    keys = np.unique((first << np.uint64(32)) | r.integers(0, 1 << 17, 40_000, dtype=np.uint64))
+    lm_trie.Level.save(str(tmp_path / "p"), keys, {}, 32)
+    level = lm_trie.Level(str(tmp_path / "p"))
+    assert (level.find(keys) == np.arange(len(keys))).all() and (level.find(keys + np.uint64(1 << 20)) == -1).all()
+    assert (tmp_path / "p").stat().st_size * 8 / len(keys) <= 17 + 1 + 2 * 1.25 + 1
+    high = np.arange(level.runs + 1)
+    assert (level.high.before(high) == np.searchsorted((keys >> np.uint64(32)) - (keys[0] >> np.uint64(32)), high.astype(np.uint64))).all()
+    for width in (1, 7, 31, 57, 63, 64):
+        values = r.integers(0, 1 << 63, 1000, dtype=np.uint64) & np.uint64((1 << width) - 1)
+        assert (lm_trie.Packed(lm_trie.Packed.raw(values, width, 64), width)[np.arange(1000)] == values).all()
+
+
 def test_scores_are_those_of_the_formula(spark, odd_docs, no_docs):
     r = random.Random(6)
     common = [f"w{i}" for i in range(40)]
