@@ -46,3 +46,9 @@ def test_names_and_broken_literals(spark):
     got = {x.h: x.s for x in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", Q.special_address(F.col("h")).alias("s")).collect()}
     hosts["[::1"] = True  # an opened bracket is no name
     assert got == hosts
+
+
+def test_a_link_is_taken_apart_once(spark):
+    link = F.concat(F.lit("https://"), F.col("id").cast("string"), F.lit("/x"))
+    plan = spark.range(1).select(Q.url_class(link).alias("class"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https://") == 1 and len(plan) < 20_000, len(plan)

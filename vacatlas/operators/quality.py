@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,11 @@ SPECIAL_6 = [("0100000000000000", "0100000000000000"), ("20010db800000000", "200
              ("fe80000000000000", "febfffffffffffff"), ("fec0000000000000", "feffffffffffffff"), ("ff00000000000000", "ffffffffffffffff")]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: the variable of a function over one item."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _part(s: Column) -> Column:
     """A part of an address in decimal, octal (a leading 0) or hexadecimal (0x) digits."""
     return (F.when(F.rlike(s, F.lit(r"^0x[0-9a-f]{1,8}$")), F.conv(F.substring(s, 3, 8), 16, 10))
@@ -34,32 +40,45 @@ def address_number(host: Column) -> Column:
 
     One to four parts; the last one fills what the others leave.
     """
-    # a trailing dot belongs to names and addresses alike
+    def number(parts: Column) -> Column:
+        n = F.size(parts)
+        head = F.slice(parts, 1, n - 1)
+        room = F.element_at(F.array(*[F.lit(1 << 32 - 8 * k) for k in range(4)]), F.least(n, F.lit(4)))
+        last = F.element_at(parts, -1)
+        good = (n <= 4) & ~F.exists(parts, lambda p: p.isNull()) & ~F.exists(head, lambda p: p > 255) & (last < room)
+        return F.when(good, F.aggregate(head, F.lit(0).cast("long"), lambda a, p: a * 256 + p) * room + last)
+
+    # a trailing dot belongs to names and addresses alike; only parts that begin with a digit can make a number
     parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _part)
-    n = F.size(parts)
-    head = F.slice(parts, 1, n - 1)
-    last = F.element_at(parts, -1)
-    good = ((n <= 4) & ~F.exists(parts, lambda p: p.isNull()) & ~F.exists(head, lambda p: p > 255)
-            & (last < F.element_at(F.array(*[F.lit(1 << 32 - 8 * k) for k in range(4)]), F.least(n, F.lit(4)))))
-    high = F.aggregate(head, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
-    return F.when(good, high * F.element_at(F.array(*[F.lit(1 << 32 - 8 * k) for k in range(4)]), F.least(n, F.lit(4))) + last)
+    return F.when(F.rlike(host, F.lit(r"^[0-9][0-9a-fx.\s\u0085\u2028\u2029]*$")), _let(parts, number))
 
 
 def address_groups(host: Column) -> Column:
     """A bracketed IPv6 host as 32 hexadecimal digits; null for anything else."""
+    tail = r"[0-9]+(?:\.[0-9]+){3}$"
+
+    def plain(body: Column) -> Column:
+        """With a trailing IPv4 address as two groups."""
+        low = lambda four: F.lpad(F.lower(F.hex(four)), 8, "0")
+        return _let(address_number(F.regexp_extract(body, f"({tail})", 1)), lambda four: F.when(four.isNotNull(), F.concat(
+            F.regexp_replace(body, tail, ""), F.substring(low(four), 1, 4), F.lit(":"), F.substring(low(four), 5, 4))).otherwise(body))
+
+    def filled(halves: Column) -> Column:
+        groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+        sides = F.array(groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>")))
+
+        def every(sides: Column) -> Column:
+            known = F.size(sides[0]) + F.size(sides[1])
+            fits = F.when(F.size(halves) == 2, known <= 7).otherwise((F.size(halves) == 1) & (known == 8))
+            return F.when(fits, F.concat(sides[0], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), sides[1]))
+        return _let(sides, every)
+
+    def digits(every: Column) -> Column:
+        good = ~F.exists(every, lambda g: ~F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
+        return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
     body = F.regexp_replace(F.regexp_extract(host, r"^\[([0-9a-f:.]+)(?:%[^\]]*)?\]$", 1), r"^$", "x")
-    four = address_number(F.regexp_extract(body, r"([0-9]+(?:\.[0-9]+){3})$", 1))
-    low = F.lpad(F.lower(F.hex(four)), 8, "0")
-    body = F.when(four.isNotNull(), F.concat(F.regexp_replace(body, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.substring(low, 1, 4), F.lit(":"),
-                                             F.substring(low, 5, 4))).otherwise(body)
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    halves = F.split(body, "::")
-    left, right = groups(F.get(halves, 0)), F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>"))
-    known = F.size(left) + F.size(right)
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - known)), right)
-    fits = F.when(F.size(halves) == 2, known <= 7).otherwise((F.size(halves) == 1) & (known == 8))
-    good = fits & ~F.exists(every, lambda g: ~F.rlike(g, F.lit("^[0-9a-f]{1,4}$")))
-    return F.when(good, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+    return _let(F.split(_let(body, plain), "::"), lambda halves: _let(filled(halves), digits))
 
 
 def special_address(host: Column) -> Column:
@@ -68,24 +87,32 @@ def special_address(host: Column) -> Column:
         spans = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(a + (1 << 32 - bits) - 1).cast("long").alias("b")) for a, bits in SPECIAL])
         return F.exists(spans, lambda s: number.between(s["a"], s["b"]))
 
-    six = address_groups(host)
-    top = F.substring(six, 1, 16)
-    # addresses that carry an IPv4 one: mapped, compatible (:: and ::1 among them), translated
-    carried = F.when(F.rlike(six, F.lit("^0{20}(?:0000|ffff)|^0064ff9b0{16}")), F.conv(F.substring(six, 25, 8), 16, 10).cast("long"))
-    six_bad = F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPECIAL_6]), lambda s: top.between(s["a"], s["b"]))
-    return F.coalesce(F.when(F.startswith(host, F.lit("[")), six.isNull() | six_bad | F.coalesce(inside(carried), F.lit(False)))
-                      .otherwise(inside(address_number(host))), F.lit(False))
+    def inside_six(six: Column) -> Column:
+        top = F.substring(six, 1, 16)
+        # addresses that carry an IPv4 one: mapped, compatible (:: and ::1 among them), translated
+        carried = F.when(F.rlike(six, F.lit("^0{20}(?:0000|ffff)|^0064ff9b0{16}")), F.conv(F.substring(six, 25, 8), 16, 10).cast("long"))
+        bad = F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPECIAL_6]), lambda s: top.between(s["a"], s["b"]))
+        return six.isNull() | bad | F.coalesce(_let(carried, inside), F.lit(False))
+
+    return F.coalesce(F.when(F.startswith(host, F.lit("[")), _let(address_groups(host), inside_six))
+                      .otherwise(_let(address_number(host), inside)), F.lit(False))
 
 
 def url_class(url: Column) -> Column:
     """'ok' or the reason a link must not be followed, judged by its structure alone."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
-    return (F.when(F.coalesce(url, F.lit("")) == "", "empty")
-            .when(F.length(url) > V.MAX_URL_LENGTH, "too long").when(scheme != "https", "scheme")
-            .when(host == "", "no host").when(host.isin(V.BLOCKED_HOSTS), "blocked host")
-            .when(special_address(host), "private address").otherwise("ok"))
+    def of_host(host: Column) -> Column:
+        return (F.when(host == "", "no host").when(host.isin(V.BLOCKED_HOSTS), "blocked host")
+                .when(special_address(host), "private address").otherwise("ok"))
+
+    def of_url(url: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+        host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
+        return (F.when(F.coalesce(url, F.lit("")) == "", "empty")
+                .when(F.length(url) > V.MAX_URL_LENGTH, "too long").when(scheme != "https", "scheme")
+                .otherwise(_let(host, of_host)))
+
+    return _let(url, of_url)
 
 
 def redact(text: Column) -> Column:
