@@ -286,6 +286,19 @@ def test_levels_are_coded_by_elias_and_fano(tmp_path):
         assert (lm_trie.Packed(lm_trie.Packed.raw(values, width, 64), width)[np.arange(1000)] == values).all()
 
 
+def test_the_run_of_a_context_is_looked_up_once(tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    keys = np.unique(r.integers(0, 5, 5000).astype(np.uint64) << np.uint64(32) | r.integers(0, 1 << 18, 5000).astype(np.uint64))
+    lm_trie.Level.save(str(tmp_path / "p"), keys, {}, 32)
+    asked, real = [], lm_trie.Unary.before
+    monkeypatch.setattr(lm_trie.Unary, "before", lambda self, high: asked.append(len(high)) or real(self, high))
+    level = lm_trie.Level(str(tmp_path / "p"))
+    assert (level.find(keys) == np.arange(len(keys))).all() and max(asked) <= 5
+    assert (level.find(keys[::-1] ^ np.uint64(1)) >= 0).sum() == len(np.intersect1d(keys, keys ^ np.uint64(1)))
+    assert (level.find(keys[:0]) == []).all()
+
+
+
 def test_scores_are_those_of_the_formula(spark, odd_docs, no_docs):
     r = random.Random(6)
     common = [f"w{i}" for i in range(40)]
