@@ -51,3 +51,16 @@ def test_a_row_meets_its_text_once_with_all_its_terms(spark, tmp_path, monkeypat
     assert got == {f"j{i:02}": ["a", "alpha", "beta gamma", "ga"] for i in range(60)}
     assert index._terms(asked).count() == 60
     assert sorted(map(tuple, index.find(df, F.col("t"), asked).collect())) == sorted((t, i) for i, own in got.items() for t in own)
+
+
+def test_lists_are_those_of_every_run_in_blocks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "CHARACTERS", 200)
+    texts = {f"j{i}": "aa\x00b 漢字😀😀😀 %d" % i * (1 + i % 7) for i in range(40)}
+    index = X.TextIndex(str(tmp_path / "ix"))
+    index.add(spark.createDataFrame(list(texts.items()), "id string, t string"), F.col("t"), 0)
+    places = {(r.block, r.place): r.id for r in spark.read.parquet(index.root + "/places").collect()}
+    assert len({b for b, _ in places}) > 5  # few rows, but long ones
+    rows = spark.read.parquet(index.root + "/lists").collect()
+    assert all(r.places == sorted(set(r.places)) and len(r.places) == r.n for r in rows)
+    got = sorted((r.run, places[r.block, p]) for r in rows for p in r.places)
+    assert got == sorted({(f"{t}\x00\x00"[i:i + 3], k) for k, t in texts.items() for i in range(len(t))})
