@@ -135,3 +135,17 @@ def test_late_details_reach_the_group_and_stay(spark, tmp_path):
     assert [(r.seq, r.description) for r in member.collect()] == [(1, "a longer text")] and groups.count() == 1
     member, _ = I.take(store, spark.createDataFrame([sighting(3, ext="a", text="tiny", url="https://x.example.com/1")], COLS), 2)
     assert [(r.seq, r.last_seq, r.description) for r in member.collect()] == [(1, 3, "a longer text")]
+
+
+def test_texts_stay_out_of_the_joins(spark, tmp_path, monkeypatch):
+    kept, cut = [], I.cut_lineage
+    monkeypatch.setattr(I, "cut_lineage", lambda df: kept.append(df) or cut(df))
+    store = Buckets(str(tmp_path / "store"))
+    row = "seq long, provider string, company string, title string, location string, url string, external_id string, posted date, description string"
+    make = lambda *rows: spark.createDataFrame([(i, "p", "Firma", f"Titel {i % 4}", "Berlin", "https://x.de/1", f"E{i % 4}", None, t) for i, t in rows], row)
+    I.take(store, make((0, "old " * 50), (1, "one"), (2, None), (3, "one"), (4, "new " * 50)), 0)
+    current, _ = I.take(store, make((5, "later"), (7, None)), 1)
+    assert all(dict(df.dtypes).get("description", "binary") == "binary" for df in kept) and any("description" in df.columns for df in kept)
+    want = [(0, "new " * 50), (1, "later"), (2, None), (3, None)]
+    assert sorted(((r.seq, r.description) for r in store.read(spark).collect())) == want
+    assert sorted((r.seq, r.description) for r in current.collect()) == [(1, "later"), (3, None)]

@@ -15,8 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SLICE = 25_000  # rows with texts that a task takes of a bucket, or so
+
 
 def _names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder of any file system, none if it is missing."""
@@ -34,6 +37,18 @@ def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(n[len(prefix):]) for n in _names(spark, path) if n.startswith(prefix))
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame, text: str, slices: int) -> DataFrame:
+    """``rows`` with the whole texts that the digests in their column ``text`` stand for, dealt by bucket and slice."""
+    # a row without a text meets nobody
+    alone = F.coalesce(text, F.col("seq").cast("string").cast("binary"))
+    both = rows.withColumns({"_digest": alone, "_row": F.lit(True)}).unionByName(
+        texts.select("bucket", F.col("digest").alias("_digest"), F.col("whole").alias("_whole"), F.lit(False).alias("_row")), allowMissingColumns=True)
+    slice_ = F.pmod(F.xxhash64("_digest"), F.lit(slices))
+    dealt = both.withColumn("_slice", slice_).repartition("bucket", "_slice")
+    whole = F.first("_whole", ignorenulls=True).over(W.partitionBy("bucket", "_slice", "_digest"))
+    return dealt.withColumn("_whole", whole).filter("_row").withColumn(text, F.col("_whole")).drop("_whole", "_digest", "_row", "_slice")
+
+
 @dataclass(frozen=True)
 class Buckets:
     """A table under ``root``: rows of one owner lie in one of ``owners`` buckets, dealt over ``parts`` by their key.
@@ -85,18 +100,22 @@ class Buckets:
         rows = rows.withColumn("_fresh", F.col("run") == run).drop("run", "bucket")
         return rows if wanted else rows.filter(F.lit(False))
 
-    def write(self, rows: DataFrame, run: int, bucket: Column, touched: set[int], order: list[Column] | None = None) -> None:
+    def write(self, rows: DataFrame, run: int, bucket: Column, touched: set[int], order: list[Column] | None = None,
+              texts: DataFrame | None = None, text: str = "") -> None:
         """Replace the touched buckets by ``rows`` and finish the run; buckets not touched keep their files.
 
         ``rows`` must hold all rows of the touched buckets.  Large buckets are split over tasks and files.
+        With ``texts`` the column ``text`` of ``rows`` holds digests, and ``texts(bucket, digest, whole)`` has what they
+        stand for in every bucket that needs it, maybe more than once: both meet in the bucket's own shuffle.
         """
         spark = rows.sparkSession
         path = f"{self.root}/data/run={run}"
         before = self.live(spark, self.newest(spark, run))
         if touched:
-            own = rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
+            own = rows.withColumn("bucket", bucket)
+            own = own.hint("rebalance", "bucket") if texts is None else _with_texts(own, texts, text, 1 + rows.count() // (SLICE * len(touched)))
             own = own.sortWithinPartitions("bucket", *(order or []))
-            own.write.partitionBy("bucket").mode("overwrite").parquet(path)
+            own.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(path)
         written = set(_numbers(spark, path, "bucket=")) if touched else set()
         live = {**{b: r for b, r in before.items() if b not in touched}, **{b: run for b in written}}
         marker = spark.createDataFrame(sorted(live.items()), "bucket int, live long").coalesce(1)

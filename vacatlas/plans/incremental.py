@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import upsert as U
 from ..sources.providers import PLACE_BITS
@@ -56,12 +57,12 @@ def extend(known: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _table(batch: DataFrame) -> DataFrame:
-    """One row per posting of a source: the latest content, first and last arrival, and what resolution needs."""
+    """One row per posting of a source: the latest content, first and last arrival, and what resolution needs; its text as a digest."""
     narrow = D.normalized(batch)
     last = narrow.groupBy(*D.IDENTITY).agg(F.min("seq").alias("_first"), F.max("seq").alias("last_seq"))
     of_last = narrow.select("seq", *[c for c in NARROW if c not in ("seq", "provider", "external_id")]).join(
         last.select("_first", "last_seq"), F.col("seq") == F.col("last_seq")).drop("seq")
-    content = batch.withColumn("external_id", F.coalesce("external_id", F.lit("")))
+    content = batch.withColumns({"external_id": F.coalesce("external_id", F.lit("")), "description": _digest("description")})
     return content.join(of_last, content["seq"] == of_last["last_seq"]).withColumn("seq", F.col("_first")).drop("_first")
 
 
@@ -71,6 +72,11 @@ def _longer(a: str, b: str) -> Column:
     return F.when(size(b) > size(a), F.col(b)).otherwise(F.col(a))
 
 
+def _digest(text: str) -> Column:
+    """What stands for a text while rows are resolved; null for none."""
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
 def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = None,
          details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolve a batch against the stored sightings and store the outcome as run ``run``.
@@ -81,6 +87,14 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
     the names of all touched groups, those that have no sighting any more or a new name included.
     """
     spark = batch.sparkSession
+    owner, at = F.col("company_norm"), store.of(F.col("company_norm"), F.col("key"))
+    told_by = batch.select(T.normalize_company(F.col("company")).alias("company_norm"), "description",
+                           T.canonical_key(F.col("company"), F.col("title"), F.col("location")).alias("key"))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        """The texts that digests stand for, with the bucket of their rows."""
+        return rows.filter("description is not null").select(at.alias("bucket"), _digest("description").alias("digest"), F.col("description").alias("whole"))
+
     new = _table(batch).withColumns({"gone": F.lit(False), "detail": F.lit(None).cast("string")})
     if details is not None:
         longest = F.max_by("text", F.struct(F.length("text"), "text"))
@@ -88,13 +102,13 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
         new = new.join(told, ["provider", "external_id"], "left").withColumn("detail", F.col("_told")).drop("_told")
     new = cut_lineage(new)
     everything = store.read(spark, run)
-    owner, at = F.col("company_norm"), store.of(F.col("company_norm"), F.col("key"))
     reach = new.select(F.explode(store.of_owner(owner)))
     if everything is None:
         found = D.named(D.set_groups(D.with_component(new.select(*NARROW))))
         after = cut_lineage(new.join(found.select(*D.IDENTITY, *GROUP), D.IDENTITY))
-        store.write(after, run, at, distinct_buckets(after.select(at)))
-        return _current(after), after.select("group_key").distinct()
+        touched = distinct_buckets(after.select(at))
+        store.write(after, run, at, touched, texts=whole(told_by), text="description")
+        return _current(store.read(spark, run + 1, touched), after), after.select("group_key").distinct()
 
     if ended is not None:
         ends = ended.groupBy(F.col("source").alias("provider"), "target").agg(F.max("first_seq").alias("_starts"))
@@ -105,7 +119,8 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
         late_text = everything.join(told, ["provider", "external_id"]).filter(F.length("_told") > F.coalesce(F.length("detail"), F.lit(0)))
         reach = reach.union(late_text.select(F.explode(store.of_owner(owner))))
     reach = distinct_buckets(reach)
-    known = store.read(spark, run, reach).drop("_fresh")
+    stored_texts = store.read(spark, run, reach).drop("_fresh")
+    known = stored_texts.withColumn("description", _digest("description"))
     employers = new.select("company_norm").distinct()
 
     here = known.select(*D.IDENTITY, F.col("seq").alias("_seq"))
@@ -138,13 +153,16 @@ def take(store: Buckets, batch: DataFrame, run: int, ended: DataFrame | None = N
     rows = after.drop("_was", "_listed", "_gone", "_in", "_had")
     touched = distinct_buckets(changed.select(at))
     # a bucket is rewritten whole; `rows` holds every bucket of every employer concerned
-    store.write(rows.filter(at.isin(*sorted(touched)) if touched else F.lit(False)), run, at, touched)
+    own = at.isin(*sorted(touched)) if touched else F.lit(False)
+    texts = whole(stored_texts.select(*told_by.columns).union(told_by)).filter(F.col("bucket").isin(*sorted(touched)) if touched else F.lit(False))
+    store.write(rows.filter(own), run, at, touched, texts=texts, text="description")
     groups = changed.select(F.explode(F.array("_was", "group_key")).alias("group_key")).filter("group_key is not null").distinct()
-    return _current(rows).join(groups, "group_key", "left_semi"), groups
+    return _current(store.read(spark, run + 1, reach | touched), rows).join(groups, "group_key", "left_semi"), groups
 
 
-def _current(rows: DataFrame) -> DataFrame:
-    """Sightings that are still listed, with the longer of their texts."""
+def _current(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Sightings that are still listed, with the longer of their texts, as stored; ``rows`` tell the columns."""
+    rows = rows.filter("false").withColumn("description", F.lit(None).cast("string")) if stored is None else stored.select(*rows.columns)
     return rows.filter("not gone").withColumn("description", _longer("description", "detail")).drop("detail")
 
 
