@@ -37,6 +37,13 @@ def test_a_full_memo_changes_nothing():
     assert list(struct.unpack(f"<{len(codec.encode(text)) // 4}I", codec.encode(text))) == ids_of(text)
 
 
+def test_the_library_coder_remembers_few_words(monkeypatch):
+    monkeypatch.setattr(bpe, "LIBRARY_MEMO", 3)
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"), library=True)
+    text = "one two three four five six seven two nine six"
+    assert list(struct.unpack(f"<{len(c.encode(text)) // 4}I", c.encode(text))) == ids_of(text) and len(c.of_word) == 3
+
+
 def test_encode_whole_table(odd_docs, no_docs):
     got = bpe.encode(odd_docs, PATH).collect()
     assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted(

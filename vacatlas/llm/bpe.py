@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEMO = 300_000
+LIBRARY_MEMO = 50_000
 MEMO_LENGTH = 64
 #: Fixed value: the public byte-level pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -100,7 +101,8 @@ class Codec:
             self.matches.make_automaton()
         else:  # the library has tables of its own
             v.rank, v.made_of, self.length = {}, {}, []
-        self.of_word = _Memo(lambda w: self._word(" " + w))  # by the word behind a space
+        # by the word behind a space; the library computes a rare one fast
+        self.of_word = _Memo(lambda w: self._word(" " + w), LIBRARY_MEMO if self.encoding is not None else MEMO)
 
     def _encoding(self) -> tiktoken.Encoding | None:
         """The library's coder, if the order of the ids is that of the merges, as it takes for granted."""
