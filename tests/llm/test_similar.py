@@ -331,3 +331,17 @@ def test_scores_are_those_of_the_formula(spark, odd_docs, no_docs):
     assert lm_trie.score(odd_docs, model).count() == odd_docs.count() and lm_trie.score(no_docs, model).count() == 0
     nothing = lm_trie.fit(no_docs, F.lit(True))
     assert (nothing.total, nothing.distinct) == (0, 0) and lm_trie.score(odd_docs, nothing).count() == odd_docs.count()
+
+
+def test_keys_of_several_blocks_are_added_up_before_they_leave_a_task(monkeypatch):
+    blocks = [np.random.default_rng(i).integers(0, 50, 100).astype(np.uint64) for i in range(20)]
+    assert len(list(lm_trie._sums(iter(blocks)))) == 1  # a row per key, not one per key and block
+    monkeypatch.setattr(lm_trie, "ADDED", 250)
+    total = Counter()
+    made = list(lm_trie._sums(iter(blocks)))
+    for keys, counts in made:
+        assert len(set(keys.tolist())) == len(keys)
+        total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+    assert len(made) == 7 and total == Counter(np.concatenate(blocks).tolist())
+    assert list(lm_trie._sums(iter([]))) == []
+    assert lm_trie.tokens("Ab \u00c4b\tc".encode()) == lm_trie.tokens("Ab \u00c4b\tc")
