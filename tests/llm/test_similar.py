@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -345,3 +346,14 @@ def test_keys_of_several_blocks_are_added_up_before_they_leave_a_task(monkeypatc
     assert len(made) == 7 and total == Counter(np.concatenate(blocks).tolist())
     assert list(lm_trie._sums(iter([]))) == []
     assert lm_trie.tokens("Ab \u00c4b\tc".encode()) == lm_trie.tokens("Ab \u00c4b\tc")
+
+
+def test_the_band_of_a_long_text_is_held_once_in_four_bytes_a_cell():
+    words = np.random.default_rng(1).integers(0, 1 << 40, 4000).astype(np.uint64)
+    other = np.delete(words, np.arange(0, 4000, 50))  # 80 edits
+    tracemalloc.start()
+    found = near_dedup.edit_distance(words, other, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == near_dedup.banded_distance(words, other, 100) == 80
+    assert peak < 8 * 201 * 4001

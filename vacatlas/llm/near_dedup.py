@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import _Memo
 from .common import written
 
 WINDOW = 5
@@ -106,14 +105,16 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    k = np.arange(-most, most + 1)
-    i = np.arange(n + 1)
+    k = np.arange(-most, most + 1, dtype=np.int32)
+    i = np.arange(n + 1, dtype=np.int32)
     # row r holds b from place r - most on, so that it stands against a along diagonal r - most
     shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(most, b.dtype), b, np.zeros(n + most + 1, b.dtype)]), n + 1)
     differ = shifted[:len(k)] != np.append(a, np.zeros(1, a.dtype))
     differ |= (i < -k[:, None]) | (i >= np.minimum(n, m - k)[:, None])
     # from every cell of a diagonal, the next one where the words differ
-    stop = np.minimum.accumulate(np.where(differ, i, n)[:, ::-1], axis=1)[:, ::-1]
+    stop = np.where(differ, i, n)[:, ::-1]
+    np.minimum.accumulate(stop, axis=1, out=stop)  # in place: the band is the largest thing a task holds
+    stop = stop[:, ::-1]
     low, high = np.maximum(0, -k), np.minimum(n, m - k)
     reach = np.full(len(k) + 2, -2)  # one more diagonal on either side
     reach[most + 1] = stop[most, 0]
@@ -182,12 +183,8 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> bool
         band = min(4 * band, widest)
 
 
-def _hashes() -> _Memo:
-    return _Memo(xxhash.xxh3_64_intdigest, 100_000)
-
-
-def _codes(tokens: list[bytes], memo: _Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+def _codes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
 def _node(tokens: list[bytes]) -> str:
@@ -208,13 +205,12 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _hashes()
         for b in it:
             nodes, values, sizes = [], [], []
             for t in b.column(1):  # one text's words at a time
                 tokens = words(t.as_py())
                 nodes.append(_node(tokens))
-                values.append(sketches(_codes(tokens, memo)))
+                values.append(sketches(_codes(tokens)))
                 sizes.append(len(tokens))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(nodes, pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), b.column(2)],
@@ -227,14 +223,13 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _coded(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """(node, codes) of the nodes asked for (node, _own, _h): the words as 4-byte codes, read from the row with that key and text."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _hashes()
         for b in it:
             nodes, codes = [], []
             for t, n in zip(b.column(1), b.column(0).to_pylist(), strict=True):
                 tokens = words(t.as_py())
                 if _node(tokens) == n:  # else: another text with that hash
                     nodes.append(n)
-                    codes.append(_codes(tokens, memo).astype("<u4").tobytes())
+                    codes.append(_codes(tokens).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(codes, pa.binary())], ["node", "codes"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_t"))
