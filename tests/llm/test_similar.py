@@ -2,11 +2,13 @@
 
 import math
 import random
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,66 @@ def test_rare_runs_keep_every_similar_pair():
             assert len(p) - both <= near_dedup.LACKED * len(a) + 1e-6 and len(q) - both <= near_dedup.LACKED * len(b) + 1e-6, (a, b)
 
 
+def test_runs_of_every_length_bound_what_similar_texts_lack():
+    r = random.Random(32)
+    for _ in range(300):
+        a = [r.randint(0, 30) for _ in range(r.randint(1, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 1 + len(a) // 5)):
+            i = r.randrange(len(b) + 1)
+            b[i:i + r.randint(0, 1)] = [r.randint(0, 30)] * r.randint(0, 1)
+            b = b or [1]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        if near_dedup.similar(x, y):
+            for run in near_dedup.RUNS:
+                p, q = near_dedup.windows(x, run)[1], near_dedup.windows(y, run)[1]
+                both = len(np.intersect1d(p, q))
+                assert len(p) - both <= 0.2 * run * len(a) + 1e-6 and len(q) - both <= 0.2 * run * len(b) + 1e-6, (a, b, run)
+
+
+def test_texts_that_share_half_their_words_are_not_all_compared(spark, monkeypatch):
+    """Compared pairs grow with the texts, not with their square; the near copies among them are found."""
+    r = random.Random(12)
+    passage, rows = [f"p{i}" for i in range(110)], []
+    for k in range(300):  # own words from one vocabulary: single words are no one's own
+        text = passage + [f"w{r.randint(0, 3000)}" for _ in range(90)]
+        rows.append(text)
+        if k % 10 == 0:
+            rows.append(text[:150] + ["changed"] + text[151:])
+    compared, write = [], near_dedup.written
+
+    def counted(df):
+        out = write(df)
+        if sys._getframe(1).f_code.co_name == "classes" and out.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+    monkeypatch.setattr(near_dedup, "written", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    copies = [i for i, t in enumerate(rows) if "changed" in t]
+    assert len(copies) == 30 and [got[i] for i in copies] == [i - 1 for i in copies] and len(set(got.values())) == 300
+    assert sum(compared) < 15 * len(rows), compared
+
+
+def test_no_link_of_a_group_near_the_threshold_is_lost(spark):
+    """A base with own words at its end, some more and some fewer than a link can take."""
+    r = random.Random(13)
+    base = [f"p{i}" for i in range(60)]
+    rows = [base + [f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 60))] for _ in range(160)]
+    codes = [near_dedup._wide(pa.scalar(near_dedup._codes([w.encode() for w in t]).astype("<u4").tobytes())) for t in rows]
+    marks = [set(enumerate(near_dedup.sketches(near_dedup._codes([w.encode() for w in t])))) for t in rows]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    alike = [(i, j) for i in range(160) for j in range(i) if near_dedup.similar(codes[i], codes[j])]
+    assert 1 < len(set(got.values())) < 160
+    assert all(got[i] == got[j] for i, j in alike if marks[i] & marks[j])
+    top = list(range(160))
+    for i, j in sorted(alike, key=lambda x: x[1]):  # nothing is joined that no chain of links joins
+        a, b = sorted((top[i], top[j]))
+        top = [a if t == b else t for t in top]
+    assert all(top[i] == top[got[i]] for i in range(160))
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(100)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:] + words[:50]))], "doc_id long, text string")

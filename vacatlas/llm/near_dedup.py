@@ -8,12 +8,12 @@ decides: a pair is a link if its edit similarity is 0.8 or more.
 
 Texts with the same words are one node from the start.  Two open rounds compare a bucket's members
 with one hub, the member that shares most buckets, as far as they are in other classes; hubs then
-leave the bucket.  What is left in buckets of two classes is dealt by rare triples: an edit takes three runs
-of three words from a text at most, so texts of n words that are a link lack 0.6 n of each other's triples at
-most.  Triples are counted in slots over the texts left; a text with more than 0.6 n triples that stand in no
-other of them has no partner and leaves, which makes more triples rare, until few leave.  The others are compared
-where they share one of their 0.6 n + 1 rarest triples, and where their lengths and the triples they have alone
-allow a link; rounds go on until no bucket holds members of two classes.  So of the pairs that agree on a sketch
+leave the bucket.  What is left in buckets of two classes is dealt by rare words: an edit takes one word, two runs of
+two and three runs of three from a text at most, so texts of n words that are a link lack 0.2, 0.4 and 0.6 n of each
+other's at most.  A text has no partner in another class if more than that stand in texts of its own class only; it
+leaves, which makes more runs rare, until few leave.  The others are compared where they share one of their
+0.2 n + 1 rarest words, in the bucket of the first one they share, and where the words from there on allow a link;
+rounds go on until no bucket holds members of two classes.  So of the pairs that agree on a sketch
 no link is lost.  With 16 sketches two texts of window similarity 0.8 agree on none with a probability of
 (1 - 0.8 ** 2) ** 16, under one in ten million; texts that are similar only word by word may agree on none.
 """
@@ -37,9 +37,11 @@ SKETCHES = 16
 ITEMS = 2
 SIMILARITY = 0.8
 OPEN_ROUNDS = 2  # with one hub a bucket, before what is left is dealt by rare runs
-RUN = 3  # words of the runs that decide which of the nodes left are compared
+RUNS = (2, 3, 1)  # words of the runs by which nodes leave that have no partner, in this order
+RUN = 1  # words of the runs that decide which of the nodes left are compared
 LACKED = (1 - SIMILARITY) * RUN  # of its runs, times its words, that a node may lack in common with a similar one
-SLOTS, CHUNKS = 1 << 22, 64  # of the counts of runs
+CHUNKS, CHUNK_RUNS = 16, 1 << 20  # least number of chunks in which runs are counted, and runs in one
+BEFORE = 12  # runs that a row holds of those before it in its node's list
 CELLS = 4_000_000  # of a band, up to which an alignment follows its diagonals
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,90 +243,93 @@ def _wide(codes: pa.Scalar) -> np.ndarray:
     return _mixed(np.frombuffer(codes.as_py(), "<u4").astype(np.uint64) + np.uint64(1))
 
 
-def _runs(codes: pa.Scalar) -> np.ndarray:
-    """The occurrence-labelled runs of RUN words of a node."""
-    return windows(_wide(codes), RUN)[1]
+def _held(codes: DataFrame, run: int, listed: bool) -> DataFrame:
+    """(node, size, alone, runs, held) of a node's runs of ``run`` words that fall into one chunk; ``codes`` has the nodes' classes.
 
-
-def _slots(own: np.ndarray) -> np.ndarray:
-    return (own % np.uint64(SLOTS)).astype(np.int64)
-
-
-def _slot_counts(codes: DataFrame) -> np.ndarray:
-    """How many runs fall into each of SLOTS slots, counted up to 255: CHUNKS rows to the driver."""
-    size = SLOTS // CHUNKS
+    ``alone`` counts those that no node of another class has.  ``runs`` are the others, if they are to be listed, and ``held``
+    says how many nodes have each.  A chunk is a share of all runs by their hash, so it holds a run once a node at most.
+    """
+    chunks = max(CHUNKS, (codes.agg(F.sum(F.length("codes"))).first()[0] or 0) // (4 * CHUNK_RUNS))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            slot, n = np.unique(np.concatenate([_slots(_runs(c)) for c in b.column(1)] or [np.zeros(0, np.int64)]), return_counts=True)
-            first = np.searchsorted(slot, np.arange(CHUNKS + 1) * size)
-            for c, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                if y > x:
-                    at = (slot[x:y] - c * size).astype("<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([at]), pa.array([np.minimum(n[x:y], 255).astype(np.uint8).tobytes()])],
-                                                     ["chunk", "at", "n"])
+            for n, c, of in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                own = windows(_wide(c), run)[1]
+                to = (own % np.uint64(chunks)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                chunk, first = np.unique(to[order], return_index=True)
+                k = len(chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chunk), pa.array([n.as_py()] * k, pa.string()), pa.array([len(c.as_py()) // 4] * k, pa.int64()),
+                     pa.array([of.as_py()] * k, pa.int64()), pa.array([x.tobytes() for x in np.split(own[order], first[1:])], pa.binary())],
+                    ["chunk", "node", "size", "of", "runs"])
 
     def together(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint16)
-        for at, n in zip(rows.column("at"), rows.column("n")):
-            to = np.frombuffer(at.as_py(), "<u4")
-            total[to] = np.minimum(total[to] + np.frombuffer(n.as_py(), np.uint8), 255)
-        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([total.astype(np.uint8).tobytes()])})
-
-    out = np.zeros(SLOTS, np.uint8)
-    for r in codes.select("node", "codes").mapInArrow(batches, "chunk int, at binary, n binary").groupBy("chunk").applyInArrow(
-            together, "chunk int, n binary").collect():
-        out[r["chunk"] * size:(r["chunk"] + 1) * size] = np.frombuffer(r["n"], np.uint8)
-    return out
-
-
-def _crowded(codes: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Nodes that can have a similar one among ``codes``, and maybe others; with the counts of runs by slot.
-
-    A run alone in its slot is in no other node; a node with too many of those leaves.  Where slots fill up, fewer leave.
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("runs")]
+        ends = np.cumsum([len(x) for x in parts])
+        run = np.concatenate(parts)
+        of = np.repeat(rows.column("of").to_numpy(), [len(x) for x in parts])
+        order = np.lexsort((of, run))
+        run_, of_ = run[order], of[order]
+        first = np.flatnonzero(np.append(True, run_[1:] != run_[:-1]))
+        last = np.append(first[1:], len(run)) - 1
+        held = np.empty(len(run), np.uint32)
+        held[order] = np.repeat(np.where(of_[first] != of_[last], last - first + 1, 0), last - first + 1)
+        helds = np.split(held, ends[:-1])
+        return pa.table({
+            "node": rows.column("node"), "size": rows.column("size"), "alone": pa.array([int((h == 0).sum()) for h in helds], pa.int64()),
+            "runs": pa.array([x[h > 0].tobytes() if listed else None for x, h in zip(parts, helds)], pa.binary()),
+            "held": pa.array([h[h > 0].tobytes() if listed else None for h in helds], pa.binary())})
+
+    return (codes.select("node", "codes", F.xxhash64("component").alias("of"))
+            .mapInArrow(batches, "chunk int, node string, size long, of long, runs binary")
+            .groupBy("chunk").applyInArrow(together, "node string, size long, alone long, runs binary, held binary"))
+
+
+def _crowded(codes: DataFrame) -> DataFrame:
+    """The nodes (node, codes, component) that can have a similar one of another class among ``codes``, and maybe others.
+
+    A run that only nodes of one class have is in nothing that a node of that class could still be linked to; a node with
+    more of those than its edits can take leaves.  Counts are exact; those who leave make more runs rare.
     """
-    before = codes.count()
-    counts = np.zeros(SLOTS, np.uint8)
-    while before:
-        counts = _slot_counts(codes)
-
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                keep = [int((counts[_slots(_runs(c))] == 1).sum()) <= LACKED * (len(c.as_py()) // 4) + 1e-6 for c in b.column(1)]
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-        codes = written(codes.select("node", "codes").mapInArrow(batches, "node string, codes binary"))
+    left = codes.count()
+    while left:
+        before = left
+        for run in RUNS:
+            alone = _held(codes, run, False).groupBy("node").agg(F.sum("alone").alias("alone"), F.first("size").alias("size"))
+            stay = alone.filter(F.col("alone") <= (1 - SIMILARITY) * run * F.col("size") + 1e-6).select("node")
+            codes = written(codes.join(stay, "node"))
         left = codes.count()
         if left >= 0.9 * before:
             break
-        before = left
-    return codes, counts
+    return codes
 
 
-def _by_rare_runs(codes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(bucket, node, size, alone): the runs that begin a node's list, rare ones first, as many as one of has to be in
-    common with any similar node.  Any order that is the same for all nodes does; ``counts`` bring rare ones first.
-    ``alone`` is how many runs no other node left has."""
+def _by_rare_runs(codes: DataFrame) -> DataFrame:
+    """(bucket, node, size, rest, before): the runs that begin a node's list, as many as one of has to be in common with any
+    similar node.  Any order that is the same for all nodes does; here runs of one class stand first, then rare ones.  A run
+    of one class makes no row.  ``rest`` is how many runs of more classes the list has from there on, ``before`` the last
+    ones before: two nodes are compared in the bucket of the first run they share, so neither has to be met in a later one."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for n, c in zip(b.column(0), b.column(1), strict=True):
-                own, size = _runs(c), len(c.as_py()) // 4
-                often = counts[_slots(own)]
-                first = np.lexsort((own, often))[:int(LACKED * size + 1e-6) + 1]
-                first = first[often[first] > 1]
+            for n, size, alone, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                own = np.concatenate([np.frombuffer(p["runs"], np.uint64) for p in parts])
+                own = own[np.lexsort((own, np.concatenate([np.frombuffer(p["held"], np.uint32) for p in parts])))]
+                k = min(len(own), max(0, int(LACKED * size + 1e-6) + 1 - alone))
+                own, rest = own.view(np.int64), len(own) - np.arange(k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[first].view(np.int64)), pa.array([n.as_py()] * len(first), pa.string()),
-                     pa.array(np.full(len(first), size)), pa.array(np.full(len(first), int((often == 1).sum())))],
-                    ["bucket", "node", "size", "alone"])
+                    [pa.array(own[:k]), pa.array([n] * k, pa.string()), pa.array(np.full(k, size)), pa.array(rest),
+                     pa.array([own[max(0, i - BEFORE):i] for i in range(k)], pa.list_(pa.int64()))],
+                    ["bucket", "node", "size", "rest", "before"])
 
-    return codes.select("node", "codes").mapInArrow(batches, "bucket long, node string, size long, alone long")
+    lists = _held(codes, RUN, True).groupBy("node").agg(
+        F.first("size").alias("size"), F.sum("alone").alias("alone"), F.collect_list(F.struct("runs", "held")).alias("parts"))
+    return lists.mapInArrow(batches, "bucket long, node string, size long, rest long, before array<long>")
 
 
-def _can_link(size: Column, alone: Column, other: Column, other_alone: Column) -> Column:
-    """Whether texts of so many words, of whose runs so many stand in no other text, can be similar."""
-    longer = F.greatest(size, other)
-    both = F.least(size - alone, other - other_alone) - (RUN - 1)
-    return (F.least(size, other) >= SIMILARITY * longer - 1e-6) & (both >= (1 - LACKED) * longer - (RUN - 1) - 1e-6)
+def _can_link(size: Column, rest: Column, before: Column, other: Column, other_rest: Column, other_before: Column) -> Column:
+    """Whether texts of so many words, with so many from here on that the other may have, can be similar and first meet here."""
+    return ((F.least(rest, other_rest) >= SIMILARITY * F.greatest(size, other) - 1e-6) & ~F.arrays_overlap(before, other_before))
 
 
 def _shared(kept: DataFrame) -> DataFrame:
@@ -385,7 +390,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     kept = (nodes.select("node", "size", F.posexplode("sketch").alias("band", "value"))
             .select("node", "size", F.xxhash64("band", "value").alias("bucket")))
     shared = written(_shared(kept))
-    asked = written(shared.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"), F.lit(0).cast("long").alias("alone")))
+    asked = written(shared.groupBy("node").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
+                    .select("*", F.col("size").alias("rest"), F.array().cast("array<long>").alias("before")))
     codes = written(_coded(docs, nodes.select("node", "_own", "_h").join(asked.select("node"), "node"), key, text))
     left = shared.select("bucket", "node").join(asked, "node")
     links, labels, tested, r = None, None, None, 0
@@ -397,19 +403,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if own.isEmpty():
             break
         if r == OPEN_ROUNDS:
-            some = own.select("node").distinct()
-            codes, counts = _crowded(written(codes.join(some, "node")))
-            left = written(_shared(written(_by_rare_runs(codes, counts))).drop("n").join(asked.select("node", "weight"), "node"))
+            codes = _crowded(written(codes.join(own.select("node", "component").distinct(), "node")))
+            left = written(_shared(written(_by_rare_runs(codes))).drop("n").join(asked.select("node", "weight"), "node"))
             r += 1
             continue
         slots = 1 if r < OPEN_ROUNDS else 16 ** (r - OPEN_ROUNDS)
         of = F.xxhash64("node", "bucket", F.lit(r))
         hubs = (own.groupBy("bucket", F.pmod(of, F.lit(slots)).alias("_slot"))
                 .agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("component").alias("_c"), F.col("size").alias("_s"),
-                                       F.col("alone").alias("_o")),
+                                       F.col("rest").alias("_r"), F.col("before").alias("_b")),
                               F.struct("weight", of)).alias("h")).select("bucket", "h.*"))
         hubs = written(hubs)
-        near = _can_link(F.col("size"), F.col("alone"), F.col("_s"), F.col("_o"))
+        near = _can_link(*(F.col(c) for c in ("size", "rest", "before", "_s", "_r", "_b")))
         pairs = (own.join(hubs, "bucket").filter((F.col("component") != F.col("_c")) & near)
                  .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
