@@ -396,6 +396,49 @@ def test_scores_are_those_of_the_formula(spark, odd_docs, no_docs):
     assert (nothing.total, nothing.distinct) == (0, 0) and lm_trie.score(odd_docs, nothing).count() == odd_docs.count()
 
 
+def test_every_run_of_two_and_three_words_is_kept(spark, odd_docs, monkeypatch):
+    """Scores of order three by the formula, over several shards and blocks; runs seen once count, no run goes over the end of a text."""
+    monkeypatch.setattr(lm_trie, "BLOCK", 300)
+    monkeypatch.setattr(lm_trie, "ADDED", 700)
+    r = random.Random(8)
+    texts = [" ".join(r.choice([f"w{r.randint(0, 12)}", f"rare{r.randint(0, 300)}"]) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    texts += ["only once in all", "only once in all but not like this", None, ""]
+    docs = spark.createDataFrame([(i, t, i % 5 > 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
+    model = lm_trie.fit(docs, F.col("train"), keys_per_shard=600, order=3)
+    tokens = [lm_trie.tokens(t) for t in texts]
+    counts = [Counter(), Counter(), Counter()]
+    for i, t in enumerate(tokens):
+        if i % 5:
+            counts[0].update((w,) for w in t)
+            counts[1].update(zip([lm_trie.END, *t], t, strict=False))
+            counts[2].update(zip([lm_trie.END, *t], t, t[1:], strict=False))
+    assert len(model.level_files) == 2 and all(len(x) > 2 for x in model.level_files)
+    for files, own in zip(model.level_files, counts[1:], strict=True):
+        assert sum(lm_trie.Level(path).n for _, _, path in files) == len(own)
+        assert min(own.values()) == 1
+    followed = [Counter(), Counter(), Counter()]  # occurrences of a context and its different followers
+    followers = [Counter(), Counter(), Counter()]
+    for m in (1, 2):
+        for g, n in counts[m].items():
+            followed[m][g[:-1]] += n
+            followers[m][g[:-1]] += 1
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    for x in lm_trie.score(docs, model).collect():
+        t, want = tokens[x.doc_id], 0.0
+        for i, w in enumerate(t):
+            p = (counts[0][w,] + 0.1) / (total + 0.1 * (distinct + 1))
+            for m, context in ((1, (t[i - 1] if i else lm_trie.END,)), (2, ((lm_trie.END, *t)[i - 1:i + 1] if i else None))):
+                if context and followed[m][context]:
+                    c = followed[m][context]
+                    p = max(counts[m][(*context, w)] - lm_trie.DISCOUNT, 0) / c + lm_trie.DISCOUNT * followers[m][context] / c * p
+            want += math.log10(p)
+        assert 0 <= want - x.score + 1e-9 <= len(t) * (2 * lm_trie.STEP + 1e-6), x
+    again = lm_trie.fit(docs.repartition(5), F.col("train"), keys_per_shard=600, order=3)
+    assert sorted(lm_trie.score(docs, again).collect()) == sorted(lm_trie.score(docs, model).collect())
+    only = lm_trie.fit(spark.createDataFrame([(None,)], "text string"), F.lit(True), order=3)  # ends without a word before
+    assert [len(x) for x in only.level_files] == [1] and lm_trie.score(odd_docs, only).count() == odd_docs.count()
+
+
 def test_keys_of_several_blocks_are_added_up_before_they_leave_a_task(monkeypatch):
     blocks = [np.random.default_rng(i).integers(0, 50, 100).astype(np.uint64) for i in range(20)]
     assert len(list(lm_trie._sums(iter(blocks)))) == 1  # a row per key, not one per key and block
