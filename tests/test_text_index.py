@@ -64,3 +64,26 @@ def test_lists_are_those_of_every_run_in_blocks_of_bounded_size(spark, tmp_path,
     assert all(r.places == sorted(set(r.places)) and len(r.places) == r.n for r in rows)
     got = sorted((r.run, places[r.block, p]) for r in rows for p in r.places)
     assert got == sorted({(f"{t}\x00\x00"[i:i + 3], k) for k, t in texts.items() for i in range(len(t))})
+
+
+def test_a_list_goes_to_its_block_once_however_many_terms_ask(spark, tmp_path, monkeypatch):
+    """Lists are not copied for terms, terms only go where their rarest run is, and slices of a block give what a scan gives."""
+    r = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta", "漢字", "x"]
+    texts = [(f"j{i:02}", " ".join(r.choice(words) for _ in range(r.randint(0, 8)))) for i in range(60)]
+    texts += [texts[5], ("j07", "another text of the same id"), ("j61", None), (None, "alpha")]
+    df = spark.createDataFrame(texts, "id string, t string")
+    index = X.TextIndex(str(tmp_path / "ix"))
+    index.add(df, F.col("t"), 0)
+    terms = sorted({w[i:i + n] for w in ["alpha beta gamma delta", "漢字 x", "no such", "same id"] for n in (1, 2, 3, 5) for i in range(len(w) - n + 1)})
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    near = index._near(asked)[0].drop("addition").toArrow()
+    runs = [x for x in near.column("run").to_pylist() if x]
+    assert len(runs) == len(set(runs))
+    assert "such" not in {t for own in near.column("terms").to_pylist() for t in own or ()}
+    want = sorted((t, i) for i, x in texts for t in terms if i and x and t in x)
+    assert sorted(map(tuple, index.find(df, F.col("t"), asked).collect())) == want
+    monkeypatch.setattr(X, "ROWS", 8)
+    monkeypatch.setattr(X, "TERMS", 3)
+    own = df.filter("id is not null").select(F.col("id").alias("key"), "id", F.col("t").alias("text")).toArrow()
+    assert sorted((t, x["key"]) for x in X._holding(own, near).to_pylist() for t in x["terms"]) == want
