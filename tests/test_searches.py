@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,30 @@ def test_blocks_and_parts_give_what_the_pairs_give(spark, tables, monkeypatch):
     assert want == S.results(paid, companies, S.stored(spark, dear), AS_OF).count() == 3
     plan = S.results(jobs, companies, stored, AS_OF)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # no rows of (search, job)
+
+
+def test_a_search_is_sent_once_for_many_blocks(spark, tables, monkeypatch):
+    """Blocks of a span come as one value each; counts and first rows over blocks and spans are those of the pairs, names twice count twice."""
+    monkeypatch.setattr(S, "BLOCK", 20)
+    monkeypatch.setattr(S, "SPAN", 3)
+    jobs, companies = tables
+    stored = S.stored(spark, documents(random.Random(12), 40))
+    stored = stored.union(stored.limit(5)).cache()
+    got = sorted((x.search, x["rank"], x.id, x.matches) for x in S.results(jobs, companies, stored, AS_OF, per_search=5).collect())
+    names = [x.search for x in stored.select("search").collect()]
+    want: dict = {}
+    for x in S.matches(jobs, companies, stored.dropDuplicates(["search"]), AS_OF).orderBy(*L.ordering("newest")).collect():
+        want.setdefault(x.search, []).extend([x.id] * names.count(x.search))
+    assert got == sorted((n, i + 1, j, len(ids)) for n, ids in want.items() for i, j in enumerate(ids[:5]))
+    # one task's work: two blocks, bits of one condition kept at a time
+    monkeypatch.setattr(S, "KEPT", 1)
+    table = lambda at, n: pa.table({"span": [0] * n, "block": [at] * n, "pos": list(range(at * 100, at * 100 + n)), "id": [f"{at}-{i}" for i in range(n)],
+                                    "status": ["new" if i % 2 else None for i in range(n)], "score": list(range(n))})
+    blocks = pa.concat_tables([S._block(table(1, 70)), S._block(table(0, 30))])
+    assert blocks.num_rows == 2
+    conditions = [[("status", "new")], [("min_score", "25"), ("status", "new")], [], [("status", "old")], [("status", "new"), ("min_score", "25")]]
+    asked = pa.table({"search": list("abcde"), "conditions": pa.array([[{"field": f, "value": v} for f, v in x] for x in conditions],
+                                                                      pa.list_(pa.struct([("field", pa.string()), ("value", pa.string())])))})
+    answers = {x["search"]: (x["n"], [(y["pos"], y["id"]) for y in x["top"]]) for x in S._answers(blocks, asked, 4).to_pylist()}
+    assert answers == {"a": (50, [(i, f"0-{i}") for i in (1, 3, 5, 7)]), "b": (26, [(25, "0-25"), (27, "0-27"), (29, "0-29"), (125, "1-25")]),
+                       "c": (100, [(i, f"0-{i}") for i in range(4)]), "e": (26, [(25, "0-25"), (27, "0-27"), (29, "0-29"), (125, "1-25")])}

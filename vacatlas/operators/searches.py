@@ -40,8 +40,10 @@ SCHEMA = T.StructType([
     *[T.StructField(n, T.BooleanType()) for n in ("only_new", "only_starred", "only_clean", "include_hidden", "include_closed")]])
 #: Width and number of the bands of scores, ages in days, and pay.
 SCORES, AGES, PAYS = (10, 10), (7, 60), (10_000, 50)
-#: Jobs of a block, one bit each, and searches of a part that one task answers for a block.
-BLOCK, PART = 1 << 16, 30_000
+#: Jobs of a block, one bit each, blocks of a span, and searches of a part that one task answers for a span.
+BLOCK, SPAN, PART = 1 << 16, 64, 300_000
+#: Different conditions whose bits a task keeps at a time.
+KEPT = 1 << 14
 _KEY = "struct<field:string,value:string>"
 
 
@@ -171,67 +173,116 @@ def _conditions(s: DataFrame, as_of: Column) -> DataFrame:
     return s.filter(c("search").isNotNull()).select("search", F.array_compact(F.array(*some)).alias("conditions"))
 
 
-def _answers(jobs: pa.Table, asked: pa.Table, first: int) -> pa.Table:
-    """(search, n, top): how many of the jobs each search finds, and the positions of the first of them.
+_TOP = pa.struct([("pos", pa.int64()), ("id", pa.string())])
+_ANSWER = pa.schema([("search", pa.string()), ("n", pa.int64()), ("top", pa.list_(_TOP))])
 
-    Every different condition is tested once on all the jobs and kept as one bit per job; a search is the
-    intersection of its conditions' bits.
-    """
+
+def _block(jobs: pa.Table) -> pa.Table:
+    """(span, block, jobs): the jobs of a block in their order as one value, column by column and compressed."""
+    span, block = (jobs.column(n)[0].as_py() for n in ("span", "block"))
     jobs = jobs.sort_by("pos").combine_chunks()
-    pos, n = jobs.column("pos").to_numpy(), jobs.num_rows
-
-    def holds(field: str, value: str) -> pa.ChunkedArray:
-        if field in EQUAL:
-            return pc.equal(jobs.column(EQUAL[field]), value)
-        if field == "q":
-            return pc.match_substring(jobs.column("search_blob"), value)
-        if field in ("domain", "company"):
-            return pc.match_substring(jobs.column("blob" if field == "domain" else "company"), value)
-        if field == "city":
-            return pc.or_(pc.match_substring(jobs.column("city"), value), pc.match_substring(jobs.column("place"), value))
-        if field == "min_score":
-            return pc.greater_equal(jobs.column("score"), int(value))
-        if field == "since":
-            return pc.greater_equal(jobs.column("posted"), int(value))
-        if field == "salary_min":  # a pay that is no number is above every other, as in Spark
-            pay = jobs.column("pay")
-            return pc.or_(pc.greater_equal(pay, float(value)), pc.is_nan(pay))
-        if field == "places":
-            place = json.loads(value)
-            found = [pc.match_substring(jobs.column("search_blob"), t) for t in place["_places"]]
-            return reduce(pc.or_kleene, found, pc.equal(jobs.column("country"), place.get("country")))
-        return jobs.column(field)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, jobs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(jobs)
+    return pa.table({"span": pa.array([span], pa.int64()), "block": pa.array([block], pa.int64()), "jobs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _holds(jobs: pa.Table, field: str, value: str) -> pa.ChunkedArray:
+    """Which of the jobs meet one condition."""
+    if field in EQUAL:
+        return pc.equal(jobs.column(EQUAL[field]), value)
+    if field == "q":
+        return pc.match_substring(jobs.column("search_blob"), value)
+    if field in ("domain", "company"):
+        return pc.match_substring(jobs.column("blob" if field == "domain" else "company"), value)
+    if field == "city":
+        return pc.or_(pc.match_substring(jobs.column("city"), value), pc.match_substring(jobs.column("place"), value))
+    if field == "min_score":
+        return pc.greater_equal(jobs.column("score"), int(value))
+    if field == "since":
+        return pc.greater_equal(jobs.column("posted"), int(value))
+    if field == "salary_min":  # a pay that is no number is above every other, as in Spark
+        pay = jobs.column("pay")
+        return pc.or_(pc.greater_equal(pay, float(value)), pc.is_nan(pay))
+    if field == "places":
+        place = json.loads(value)
+        found = [pc.match_substring(jobs.column("search_blob"), t) for t in place["_places"]]
+        return reduce(pc.or_kleene, found, pc.equal(jobs.column("country"), place.get("country")))
+    return jobs.column(field)
+
+
+def _asked(conditions: pa.ListArray) -> tuple[list[tuple[str, str]], list[tuple[int, ...]]]:
+    """The different (field, value) conditions, and those of every search by their numbers."""
+    flat = conditions.flatten()
+    field, value = (flat.field(n).dictionary_encode() for n in ("field", "value"))
+    code = field.indices.to_numpy().astype(np.int64) * max(1, len(value.dictionary)) + value.indices.to_numpy()
+    own, number = np.unique(code, return_inverse=True)
+    fields, values = field.dictionary.to_pylist(), value.dictionary.to_pylist()
+    known = [(fields[x // len(values)], values[x % len(values)]) for x in own.tolist()]
+    ends = np.cumsum(pc.list_value_length(conditions).to_numpy())
+    return known, [tuple(sorted(set(number[a:b].tolist()))) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+
+
+def _answers(blocks: pa.Table, asked: pa.Table, first: int) -> pa.Table:
+    """(search, n, top): how many jobs of the blocks each search finds, and the first of them as (pos, id).
+
+    Every different condition is tested on all the jobs of a block and kept as one bit per job; a search is the
+    intersection of its conditions' bits, and searches with the same conditions are answered together.
+    """
+    if not blocks.num_rows or not asked.num_rows:
+        return pa.table([pa.array([], t) for t in _ANSWER.types], schema=_ANSWER)
+    conditions, of = _asked(asked.column("conditions").combine_chunks())
+    groups = {own: k for k, own in enumerate(dict.fromkeys(of))}
+    counts, held = np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64)
+    top: list[list] = [[], [], []]
 
     def bits(mask: np.ndarray) -> np.ndarray:
         packed = np.packbits(mask, bitorder="little")
         return np.append(packed, np.zeros(-len(packed) % 8, np.uint8)).view("<u8")
 
-    every, known = bits(np.ones(n, bool)), {}
-    names, counts, tops = [], [], []
-    for name, conditions in zip(asked.column("search").to_pylist(), asked.column("conditions").to_pylist(), strict=True):
-        left = every
-        for x in conditions:
-            key = (x["field"], x["value"])
-            if key not in known:
-                known[key] = bits(pc.fill_null(holds(*key), False).to_numpy().astype(bool))
-            left = left & known[key]
-        count = int(np.bitwise_count(left).sum())
-        if count:
-            at = np.flatnonzero(left)[:first]  # a word that is not 0 holds one job at least
-            inside = np.flatnonzero(np.unpackbits(left[at].view(np.uint8), bitorder="little"))[:first]
-            names.append(name)
-            counts.append(count)
-            tops.append(pos[at[inside >> 6] * 64 + (inside & 63)])
-    return pa.table({"search": pa.array(names, pa.string()), "n": pa.array(counts, pa.int64()), "top": pa.array(tops, pa.list_(pa.int64()))})
+    for raw in blocks.sort_by("block").column("jobs"):
+        jobs = pa.ipc.open_stream(raw.as_buffer()).read_all()
+        every, known, whose, places = bits(np.ones(jobs.num_rows, bool)), {}, [], []
+        for own, k in groups.items():
+            left = every
+            for x in own:
+                if x not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[x] = bits(pc.fill_null(_holds(jobs, *conditions[x]), False).to_numpy().astype(bool))
+                left = left & known[x]
+            count = int(np.bitwise_count(left).sum())
+            counts[k] += count
+            more = first - int(held[k])
+            if count and more > 0:
+                at = np.flatnonzero(left)[:more]  # a word that is not 0 holds one job at least
+                inside = np.flatnonzero(np.unpackbits(left[at].view(np.uint8), bitorder="little"))[:more]
+                places.append(at[inside >> 6] * 64 + (inside & 63))
+                whose.append(np.full(len(inside), k))
+                held[k] += len(inside)
+        if places:
+            at = np.concatenate(places)
+            for x, own in zip(top, (np.concatenate(whose), jobs.column("pos").to_numpy()[at], jobs.column("id").take(pa.array(at))), strict=True):
+                x.append(own)
+    # the first rows of a group stand together, in the order of the blocks
+    whose, pos = (np.concatenate([np.zeros(0, np.int64), *x]) for x in top[:2])
+    order = np.argsort(whose, kind="stable")
+    ids = pa.chunked_array([y for x in top[2] for y in x.chunks], pa.string()).take(pa.array(order)).combine_chunks()
+    rows = pa.StructArray.from_arrays([pa.array(pos[order]), ids], fields=list(_TOP))
+    tops = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), rows)
+    number = np.array([groups[x] for x in of])
+    names, some = asked.column("search").combine_chunks(), np.flatnonzero(counts[number])
+    return pa.table([names.take(pa.array(some)), pa.array(counts[number[some]]), tops.take(pa.array(number[some]))], schema=_ANSWER)
 
 
 def results(jobs: DataFrame, companies: DataFrame, searches: DataFrame, as_of: Column, per_search: int = 100,
             order: str = "newest", profile: Profile = DEFAULT) -> DataFrame:
     """``search, id, rank, matches``: the first rows of every search and how many jobs it has in all.
 
-    Jobs are dealt into blocks in the order asked for, searches into parts; every part meets every block in a task
-    of its own, where a job is a bit.  A block answers a search with a count and its first rows, so no pair of
-    search and job is ever a row, however many jobs a search finds.
+    Jobs are dealt into blocks in the order asked for, each one value of compressed columns, and blocks into spans;
+    every part of the searches meets every span in a task of its own, where a job is a bit.  A span answers a search
+    with a count and its first rows, so no pair of search and job is ever a row, however many jobs a search finds; a
+    search is sent once for SPAN blocks, a block once for PART searches.
     """
     c = F.col
     jobs = jobs.filter("id IS NOT NULL").join(companies.select(c("id").alias("company_id"), c("tier").alias("company_tier")), "company_id", "left")
@@ -244,13 +295,16 @@ def results(jobs: DataFrame, companies: DataFrame, searches: DataFrame, as_of: C
         c("score").cast("long").alias("score"), c("salary_annual_eur_min").cast("double").alias("pay"),
         F.unix_date("posted_at").cast("long").alias("posted"), sure(c("is_open")).alias("is_open"), sure(~c("hidden")).alias("shown"),
         sure(c("is_new")).alias("is_new"), sure(c("starred")).alias("starred"), sure(~c("has_flags")).alias("clean"))
-    ordered = cut_lineage(ordered).withColumn("block", F.floor(c("pos") / BLOCK))  # as written: positions stay as they are
+    ordered = cut_lineage(ordered)  # as written: positions stay as they are
+    # the upper bits of a position are the number of the range that the job is in, of BLOCK jobs on average
+    ordered = ordered.withColumns({"block": F.floor(c("pos") / BLOCK), "span": F.floor(F.shiftright("pos", 33) / SPAN)})
     asked = cut_lineage(_conditions(_prepared(searches, profile), as_of).withColumn("part", F.pmod(F.xxhash64("search"), F.lit(parts))))
-    # names of their own: the other side of the cogroup has the block's column, too
-    every = asked.crossJoin(ordered.select("block").distinct()).select("search", "conditions", c("block").alias("_block"), c("part").alias("_part"))
-    whole = ordered.drop("id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    found = (whole.groupBy("block", "part").cogroup(every.groupBy("_block", "_part"))
-             .applyInArrow(lambda j, s: _answers(j, s, per_search), "search string, n long, top array<long>"))
+    packed = cut_lineage(ordered.groupBy("block").applyInArrow(_block, "span long, block long, jobs binary"))
+    # names of their own: the other side of the cogroup has the span's column, too
+    every = asked.crossJoin(packed.select("span").distinct()).select("search", "conditions", c("span").alias("_span"), c("part").alias("_part"))
+    whole = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = (whole.groupBy("span", "part").cogroup(every.groupBy("_span", "_part"))
+             .applyInArrow(lambda j, s: _answers(j, s, per_search), "search string, n long, top array<struct<pos: long, id: string>>"))
     top = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, per_search)
-    best = found.groupBy("search").agg(F.sum("n").alias("matches"), top.alias("top")).select("search", "matches", F.posexplode("top").alias("rank", "pos"))
-    return best.join(ordered.select("pos", "id"), "pos").select("search", "id", (c("rank") + 1).alias("rank"), "matches")
+    best = found.groupBy("search").agg(F.sum("n").alias("matches"), top.alias("top")).select("search", "matches", F.posexplode("top").alias("rank", "job"))
+    return best.select("search", c("job.id").alias("id"), (c("rank") + 1).alias("rank"), "matches")
